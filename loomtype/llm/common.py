@@ -37,7 +37,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def lanes(n_rows: int, per_lane: int = 20_000) -> int:
     """Number of hash lanes that keeps each near ``per_lane`` rows at any input size."""
-    return max(8, -(-n_rows // per_lane))
+    return max(64, -(-n_rows // per_lane))
 
 
 def spread(*cols: Column | str, lanes: int) -> Column:

@@ -28,6 +28,18 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_quartile_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edit_sensitivity
+
+    return edit_sensitivity(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencounts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleave_shards
 
@@ -35,7 +47,7 @@ def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op5_source_mix, op6_best_fit_packing, op9_interleaved_shards)}
+QUERIES = {f.__name__: f for f in (op5_source_mix, op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards)}
 
 
 def queries() -> dict:
