@@ -47,7 +47,14 @@ def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op5_source_mix, op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards)}
+def op10_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shingles import near_duplicate_components
+
+    return near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_source_mix, op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards,
+                                op10_shingle_components)}
 
 
 def queries() -> dict:
