@@ -98,7 +98,8 @@ class Mix:
             f"sequence(begin DIV {self.block}, (begin + size - 1) DIV {self.block})"))).withColumn(
             "first", F.expr(f"greatest(block * {self.block} - begin, 0L)")).withColumn(
             "words", F.expr(f"least((block + 1) * {self.block} - begin, size) - first"))
-        return cut.join(self.block_uses(), ["_i", "block"])
+        # The planner takes the slots for as small as the plan they are exploded from, and would broadcast them.
+        return cut.join(self.block_uses().hint("merge"), ["_i", "block"])
 
     def taken(self) -> DataFrame:
         """Per document: ``doc_id, size, source_size, target, taken``."""
@@ -156,8 +157,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: in
     ).drop("_start", "_k")
 
     chunk = 4096
+    chunks = plan.agg(F.sum(F.ceil(F.col("slots") / chunk))).first()[0] or 1
+    tasks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, chunks // 256)
     slots = plan.where("slots > 0").withColumn(
-        "_c", F.explode(F.expr(f"sequence(0L, (slots - 1) DIV {chunk})"))).repartition("_i", "_c").withColumn(
+        "_c", F.explode(F.expr(f"sequence(0L, (slots - 1) DIV {chunk})"))).repartition(tasks, "_i", "_c").withColumn(
         "_j", F.explode(F.expr(f"sequence(_c * {chunk}, least((_c + 1) * {chunk}, slots) - 1)")))
     slots = slots.withColumn("_at", F.expr("first_slot + _j")).withColumn("block", F.expr("_j % blocks"))
     slots = slots.withColumn("_at", permuted("_at", "all_slots", "0L", seed)).withColumn(
