@@ -94,7 +94,7 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """A row for each document and block that it reaches into: its words there and the times they are used."""
-        cut = self.placed.where("size > 0").withColumn("block", F.explode(F.expr(
+        cut = self.placed.where("size > 0").select("_i", "_lane", "_row", "begin", "size").withColumn("block", F.explode(F.expr(
             f"sequence(begin DIV {self.block}, (begin + size - 1) DIV {self.block})"))).withColumn(
             "first", F.expr(f"greatest(block * {self.block} - begin, 0L)")).withColumn(
             "words", F.expr(f"least((block + 1) * {self.block} - begin, size) - first"))
@@ -107,23 +107,22 @@ class Mix:
         return self.placed.join(used, ["_i", "_lane", "_row"], "left").select(
             "doc_id", "source", "size", "source_size", "target", F.coalesce("_t", F.lit(0)).alias("taken"))
 
-    def texts(self, columns: list[str]) -> DataFrame:
-        """The mixed documents: copy r of a document keeps its words in blocks used at least r times.
+    def texts(self) -> DataFrame:
+        """The mixed documents, with the input's columns: copy r keeps a document's words in blocks used r times or more.
 
-        A copy that keeps every word is the text as it was; a partial copy joins its words by single spaces.
+        A copy that keeps every word is the text as it was; a partial copy joins its words by single spaces. Where
+        there is a column ``n_chars``, it is the new text's length.
         """
         runs = self.pieces().withColumn("copy", F.explode(F.expr("sequence(1L, uses)"))).groupBy(
             "_i", "_lane", "_row", "copy").agg(
             F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_runs"), F.sum("words").alias("_kept"))
-        words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+        words = F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0))
         kept = F.expr("array_join(flatten(transform(_runs, r -> slice(_words, cast(r.first + 1 AS int), cast(r.words AS int)))), ' ')")
         mixed = self.placed.join(runs, ["_i", "_lane", "_row"])
-        whole = mixed.where("_kept = size")
-        part = mixed.where("_kept < size").withColumn("_words", words).withColumn("text", kept).drop("_words")
-        out = whole.unionByName(part)
-        if "n_chars" in columns:
-            out = out.withColumn("n_chars", F.length("text").cast("long"))
-        return out.select(*columns)
+        whole = mixed.where("_kept = size").select("_doc", F.col("_doc.text").alias("_text"))
+        part = mixed.where("_kept < size").withColumn("_words", words).select("_doc", kept.alias("_text"))
+        made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+        return whole.unionByName(part).select(*[made.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in self.docs.columns])
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, block: int = 64,
@@ -145,7 +144,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: in
     sized = saved(docs.select("doc_id", "source", size.alias("size")))
     plan = saved(source_plan(sized, weights, cap, block))
     n = lanes(docs.count())
-    rows = (docs.withColumn("size", size) if keep_text else sized).withColumn("_lane", F.expr(LANE.format(n=n)))
+    rows = docs.select("doc_id", "source", size.alias("size"), F.struct("*").alias("_doc")) if keep_text else sized
+    rows = rows.withColumn("_lane", F.expr(LANE.format(n=n)))
     keyed = rows.withColumn("_k", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     plan_k = plan.withColumn("_k", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
     starts = keyed.groupBy("_k", "_lane").agg(F.sum("size").alias("_s")).join(plan_k, "_k").select(

@@ -16,6 +16,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -53,7 +59,7 @@ def op10_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_source_mix, op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards,
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op5_source_mix, op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards,
                                 op10_shingle_components)}
 
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import saved
 from .textbytes import slices
@@ -340,22 +341,51 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75, fragments: i
     return components(links.unionByName(more))
 
 
+def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The class of each document, and the component and least doc_id of each class."""
+    classes = saved(shingle_classes(docs, n))
+    named = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")).join(
+        similar_classes(docs, n, percent), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return classes, named
+
+
 def near_duplicate_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document.
 
     Documents are linked when the Jaccard similarity of their sets of n-word shingles (words lower-cased A-Z; a
     shorter text is one shingle) is at least ``percent`` per cent; ``component_id`` is the least doc_id that links
     lead to. Texts without words, and null texts, have no shingles and stand alone. Rows with a null id keep it; they
-    take part in links but never name a component unless all of it is null. Repeated rows share a component. An
-    empty table gives no rows; other columns are dropped.
+    take part in links but name no component unless all of it is null. Repeated rows share a component. An empty
+    table gives no rows; other columns are dropped.
     """
-    docs = docs.select("doc_id", "text")
-    classes = saved(shingle_classes(docs, n))
-    found = similar_classes(docs, n, percent)
-    named = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")).join(
-        found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    classes, named = _grouped(docs.select("doc_id", "text"), n, percent)
     best = named.groupBy("component").agg(F.min("least").alias("component_id"))
     names = named.join(best, "component").select("class", "component_id")
-    with_set = classes.where("class IS NOT NULL").join(names, "class")
-    return with_set.select("doc_id", "n_shingles", "component_id").unionByName(
+    return classes.where("class IS NOT NULL").join(names, "class").select("doc_id", "n_shingles", "component_id").unionByName(
         classes.where("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all columns, less all but one of each near-duplicate component.
+
+    The row with the least doc_id stays (a null id only where there is no other). Texts without words all stay.
+    """
+    classes, named = _grouped(docs.select("doc_id", "text"), n, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("kept")
+    kept = classes.where("class IS NOT NULL").join(named.select("class", "component"), "class").groupBy("component").agg(
+        first).select(F.col("kept.doc_id").alias("_id"), F.col("kept.class").alias("_of"))
+    names = docs.columns
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch, "text"):
+                owners, hashes = shingle_sets(data, offsets, n)
+                at = _bounds(owners, rows.num_rows)
+                digests = [_digest(hashes[a:b]) if b > a else None for a, b in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(digests, pa.binary())], [*names, "_class"])
+
+    rows = docs.mapInArrow(classed, T.StructType([*docs.schema.fields, T.StructField("_class", T.BinaryType())]))
+    same = F.expr("_class = _of AND doc_id <=> _id")
+    copies = Window.partitionBy("_class", "doc_id").orderBy("text")
+    one = rows.where("_class IS NOT NULL").join(kept, same).withColumn("_copy", F.row_number().over(copies)).where("_copy = 1")
+    return one.select(*names).unionByName(rows.where("_class IS NULL").select(*names))
