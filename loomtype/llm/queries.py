@@ -22,6 +22,25 @@ def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import BEGIN, END, mark_test_rows, prefix_trees, read_back
+
+    rows = mark_test_rows(table(spark, sf_dir, "conversations"), -1, f"{END}{BEGIN}assistant ok")
+    return read_back(prefix_trees(rows, tokenizer_path()), tokenizer_path())
+
+
+def op3_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrappers import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op4_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -59,8 +78,9 @@ def op10_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op5_source_mix, op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards,
-                                op10_shingle_components)}
+QUERIES = {f.__name__: f for f in (
+    op1_attention_quality, op2_prefix_tree_chat, op3_wrapper_text, op4_hnsw_neighbours, op5_source_mix,
+    op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards, op10_shingle_components)}
 
 
 def queries() -> dict:
