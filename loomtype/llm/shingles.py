@@ -8,7 +8,6 @@ are summed.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,8 +72,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return owners[new], hashes[new]
 
 
-def _digest(part: np.ndarray) -> bytes:
-    return hashlib.blake2b(part.tobytes(), digest_size=16).digest()
+def _classes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each set: the sum of its members' hashes, hashed again with its size."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+    return mixed((total[at[1:]] - total[at[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
 def _bounds(owners: np.ndarray, n_rows: int) -> np.ndarray:
@@ -85,11 +86,14 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), [f.split()[0] for f in schema.split(", ")])
 
 
-CLASSES = "doc_id long, n_shingles long, class binary"
+CLASSES = "doc_id long, n_shingles long, class long"
 
 
 def shingle_classes(docs: DataFrame, n: int) -> DataFrame:
-    """Per document: the size and a 128-bit digest of its shingle set; equal sets form a class (null: no shingles)."""
+    """Per document: the size and a 64-bit digest of its shingle set; equal sets form a class (null: no shingles).
+
+    Two different sets of one size share a digest with a chance of 2^-64.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +101,7 @@ def shingle_classes(docs: DataFrame, n: int) -> DataFrame:
                 owners, hashes = shingle_sets(data, offsets, n)
                 at = _bounds(owners, rows.num_rows)
                 yield _batch(CLASSES, rows.column("doc_id"), pa.array(np.diff(at), pa.int64()),
-                             pa.array([_digest(hashes[a:b]) if b > a else None for a, b in zip(at, at[1:])], pa.binary()))
+                             pa.array(_classes(hashes, at), mask=np.diff(at) == 0))
 
     return docs.select("doc_id", "text").mapInArrow(run, CLASSES)
 
@@ -109,58 +113,65 @@ FREQUENT = "key long, n long"
 def frequent_shingles(docs: DataFrame, n: int, least: int, most: int, fragments: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles in at least ``least`` documents with their counts, over all documents.
 
-    Counting is partitioned: a task sends its shingles to ``fragments`` ranges of the hash as blocks of 32-bit
-    remainders. They only set the order of the shingles, so keys of fewer bits change no result; nor does keeping the
-    ``most`` commonest, which bounds what is sent to every task.
+    Counting is partitioned: a task sends its shingles to ``fragments`` ranges of the hash as blocks of 24-bit
+    remainders (a count for each first byte, then the other two bytes). They only set the order of the shingles, so
+    keys of fewer bits change no result; nor does keeping the ``most`` commonest, which bounds what each task gets.
     """
     bits = fragments.bit_length() - 1
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in slices(batch, "text"):
-                hashes = np.sort(shingle_sets(data, offsets, n)[1])
-                keys = (hashes >> np.uint64(32 - bits)).astype(np.uint32)
-                at = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(fragments + 1).astype(np.uint64)) if bits else [0, len(keys)]
-                parts = [(i, keys[a:b].tobytes()) for i, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+                keys = np.sort(shingle_sets(data, offsets, n)[1] >> np.uint64(40 - bits))
+                at = np.searchsorted(keys, np.arange(fragments + 1).astype(np.uint64) << np.uint64(24))
+                low, high = keys.astype("<u2"), (keys >> np.uint64(16)).astype(np.uint8)
+                parts = [(i, np.bincount(high[a:b], minlength=256).astype("<u4").tobytes() + low[a:b].tobytes())
+                         for i, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
                 yield _batch(COUNTS, pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary()))
 
     def gather(key, table):
-        keys = np.sort(np.concatenate([np.frombuffer(p, np.uint32) for p in table.column("keys").to_pylist()]))
+        blocks = []
+        for block in table.column("keys").to_pylist():
+            high = np.repeat(np.arange(256, dtype=np.uint32), np.frombuffer(block, "<u4", 256))
+            blocks.append(high << np.uint32(16) | np.frombuffer(block, "<u2", offset=1024))
+        keys = np.sort(np.concatenate(blocks))
         edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         counts = np.diff(np.append(edges, len(keys)))
         keep = counts >= least
-        full = keys[edges[keep]].astype(np.int64) | (key[0].as_py() << 32)
-        return pa.table({"key": pa.array(full, pa.int64()), "n": pa.array(counts[keep], pa.int64())})
+        full = keys[edges[keep]].astype(np.int64) | (key[0].as_py() << 24)
+        return pa.table({"key": pa.array(full), "n": pa.array(counts[keep])})
 
     common = saved(docs.select("text").mapInArrow(scatter, COUNTS).groupBy("fragment").applyInArrow(gather, FREQUENT))
-    level = common.groupBy(F.floor(F.log2("n") * 4).alias("level")).count().orderBy(F.desc("level")).collect()
+    level = F.floor(F.log2("n") * 4)
     kept, lowest = 0, None
-    for row in level:
+    for row in common.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         if kept + row["count"] > most:
             break
         kept, lowest = kept + row["count"], row["level"]
     if lowest is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = common.where(F.floor(F.log2("n") * 4) >= lowest).toPandas()
-    got = got.sort_values("key")
-    return got["key"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    got = common.where(level >= lowest).toPandas().sort_values("key")
+    return got["key"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int32)
 
 
-PREFIX = "sig long, class binary, n long, place int"
+PREFIX = "sig long, class long, at long"
 
 
 def prefix_rows(docs: DataFrame, n: int, percent: int, order, bits: int) -> DataFrame:
-    """A row for each shingle in a document's prefix, which holds size - ceil(percent% of size) + 1 shingles."""
+    """A row for each shingle in a document's prefix, which holds size - ceil(percent% of size) + 1 shingles.
+
+    ``at`` packs the shingle's place and the set's size: place * 2^32 + size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = order.value
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 owners, hashes = shingle_sets(data, offsets, n)
                 at = _bounds(owners, rows.num_rows)
-                digests = [_digest(hashes[a:b]) if b > a else b"" for a, b in zip(at, at[1:])]
-                fresh = np.array([d not in seen and not seen.add(d) for d in digests], bool) & (np.diff(at) > 0)
+                classes = _classes(hashes, at)
+                fresh = np.array([c not in seen and not seen.add(c) for c in classes.tolist()], bool)
                 if len(seen) > 200_000:
                     seen.clear()
                 keep = fresh[owners] if len(owners) else np.zeros(0, bool)
@@ -168,7 +179,7 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, order, bits: int) -> Data
                 size = np.bincount(owners, minlength=rows.num_rows)
                 common = np.zeros(len(hashes), np.int64)
                 if len(keys):
-                    short = hashes >> np.uint64(32 - bits)
+                    short = hashes >> np.uint64(40 - bits)
                     where = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
                     hit = keys[where] == short
                     common[hit] = counts[where[hit]]
@@ -178,14 +189,13 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, order, bits: int) -> Data
                 place = np.arange(len(owners)) - begin[owners]
                 keep = place < (size - -(-size * percent // 100) + 1)[owners]
                 owners = owners[keep]
-                yield _batch(PREFIX, pa.array(hashes[keep].view(np.int64), pa.int64()),
-                             pa.array(digests, pa.binary()).take(pa.array(owners)), pa.array(size[owners], pa.int64()),
-                             pa.array(place[keep], pa.int32()))
+                yield _batch(PREFIX, pa.array(hashes[keep].view(np.int64)), pa.array(classes[owners]),
+                             pa.array(place[keep] << 32 | size[owners]))
 
     return docs.select("text").mapInArrow(run, PREFIX)
 
 
-SEGMENTS = "class binary, fragment int, segment array<long>"
+SEGMENTS = "class long, fragment int, segment array<long>"
 
 
 def segments(docs: DataFrame, n: int, wanted, fragments: int) -> DataFrame:
@@ -194,40 +204,46 @@ def segments(docs: DataFrame, n: int, wanted, fragments: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 owners, hashes = shingle_sets(data, offsets, n)
                 at = _bounds(owners, rows.num_rows)
+                every = _classes(hashes, at)
+                hit = np.flatnonzero(_in_table(table, every) & (np.diff(at) > 0))
                 classes, parts, out = [], [], []
-                for a, b in zip(at, at[1:]):
-                    digest = _digest(hashes[a:b]) if b > a else None
-                    if digest is None or digest in seen or not _in_table(table, digest):
+                for i in hit.tolist():
+                    digest = int(every[i])
+                    if digest in seen:
                         continue
                     seen.add(digest)
-                    own = hashes[a:b]
-                    cut = np.searchsorted(own >> np.uint64(64 - bits), np.arange(fragments + 1).astype(np.uint64)) if bits else np.array([0, b - a])
-                    for i, (c, d) in enumerate(zip(cut, cut[1:])):
+                    own = hashes[at[i] : at[i + 1]]
+                    cut = np.searchsorted(own >> np.uint64(64 - bits), np.arange(fragments + 1).astype(np.uint64))
+                    for part, (c, d) in enumerate(zip(cut, cut[1:])):
                         if d > c:
                             classes.append(digest)
-                            parts.append(i)
+                            parts.append(part)
                             out.append(own[c:d])
                 if len(seen) > 200_000:
                     seen.clear()
                 ends = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
                 flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-                yield _batch(SEGMENTS, pa.array(classes, pa.binary()), pa.array(parts, pa.int32()),
+                yield _batch(SEGMENTS, pa.array(classes, pa.int64()), pa.array(parts, pa.int32()),
                              pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
 
     return docs.select("text").mapInArrow(run, SEGMENTS)
 
 
-def _in_table(table: np.ndarray, digest: bytes) -> bool:
-    i = int.from_bytes(digest[:8], "little") % (len(table) * 8)
-    return bool(table[i >> 3] >> (i & 7) & 1)
+BLOOM_BYTES = 1 << 22
 
 
-BLOOM_BYTES = 1 << 22
+def _bits(classes: np.ndarray) -> np.ndarray:
+    return (classes.view(np.uint64) % np.uint64(BLOOM_BYTES * 8)).astype(np.int64)
+
+
+def _in_table(table: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    at = _bits(classes)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def bit_table(spark: SparkSession, classes: DataFrame):
@@ -237,10 +253,9 @@ def bit_table(spark: SparkSession, classes: DataFrame):
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: set[int] = set()
+        pos = np.zeros(0, np.int64)
         for batch in batches:
-            bits.update(int.from_bytes(d[:8], "little") % (BLOOM_BYTES * 8) for d in batch.column(0).to_pylist())
-        pos = np.array(sorted(bits), np.int64)
+            pos = np.union1d(pos, _bits(batch.column(0).to_numpy()))
         yield pa.RecordBatch.from_arrays([pa.array(pos >> 3, pa.int32()), pa.array(pos & 7, pa.int32())], ["byte", "bit"])
 
     marks = classes.select("class").mapInArrow(mark, "byte int, bit int").groupBy("byte").agg(
@@ -300,14 +315,16 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75, fragments: i
     keys, counts = frequent_shingles(docs, n, frequent, most_frequent, count_fragments)
     order = spark.sparkContext.broadcast((keys, counts))
 
-    bucket = Window.partitionBy("sig").orderBy("place", "n", "class")
-    me = F.struct("class", "n", "place")
+    bucket = Window.partitionBy("sig").orderBy("at", "class")
     rows = prefix_rows(docs, n, percent, order, count_fragments.bit_length() - 1)
-    rows = rows.withColumn("leader", F.first(me).over(bucket)).withColumn("_prev", F.lag("class").over(bucket)).withColumn(
-        "_next", F.lead("class").over(bucket))
+    rows = rows.withColumn("lead", F.first("class").over(bucket)).withColumn("lead_at", F.first("at").over(bucket)).withColumn(
+        "_prev", F.lag("class").over(bucket)).withColumn("_next", F.lead("class").over(bucket))
     copy = F.col("_prev").isNotNull() & (F.col("_prev") == F.col("class"))
     alone = F.col("_prev").isNull() & F.col("_next").isNull()
-    members = saved(rows.where(~copy & ~alone).select("sig", "class", "n", "place", "leader"))
+    packed = saved(rows.where(~copy & ~alone).select("sig", "class", "at", "lead", "lead_at"))
+    size, place = "{0} & 4294967295", "{0} >> 32"
+    members = packed.select("sig", "class", F.expr(size.format("at")).alias("n"), F.expr(place.format("at")).alias("place"), "lead",
+                            F.expr(size.format("lead_at")).alias("lead_n"), F.expr(place.format("lead_at")).alias("lead_place"))
 
     def possible(na: str, pa_: str, nb: str, pb: str) -> str:
         most = f"least({na} - {pa_}, {nb} - {pb})"
@@ -318,8 +335,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75, fragments: i
         return df.select(F.when(first, F.col(a)).otherwise(F.col(b)).alias("a"), F.when(first, F.col(na)).otherwise(F.col(nb)).alias("na"),
                          F.when(first, F.col(b)).otherwise(F.col(a)).alias("b"), F.when(first, F.col(nb)).otherwise(F.col(na)).alias("nb")).distinct()
 
-    led = members.where("class <> leader.class").where(possible("n", "place", "leader.n", "leader.place")).select(
-        "class", "n", F.col("leader.class").alias("lead"), F.col("leader.n").alias("lead_n"))
+    led = members.where("class <> lead").where(possible("n", "place", "lead_n", "lead_place"))
     tried = saved(pairs(led, "class", "n", "lead", "lead_n"))
     links = saved(verified(docs, tried, n, percent, fragments))
     joined = saved(components(links))
@@ -381,10 +397,10 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
             for rows, data, offsets in slices(batch, "text"):
                 owners, hashes = shingle_sets(data, offsets, n)
                 at = _bounds(owners, rows.num_rows)
-                digests = [_digest(hashes[a:b]) if b > a else None for a, b in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(digests, pa.binary())], [*names, "_class"])
+                own = pa.array(_classes(hashes, at), mask=np.diff(at) == 0)
+                yield pa.RecordBatch.from_arrays([*rows.columns, own], [*names, "_class"])
 
-    rows = docs.mapInArrow(classed, T.StructType([*docs.schema.fields, T.StructField("_class", T.BinaryType())]))
+    rows = docs.mapInArrow(classed, T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
     same = F.expr("_class = _of AND doc_id <=> _id")
     copies = Window.partitionBy("_class", "doc_id").orderBy("text")
     one = rows.where("_class IS NOT NULL").join(kept, same).withColumn("_copy", F.row_number().over(copies)).where("_copy = 1")
