@@ -198,8 +198,11 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, order, bits: int) -> Data
 SEGMENTS = "class long, fragment int, segment array<long>"
 
 
-def segments(docs: DataFrame, n: int, wanted, fragments: int) -> DataFrame:
-    """The shingles of each class in each fragment of the order, for classes that the bit table ``wanted`` may hold."""
+def segments(docs: DataFrame, n: int, wanted, fragments: int, only: int | None = None) -> DataFrame:
+    """The shingles of each class in each fragment of the order, for classes that the bit table ``wanted`` may hold.
+
+    With ``only`` a single fragment, its shingles as 32-bit remainders.
+    """
     bits = fragments.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +223,7 @@ def segments(docs: DataFrame, n: int, wanted, fragments: int) -> DataFrame:
                     own = hashes[at[i] : at[i + 1]]
                     cut = np.searchsorted(own >> np.uint64(64 - bits), np.arange(fragments + 1).astype(np.uint64))
                     for part, (c, d) in enumerate(zip(cut, cut[1:])):
-                        if d > c:
+                        if d > c and only in (None, part):
                             classes.append(digest)
                             parts.append(part)
                             out.append(own[c:d])
@@ -228,10 +231,12 @@ def segments(docs: DataFrame, n: int, wanted, fragments: int) -> DataFrame:
                     seen.clear()
                 ends = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
                 flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+                flat = flat if only is None else flat.astype(np.int32)
                 yield _batch(SEGMENTS, pa.array(classes, pa.int64()), pa.array(parts, pa.int32()),
                              pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
 
-    return docs.select("text").mapInArrow(run, SEGMENTS)
+    rows = docs.select("text").mapInArrow(run, SEGMENTS if only is None else SEGMENTS.replace("array<long>", "array<int>"))
+    return rows.groupBy("class", "fragment").agg(F.first("segment").alias("segment"))
 
 
 BLOOM_BYTES = 1 << 22
@@ -265,11 +270,29 @@ def bit_table(spark: SparkSession, classes: DataFrame):
     return spark.sparkContext.broadcast(table)
 
 
+def plausible(docs: DataFrame, pairs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
+    """The ``pairs`` that the first fragment alone does not rule out.
+
+    Sets of sizes na, nb reach the threshold only if at most (100 - percent) / (100 + percent) of na + nb shingles are
+    in one of them alone; for most false candidates one fragment already holds more.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    held = saved(segments(docs, n, bit_table(docs.sparkSession, ends), fragments, only=0))
+    none = F.array().cast("array<int>")
+    left = pairs.join(held.select(F.col("class").alias("a"), F.col("segment").alias("sa")), "a", "left")
+    both = left.join(held.select(F.col("class").alias("b"), F.col("segment").alias("sb")), "b", "left")
+    sa, sb = F.coalesce("sa", none), F.coalesce("sb", none)
+    apart = F.size(sa) + F.size(sb) - 2 * F.size(F.array_intersect(F.array_distinct(sa), sb))
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
-    """The ``pairs`` (a, na, b, nb) of classes whose Jaccard similarity reaches ``percent``, counted by fragments."""
+    """The ``pairs`` (a, na, b, nb) of classes whose Jaccard similarity reaches ``percent``.
+
+    The overlap of each pair is counted in every fragment of the order by itself, and the counts are summed.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    held = segments(docs, n, bit_table(docs.sparkSession, ends), fragments).groupBy("class", "fragment").agg(
-        F.first("segment").alias("segment"))
+    held = saved(segments(docs, n, bit_table(docs.sparkSession, ends), fragments))
     left = pairs.join(held.select(F.col("class").alias("a"), "fragment", F.col("segment").alias("sa")), "a")
     both = left.join(held.select(F.col("class").alias("b"), "fragment", F.col("segment").alias("sb")), ["b", "fragment"])
     partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("shared"))
@@ -337,7 +360,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75, fragments: i
 
     led = members.where("class <> lead").where(possible("n", "place", "lead_n", "lead_place"))
     tried = saved(pairs(led, "class", "n", "lead", "lead_n"))
-    links = saved(verified(docs, tried, n, percent, fragments))
+    links = saved(verified(docs, saved(plausible(docs, tried, n, percent, fragments)), n, percent, fragments))
     joined = saved(components(links))
 
     labelled = members.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")).select(
