@@ -281,8 +281,8 @@ def plausible(docs: DataFrame, pairs: DataFrame, n: int, percent: int, fragments
     none = F.array().cast("array<int>")
     left = pairs.join(held.select(F.col("class").alias("a"), F.col("segment").alias("sa")), "a", "left")
     both = left.join(held.select(F.col("class").alias("b"), F.col("segment").alias("sb")), "b", "left")
-    sa, sb = F.coalesce("sa", none), F.coalesce("sb", none)
-    apart = F.size(sa) + F.size(sb) - 2 * F.size(F.array_intersect(F.array_distinct(sa), sb))
+    sa, sb = F.array_distinct(F.coalesce("sa", none)), F.array_distinct(F.coalesce("sb", none))
+    apart = F.size(sa) + F.size(sb) - 2 * F.size(F.array_intersect(sa, sb))
     return both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb")
 
 
