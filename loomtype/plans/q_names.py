@@ -146,21 +146,26 @@ def sequences(spark, sf):
     return derive(spark, sf, text(SEQUENCES.replace(", 'g')", ")"), "documents"), "documents")
 
 
-_SHORT = f"WITH s AS (SELECT doc_id, left(seq, 100) AS seq, substr(seq, 101, 100) AS other FROM ({SEQUENCES}) x WHERE length(seq) >= 200)"
+#: All stretches of 200 letters, as two reads each.
+_SHORT = f"""WITH s AS (SELECT doc_id, k, substr(seq, CAST(200 * k + 1 AS INT), 100) AS seq, substr(seq, CAST(200 * k + 101 AS INT), 100) AS other
+  FROM (SELECT doc_id, seq, unnest(range(length(seq) // 200)) AS k FROM ({SEQUENCES}) x) y)"""
 
 
 def _short(spark, sf):
-    return sequences(spark, sf).where("length(seq) >= 200").select("doc_id", F.left("seq", F.lit(100)).alias("seq"), F.substring("seq", 101, 100).alias("other"))
+    n = F.floor(F.length("seq") / 200)
+    cut = sequences(spark, sf).where("length(seq) >= 200").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    at = lambda add: F.substring(F.col("seq"), (F.col("k") * 200 + add).cast("int"), F.lit(100))
+    return cut.select("doc_id", "k", at(1).alias("seq"), at(101).alias("other"))
 
 
-@query("sc14_complement", f"{_SHORT} SELECT doc_id, translate(seq, 'ACGT', 'TGCA') AS comp FROM s")
+@query("sc14_complement", f"{_SHORT} SELECT doc_id, k, translate(seq, 'ACGT', 'TGCA') AS comp FROM s")
 def sc14(spark, sf):
-    return _short(spark, sf).select("doc_id", V.complement(F.col("seq")).alias("comp"))
+    return _short(spark, sf).select("doc_id", "k", V.complement(F.col("seq")).alias("comp"))
 
 
-@query("sc15_reverse_complement", f"{_SHORT} SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM s")
+@query("sc15_reverse_complement", f"{_SHORT} SELECT doc_id, k, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM s")
 def sc15(spark, sf):
-    return _short(spark, sf).select("doc_id", V.reverse_complement(F.col("seq")).alias("rc"))
+    return _short(spark, sf).select("doc_id", "k", V.reverse_complement(F.col("seq")).alias("rc"))
 
 
 _QUALITY = "(33 + ((doc_id * 31 + i * 17) % 41))"
@@ -172,59 +177,59 @@ def _with_quality(spark, sf):
 
 
 @query("sc16_phred_prob", f"""{_SHORT}
-SELECT doc_id, round(sum(pow(10.0, -({_QUALITY} - 33) / 10.0)), 6) AS expected_errors FROM s, range(100) r(i) GROUP BY doc_id""")
+SELECT doc_id, k, round(sum(pow(10.0, -({_QUALITY} - 33) / 10.0)), 6) AS expected_errors FROM s, range(100) r(i) GROUP BY doc_id, k""")
 def sc16(spark, sf):
     p = F.aggregate(V.phred_prob(F.col("qual")), F.lit(0.0), lambda a, x: a + x)
-    return _with_quality(spark, sf).select("doc_id", F.round(p, 6).alias("expected_errors"))
+    return _with_quality(spark, sf).select("doc_id", "k", F.round(p, 6).alias("expected_errors"))
 
 
 @query("sc17_phred_log10", f"""{_SHORT}
-SELECT doc_id, CAST(sum({_QUALITY} - 33) AS BIGINT) AS total_q, CAST(max({_QUALITY} - 33) AS BIGINT) AS best_q FROM s, range(100) r(i) GROUP BY doc_id""")
+SELECT doc_id, k, CAST(sum({_QUALITY} - 33) AS BIGINT) AS total_q, CAST(max({_QUALITY} - 33) AS BIGINT) AS best_q FROM s, range(100) r(i) GROUP BY doc_id, k""")
 def sc17(spark, sf):
     q = F.transform(V.phred_log10(F.col("qual")), lambda x: F.round(x * -10).cast("long"))
     return _with_quality(spark, sf).withColumn("q", q).select(
-        "doc_id", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_q"), F.array_max("q").alias("best_q"))
+        "doc_id", "k", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_q"), F.array_max("q").alias("best_q"))
 
 
 @query("sc18_phred_log_likelihood", f"""{_SHORT}
-SELECT doc_id, round(sum(CASE WHEN substr(seq, i + 1, 1) = substr(other, i + 1, 1) THEN ln(1 - pow(10.0, -(3 + i % 30) / 10.0))
-  ELSE ln(pow(10.0, -(3 + i % 30) / 10.0) / 3) END), 6) AS llhd FROM s, (SELECT CAST(range AS INT) AS i FROM range(100)) r GROUP BY doc_id""")
+SELECT doc_id, k, round(sum(CASE WHEN substr(seq, i + 1, 1) = substr(other, i + 1, 1) THEN ln(1 - pow(10.0, -(3 + i % 30) / 10.0))
+  ELSE ln(pow(10.0, -(3 + i % 30) / 10.0) / 3) END), 6) AS llhd FROM s, (SELECT CAST(range AS INT) AS i FROM range(100)) r GROUP BY doc_id, k""")
 def sc18(spark, sf):
     errors = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.pow(F.lit(10.0), -(i % 30 + 3) / 10))
-    return _short(spark, sf).select("doc_id", F.round(V.phred_log_likelihood(F.col("seq"), F.col("other"), errors), 6).alias("llhd"))
+    return _short(spark, sf).select("doc_id", "k", F.round(V.phred_log_likelihood(F.col("seq"), F.col("other"), errors), 6).alias("llhd"))
 
 
 _DIFF = "sum(CASE WHEN substr(seq, i + 1, 1) <> substr(other, i + 1, 1) THEN 1 ELSE 0 END)"
 
 
 @query("sc19_mismatch_log_likelihood", f"""{_SHORT}
-SELECT doc_id, round((100 - m) * ln(0.99) + m * ln(0.01 / 3), 6) AS llhd FROM
-  (SELECT doc_id, {_DIFF} AS m FROM s, (SELECT CAST(range AS INT) AS i FROM range(100)) r GROUP BY doc_id)""")
+SELECT doc_id, k, round((100 - m) * ln(0.99) + m * ln(0.01 / 3), 6) AS llhd FROM
+  (SELECT doc_id, k, {_DIFF} AS m FROM s, (SELECT CAST(range AS INT) AS i FROM range(100)) r GROUP BY doc_id, k)""")
 def sc19(spark, sf):
     m = F.size(V.mismatch_indices(F.col("seq"), F.col("other")))
-    return _short(spark, sf).select("doc_id", F.round(V.mismatch_log_likelihood(F.length("seq"), m), 6).alias("llhd"))
+    return _short(spark, sf).select("doc_id", "k", F.round(V.mismatch_log_likelihood(F.length("seq"), m), 6).alias("llhd"))
 
 
 @query("sc20_mismatch_indices", f"""{_SHORT}
-SELECT doc_id, CAST({_DIFF} AS BIGINT) AS mismatches, CAST(sum(CASE WHEN substr(seq, i + 1, 1) <> substr(other, i + 1, 1) THEN i ELSE 0 END) AS BIGINT) AS index_sum
-FROM s, (SELECT CAST(range AS INT) AS i FROM range(100)) r GROUP BY doc_id""")
+SELECT doc_id, k, CAST({_DIFF} AS BIGINT) AS mismatches, CAST(sum(CASE WHEN substr(seq, i + 1, 1) <> substr(other, i + 1, 1) THEN i ELSE 0 END) AS BIGINT) AS index_sum
+FROM s, (SELECT CAST(range AS INT) AS i FROM range(100)) r GROUP BY doc_id, k""")
 def sc20(spark, sf):
     at = V.mismatch_indices(F.col("seq"), F.col("other"))
-    return _short(spark, sf).withColumn("at", at).select("doc_id", F.size("at").cast("long").alias("mismatches"),
+    return _short(spark, sf).withColumn("at", at).select("doc_id", "k", F.size("at").cast("long").alias("mismatches"),
                                                          F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x).alias("index_sum"))
 
 
-@query("sc21_levenshtein", f"{_SHORT} SELECT doc_id, CAST(levenshtein(left(seq, 40), left(other, 40)) AS INT) AS edits FROM s")
+@query("sc21_levenshtein", f"{_SHORT} SELECT doc_id, k, CAST(levenshtein(seq, other) AS INT) AS edits FROM s")
 def sc21(spark, sf):
-    return _short(spark, sf).select("doc_id", F.levenshtein(F.left("seq", F.lit(40)), F.left("other", F.lit(40))).alias("edits"))
+    return _short(spark, sf).select("doc_id", "k", F.levenshtein("seq", "other").alias("edits"))
 
 
 @query("sc22_valid_letter", """
-WITH c AS (SELECT doc_id, upper(substr(text, 1, 1)) AS ch FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, regexp_full_match(ch, '[ACGTN]') AS dna, regexp_full_match(ch, '[ACDEFGHIKLMNPQRSTVWY]') AS protein FROM c""")
+WITH c AS (SELECT l_orderkey, l_linenumber, l_returnflag AS ch FROM lineitem)
+SELECT l_orderkey, l_linenumber, regexp_full_match(ch, '[ACGTN]') AS dna, regexp_full_match(ch, '[ACDEFGHIKLMNPQRSTVWY]') AS protein FROM c""")
 def sc22(spark, sf):
-    c = derive(spark, sf, "SELECT doc_id, upper(substr(text, 1, 1)) AS ch FROM {documents} WHERE text IS NOT NULL", "documents")
-    return c.select("doc_id", V.valid_letter(F.col("ch"), "cdna").alias("dna"), V.valid_letter(F.col("ch"), "protein").alias("protein"))
+    c = derive(spark, sf, "SELECT l_orderkey, l_linenumber, l_returnflag AS ch FROM {lineitem}", "lineitem")
+    return c.select("l_orderkey", "l_linenumber", V.valid_letter(F.col("ch"), "cdna").alias("dna"), V.valid_letter(F.col("ch"), "protein").alias("protein"))
 
 
 _LOGS = "SELECT l_orderkey, l_linenumber, -(l_quantity / 10) AS a, -(l_discount * 10 + 0.05) AS b FROM lineitem"
@@ -281,10 +286,10 @@ def sc28(spark, sf):
 
 
 @query("sc29_short_seq", f"""
-WITH s AS (SELECT doc_id, left(seq, CAST(doc_id % 20 AS INT)) AS seq FROM ({SEQUENCES}) x)
+WITH s AS (SELECT doc_id, seq FROM ({SEQUENCES}) x)
 SELECT doc_id, CASE WHEN length(seq) > 10 THEN concat(left(seq, 4), '...', right(seq, 3)) ELSE seq END AS shown FROM s""")
 def sc29(spark, sf):
-    return sequences(spark, sf).select("doc_id", V.short_seq(F.left("seq", (F.col("doc_id") % 20).cast("int"))).alias("shown"))
+    return sequences(spark, sf).select("doc_id", V.short_seq(F.col("seq")).alias("shown"))
 
 
 @query("sc30_safe_file_name", f"WITH n AS ({NAMES}) SELECT allele_id, replace(replace(raw, '*', 's'), ':', 'c') AS file_name FROM n")
