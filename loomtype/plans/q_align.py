@@ -19,16 +19,17 @@ def streams(spark, sf, table="documents"):
     """Alignment streams: gaps, unknown beginnings and the reference's letters as a file would have them."""
     x = derive(spark, sf, f"SELECT {_ROWS[table]}, {_LETTERS.format(g='')} AS seq FROM {{{table}}} WHERE text IS NOT NULL", table).where("seq <> ''")
     first = x.groupBy("locus").agg(F.min("id").alias("ref"), F.min_by("seq", "id").alias("ref_seq"))
-    both = x.join(first, "locus").withColumn("_r", letters(F.col("ref_seq"))).withColumn("_l", letters(F.col("seq"))).withColumn("_n", F.length("seq"))
+    both = x.join(first, "locus").withColumn("_n", F.length("seq"))
 
-    def cell(c, i0):
+    def cell(x, i0):
         i = i0 + 1
-        own = F.when(F.col("id") == F.col("ref"), c).when(i <= F.col("id") % 7, "*").when((F.col("id") + i) % 29 == 0, ".").when(
-            c == F.get(F.col("_r"), i0), "-").otherwise(c)
-        return F.concat(own, F.when((i % 50 == 0) & (i < F.col("_n")), "|").otherwise(""))
+        own = F.when(F.col("id") == F.col("ref"), x["c"]).when(i <= F.col("id") % 7, "*").when((F.col("id") + i) % 29 == 0, ".").when(
+            x["c"] == x["r"], "-").otherwise(x["c"])
+        return F.when(x["c"].isNull(), "").otherwise(F.concat(own, F.when((i % 50 == 0) & (i < F.col("_n")), "|").otherwise("")))
 
+    cells = F.arrays_zip(letters(F.col("seq")).alias("c"), letters(F.col("ref_seq")).alias("r"))
     return both.select("locus", F.lit("nuc").alias("source"), F.concat(F.lit("D"), F.col("id").cast("string")).alias("allele"),
-                       (F.col("id") == F.col("ref")).alias("is_ref"), F.lit(1).alias("start_pos"), F.array_join(F.transform("_l", cell), "").alias("stream"))
+                       (F.col("id") == F.col("ref")).alias("is_ref"), F.lit(1).alias("start_pos"), F.array_join(F.transform(cells, cell), "").alias("stream"))
 
 
 def cells_sql(table="documents"):

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-for _module in ("q_names", "q_pairs", "q_align"):
+for _module in ("q_names", "q_pairs", "q_align", "q_evaluate", "q_score"):
     import_module(f"{__package__}.{_module}")
 
 
