@@ -86,22 +86,35 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), [f.split()[0] for f in schema.split(", ")])
 
 
-CLASSES = "doc_id long, n_shingles long, class long"
+CLASSES = "doc_id long, n_shingles long, class long, first_part binary"
 
 
 def shingle_classes(docs: DataFrame, n: int) -> DataFrame:
     """Per document: the size and a 64-bit digest of its shingle set; equal sets form a class (null: no shingles).
 
-    Two different sets of one size share a digest with a chance of 2^-64.
+    Two different sets of one size share a digest with a chance of 2^-64. ``first_part`` has the shingles in the
+    first quarter of the order, as 32-bit remainders; it is null where the task has seen the class before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 owners, hashes = shingle_sets(data, offsets, n)
                 at = _bounds(owners, rows.num_rows)
+                classes = _classes(hashes, at)
+                parts = []
+                for c, x, y in zip(classes.tolist(), at, at[1:]):
+                    if c in seen or x == y:
+                        parts.append(None)
+                        continue
+                    seen.add(c)
+                    own = hashes[x:y]
+                    parts.append(np.unique(own[: np.searchsorted(own, np.uint64(1 << 62))].astype(np.uint32)).tobytes())
+                if len(seen) > 200_000:
+                    seen.clear()
                 yield _batch(CLASSES, rows.column("doc_id"), pa.array(np.diff(at), pa.int64()),
-                             pa.array(_classes(hashes, at), mask=np.diff(at) == 0))
+                             pa.array(classes, mask=np.diff(at) == 0), pa.array(parts, pa.binary()))
 
     return docs.select("doc_id", "text").mapInArrow(run, CLASSES)
 
@@ -198,11 +211,8 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, order, bits: int) -> Data
 SEGMENTS = "class long, fragment int, segment array<long>"
 
 
-def segments(docs: DataFrame, n: int, wanted, fragments: int, only: int | None = None) -> DataFrame:
-    """The shingles of each class in each fragment of the order, for classes that the bit table ``wanted`` may hold.
-
-    With ``only`` a single fragment, its shingles as 32-bit remainders.
-    """
+def segments(docs: DataFrame, n: int, wanted, fragments: int) -> DataFrame:
+    """The shingles of each class in each fragment of the order, for classes that the bit table ``wanted`` may hold."""
     bits = fragments.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +233,7 @@ def segments(docs: DataFrame, n: int, wanted, fragments: int, only: int | None =
                     own = hashes[at[i] : at[i + 1]]
                     cut = np.searchsorted(own >> np.uint64(64 - bits), np.arange(fragments + 1).astype(np.uint64))
                     for part, (c, d) in enumerate(zip(cut, cut[1:])):
-                        if d > c and only in (None, part):
+                        if d > c:
                             classes.append(digest)
                             parts.append(part)
                             out.append(own[c:d])
@@ -231,12 +241,10 @@ def segments(docs: DataFrame, n: int, wanted, fragments: int, only: int | None =
                     seen.clear()
                 ends = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
                 flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-                flat = flat if only is None else flat.astype(np.int32)
                 yield _batch(SEGMENTS, pa.array(classes, pa.int64()), pa.array(parts, pa.int32()),
                              pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
 
-    rows = docs.select("text").mapInArrow(run, SEGMENTS if only is None else SEGMENTS.replace("array<long>", "array<int>"))
-    return rows.groupBy("class", "fragment").agg(F.first("segment").alias("segment"))
+    return docs.select("text").mapInArrow(run, SEGMENTS).groupBy("class", "fragment").agg(F.first("segment").alias("segment"))
 
 
 BLOOM_BYTES = 1 << 22
@@ -270,19 +278,28 @@ def bit_table(spark: SparkSession, classes: DataFrame):
     return spark.sparkContext.broadcast(table)
 
 
-def plausible(docs: DataFrame, pairs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
-    """The ``pairs`` that the first fragment alone does not rule out.
+def plausible(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` that the first quarter of the order alone does not rule out.
 
     Sets of sizes na, nb reach the threshold only if at most (100 - percent) / (100 + percent) of na + nb shingles are
-    in one of them alone; for most false candidates one fragment already holds more.
+    in one of them alone; for most false candidates the first quarter already holds more.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    held = saved(segments(docs, n, bit_table(docs.sparkSession, ends), fragments, only=0))
-    none = F.array().cast("array<int>")
-    left = pairs.join(held.select(F.col("class").alias("a"), F.col("segment").alias("sa")), "a", "left")
-    both = left.join(held.select(F.col("class").alias("b"), F.col("segment").alias("sb")), "b", "left")
-    sa, sb = F.array_distinct(F.coalesce("sa", none)), F.array_distinct(F.coalesce("sb", none))
-    apart = F.size(sa) + F.size(sb) - 2 * F.size(F.array_intersect(sa, sb))
+    wanted = bit_table(pairs.sparkSession, ends)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(pa.array(_in_table(wanted.value, batch.column("class").to_numpy())))
+            parts = [np.frombuffer(x, np.int32) for x in rows.column("first_part").to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([rows.column("class"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["class", "part"])
+
+    held = classes.where("first_part IS NOT NULL").select("class", "first_part").mapInArrow(keep, "class long, part array<int>")
+    held = saved(held.groupBy("class").agg(F.first("part").alias("part")))
+    left = pairs.join(held.select(F.col("class").alias("a"), F.col("part").alias("sa")), "a")
+    both = left.join(held.select(F.col("class").alias("b"), F.col("part").alias("sb")), "b")
+    apart = F.size("sa") + F.size("sb") - 2 * F.size(F.array_intersect("sa", "sb"))
     return both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb")
 
 
@@ -324,11 +341,11 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("class"), F.col("b").alias("component")).distinct())
 
 
-def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75, fragments: int = 4, frequent: int = 24,
+def similar_classes(docs: DataFrame, classes: DataFrame, n: int = 5, percent: int = 75, fragments: int = 4, frequent: int = 8,
                     most_frequent: int = 1 << 20, small: int = 4) -> DataFrame:
     """Components of the classes (equal shingle sets) of ``docs`` under links of at least ``percent`` similarity.
 
-    Classes that share a prefix shingle form its bucket. First every member is compared with the bucket's leader, the
+    ``classes`` is ``shingle_classes``' table. Classes that share a prefix shingle form its bucket. First every member is compared with the bucket's leader, the
     class in whose order the shingle stands first; then only members that are not yet in one component are compared
     with each other, where sizes and places allow the threshold at all. What the first round has joined needs no
     further comparing, so a large group of near copies costs a multiple of its size, while no link is lost.
@@ -342,6 +359,10 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75, fragments: i
     rows = prefix_rows(docs, n, percent, order, count_fragments.bit_length() - 1)
     rows = rows.withColumn("lead", F.first("class").over(bucket)).withColumn("lead_at", F.first("at").over(bucket)).withColumn(
         "_prev", F.lag("class").over(bucket)).withColumn("_next", F.lead("class").over(bucket))
+    # of two sets that reach the threshold, the smaller has its first common shingle in an even shorter part
+    early = F.expr(f"(at >> 32) * {100 + percent} <= (at & 4294967295) * {100 - percent} + {100 + percent}")
+    whole = Window.partitionBy("sig")
+    rows = rows.withColumn("_early", F.max(early).over(whole)).where("_early")
     copy = F.col("_prev").isNotNull() & (F.col("_prev") == F.col("class"))
     alone = F.col("_prev").isNull() & F.col("_next").isNull()
     packed = saved(rows.where(~copy & ~alone).select("sig", "class", "at", "lead", "lead_at"))
@@ -360,7 +381,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75, fragments: i
 
     led = members.where("class <> lead").where(possible("n", "place", "lead_n", "lead_place"))
     tried = saved(pairs(led, "class", "n", "lead", "lead_n"))
-    links = saved(verified(docs, saved(plausible(docs, tried, n, percent, fragments)), n, percent, fragments))
+    links = saved(verified(docs, saved(plausible(classes, tried, percent)), n, percent, fragments))
     joined = saved(components(links))
 
     labelled = members.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")).select(
@@ -372,6 +393,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 75, fragments: i
     rest = x.join(y, F.expr("x.sig = y.sig AND x.component <> y.component AND x.class < y.class AND " + possible("x.n", "x.place", "y.n", "y.place"))).select(
         F.col("x.class").alias("a"), F.col("x.n").alias("na"), F.col("y.class").alias("b"), F.col("y.n").alias("nb")).distinct()
     rest = saved(rest.join(tried, ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
+    rest = saved(plausible(classes, rest, percent))
     if rest.isEmpty():
         return joined
     more = saved(verified(docs, rest, n, percent, fragments))
@@ -384,7 +406,7 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     """The class of each document, and the component and least doc_id of each class."""
     classes = saved(shingle_classes(docs, n))
     named = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")).join(
-        similar_classes(docs, n, percent), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        similar_classes(docs, classes, n, percent), "class", "left").withColumn("component", F.coalesce("component", "class"))
     return classes, named
 
 
