@@ -114,6 +114,7 @@ def second_mate_scores(scores: DataFrame) -> DataFrame:
 
 def type_samples(scores: DataFrame, n_columns: int, report: int = 50, multi_locus: bool = True) -> dict[str, DataFrame]:
     """From scored reads to the posterior: orientation, mates, best gene, sums, coverage, assignment."""
+    scores = scores.persist()  # the kernel's output feeds several branches below
     usable = second_mate_scores(scores).where("filter_reason IS NULL")
     merged = usable.groupBy("read_id", "locus", "allele_id").agg(F.sum("llhd").alias("llhd"), F.min("pos").alias("pos"))
     if multi_locus:
