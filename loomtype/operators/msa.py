@@ -26,9 +26,9 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("words", F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
     ended = F.min(F.when(F.col("text").rlike(r"^\s*Please"), F.col("line_no"))).over(Window.partitionBy("file"))
     rows = rows.withColumn("_end", ended).where(F.col("_end").isNull() | (F.col("line_no") < F.col("_end")))
-    head = F.col("words")[0]
+    head = F.get("words", F.lit(0))
     position = head.isin("gDNA", "cDNA", "Prot")
-    first_position = rows.where(position).groupBy("file").agg(F.min(F.struct("line_no", F.col("words")[F.size("words") - 1].cast("int").alias("p"))).alias("f"))
+    first_position = rows.where(position).groupBy("file").agg(F.min(F.struct("line_no", F.try_element_at("words", F.lit(-1)).cast("int").alias("p"))).alias("f"))
     begun = rows.join(first_position, "file").where(F.col("line_no") > F.col("f.line_no"))
     marks = position | head.startswith("|") | (head == "AA") | (F.size("words") < 2)
     chunks = begun.where(~marks).select(*GROUP, "file", "line_no", head.alias("allele"), F.col("f.p").alias("start_pos"),
