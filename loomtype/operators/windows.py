@@ -75,3 +75,15 @@ def compress_names(names: DataFrame, by: list[str], last: str) -> DataFrame:
     shown = F.when(F.col("lo") == F.col("hi"), two("lo")).otherwise(F.concat(two("lo"), F.lit("-"), two("hi")))
     ordered = F.array_sort(F.collect_list(F.struct("lo", shown.alias("t"))))
     return spans.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), ",").alias("compressed"))
+
+
+def position_map(positions: DataFrame, by: list[str]) -> DataFrame:
+    """Dense index of each letter of an allele among its letters: ``pos`` -> ``column``."""
+    letters = positions.where("state = 'base'")
+    return letters.withColumn("column", F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1)
+
+
+def in_order_check(spans: DataFrame, by: list[str], start: str = "start", end: str = "stop") -> DataFrame:
+    """Spans that begin before the one before them has ended."""
+    before = F.lag(end).over(Window.partitionBy(*by).orderBy(start, end))
+    return spans.withColumn("_b", before).where(F.col("_b") > F.col(start)).drop("_b")

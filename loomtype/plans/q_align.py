@@ -281,3 +281,19 @@ def gr9(spark, sf):
 @query("gr10_neighbour_through_gap", f"""{_EDGE} SELECT locus, allele, CASE WHEN 29 - src <= dst - 29 THEN src ELSE dst END AS neighbour FROM n WHERE src < 29 AND dst > 29""")
 def gr10(spark, sf):
     return G.neighbour_through_gap(G.allele_graph(resolved(spark, sf, "benchmark")), 29).select("locus", "allele", "neighbour")
+
+
+@query("sc33_position_map", f"{_B} SELECT locus, allele, pos, row_number() OVER (PARTITION BY locus, allele ORDER BY pos) - 1 AS dense FROM cell WHERE state = 'base'")
+def sc33(spark, sf):
+    return W.position_map(resolved(spark, sf, "benchmark"), ["locus", "allele"]).select("locus", "allele", "pos", F.col("column").alias("dense"))
+
+
+@query("sc34_in_order_check", "SELECT l_orderkey, count(*) AS wrong FROM (SELECT l_orderkey, l_linenumber * 10 AS start, lag(l_linenumber * 10 + l_partkey % 15) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linenumber * 10 + l_partkey % 15) AS b FROM lineitem) WHERE b > start GROUP BY l_orderkey")
+def sc34(spark, sf):
+    spans = derive(spark, sf, "SELECT l_orderkey, l_linenumber * 10 AS start, l_linenumber * 10 + l_partkey % 15 AS stop FROM {lineitem}", "lineitem")
+    return W.in_order_check(spans, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count("*").alias("wrong"))
+
+
+@query("gr2_join_same_paths")
+def gr2(spark, sf):
+    return G.join_same_paths(G.allele_graph(resolved(spark, sf, "benchmark"))).select("locus", "src", "stop", "letters", F.size("alleles").alias("alleles"))

@@ -221,3 +221,20 @@ def hm10(spark, sf):
 def flagship(spark, sf):
     """The posterior over allele pairs with its members' likelihoods."""
     return _posterior(spark, sf)
+
+
+_MATE = """SELECT l_orderkey AS read_id, chr(65 + CAST(l_suppkey % 2 AS INT)) AS locus, l_suppkey AS allele_id, CAST(1 + l_linenumber % 2 AS INT) AS mate, l_partkey % 2 = 1 AS rc,
+  max(-CAST(round(l_extendedprice) AS BIGINT)) AS llhd, max(l_quantity) > 45 AS bad FROM lineitem GROUP BY 1, 2, 3, 4, 5"""
+_ONE = "row_number() OVER (PARTITION BY read_id, locus ORDER BY bad, llhd DESC, rc, allele_id) AS r"
+
+
+@query("jn18_second_mate_orientation", f"""WITH l AS ({_MATE}), b1 AS (SELECT read_id, locus, rc FROM (SELECT *, {_ONE} FROM l WHERE mate = 1) WHERE r = 1),
+o1 AS (SELECT l.* FROM l JOIN b1 ON l.read_id = b1.read_id AND l.locus = b1.locus AND l.rc = b1.rc WHERE mate = 1), f AS (SELECT DISTINCT read_id, locus, rc FROM o1 WHERE NOT bad),
+s AS (SELECT l.* FROM l LEFT JOIN f ON l.read_id = f.read_id AND l.locus = f.locus WHERE mate = 2 AND (f.rc IS NULL OR l.rc <> f.rc)),
+b2 AS (SELECT read_id, locus, rc FROM (SELECT *, {_ONE} FROM s) WHERE r = 1), o2 AS (SELECT s.* FROM s JOIN b2 ON s.read_id = b2.read_id AND s.locus = b2.locus AND s.rc = b2.rc)
+SELECT read_id, locus, allele_id, mate, rc, llhd FROM o1 UNION ALL SELECT read_id, locus, allele_id, mate, rc, llhd FROM o2""")
+def jn18(spark, sf):
+    from ..operators.score import second_mate_scores
+
+    rows = derive(spark, sf, text(_MATE, "lineitem"), "lineitem").withColumn("filter_reason", F.when(F.col("bad"), F.lit("threshold")))
+    return second_mate_scores(rows).select("read_id", "locus", "allele_id", "mate", "rc", "llhd")

@@ -67,3 +67,40 @@ def hm9(spark, sf):
 def hm8(spark, sf):
     t = score.type_samples(_scores(spark, sf), 300, multi_locus=False)
     return t["alleles"].select("locus", "allele_id", F.round("llhd", 4).alias("llhd"), "reads")
+
+
+@query("hm6_viterbi_align")
+def hm6(spark, sf):
+    return _aligned(spark, sf).select("read_id", "rc", F.round("llhd", 6).alias("llhd"), "start", "stop", "allele_text", "read_text")
+
+
+@query("hm7_viterbi_report")
+def hm7(spark, sf):
+    return score.viterbi_report(_aligned(spark, sf))
+
+
+def _aligned(spark, sf):
+    longest = alleles(spark, sf).orderBy(F.desc(F.length("seq")), "allele_id").first()
+    r = reads(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism, "read_id")
+    return score.viterbi_align(score.oriented(r), longest["allele_id"], longest["seq"], len(longest["seq"]))
+
+
+@query("ud1_fold")
+def ud1(spark, sf):
+    import pandas as pd
+
+    from ..operators.user import fold
+
+    rows = derive(spark, sf, "SELECT user_id, event_id, value FROM {events}", "events")
+    return fold(rows, ["user_id"], lambda s, r: max(0.0, s + r.value - 1.0), lambda: 0.0,
+                lambda k, s: pd.DataFrame({"user_id": [k[0]], "state": [round(float(s), 6)]}), "user_id long, state double", order="event_id")
+
+
+@query("ud5_worker", "SELECT event_type, CAST(sum(length(props)) AS BIGINT) AS letters, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY event_type")
+def ud5(spark, sf):
+    from ..operators.user import Worker
+
+    rows = derive(spark, sf, "SELECT event_type, props FROM {events} WHERE props IS NOT NULL", "events")
+    worker = Worker(lambda f: f.assign(letters=f["props"].str.len())[["event_type", "letters"]], "event_type string, letters long", ("event_type",),
+                    (F.sum("letters").alias("letters"), F.count("*").alias("n")))
+    return worker.run(rows)
