@@ -168,3 +168,31 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: in
     slots = slots.select("_i", "source", "block", F.expr(f"_at DIV {shard_slots}").alias("shard"),
                          F.expr(f"_at % {shard_slots}").alias("place"))
     return Mix(docs, plan, slots, placed, block)
+
+
+def oracle_sql(weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, block: int = 64, seed: int = 11) -> str:
+    """DuckDB SQL for ``mix_sources(documents).taken()`` with the same arithmetic."""
+    weight = "CASE (i - 1) % {} {} END".format(len(weights), " ".join(f"WHEN {k} THEN {float(w)}" for k, w in enumerate(weights)))
+    steps, last = [], "p0"
+    for k, (a, c, turn) in enumerate(rounds(seed + 1)):
+        steps.append(f"q{k} AS (SELECT i, n, x, {partner_sql('x', 'n', 'i', turn)} AS p FROM {last}), "
+                     f"p{k + 1} AS (SELECT i, n, {chosen_sql('x', 'p', a, c)} AS x FROM q{k})")
+        last = f"p{k + 1}"
+    lane = LANE.format(n="lanes")
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+w AS (SELECT *, {weight} AS w, source_size * {float(cap)} AS cap FROM g),
+f AS (SELECT *, cap / w AS brim, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+  / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+l AS (SELECT level FROM f WHERE level <= brim ORDER BY brim, i LIMIT 1),
+t AS (SELECT source, i, source_size, least(cap, coalesce((SELECT level FROM l) * w, cap)) AS target, (source_size + {block - 1}) // {block} AS blocks FROM f),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(floor(target * blocks / source_size + 0.5), {cap} * blocks) AS BIGINT) ELSE 0 END AS slots FROM t),
+p0 AS (SELECT i, n, j % n AS x FROM (SELECT i, blocks AS n, unnest(range(slots)) AS j FROM plan WHERE slots > 0)),
+{", ".join(steps)},
+uses AS (SELECT i, x AS block, count(*) AS uses FROM {last} GROUP BY i, x),
+r AS (SELECT d.*, i, source_size, target, {lane.replace("lanes", "(SELECT greatest(64, CAST(ceil(count(*) / 20000.0) AS BIGINT)) FROM documents)")} AS lane FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source),
+b AS (SELECT *, sum(size) OVER w - size AS begin, row_number() OVER w AS row FROM r WINDOW w AS (PARTITION BY i ORDER BY lane, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT i, row, begin, size, unnest(range(CAST(begin // {block} AS BIGINT), CAST((begin + size - 1) // {block} + 1 AS BIGINT))) AS block FROM b WHERE size > 0),
+k AS (SELECT c.i, c.row, sum((least((c.block + 1) * {block} - begin, size) - greatest(c.block * {block} - begin, 0)) * uses) AS taken FROM c JOIN uses ON c.i = uses.i AND c.block = uses.block GROUP BY c.i, c.row)
+SELECT doc_id, source, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM b LEFT JOIN k ON b.i = k.i AND b.row = k.row""".replace(" DIV ", " // ")

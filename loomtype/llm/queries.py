@@ -88,4 +88,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where there is any: hashes, models and tokenizers have none, and component search in SQL is too slow."""
+    from .mixing import oracle_sql as mix_sql
+
+    return {"op5_source_mix": mix_sql()}
