@@ -116,13 +116,13 @@ class Mix:
         runs = self.pieces().withColumn("copy", F.explode(F.expr("sequence(1L, uses)"))).groupBy(
             "_i", "_lane", "_row", "copy").agg(
             F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_runs"), F.sum("words").alias("_kept"))
-        words = F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0))
-        kept = F.expr("array_join(flatten(transform(_runs, r -> slice(_words, cast(r.first + 1 AS int), cast(r.words AS int)))), ' ')")
-        mixed = self.placed.join(runs, ["_i", "_lane", "_row"])
-        whole = mixed.where("_kept = size").select("_doc", F.col("_doc.text").alias("_text"))
-        part = mixed.where("_kept < size").withColumn("_words", words).select("_doc", kept.alias("_text"))
+        words = F.array(F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD), F.lit(0)))
+        cut = lambda w: F.flatten(F.transform("_runs", lambda r: F.slice(w, (r["first"] + 1).cast("int"), r["words"].cast("int"))))
+        part = F.transform(words, lambda w: F.array_join(cut(w), " "))[0]
+        text = F.when(F.col("_kept") == F.col("size"), F.col("_doc.text")).otherwise(part)
+        mixed = self.placed.join(runs, ["_i", "_lane", "_row"]).select("_doc", text.alias("_text"))
         made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-        return whole.unionByName(part).select(*[made.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in self.docs.columns])
+        return mixed.select(*[made.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in self.docs.columns])
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, block: int = 64,
