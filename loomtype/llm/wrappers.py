@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host are aligned with a page of that host by simple tree matching. Nodes whose text is the same on most
-pages are the host's template; what varies are slots, and the article's slots are the content.
+pages are the host's template, inside articles too; what varies are slots, and the article's slots are the content.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ overlay newsletter subscribe subscription signup login share sharing social rela
 comments commentlist reply replies respond disqus pagination pager toolbar search skip""".split())
 OUTER_WORDS = set("header masthead topbar side".split())
 CONTENT_WORDS = set("article post entry story content main articlebody".split())
+# What goes with the element that holds it only, and what needs some words to be known as template.
+HELD = set("h1 h2 h3 h4 h5 h6 dt dd th td tr li caption figcaption summary thead tbody tfoot body html article main".split())
+FLOW = set("p ul ol dl table pre blockquote address figure hr".split())
+FLOW_WORDS = 3
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
@@ -122,10 +126,11 @@ def _marks(attributes: str) -> tuple[str, set[str], str]:
     return (label, words, "hidden" if hidden else found.get("role", "").lower())
 
 
-def group_tree(page: Page) -> tuple[list[list], list[int]]:
-    """The page's tree with runs of like siblings merged, as rows [label, parent, text hash], and each element's row.
+def group_tree(page: Page) -> tuple[list[list], list[int], list[int]]:
+    """The page's tree with like siblings merged, as rows [label, parent, text hashes], and each element's row and hash.
 
-    Merging makes lists of any length one node, so that matching costs little however long a page is.
+    Merging makes lists of any length one node and alternating ones a few, so labels are unique among siblings and
+    matching costs little however long a page is. The texts stay apart: a row has the hash of each member's own text.
     """
     children: list[list[int]] = [[] for _ in page.tags]
     for i, p in enumerate(page.parents[1:], 1):
@@ -134,27 +139,26 @@ def group_tree(page: Page) -> tuple[list[list], list[int]]:
     for i, text in page.events:
         if text is not None:
             texts[i].append(text)
+    hashes = [0] * len(page.tags)
+    for i, own in enumerate(texts):
+        words = " ".join("".join(own).split()) if own else ""
+        if words:
+            hashes[i] = zlib.crc32(words.encode("utf-8", "surrogatepass"))
     rows: list[list] = []
     row_of = [0] * len(page.tags)
     todo = [([0], -1)]
     while todo:
         members, parent = todo.pop()
         first = members[0]
-        own = " ".join("".join(t for i in members for t in texts[i]).split())
         at = len(rows)
-        rows.append([f"{page.tags[first]}.{page.marks[first][0]}", parent, zlib.crc32(own.encode("utf-8", "surrogatepass")) if own else 0])
+        rows.append([f"{page.tags[first]}.{page.marks[first][0]}", parent, sorted({hashes[i] for i in members} - {0})])
+        like: dict[str, list[int]] = {}
         for i in members:
             row_of[i] = at
-        runs: list[tuple[str, list[int]]] = []
-        for i in members:
             for c in children[i]:
-                label = f"{page.tags[c]}.{page.marks[c][0]}"
-                if runs and runs[-1][0] == label:
-                    runs[-1][1].append(c)
-                else:
-                    runs.append((label, [c]))
-        todo += [(run, at) for _, run in reversed(runs)]
-    return rows, row_of
+                like.setdefault(f"{page.tags[c]}.{page.marks[c][0]}", []).append(c)
+        todo += [(group, at) for group in reversed(like.values())]
+    return rows, row_of, hashes
 
 
 def tree_match(one: list[list], two: list[list]) -> list[tuple[int, int]]:
@@ -193,48 +197,59 @@ def tree_match(one: list[list], two: list[list]) -> list[tuple[int, int]]:
     return match(0, 0)[1] if one and two else []
 
 
-def main_text(page: Page, template: set[int], row_of: list[int]) -> str:
-    """The article's blocks, one a line: what is neither the host's template nor marked as something else.
+def main_text(page: Page, fixed: set[int], outside: set[str]) -> str:
+    """The slots' blocks, one a line: what is neither the host's template nor marked as something else.
 
-    The article is the longest element that is marked as one, or else the body. Inside it constancy alone drops
-    nothing: a host may carry the same article twice.
+    ``fixed`` are the elements whose own text is the host's template, ``outside`` the labels that the host uses
+    outside articles. A box goes when all its text is template, or its own and most of it; a paragraph, list or table
+    only when that text has ``FLOW_WORDS`` words, as shorter ones recur by chance; headings, items and cells go with
+    what holds them. Among the slots left, those in articles, main parts or, without these around them, content parts are the
+    text where a page has any.
     """
     n = len(page.tags)
     out_of_place = [False] * n
     for i in range(1, n):
-        label, words, role = page.marks[i]
+        role = page.marks[i][2]
         out_of_place[i] = (out_of_place[page.parents[i]] or page.tags[i] in DROPPED or role in DROPPED_ROLES or role == "hidden"
-                           or not words.isdisjoint(DROPPED_WORDS))
-    sizes = [0] * n
+                           or _marked(page, i, outside))
+    sizes, constant, counts = [0] * n, [0] * n, [0] * n
     for i, text in page.events:
         if text is not None and not out_of_place[i]:
-            sizes[i] += len(text.strip())
+            letters = len(text.strip())
+            sizes[i] += letters
+            if letters and i in fixed:
+                constant[i] += letters
+                counts[i] += len(text.split())
+    holds_block = [False] * n
     for i in range(n - 1, 0, -1):
-        sizes[page.parents[i]] += sizes[i]
-    root = 0
-    for kind in (lambda i: page.tags[i] == "article", lambda i: page.tags[i] == "main" or page.marks[i][2] == "main",
-                 lambda i: page.tags[i] in ("div", "section", "td") and not page.marks[i][1].isdisjoint(CONTENT_WORDS)):
-        found = [i for i in range(1, n) if sizes[i] and not out_of_place[i] and kind(i)]
-        if found:
-            root = max(found, key=lambda i: (sizes[i], -i))
-            break
-    inside = [False] * n
-    inside[root] = True
-    for i in range(root + 1, n):
-        inside[i] = inside[page.parents[i]]
-    if not root:
+        p = page.parents[i]
+        sizes[p] += sizes[i]
+        constant[p] += constant[i]
+        counts[p] += counts[i]
+        holds_block[p] = holds_block[p] or holds_block[i] or page.tags[i] in BLOCK
+    parts = _parts(page, sizes, out_of_place)
+    inside = [not parts] * n
+    for i in range(1, n):
+        inside[i] = inside[page.parents[i]] or i in parts
+    if not parts:
         for i in range(1, n):
             outer = page.tags[i] == "header" or not page.marks[i][1].isdisjoint(OUTER_WORDS)
             out_of_place[i] = out_of_place[i] or out_of_place[page.parents[i]] or outer
-        holds = [row_of[i] not in template for i in range(n)]
-        for i in range(n - 1, 0, -1):
-            holds[page.parents[i]] = holds[page.parents[i]] or holds[i]
-        if any(sizes[i] for i in range(n) if row_of[i] not in template):
-            out_of_place = [out or not slot for out, slot in zip(out_of_place, holds)]
+    gone, silent = [False] * n, [False] * n
+    for i in range(1, n):
+        gone[i] = gone[page.parents[i]]
+        if gone[i] or not constant[i] or page.tags[i] not in BLOCK or page.tags[i] in HELD or counts[i] < FLOW_WORDS and page.tags[i] in FLOW:
+            continue
+        gone[i] = constant[i] == sizes[i] or i in fixed and 2 * constant[i] >= sizes[i]
+        silent[i] = i in fixed and holds_block[i]
+    if any(text is not None and inside[i] and not out_of_place[i] and not gone[i] and not silent[i] and text.strip() for i, text in page.events):
+        out_of_place = [a or b for a, b in zip(out_of_place, gone)]
+    else:
+        silent = [False] * n
     blocks, current = [], []
     for i, text in page.events:
         if text is not None:
-            if inside[i] and not out_of_place[i]:
+            if inside[i] and not out_of_place[i] and not silent[i]:
                 current.append(text)
         elif page.tags[i] == "br":
             current.append(" ")
@@ -245,6 +260,30 @@ def main_text(page: Page, template: set[int], row_of: list[int]) -> str:
     return "\n".join(blocks)
 
 
+def _parts(page: Page, sizes: list[int], out_of_place: list[bool]) -> set[int]:
+    """Elements that hold the text: articles and main parts, the outermost ones, and content parts apart from them."""
+    n = len(page.tags)
+    strong = [bool(sizes[i]) and not out_of_place[i] and (page.tags[i] in ("article", "main") or page.marks[i][2] == "main") for i in range(n)]
+    weak = [bool(sizes[i]) and not out_of_place[i] and page.tags[i] in ("div", "section", "td")
+            and not page.marks[i][1].isdisjoint(CONTENT_WORDS) for i in range(n)]
+    around = strong[:]
+    for i in range(n - 1, 0, -1):
+        around[page.parents[i]] = around[page.parents[i]] or around[i]
+    parts: set[int] = set()
+    within = [False] * n
+    for i in range(1, n):
+        within[i] = within[page.parents[i]]
+        if not within[i] and (strong[i] or weak[i] and not around[i]):
+            parts.add(i)
+            within[i] = True
+    return parts
+
+
+def _marked(page: Page, i: int, outside: set[str]) -> bool:
+    """Whether an element's class, id or itemprop says that it is something else."""
+    return not page.marks[i][1].isdisjoint(DROPPED_WORDS)
+
+
 def _flush(blocks: list[str], current: list[str]) -> None:
     if current:
         line = " ".join("".join(current).split())
@@ -253,7 +292,7 @@ def _flush(blocks: list[str], current: list[str]) -> None:
         current.clear()
 
 
-TREES = "host string, page_id long, tree string"
+TREES = "host string, longest int, tree string"
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -262,50 +301,70 @@ def _host():
 
 
 def host_templates(pages: DataFrame, share: float = 0.6, least: int = 3) -> DataFrame:
-    """``host, tree, constant``: each host's page that others are aligned with, and its rows that are template.
+    """``host, tree, constant``: each host's page that others are aligned with, and its texts that are template.
 
-    Every page is aligned with its host's; a row is template when it has the same text on ``share`` of the host's
-    pages (``least`` pages or more). Only trees, not pages, are shuffled, and counts are aggregated before.
+    Every page is aligned with its host's; a text of a row is template when it is in that row on ``share`` of the
+    host's pages, ``least`` at least. Pages with the same longest text are copies of each other and count as one page;
+    hosts with fewer than ``least`` have no template and no row here. Only trees, not pages, are shuffled, and counts are aggregated
+    before. A text is given as its row times 2^32 plus its hash.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [json.dumps(group_tree(Page(h))[0], separators=(",", ":")) for h in clean(batch.column("html"))]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page_id"), pa.array(trees, pa.string())],
-                                             ["host", "page_id", "tree"])
+            longest, trees = [], []
+            for html in clean(batch.column("html")):
+                page = Page(html)
+                longest.append(_longest(page))
+                trees.append(json.dumps(group_tree(page)[0], separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(longest, pa.int32()), pa.array(trees, pa.string())],
+                                             ["host", "longest", "tree"])
 
-    trees = saved(pages.select(_host().alias("host"), "page_id", "html").mapInArrow(parse, TREES))
-    chosen = trees.groupBy("host").agg(F.min_by("tree", F.struct(F.xxhash64("page_id"), F.col("tree"))).alias("chosen"), F.count("*").alias("pages"))
+    trees = pages.select(_host().alias("host"), "html").mapInArrow(parse, TREES)
+    trees = saved(trees.groupBy("host", "longest").agg(F.min("tree").alias("tree")))
+    chosen = trees.groupBy("host").agg(F.min_by("tree", F.struct(F.xxhash64("tree"), F.col("tree"))).alias("chosen"), F.count("*").alias("pages"))
+    chosen = saved(chosen.where(F.col("pages") >= least))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int], int] = {}
-        known: dict[tuple[str, str], list] = {}
         for batch in batches:
             for host, tree, base in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "chosen"))):
-                same = known.get((tree, base))
-                if same is None:
-                    one, two = json.loads(tree), json.loads(base)
-                    same = [j for i, j in tree_match(one, two) if one[i][2] and one[i][2] == two[j][2]]
-                    if len(known) < 5000:
-                        known[tree, base] = same
-                for j in same:
-                    counts[host, j] = counts.get((host, j), 0) + 1
+                one, two = json.loads(tree), json.loads(base)
+                for i, j in tree_match(one, two):
+                    for h in set(one[i][2]).intersection(two[j][2]):
+                        counts[host, (j << 32) + h] = counts.get((host, (j << 32) + h), 0) + 1
             if len(counts) > 200_000:
                 yield _count_rows(counts)
                 counts = {}
         yield _count_rows(counts)
 
-    counted = trees.join(chosen, "host").select("host", "tree", "chosen").mapInArrow(align, "host string, row int, n long")
-    counted = counted.groupBy("host", "row").agg(F.sum("n").alias("n"))
-    constant = counted.join(chosen.select("host", "pages"), "host").where((F.col("pages") >= least) & (F.col("n") >= F.col("pages") * share))
-    rows = constant.groupBy("host").agg(F.collect_set("row").alias("constant"))
+    counted = trees.join(chosen, "host").select("host", "tree", "chosen").mapInArrow(align, "host string, item long, n long")
+    counted = counted.groupBy("host", "item").agg(F.sum("n").alias("n"))
+    constant = counted.join(chosen.select("host", "pages"), "host").where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * share))
+    rows = constant.groupBy("host").agg(F.collect_set("item").alias("constant"))
     return saved(chosen.join(rows, "host", "left").select("host", F.col("chosen").alias("tree"), "constant"))
 
 
+def _longest(page: Page) -> int:
+    """A hash of the longest text between two marks, the first of these; scripts and styles don't count."""
+    texts = (" ".join(t.split()) for i, t in page.events if t is not None and page.tags[i] not in RAW)
+    return zlib.crc32(max(texts, key=len, default="").encode("utf-8", "surrogatepass")) - (1 << 31)
+
+
+def outer_labels(tree: list[list]) -> set[str]:
+    """Labels with a class that a tree uses outside articles and main parts."""
+    inner, found = [False] * len(tree), set()
+    for i, (label, parent, _) in enumerate(tree):
+        tag, _, classes = label.partition(".")
+        inner[i] = tag in ("article", "main") or parent >= 0 and inner[parent]
+        if classes and not inner[i]:
+            found.add(label)
+    return found
+
+
 def _count_rows(counts: dict[tuple[str, int], int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([h for h, _ in counts], pa.string()), pa.array([j for _, j in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())],
-        ["host", "row", "n"])
+        [pa.array([h for h, _ in counts], pa.string()), pa.array([j for _, j in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())],
+        ["host", "item", "n"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -318,22 +377,23 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bases: dict[str, list] = {}
+        bases: dict[str, tuple[list, set[str]]] = {}
         for batch in batches:
             texts = []
             for html, tree, constant in zip(clean(batch.column("html")), batch.column("tree").to_pylist(), batch.column("constant").to_pylist()):
                 page = Page(html)
-                template: set[int] = set()
-                rows, row_of = group_tree(page)
+                fixed: set[int] = set()
+                base, outside = bases.get(tree, ([], set()))
+                if tree is not None and not base:
+                    base = json.loads(tree)
+                    outside = outer_labels(base)
+                    if len(bases) < 1000:
+                        bases[tree] = base, outside
                 if constant:
-                    base = bases.get(tree)
-                    if base is None:
-                        base = json.loads(tree)
-                        if len(bases) < 1000:
-                            bases[tree] = base
-                    fixed = set(constant)
-                    template = {i for i, j in tree_match(rows, base) if j in fixed and rows[i][2] == base[j][2]}
-                texts.append(main_text(page, template, row_of))
+                    rows, row_of, hashes = group_tree(page)
+                    known, at = set(constant), dict(tree_match(rows, base))
+                    fixed = {i for i, h in enumerate(hashes) if h and row_of[i] in at and (at[row_of[i]] << 32) + h in known}
+                texts.append(main_text(page, fixed, outside))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"])

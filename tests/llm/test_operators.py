@@ -306,6 +306,26 @@ def test_pages(spark):
     assert extract_text(frame.where("false")).count() == 0
 
 
+def test_pages_follow_the_template(spark):
+    from loomtype.llm.wrappers import Page, extract_text, group_tree, main_text
+
+    box = "<div class='x9'>Ask our shop <b>for a quote</b></div><p>Call us any day at noon.</p>"
+
+    def page(i, host="t.example"):
+        return (i, f"https://{host}/{i}", f"<body><article><h1>Facts</h1><p>Text number {i} is here.</p>{box}<p>It ends after {i}.</p></article>"
+                                          f"<article><p>Second part of {i} is also here.</p></article></body>")
+
+    # "copy" holds one article nine times, which makes no template of it; "few" has too few pages for one
+    pages = [page(i) for i in range(6)] + [(100 + i, f"https://copy.example/{i}", page(0)[2]) for i in range(9)] + [page(200, "few.example"), page(201, "few.example")]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Facts\nText number {i} is here.\nIt ends after {i}.\nSecond part of {i} is also here."
+    whole = "Facts\nText number {0} is here.\nAsk our shop for a quote\nCall us any day at noon.\nIt ends after {0}.\nSecond part of {0} is also here."
+    assert got[100] == got[108] == whole.format(0) and got[200] == whole.format(200)
+    one = Page(page(3)[2])
+    assert main_text(one, set(), set()) == whole.format(3) != got[3] and len(group_tree(one)[1]) == len(one.tags)
+
+
 def test_tree_match_against_brute_force():
     from functools import cache
 
