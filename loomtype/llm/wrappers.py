@@ -31,6 +31,9 @@ DROPPED_WORDS = set("""ad ads advert adverts advertisement advertising banner sp
 navigation menu breadcrumb breadcrumbs sidebar widget footer cookie cookies consent gdpr notice notices alert popup modal
 overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment
 comments commentlist reply replies respond disqus pagination pager toolbar search skip""".split())
+AROUND_WORDS = set("""area bar block box buttons container global icons inner item items left links list main mobile outer page post
+posts primary right secondary section site slot stories top bottom unit wrap wrapper""".split())
+TITLED = set("h1 h2 h3 h4 h5 h6 section article main p".split())  # often with ids or classes made from their texts
 OUTER_WORDS = set("header masthead topbar side".split())
 CONTENT_WORDS = set("article post entry story content main articlebody".split())
 # What goes with the element that holds it only, and what needs some words to be known as template.
@@ -53,7 +56,7 @@ class Page:
     """Elements in document order (parallel lists), and the events that lead through them."""
 
     def __init__(self, html: str):
-        self.tags, self.marks, self.parents = ["#root"], [("", set(), "")], [-1]
+        self.tags, self.marks, self.parents = ["#root"], [("", set(), "", "")], [-1]
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where it begins or ends
         self.stack = [0]
         at = 0
@@ -115,15 +118,23 @@ class Page:
                 return
 
 
-def _marks(attributes: str) -> tuple[str, set[str], str]:
-    """An element's label suffix, the words of its class and id, and its role ("hidden" if it is)."""
+def _marks(attributes: str) -> tuple[str, set[str], str, str]:
+    """An element's label suffix, the words of its class and id, its role ("hidden" if it is), and where dropped words are.
+
+    The last is made of C (class or itemprop) and I (id) where a whole token says it, c and i where a part does.
+    """
     if not attributes.strip():
-        return ("", set(), "")
+        return ("", set(), "", "")
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     label = found.get("class", "").lower().strip()
-    words = set(_SPLIT.split(f"{label} {found.get('id', '').lower()} {found.get('itemprop', '').lower()}")) - {""}
+    words, dropped = set(_SPLIT.split(f"{label} {found.get('id', '').lower()} {found.get('itemprop', '').lower()}")) - {""}, ""
+    if not words.isdisjoint(DROPPED_WORDS):
+        for sign, value in (("c", f"{label} {found.get('itemprop', '').lower()}"), ("i", found.get("id", "").lower())):
+            tokens = [t for t in (set(_SPLIT.split(x)) - {""} for x in value.split()) if not t.isdisjoint(DROPPED_WORDS)]
+            if tokens:
+                dropped += sign.upper() if any(t <= DROPPED_WORDS | AROUND_WORDS for t in tokens) else sign
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return (label, words, "hidden" if hidden else found.get("role", "").lower())
+    return (label, words, "hidden" if hidden else found.get("role", "").lower(), dropped)
 
 
 def group_tree(page: Page) -> tuple[list[list], list[int], list[int]]:
@@ -207,11 +218,17 @@ def main_text(page: Page, fixed: set[int], outside: set[str]) -> str:
     text where a page has any.
     """
     n = len(page.tags)
-    out_of_place = [False] * n
+    out_of_place, inner, around = [False] * n, [False] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        around[i] = around[i] or page.tags[i] in ("article", "main") or page.marks[i][2] == "main"
+        around[page.parents[i]] = around[page.parents[i]] or around[i]
     for i in range(1, n):
+        p = page.parents[i]
+        inner[i] = inner[p] or page.tags[p] in ("article", "main") or page.marks[p][2] == "main" or (
+            page.tags[p] in ("div", "section", "td") and not page.marks[p][1].isdisjoint(CONTENT_WORDS))
         role = page.marks[i][2]
         out_of_place[i] = (out_of_place[page.parents[i]] or page.tags[i] in DROPPED or role in DROPPED_ROLES or role == "hidden"
-                           or _marked(page, i, outside))
+                           or _marked(page, i, outside, inner[i] or around[i]))
     sizes, constant, counts = [0] * n, [0] * n, [0] * n
     for i, text in page.events:
         if text is not None and not out_of_place[i]:
@@ -238,7 +255,7 @@ def main_text(page: Page, fixed: set[int], outside: set[str]) -> str:
     gone, silent = [False] * n, [False] * n
     for i in range(1, n):
         gone[i] = gone[page.parents[i]]
-        if gone[i] or not constant[i] or page.tags[i] not in BLOCK or page.tags[i] in HELD or counts[i] < FLOW_WORDS and page.tags[i] in FLOW:
+        if gone[i] or not constant[i] or page.tags[i] not in BLOCK or page.tags[i] in HELD or counts[i] < FLOW_WORDS and page.tags[i] in FLOW and not page.marks[i][3]:
             continue
         gone[i] = constant[i] == sizes[i] or i in fixed and 2 * constant[i] >= sizes[i]
         silent[i] = i in fixed and holds_block[i]
@@ -279,9 +296,21 @@ def _parts(page: Page, sizes: list[int], out_of_place: list[bool]) -> set[int]:
     return parts
 
 
-def _marked(page: Page, i: int, outside: set[str]) -> bool:
-    """Whether an element's class, id or itemprop says that it is something else."""
-    return not page.marks[i][1].isdisjoint(DROPPED_WORDS)
+def _marked(page: Page, i: int, outside: set[str], inner: bool) -> bool:
+    """Whether an element's class, id or itemprop says that it is something else.
+
+    Part of a token counts only outside articles (not ``inner``), or where the host has the label outside articles;
+    an id never counts on elements that often have one made from their text.
+    """
+    dropped = page.marks[i][3]
+    if not dropped:
+        return False
+    titled = page.tags[i] in TITLED
+    if "C" in dropped or "I" in dropped and not titled:
+        return True
+    if "c" in dropped and f"{page.tags[i]}.{page.marks[i][0]}" in outside:
+        return True
+    return not inner and not titled
 
 
 def _flush(blocks: list[str], current: list[str]) -> None:

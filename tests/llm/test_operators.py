@@ -326,6 +326,17 @@ def test_pages_follow_the_template(spark):
     assert main_text(one, set(), set()) == whole.format(3) != got[3] and len(group_tree(one)[1]) == len(one.tags)
 
 
+def test_page_ids_made_from_titles(spark):
+    from loomtype.llm.wrappers import extract_text
+
+    body = ("<article><section id='related-work'><h2 id='search-algorithms'>Search {0}</h2><p class='share-price'>Price {0}.</p></section><div id='menu-planning'>Plan {0}.</div>"
+            "<div id='social-history'>Past {0}.</div><p id='notice-period'>Notice {0}.</p><div class='share-box'>tell {0}</div><div class='related-offers'>buy {0}</div></article>"
+            "<div class='related-offers'>more {0}</div>")
+    pages = [(i, f"https://ids.example/{i}", body.format(i)) for i in range(4)]
+    for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
+        assert r["text"] == "Search {0}\nPrice {0}.\nPlan {0}.\nPast {0}.\nNotice {0}.".format(r["page_id"])
+
+
 def test_tree_match_against_brute_force():
     from functools import cache
 
