@@ -173,39 +173,71 @@ def group_tree(page: Page) -> tuple[list[list], list[int], list[int]]:
 
 
 def tree_match(one: list[list], two: list[list]) -> list[tuple[int, int]]:
-    """Pairs of rows of two trees in a largest order-preserving top-down matching (simple tree matching)."""
+    """Pairs of rows of two trees in a largest order-preserving top-down matching (simple tree matching).
+
+    Children are aligned by a heaviest increasing chain of their equally labelled pairs, so memory grows with these
+    pairs only, and no step recurses.
+    """
+    if not one or not two or one[0][0] != two[0][0]:
+        return []
     below_one: list[list[int]] = [[] for _ in one]
     below_two: list[list[int]] = [[] for _ in two]
     for rows, below in ((one, below_one), (two, below_two)):
         for i, row in enumerate(rows[1:], 1):
             below[row[1]].append(i)
-
-    def match(a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
-        if one[a][0] != two[b][0]:
-            return 0, []
-        left, right = below_one[a], below_two[b]
-        pairs = [(a, b)]
-        if not left or not right:
-            return 1, pairs
-        own = {(i, j): match(x, y) for i, x in enumerate(left) for j, y in enumerate(right) if one[x][0] == two[y][0]}
-        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        for i in range(1, len(left) + 1):
-            for j in range(1, len(right) + 1):
-                both = own.get((i - 1, j - 1), (0,))[0]
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + both)
-        i, j = len(left), len(right)
-        while i and j:
-            both = own.get((i - 1, j - 1), (0,))[0]
-            if both and best[i][j] == best[i - 1][j - 1] + both:
-                pairs += own[i - 1, j - 1][1]
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        return 1 + best[len(left)][len(right)], pairs
-
-    return match(0, 0)[1] if one and two else []
+    found = [(0, 0)]
+    spots: list[tuple[int, int]] = [(0, 0)]
+    own: list[tuple[int, int]] = []  # the range in found of each pair's pairs of children
+    for a, b in found:
+        begin = len(found)
+        if below_one[a] and below_two[b]:
+            by_label: dict[str, list[int]] = {}
+            for j, y in enumerate(below_two[b]):
+                by_label.setdefault(two[y][0], []).append(j)
+            for i, x in enumerate(below_one[a]):
+                for j in reversed(by_label.get(one[x][0], ())):
+                    found.append((x, below_two[b][j]))
+                    spots.append((i, j))
+        own.append((begin, len(found)))
+    weight = [1] * len(found)
+    chosen: list[list[int]] = [[] for _ in found]
+    for k in range(len(found) - 1, -1, -1):
+        begin, end = own[k]
+        if end - begin == 1:
+            weight[k] += weight[begin]
+            chosen[k] = [begin]
+        elif end > begin:
+            weight[k] += _heaviest_chain(begin, end, spots, weight, len(below_two[found[k][1]]), chosen[k])
+    pairs, todo = [], [0]
+    while todo:
+        k = todo.pop()
+        pairs.append(found[k])
+        todo += chosen[k]
+    return pairs
+
+
+def _heaviest_chain(begin: int, end: int, spots: list[tuple[int, int]], weight: list[int], width: int, out: list[int]) -> int:
+    """Put the pairs of a heaviest chain, increasing on both sides, into ``out``: its weight. Pairs come by (i, -j)."""
+    best: list[tuple[int, int]] = [(0, -1)] * (width + 1)  # a tree of prefix maxima over j: (weight, last pair)
+    before: dict[int, int] = {}
+    top = (0, -1)
+    for k in range(begin, end):
+        j, so_far = spots[k][1], (0, -1)
+        while j:
+            so_far = max(so_far, best[j])
+            j &= j - 1
+        before[k] = so_far[1]
+        here = (so_far[0] + weight[k], k)
+        top = max(top, here)
+        j = spots[k][1] + 1
+        while j <= width:
+            best[j] = max(best[j], here)
+            j += j & -j
+    k = top[1]
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return top[0]
 
 
 def main_text(page: Page, fixed: set[int], outside: set[str]) -> str:

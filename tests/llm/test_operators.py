@@ -337,6 +337,16 @@ def test_page_ids_made_from_titles(spark):
         assert r["text"] == "Search {0}\nPrice {0}.\nPlan {0}.\nPast {0}.\nNotice {0}.".format(r["page_id"])
 
 
+def test_long_and_deep_pages(spark):
+    from loomtype.llm.wrappers import extract_text
+
+    long = "".join(f"<h2>Head {i}</h2><p class='c{i % 3000}'>Text {i}.</p>" for i in range(10_000))
+    deep = "<font>" * 2500 + "<div>" * 2500 + "bottom of "
+    pages = [(i, f"https://deep.example/{i}", f"<article><p>Page {i} of it.</p>{x}{i}</article>") for i in range(3) for x in (long, deep)]
+    got = [r["text"] for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
+    assert sorted(t.count("\n") for t in got) == [1] * 3 + [20_001] * 3
+
+
 def test_tree_match_against_brute_force():
     from functools import cache
 
