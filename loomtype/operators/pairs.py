@@ -116,17 +116,20 @@ def coverage_likelihood(emissions: DataFrame, columns: int) -> DataFrame:
 def pair_posterior(pairs: DataFrame, coverage: DataFrame | None = None, cut: bool = True) -> DataFrame:
     """Normalised posterior of each gene's pairs from their log10 likelihoods ``z`` (and coverage ``c``).
 
-    Pairs without coverage were cut before; with ``cut`` each adds the lowest reported probability to the norm. No
-    pairs give an empty result.
+    ``pairs`` is the whole pair table: those without coverage were not ranked, and with ``cut`` each of them adds the
+    lowest reported probability to the norm. No pairs give an empty result.
     """
-    joined = pairs.withColumn("c", F.lit(0.0)) if coverage is None else pairs.join(coverage, ["locus", "i", "j"], "left")
     all_ = Window.partitionBy("locus")
-    scored = joined.withColumn("_s", F.col("z") + F.col("c")).withColumn("_m", F.max("_s").over(all_)).withColumn(
-        "_missing", F.sum(F.when(F.col("c").isNull(), 1).otherwise(0)).over(all_))
-    p = F.pow(F.lit(10.0), F.col("_s") - F.col("_m"))
-    kept = scored.where(F.col("c").isNotNull()).withColumn("_p", p)
+    if coverage is None:
+        kept = pairs.withColumn("c", F.lit(0.0)).withColumn("_missing", F.lit(0))
+    else:
+        known = coverage.where("c IS NOT NULL").select("locus", "i", "j", "c")
+        kept = pairs.join(known, ["locus", "i", "j"])
+        kept = kept.join(pairs.groupBy("locus").agg(F.count("*").alias("_all")), "locus").withColumn("_missing", F.col("_all") - F.count("*").over(all_))
+    scored = kept.withColumn("_s", F.col("z") + F.col("c")).withColumn("_m", F.max("_s").over(all_))
+    scored = scored.withColumn("_p", F.pow(F.lit(10.0), F.col("_s") - F.col("_m")))
     norm = F.sum("_p").over(all_) + (F.min("_p").over(all_) * F.col("_missing") if cut else F.lit(0.0))
-    return kept.withColumn("prob", F.col("_p") / norm).select("locus", "i", "j", "z", "c", "prob")
+    return scored.withColumn("prob", F.col("_p") / norm).select("locus", "i", "j", "z", "c", "prob")
 
 
 def top_pairs(posterior: DataFrame, size: int | None = None, least: float | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.values import reverse_complement
 from . import kernel
 from .pairs import (allele_log_likelihood, assign_reads, best_locus, best_orientation, coverage_likelihood, pair_emissions,
-                    pair_log_likelihood, pair_posterior, rank_pairs)
+                    pair_log_likelihood, pair_posterior, rank_pairs, top_pairs)
 
 ALLELE_BYTES = 64 << 20
 SCORES = "read_id long, locus string, allele_id long, rc boolean, mate int, llhd double, pos long, filter_reason string"
@@ -112,14 +112,22 @@ def second_mate_scores(scores: DataFrame) -> DataFrame:
     return best_orientation(scores.where("mate <= 1")).unionByName(best_orientation(second))
 
 
-def type_samples(scores: DataFrame, n_columns: int, report: int = 50, multi_locus: bool = True) -> dict[str, DataFrame]:
-    """From scored reads to the posterior: orientation, mates, best gene, sums, coverage, assignment."""
+def type_samples(scores: DataFrame, n_columns: int, report: int | None = 50, multi_locus: bool = True,
+                 least: float | None = None) -> dict[str, DataFrame]:
+    """From scored reads to the posterior: orientation, mates, best gene, sums, coverage, assignment.
+
+    The posterior reports the pairs of the ``report`` highest likelihoods, None: all; the others count in its norm.
+    With ``least`` all pairs are evaluated, and those above it are reported.
+    """
     scores = scores.persist()  # the kernel's output feeds several branches below
     usable = second_mate_scores(scores).where("filter_reason IS NULL")
     merged = usable.groupBy("read_id", "locus", "allele_id").agg(F.sum("llhd").alias("llhd"), F.min("pos").alias("pos"))
     if multi_locus:
         merged = merged.join(best_locus(merged).select("read_id", "locus"), ["read_id", "locus"], "left_semi")
-    pairs = pair_log_likelihood(merged)
-    top = rank_pairs(pairs, report)
-    posterior = pair_posterior(top.select("locus", "i", "j", "z"), coverage_likelihood(pair_emissions(merged, top), n_columns))
+    merged = merged.persist()
+    pairs = pair_log_likelihood(merged).persist()
+    top = pairs if report is None or least is not None else rank_pairs(pairs, report)
+    posterior = pair_posterior(pairs.select("locus", "i", "j", "z"), coverage_likelihood(pair_emissions(merged, top), n_columns))
+    if least is not None:
+        posterior = top_pairs(posterior, least=least)
     return {"alleles": allele_log_likelihood(merged), "pairs": pairs, "posterior": posterior, "assignment": assign_reads(merged, posterior)}

@@ -219,8 +219,11 @@ def hm10(spark, sf):
 
 
 def flagship(spark, sf):
-    """The posterior over allele pairs with its members' likelihoods."""
-    return _posterior(spark, sf)
+    """The posterior over allele pairs with its members' likelihoods: 20 ranks reported, all pairs in the norm."""
+    s = scores(spark, sf)
+    z = P.pair_log_likelihood(s)
+    c = P.coverage_likelihood(P.pair_emissions(s, P.rank_pairs(z, 20)), 3000).select("locus", "i", "j", (F.col("c") / 100).alias("c"))
+    return P.pair_posterior(z.select("locus", "i", "j", (F.col("z") / 1000.0 / F.col("reads")).alias("z")), c)
 
 
 _MATE = """SELECT l_orderkey AS read_id, chr(65 + CAST(l_suppkey % 2 AS INT)) AS locus, l_suppkey AS allele_id, CAST(1 + l_linenumber % 2 AS INT) AS mate, l_partkey % 2 = 1 AS rc,
