@@ -157,16 +157,40 @@ def _held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 3000, passages_bound: int = 80_000) -> Model:
-    """Fit on the labelled documents that are not held out.
+def _bags(docs: DataFrame, labels: DataFrame, bound: int, passages_bound: int) -> DataFrame:
+    """``doc_id, text, label`` of the bags to learn from: at most ``passages_bound`` passages, chosen before encoding.
 
-    At most ``bound`` of them are used, those whose ids hash lowest, with at most ``passages_bound`` passages; a
-    document has several label rows' mean as its label. Without labels every score is one half.
+    Of repeated rows of a document the longest is its bag. In the order of the ids' hashes a bag that doesn't fit
+    into what is left is passed over, and later ones are still taken. Only ids, sizes and hashes come to the driver.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).groupBy("doc_id").agg(
         F.avg("quality").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    bags = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    own = own.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("hash", F.xxhash64("text"))
+    picked = own.groupBy("doc_id").agg(F.max(F.struct("bytes", "hash")).alias("pick"), F.xxhash64("doc_id").alias("at"))
+    rows = picked.select("doc_id", "pick.bytes", "pick.hash", "at").orderBy("at", "doc_id").collect()
+    left, keep = passages_bound, []
+    for r in rows:
+        n = max(1, (r["bytes"] + PASSAGE_BYTES // 2) // PASSAGE_BYTES)
+        if n <= left:
+            left -= n
+            keep.append((r["doc_id"], r["bytes"], r["hash"]))
+    if rows and not keep:
+        raise ValueError(f"none of {len(rows)} labelled documents has at most {passages_bound} passages")
+    kept = docs.sparkSession.createDataFrame(keep, "doc_id long, bytes long, hash long")
+    same = own.join(F.broadcast(kept), ["doc_id", "bytes", "hash"])
+    return same.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = 3000, passages_bound: int = 80_000) -> Model:
+    """Fit on the labelled documents that are not held out.
+
+    At most ``bound`` of them are used, those whose ids hash lowest, with at most ``passages_bound`` passages; a
+    document has several label rows' mean as its label. Without labels every score is one half; labelled documents
+    of which none fits raise an error.
+    """
+    bags = _bags(docs, labels, bound, passages_bound)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,14 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 3000, passages_bound:
                     ["doc_id", "label", "bag"])
 
     got = bags.mapInArrow(encode, "doc_id long, label double, bag binary").toPandas()
-    got = got.assign(size=got["bag"].map(len)).sort_values(["doc_id", "label", "size", "bag"])
+    got = got.sort_values("doc_id")
     parts = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["bag"]]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    keep = np.cumsum(sizes) <= passages_bound
-    parts = [p for p, k in zip(parts, keep) if k]
-    owner = np.repeat(np.arange(len(parts)), sizes[keep])
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) if parts else np.zeros(0, np.int64)
     features = np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32)
-    return fit(owner, features, got["label"].to_numpy()[keep])
+    return fit(owner, features, got["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

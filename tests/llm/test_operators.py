@@ -257,6 +257,23 @@ def test_quality_learns_from_labels(spark, nothing):
     assert classify(nothing, labels).count() == 0
 
 
+def test_quality_chooses_bags_before_encoding(spark):
+    from pyspark.sql import functions as F
+
+    from loomtype.llm.quality import _bags, train
+
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    order = [r["id"] for r in spark.createDataFrame([(i,) for i in ids], "id long").orderBy(F.xxhash64("id")).collect()]
+    big = order[0]  # first in the order of hashes, and larger than the bound
+    docs = spark.createDataFrame([(i, "w " * (4000 if i == big else 400)) for i in ids] + [(order[1], "w " * 400)] * 50 + [(order[1], None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    kept = _bags(docs, labels, 3000, 9).collect()
+    assert {r["doc_id"] for r in kept} == set(order[1:5]) and len(kept) == 4 and all(len(r["text"]) == 800 for r in kept)
+    assert train(docs, labels, passages_bound=9).weights["E"].any()
+    with pytest.raises(ValueError, match="labelled documents"):
+        train(docs.where(F.col("doc_id") == big), labels, passages_bound=9)
+
+
 def test_chat_trees(spark):
     from loomtype.llm.chat import escape, mark_test_rows, prefix_trees, read_back, unescape
 
