@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lanes, saved, spread
-from .textbytes import clean
+from .textbytes import runs
 from .wordcache import WordIds
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -25,25 +25,26 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024,
         words = WordIds(tokenizer_path)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            doc, piece, start, length, crc, ids = [], [], [], [], [], []
-            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), words.encode(clean(batch.column("text")))):
-                coded = coded.astype("<u4").tobytes() + end
-                n = len(coded) // 4
-                at, i = 0, 0
-                while at < n:
-                    to = at + (n - at - 1) % capacity + 1
-                    part = coded[4 * at : 4 * to]
-                    doc.append(doc_id)
-                    piece.append(i)
-                    start.append(at)
-                    length.append(to - at)
-                    crc.append(zlib.crc32(part))
-                    ids.append(part if keep_ids else None)
-                    at, i = to, i + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            for rows, texts in runs(batch, "text"):
+                doc, piece, start, length, crc, ids = [], [], [], [], [], []
+                for doc_id, coded in zip(rows.column("doc_id").to_pylist(), words.encode(texts)):
+                    coded = coded.astype("<u4").tobytes() + end
+                    n = len(coded) // 4
+                    at, i = 0, 0
+                    while at < n:
+                        to = at + (n - at - 1) % capacity + 1
+                        part = coded[4 * at : 4 * to]
+                        doc.append(doc_id)
+                        piece.append(i)
+                        start.append(at)
+                        length.append(to - at)
+                        crc.append(zlib.crc32(part))
+                        ids.append(part if keep_ids else None)
+                        at, i = to, i + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                     pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 

@@ -209,18 +209,18 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 3000, passages_bound:
     return fit(owner, features, got["label"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``_score``: the quality (0 to 1) of the whole text (null: empty)."""
+def score(docs: DataFrame, model: Model, column: str = "_score") -> DataFrame:
+    """All columns of ``docs`` and ``column``: the quality (0 to 1) of the whole text (null: empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text", 1_000_000):
+            for rows, data, offsets in slices(batch, "text"):
                 result, _ = shared.value.scores(*passages(data, offsets), rows.num_rows)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(result, pa.float64())], [*names, "_score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(result, pa.float64())], [*names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
@@ -235,5 +235,11 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFram
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
-    """The documents that ``classify`` accepts, with all their columns."""
-    return score(docs, train(docs, labels)).where(F.col("_score") >= least).drop("_score")
+    """The documents that ``classify`` accepts, with all their columns, whatever their names.
+
+    Null and empty texts are judged like others; repeated rows are kept or go together; an empty table gives no rows.
+    """
+    own = "_score"
+    while own in docs.columns:
+        own += "_"
+    return score(docs, train(docs, labels), own).where(F.col(own) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

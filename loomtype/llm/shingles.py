@@ -1,9 +1,9 @@
 """Exact n-gram Jaccard join by vertical partitioning, and its connected components.
 
 The join never compares all pairs of a group. Candidates come from prefixes under a global order of the shingles
-(rare ones first): texts above the threshold share a shingle within the first part of both. The order is then cut
-into fragments, the overlap of each candidate pair is counted in every fragment by itself, and the partial counts
-are summed.
+(rare ones first): texts above the threshold share a shingle within the first part of both. For counting, all n-grams
+are in the order of their hashes, which is cut into fragments: the overlap of each candidate pair is counted in every
+fragment by itself, and the partial counts are summed.
 """
 
 from __future__ import annotations
@@ -20,66 +20,123 @@ from .common import saved
 from .textbytes import slices
 from .wordcache import mixed, span_hashes
 
-_dice = np.random.default_rng(20)
-_BYTE = _dice.integers(1, 2**63, 256, np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z read as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
-_PLACE = _dice.integers(1, 2**63, 64, np.uint64) | np.uint64(1)
+_PLACE = np.random.default_rng(20).integers(1, 2**63, 64, np.uint64) | np.uint64(1)
+SLICE = 500_000
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word, lower-cased, and the row that it belongs to."""
+    """A hash of every word, lower-cased, and the number of words of each row."""
     filled = ~_GAP[data]
     first = filled.copy()
     first[1:] &= ~filled[:-1]
     inside = offsets[:-1][offsets[:-1] < len(data)]
     first[inside] = filled[inside]
     starts = np.flatnonzero(first)
-    last = filled.copy()
-    last[:-1] &= ~filled[1:]
+    last = filled
+    last[:-1] &= _GAP[data[1:]]
     edges = offsets[1:] - 1
     edges = edges[edges >= 0]
-    last[edges] = filled[edges]
+    last[edges] = ~_GAP[data[edges]]
     ends = np.flatnonzero(last) + 1
-    rows = np.searchsorted(offsets, starts, "right") - 1
-    return span_hashes(_BYTE[data], starts, ends), rows
+    low = np.zeros(len(data) + 8, np.uint8)
+    np.take(_LOWER, data, out=low[: len(data)])
+    return span_hashes(low, starts, ends), np.diff(np.searchsorted(starts, offsets))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-word shingles, as (row, hash) sorted by both; a shorter text is one shingle, an empty one none."""
-    words, rows = word_hashes(data, offsets)
-    counts = np.bincount(rows, minlength=len(offsets) - 1)
+def _windows(words: np.ndarray, n: int) -> np.ndarray:
     total = np.zeros(max(len(words) - n + 1, 0), np.uint64)
     for k in range(n):
         total += words[k : k + len(total)] * _PLACE[k]
-    whole = rows[: len(total)] == rows[n - 1 :] if len(total) else np.zeros(0, bool)
-    hashes, owners = [mixed(total[whole])], [rows[: len(total)][whole]]
-    begins = np.cumsum(counts) - counts
-    for size in range(1, n):
-        short = np.flatnonzero(counts == size)
-        if len(short):
-            part = np.full(len(short), size, np.uint64)
-            for k in range(size):
-                part += words[begins[short] + k] * _PLACE[k + n]
-            hashes.append(mixed(part))
-            owners.append(short)
-    hashes, owners = np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((hashes, owners))
-    hashes, owners = hashes[order], owners[order]
+    return total
+
+
+def _few(words: np.ndarray, n: int) -> np.uint64:
+    """The one shingle of a text of fewer than ``n`` words."""
+    return np.array([len(words)], np.uint64)[0] + (words * _PLACE[n : n + len(words)]).sum(dtype=np.uint64)
+
+
+def _parts(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """One text in parts of about ``size`` bytes that cut no word."""
+    at = 0
+    while at < len(data):
+        to = at + size
+        while to < len(data):
+            gaps = np.flatnonzero(_GAP[data[to : to + size]])
+            to += size if not len(gaps) else 0
+            if len(gaps):
+                to += int(gaps[0])
+                break
+        yield data[at : min(to, len(data))]
+        at = to
+
+
+def _long_set(data: np.ndarray, n: int, size: int) -> np.ndarray:
+    """All shingles of one long text, part by part with the last n - 1 words carried over."""
+    n_words = 0
+    for part in _parts(data, size):
+        filled = ~_GAP[part]
+        n_words += int(filled[0]) + int((filled[1:] & ~filled[:-1]).sum())
+    out, at, carried = np.empty(max(n_words - n + 1, 1), np.uint64), 0, np.zeros(0, np.uint64)
+    for part in _parts(data, size):
+        words = np.concatenate([carried, word_hashes(part, np.array([0, len(part)]))[0]])
+        carried = words[max(len(words) - n + 1, 0) :]
+        got = _windows(words, n)
+        out[at : at + len(got)] = got
+        at += len(got)
+    if n_words >= n:
+        return out
+    out[0] = _few(carried, n) if n_words else 0
+    return out[: min(n_words, 1)]
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-word shingles of each row in the order of their hashes, and where each row's begin (and the last end).
+
+    A text of fewer words is one shingle, one without words none. A single row of more than ``size`` bytes is read in parts.
+    """
+    if len(offsets) == 2 and len(data) > size:
+        hashes = _long_set(data, n, size)
+        at = np.array([0, len(hashes)])
+    else:
+        words, counts = word_hashes(data, offsets)
+        at = np.concatenate([[0], np.cumsum(np.where(counts >= n, counts - n + 1, counts > 0))])
+        ends = np.cumsum(counts)
+        whole = np.ones(len(words), bool)
+        for k in range(1, n):  # a window must not reach beyond its row
+            whole[np.maximum(ends - k, 0)[counts >= k]] = False
+        hashes = np.empty(at[-1], np.uint64)
+        spot = np.ones(len(hashes), bool)
+        short = np.flatnonzero((counts > 0) & (counts < n))
+        spot[at[short]] = False
+        hashes[spot] = _windows(words, n)[whole[: max(len(words) - n + 1, 0)]]
+        for i in short.tolist():
+            hashes[at[i]] = _few(words[ends[i] - counts[i] : ends[i]], n)
+    for block in range(0, len(hashes), size):
+        hashes[block : block + size] = mixed(hashes[block : block + size])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        if b - a > 1:
+            hashes[a:b].sort()
     new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
-    return owners[new], hashes[new]
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    new[at[:-1][at[:-1] < len(hashes)]] = True
+    if new.all():
+        return hashes, at
+    upto = np.concatenate([[0], np.cumsum(new)]) if len(at) > 2 else np.array([0, new.sum()])
+    return hashes[new], upto[at] if len(at) > 2 else upto
 
 
 def _classes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 64-bit digest of each set: the sum of its members' hashes, hashed again with its size."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    return mixed((total[at[1:]] - total[at[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + np.diff(at).astype(np.uint64)).view(np.int64)
-
-
-def _bounds(owners: np.ndarray, n_rows: int) -> np.ndarray:
-    return np.searchsorted(owners, np.arange(n_rows + 1))
+    sizes = np.diff(at)
+    total = np.zeros(len(sizes), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        total[some] = np.add.reduceat(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][some])
+    return mixed(total * np.uint64(0x9E3779B97F4A7C15) + sizes.astype(np.uint64)).view(np.int64)
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:
@@ -93,66 +150,108 @@ def shingle_classes(docs: DataFrame, n: int) -> DataFrame:
     """Per document: the size and a 64-bit digest of its shingle set; equal sets form a class (null: no shingles).
 
     Two different sets of one size share a digest with a chance of 2^-64. ``first_part`` has the shingles in the
-    first quarter of the order, as 32-bit remainders; it is null where the task has seen the class before.
+    first quarter of the hashes, as 32-bit remainders; it is null where the task has seen the class before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
-                owners, hashes = shingle_sets(data, offsets, n)
-                at = _bounds(owners, rows.num_rows)
+                hashes, at = shingle_sets(data, offsets, n)
                 classes = _classes(hashes, at)
-                parts = []
-                for c, x, y in zip(classes.tolist(), at, at[1:]):
-                    if c in seen or x == y:
-                        parts.append(None)
-                        continue
-                    seen.add(c)
-                    own = hashes[x:y]
-                    parts.append(np.unique(own[: np.searchsorted(own, np.uint64(1 << 62))].astype(np.uint32)).tobytes())
-                if len(seen) > 200_000:
-                    seen.clear()
+                parts: list[bytes | None] = [None] * rows.num_rows
+                for i in seen.fresh(classes, at):
+                    own = hashes[at[i] : at[i + 1]]
+                    parts[i] = np.unique(own[: np.searchsorted(own, np.uint64(1 << 62))].astype(np.uint32)).tobytes()
                 yield _batch(CLASSES, rows.column("doc_id"), pa.array(np.diff(at), pa.int64()),
                              pa.array(classes, mask=np.diff(at) == 0), pa.array(parts, pa.binary()))
 
     return docs.select("doc_id", "text").mapInArrow(run, CLASSES)
 
 
-COUNTS = "fragment int, keys binary"
+class Seen:
+    """The classes that a task has met, forgotten from time to time: copies are then handled again, to no effect."""
+
+    def __init__(self, limit: int = 100_000):
+        self.known: set[int] = set()
+        self.limit = limit
+
+    def fresh(self, classes: np.ndarray, at: np.ndarray, held: np.ndarray | None = None) -> list[int]:
+        """Rows with shingles (and marked in ``held``) whose class is new."""
+        wanted = np.diff(at) > 0 if held is None else held & (np.diff(at) > 0)
+        out = []
+        for i, c in zip(np.flatnonzero(wanted).tolist(), classes[wanted].tolist()):
+            if c not in self.known:
+                self.known.add(c)
+                out.append(i)
+        if len(self.known) > self.limit:
+            self.known.clear()
+        return out
+
+
+COUNTS = "fragment int, once binary, more binary"
 FREQUENT = "key long, n long"
+#: About how many shingles a fragment of the counting holds, and a task gathers before it sends them.
+FRAGMENT = 1 << 21
 
 
-def frequent_shingles(docs: DataFrame, n: int, least: int, most: int, fragments: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, n: int, least: int, most: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles in at least ``least`` documents with their counts, over all documents.
 
-    Counting is partitioned: a task sends its shingles to ``fragments`` ranges of the hash as blocks of 24-bit
-    remainders (a count for each first byte, then the other two bytes). They only set the order of the shingles, so
-    keys of fewer bits change no result; nor does keeping the ``most`` commonest, which bounds what each task gets.
+    Counting is partitioned: a task counts the shingles of a few million of its texts' windows, as remainders of
+    24 + ``bits`` bits, and sends them to 2^``bits`` ranges of the hash, so that a shingle which very many documents
+    hold is one number per shipment. Counts only set the order of the shingles, so keys of fewer bits change no
+    result; nor does keeping the ``most`` commonest, which bounds what each task gets.
     """
-    bits = fragments.bit_length() - 1
+
+    def shipment(blocks: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate(blocks)
+        keys.sort()
+        edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts = np.diff(np.append(edges, len(keys)))
+        keys = keys[edges]
+        out: dict[int, list[bytes | None]] = {}
+        for place, rows in enumerate((counts == 1, counts > 1)):
+            own, times = keys[rows], counts[rows].astype("<u4")
+            part = (own >> np.uint64(24)).astype(np.int64)
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            low = _three(own) if place == 0 else np.stack([own.astype("<u4") & np.uint32(0xFFFFFF), times], axis=1)
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
+                out.setdefault(int(part[a]), [None, None])[place] = low[a:b].tobytes()
+        return _batch(COUNTS, pa.array(list(out), pa.int32()), *(pa.array([v[i] for v in out.values()], pa.binary()) for i in (0, 1)))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, held = [], 0
         for batch in batches:
             for _, data, offsets in slices(batch, "text"):
-                keys = np.sort(shingle_sets(data, offsets, n)[1] >> np.uint64(40 - bits))
-                at = np.searchsorted(keys, np.arange(fragments + 1).astype(np.uint64) << np.uint64(24))
-                low, high = keys.astype("<u2"), (keys >> np.uint64(16)).astype(np.uint8)
-                parts = [(i, np.bincount(high[a:b], minlength=256).astype("<u4").tobytes() + low[a:b].tobytes())
-                         for i, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
-                yield _batch(COUNTS, pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary()))
+                blocks.append(shingle_sets(data, offsets, n)[0] >> np.uint64(40 - bits))
+                held += len(blocks[-1])
+                if held >= FRAGMENT:
+                    yield shipment(blocks)
+                    blocks, held = [], 0
+        if held:
+            yield shipment(blocks)
 
     def gather(key, table):
-        blocks = []
-        for block in table.column("keys").to_pylist():
-            high = np.repeat(np.arange(256, dtype=np.uint32), np.frombuffer(block, "<u4", 256))
-            blocks.append(high << np.uint32(16) | np.frombuffer(block, "<u2", offset=1024))
-        keys = np.sort(np.concatenate(blocks))
+        keys, counts = [], []
+        for once in table.column("once").to_pylist():
+            if once:
+                three = np.frombuffer(once, np.uint8).reshape(-1, 3).astype(np.uint32)
+                keys.append(three[:, 0] | three[:, 1] << np.uint32(8) | three[:, 2] << np.uint32(16))
+                counts.append(np.ones(len(three), np.uint32))
+        for more in table.column("more").to_pylist():
+            if more:
+                pairs = np.frombuffer(more, "<u4").reshape(-1, 2)
+                keys.append(pairs[:, 0])
+                counts.append(pairs[:, 1])
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys)
+        keys = keys[order]
         edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        counts = np.diff(np.append(edges, len(keys)))
-        keep = counts >= least
+        total = np.add.reduceat(counts[order].astype(np.int64), edges)
+        keep = total >= least
         full = keys[edges[keep]].astype(np.int64) | (key[0].as_py() << 24)
-        return pa.table({"key": pa.array(full), "n": pa.array(counts[keep])})
+        return pa.table({"key": pa.array(full), "n": pa.array(total[keep])})
 
     common = saved(docs.select("text").mapInArrow(scatter, COUNTS).groupBy("fragment").applyInArrow(gather, FREQUENT))
     level = F.floor(F.log2("n") * 4)
@@ -164,46 +263,54 @@ def frequent_shingles(docs: DataFrame, n: int, least: int, most: int, fragments:
     if lowest is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     got = common.where(level >= lowest).toPandas().sort_values("key")
-    return got["key"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int32)
+    return got["key"].to_numpy(np.int64).view(np.uint64), np.minimum(got["n"], 2**31 - 1).to_numpy(np.int32)
+
 
+def _three(keys: np.ndarray) -> np.ndarray:
+    """The lowest three bytes of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3]
 
-PREFIX = "sig long, class long, at long"
 
+PREFIX = "sig long, class long, at long, hot boolean"
 
-def prefix_rows(docs: DataFrame, n: int, percent: int, order, bits: int) -> DataFrame:
+
+def prefix_rows(docs: DataFrame, n: int, percent: int, order, bits: int, hot: int) -> DataFrame:
     """A row for each shingle in a document's prefix, which holds size - ceil(percent% of size) + 1 shingles.
 
-    ``at`` packs the shingle's place and the set's size: place * 2^32 + size.
+    ``at`` packs the shingle's place and the set's size: place * 2^32 + size. ``hot`` marks the shingles that more
+    than ``hot`` documents hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = order.value
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text"):
-                owners, hashes = shingle_sets(data, offsets, n)
-                at = _bounds(owners, rows.num_rows)
+            for _, data, offsets in slices(batch, "text"):
+                hashes, at = shingle_sets(data, offsets, n)
                 classes = _classes(hashes, at)
-                fresh = np.array([c not in seen and not seen.add(c) for c in classes.tolist()], bool)
-                if len(seen) > 200_000:
-                    seen.clear()
-                keep = fresh[owners] if len(owners) else np.zeros(0, bool)
-                owners, hashes = owners[keep], hashes[keep]
-                size = np.bincount(owners, minlength=rows.num_rows)
-                common = np.zeros(len(hashes), np.int64)
-                if len(keys):
+                common = np.zeros(len(hashes), np.int32)
+                if len(keys) and len(hashes):
                     short = hashes >> np.uint64(40 - bits)
                     where = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
                     hit = keys[where] == short
                     common[hit] = counts[where[hit]]
-                ranked = np.lexsort((hashes, common, owners))
-                owners, hashes = owners[ranked], hashes[ranked]
-                begin = np.cumsum(size) - size
-                place = np.arange(len(owners)) - begin[owners]
-                keep = place < (size - -(-size * percent // 100) + 1)[owners]
-                owners = owners[keep]
-                yield _batch(PREFIX, pa.array(hashes[keep].view(np.int64)), pa.array(classes[owners]),
-                             pa.array(place[keep] << 32 | size[owners]))
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for i in seen.fresh(classes, at):
+                    a, b = int(at[i]), int(at[i + 1])
+                    size = b - a
+                    first = size - -(-size * percent // 100) + 1
+                    own = common[a:b]
+                    if own.any():
+                        rank = np.argsort(own, kind="stable")[:first]
+                    else:
+                        rank = np.arange(first)
+                    out[0].append(hashes[a + rank])
+                    out[1].append(np.full(first, classes[i]))
+                    out[2].append(np.arange(first) << 32 | size)
+                    out[3].append(own[rank] > hot)
+                if out[0]:
+                    sig, digest, place, is_hot = (np.concatenate(c) for c in out)
+                    yield _batch(PREFIX, pa.array(sig.view(np.int64)), pa.array(digest), pa.array(place), pa.array(is_hot))
 
     return docs.select("text").mapInArrow(run, PREFIX)
 
@@ -217,32 +324,24 @@ def segments(docs: DataFrame, n: int, wanted, fragments: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text"):
-                owners, hashes = shingle_sets(data, offsets, n)
-                at = _bounds(owners, rows.num_rows)
+            for _, data, offsets in slices(batch, "text"):
+                hashes, at = shingle_sets(data, offsets, n)
                 every = _classes(hashes, at)
-                hit = np.flatnonzero(_in_table(table, every) & (np.diff(at) > 0))
                 classes, parts, out = [], [], []
-                for i in hit.tolist():
-                    digest = int(every[i])
-                    if digest in seen:
-                        continue
-                    seen.add(digest)
+                for i in seen.fresh(every, at, _in_table(table, every)):
                     own = hashes[at[i] : at[i + 1]]
                     cut = np.searchsorted(own >> np.uint64(64 - bits), np.arange(fragments + 1).astype(np.uint64))
                     for part, (c, d) in enumerate(zip(cut, cut[1:])):
                         if d > c:
-                            classes.append(digest)
+                            classes.append(int(every[i]))
                             parts.append(part)
                             out.append(own[c:d])
-                if len(seen) > 200_000:
-                    seen.clear()
-                ends = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
-                flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-                yield _batch(SEGMENTS, pa.array(classes, pa.int64()), pa.array(parts, pa.int32()),
-                             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                if out:
+                    ends = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
+                    yield _batch(SEGMENTS, pa.array(classes, pa.int64()), pa.array(parts, pa.int32()),
+                                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).view(np.int64))))
 
     return docs.select("text").mapInArrow(run, SEGMENTS).groupBy("class", "fragment").agg(F.first("segment").alias("segment"))
 
@@ -342,30 +441,36 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, n: int = 5, percent: int = 75, fragments: int = 4, frequent: int = 8,
-                    most_frequent: int = 1 << 20, small: int = 4) -> DataFrame:
+                    most_frequent: int = 1 << 20, hot: int = 50_000) -> DataFrame:
     """Components of the classes (equal shingle sets) of ``docs`` under links of at least ``percent`` similarity.
 
-    ``classes`` is ``shingle_classes``' table. Classes that share a prefix shingle form its bucket. First every member is compared with the bucket's leader, the
-    class in whose order the shingle stands first; then only members that are not yet in one component are compared
-    with each other, where sizes and places allow the threshold at all. What the first round has joined needs no
-    further comparing, so a large group of near copies costs a multiple of its size, while no link is lost.
+    ``classes`` is ``shingle_classes``' table. Classes that share a prefix shingle form its bucket. First every member
+    is compared with the bucket's leader, the class in whose order the shingle stands first; then only members that
+    are not yet in one component are compared with each other, where sizes and places allow the threshold at all.
+    What the first round has joined needs no further comparing, so a large group of near copies costs a multiple of
+    its size, while no link is lost. Sets whose sizes are too far apart don't meet: members are dealt to bands of size.
     """
     spark = docs.sparkSession
-    count_fragments = 1 << max(4, (max(docs.count(), 1) // 4000).bit_length())
-    keys, counts = frequent_shingles(docs, n, frequent, most_frequent, count_fragments)
+    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    bits = max(4, (total // FRAGMENT).bit_length())
+    keys, counts = frequent_shingles(docs, n, frequent, most_frequent, bits)
     order = spark.sparkContext.broadcast((keys, counts))
 
-    bucket = Window.partitionBy("sig").orderBy("at", "class")
-    rows = prefix_rows(docs, n, percent, order, count_fragments.bit_length() - 1)
-    rows = rows.withColumn("lead", F.first("class").over(bucket)).withColumn("lead_at", F.first("at").over(bucket)).withColumn(
-        "_prev", F.lag("class").over(bucket)).withColumn("_next", F.lead("class").over(bucket))
+    rows = prefix_rows(docs, n, percent, order, bits, hot)
     # of two sets that reach the threshold, the smaller has its first common shingle in an even shorter part
     early = F.expr(f"(at >> 32) * {100 + percent} <= (at & 4294967295) * {100 - percent} + {100 + percent}")
+    bucket = Window.partitionBy("sig").orderBy("at", "class")
     whole = Window.partitionBy("sig")
-    rows = rows.withColumn("_early", F.max(early).over(whole)).where("_early")
+    led = rows.where("NOT hot").withColumn("lead", F.first("class").over(bucket)).withColumn("lead_at", F.first("at").over(bucket)).withColumn(
+        "_prev", F.lag("class").over(bucket)).withColumn("_next", F.lead("class").over(bucket)).withColumn("_early", F.max(early).over(whole)).where("_early")
     copy = F.col("_prev").isNotNull() & (F.col("_prev") == F.col("class"))
     alone = F.col("_prev").isNull() & F.col("_next").isNull()
-    packed = saved(rows.where(~copy & ~alone).select("sig", "class", "at", "lead", "lead_at"))
+    led = led.where(~copy & ~alone).select("sig", "class", "at", "lead", "lead_at")
+    # a bucket that very many documents share is no window's group: its leader is a grouped minimum, joined to its rows
+    shared = rows.where("hot").select("sig", "class", "at").distinct()
+    head = shared.groupBy("sig").agg(F.min(F.struct("at", "class")).alias("head"), F.max(early).alias("_early"), F.count("*").alias("_n"))
+    head = head.where("_early AND _n > 1").select("sig", F.col("head.class").alias("lead"), F.col("head.at").alias("lead_at"))
+    packed = saved(led.unionByName(shared.join(head, "sig")))
     size, place = "{0} & 4294967295", "{0} >> 32"
     members = packed.select("sig", "class", F.expr(size.format("at")).alias("n"), F.expr(place.format("at")).alias("place"), "lead",
                             F.expr(size.format("lead_at")).alias("lead_n"), F.expr(place.format("lead_at")).alias("lead_place"))
@@ -389,8 +494,12 @@ def similar_classes(docs: DataFrame, classes: DataFrame, n: int = 5, percent: in
     mixed_buckets = labelled.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where(
         "_lo <> _hi").select("sig")
     open_ = saved(labelled.join(mixed_buckets, "sig"))
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, F.expr("x.sig = y.sig AND x.component <> y.component AND x.class < y.class AND " + possible("x.n", "x.place", "y.n", "y.place"))).select(
+    # sizes that reach the threshold differ by a factor of 100 / percent at most, so they are in one band or in adjacent ones
+    band = F.floor(F.log(F.col("n") + F.lit(0.0)) / np.log(100 / percent) + 1e-9).cast("int")
+    x = open_.withColumn("band", band).alias("x")
+    y = open_.withColumn("band", F.explode(F.sequence(band - 1, band + 1))).alias("y")
+    rest = x.join(y, F.expr("x.sig = y.sig AND x.band = y.band AND x.component <> y.component AND x.class < y.class AND "
+                            + possible("x.n", "x.place", "y.n", "y.place"))).select(
         F.col("x.class").alias("a"), F.col("x.n").alias("na"), F.col("y.class").alias("b"), F.col("y.n").alias("nb")).distinct()
     rest = saved(rest.join(tried, ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
     rest = saved(plausible(classes, rest, percent))
@@ -430,23 +539,26 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs``, with all columns, less all but one of each near-duplicate component.
 
     The row with the least doc_id stays (a null id only where there is no other). Texts without words all stay.
+    Columns may have any names; an empty table gives no rows.
     """
     classes, named = _grouped(docs.select("doc_id", "text"), n, percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("kept")
     kept = classes.where("class IS NOT NULL").join(named.select("class", "component"), "class").groupBy("component").agg(
-        first).select(F.col("kept.doc_id").alias("_id"), F.col("kept.class").alias("_of"))
+        first).select(F.col("kept.doc_id").alias("id"), F.col("kept.class").alias("of"))
     names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]  # the table's own names may be any
+    text, doc_id = inner[names.index("text")], inner[names.index("doc_id")]
+    plain = docs.toDF(*inner)
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text"):
-                owners, hashes = shingle_sets(data, offsets, n)
-                at = _bounds(owners, rows.num_rows)
+            for rows, data, offsets in slices(batch, text):
+                hashes, at = shingle_sets(data, offsets, n)
                 own = pa.array(_classes(hashes, at), mask=np.diff(at) == 0)
-                yield pa.RecordBatch.from_arrays([*rows.columns, own], [*names, "_class"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, own], [*inner, "class"])
 
-    rows = docs.mapInArrow(classed, T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
-    same = F.expr("_class = _of AND doc_id <=> _id")
-    copies = Window.partitionBy("_class", "doc_id").orderBy("text")
-    one = rows.where("_class IS NOT NULL").join(kept, same).withColumn("_copy", F.row_number().over(copies)).where("_copy = 1")
-    return one.select(*names).unionByName(rows.where("_class IS NULL").select(*names))
+    rows = plain.mapInArrow(classed, T.StructType([*plain.schema.fields, T.StructField("class", T.LongType())]))
+    same = F.col("class").eqNullSafe(F.col("of")) & F.col(doc_id).eqNullSafe(F.col("id"))
+    copies = Window.partitionBy("class", doc_id).orderBy(text)
+    one = rows.where("class IS NOT NULL").join(kept, same).withColumn("copy", F.row_number().over(copies)).where("copy = 1")
+    return one.select(*inner).unionByName(rows.where("class IS NULL").select(*inner)).toDF(*names)

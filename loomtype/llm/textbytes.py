@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 500_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows of about ``limit`` text bytes (one row at least).
 
     Yields (rows, bytes, offsets): row i's text is ``bytes[offsets[i]:offsets[i + 1]]``; a null text is empty.
@@ -27,3 +27,9 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterat
 
 def clean(texts: pa.Array) -> list[str]:
     return ["" if t is None else t for t in texts.to_pylist()]
+
+
+def runs(batch: pa.RecordBatch, column: str, limit: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Runs of rows as in ``slices``, with their texts as strings (null: empty)."""
+    for rows, _, _ in slices(batch, column, limit):
+        yield rows, clean(rows.column(column))

@@ -1,14 +1,16 @@
 """Token ids of whole texts by way of a cache of the pieces that the pre-tokenizer cuts.
 
 Works on whole batches: numpy finds the pieces' borders and hashes, and the tokenizers library is asked once for
-each distinct piece.
+each distinct piece. A piece that is found by its hash is compared with the one that was encoded.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import regex
@@ -74,10 +76,6 @@ def piece_starts(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return starts
 
 
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -85,65 +83,106 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+LONG = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of ``data`` (bytes, with at least eight more behind the last span).
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << n.bit_length()
-        for i, base in enumerate((MULTIPLIER, INVERSE)):
-            full = np.full(size, base, np.uint64)
-            full[0] = 1
-            _powers[i] = np.cumprod(full, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    A span's eight-byte words are mixed in one after the other, its length first; spans of ``LONG`` bytes or more are
+    hashed by BLAKE2b. Neither is linear in the bytes, so repetitive texts collide no more than others.
+    """
+    lengths = ends - starts
+    words = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+    out = lengths.astype(np.uint64) * _STEP
+    at, left, who = starts, lengths, np.flatnonzero(lengths < LONG)
+    if len(who) < len(starts):
+        for i in np.flatnonzero(lengths >= LONG).tolist():
+            out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        at, left = starts[who], lengths[who]
+    state = out[who]
+    while len(who):
+        chunk = words[at]
+        short = left < 8
+        chunk[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        state = mixed((state ^ chunk) * _STEP + np.uint64(1))
+        out[who] = state
+        more = left > 8
+        at, left, who, state = at[more] + 8, left[more] - 8, who[more], state[more]
+    return out
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of well-mixed ``values``: a polynomial hash from prefix sums, all modulo 2^64."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], dtype=np.uint64, out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def _appended(store: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """``store`` with ``more`` behind its first ``used`` items, grown by half or more where it is full, and what is used."""
+    if used + len(more) > len(store):
+        store = np.concatenate([store[:used], np.zeros(max(len(store) // 2, len(more)), store.dtype)])
+    store[used : used + len(more)] = more
+    return store, used + len(more)
 
 
 class WordIds:
     """Encodes texts with the tokenizers library, asking it only once for each distinct piece.
 
-    Merges never cross pieces, so a text's ids are its pieces' ids in order. Texts that hold a special token's
-    string go to the library whole. Known pieces are dropped when there are more than ``limit``; that changes the
-    speed, never the ids.
+    Merges never cross pieces, so a text's ids are its pieces' ids in order, and a text may be cut where a piece
+    begins. Special tokens' strings stand for their ids. Every piece is compared with the cached piece of its hash;
+    a text with a piece of which the hash is taken goes to the library. Known pieces are dropped when there are more
+    than ``limit``; that changes the speed, never the ids.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            self.specials = [t["content"] for t in json.load(file).get("added_tokens", [])]
+            specials = {t["content"]: t["id"] for t in json.load(file).get("added_tokens", [])}
+        self.special_ids = specials
+        self.specials = regex.compile("|".join(regex.escape(t) for t in sorted(specials, key=len, reverse=True))) if specials else None
         self.limit = limit
         self.forget()
 
     def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.begins, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        got = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        # rows: hash (in order), first id, number of ids, first byte, number of bytes
+        self.table = np.zeros((5, 0), np.int64)
+        self.hashes = self.table[0].view(np.uint64)
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+        self.bytes, self.n_bytes = np.zeros(1 << 16, np.uint8), 0
+
+    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Encode new pieces, given in the order of their hashes."""
+        got = [e.ids for e in self.library.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in pieces], add_special_tokens=False)]
         counts = np.array([len(x) for x in got], np.int64)
-        begins = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
-        order = np.argsort(at := np.concatenate([self.hashes, hashes]), kind="stable")
-        self.hashes = at[order]
-        self.begins = np.concatenate([self.begins, begins])[order]
-        self.counts = np.concatenate([self.counts, counts])[order]
+        widths = np.array([len(x) for x in pieces], np.int64)
+        new = np.stack([hashes.view(np.int64), self.n_ids + np.cumsum(counts) - counts, counts, self.n_bytes + np.cumsum(widths) - widths, widths])
+        self.ids, self.n_ids = _appended(self.ids, self.n_ids, np.array([i for x in got for i in x], np.uint32))
+        self.bytes, self.n_bytes = _appended(self.bytes, self.n_bytes, np.frombuffer(b"".join(pieces), np.uint8))
+        self.table = np.insert(self.table, np.searchsorted(self.hashes, hashes), new, axis=1)
+        self.hashes = self.table[0].view(np.uint64)
+
+    def taken(self, at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The pieces that are not the cached ones that their hashes led to. Eight bytes' hash has no other preimage of that length."""
+        widths = ends - starts
+        differs = self.table[4][at] != widths
+        long = np.flatnonzero((widths > 8) & ~differs)
+        if len(long):
+            widths = widths[long]
+            step = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
+            other = self.bytes[np.repeat(self.table[3][at[long]], widths) + step] != data[np.repeat(starts[long], widths) + step]
+            differs[long] = np.bitwise_or.reduceat(other, np.cumsum(widths) - widths)
+        return np.flatnonzero(differs)
 
     def encode_turn(self, texts: list[str]) -> list[np.ndarray]:
         points, bounds = code_points(texts)
         starts = np.flatnonzero(piece_starts(points, bounds))
-        ends = np.append(starts[1:], len(points))
-        hashes = span_hashes(mixed(points.astype(np.uint64) + np.uint64(1)), starts, ends)
+        raw = "".join(texts).encode("utf-8", "surrogatepass")
+        data = np.frombuffer(raw + bytes(8), np.uint8)
+        places = starts
+        if len(raw) != len(points):
+            width = 1 + (points > 0x7F).astype(np.uint8) + (points > 0x7FF) + (points > 0xFFFF)
+            places = (np.cumsum(width, dtype=np.int64) - width)[starts]
+        ends = np.append(places[1:], len(raw))
+        hashes = span_hashes(data, places, ends)
         known, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hashes) > self.limit:
             self.forget()
@@ -152,28 +191,66 @@ class WordIds:
         inside = at < len(self.hashes)
         new[inside] = self.hashes[at[inside]] != known[inside]
         if new.any():
-            whole = "".join(texts)
-            self.learn(known[new], [whole[starts[i] : ends[i]] for i in where[new]])
+            self.learn(known[new], [raw[places[i] : ends[i]] for i in where[new]])
             at = np.searchsorted(self.hashes, known)
         at = at[back]
-        counts = self.counts[at]
+        counts = self.table[2][at]
         upto = np.cumsum(counts)
-        flat = self.ids[np.repeat(self.begins[at] - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)]
-        edge = np.concatenate([[0], upto])[np.searchsorted(starts, bounds)]
-        return [flat[a:b] for a, b in zip(edge[:-1], edge[1:])]
-
-    def encode(self, texts: list[str], per_turn: int = 2_000_000) -> list[np.ndarray]:
-        """Ids of each text."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        turn, size = [], 0
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.specials):
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                turn.append(i)
-                size += len(text)
-            if size >= per_turn or i + 1 == len(texts) and turn:
-                for k, ids in zip(turn, self.encode_turn([texts[k] for k in turn])):
-                    out[k] = ids
-                turn, size = [], 0
+        flat = self.ids[np.repeat(self.table[1][at] - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)]
+        firsts = np.searchsorted(starts, bounds)
+        edge = np.concatenate([[0], upto])[firsts]
+        out = [flat[a:b] for a, b in zip(edge[:-1], edge[1:])]
+        for i in np.unique(np.searchsorted(firsts, self.taken(at, data, places, ends), "right") - 1).tolist():
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
+
+    def parts(self, text: str, size: int) -> Iterator[str]:
+        """``text`` in parts of about ``size`` characters, cut where a piece begins.
+
+        Not between white space and what follows it: there the end of a part would join what the text keeps apart.
+        """
+        at, width = 0, size
+        while len(text) - at > width:
+            window = text[at : at + width + 8]
+            points, bounds = code_points([window])
+            gap = classes()[points] >= BLANK
+            fit = piece_starts(points, bounds)
+            fit[1:] &= gap[1:] | ~gap[:-1]
+            starts = np.flatnonzero(fit[: width + 1])
+            if len(starts) > 1:
+                yield text[at : at + int(starts[-1])]
+                at, width = at + int(starts[-1]), size
+            else:
+                width *= 2
+        yield text[at:]
+
+    def encode(self, texts: list[str], per_turn: int = 500_000) -> list[np.ndarray]:
+        """Ids of each text, from turns of about ``per_turn`` characters; long texts are cut."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        turn: list[str] = []
+        slots: list[tuple[list, int]] = []
+        size = 0
+
+        def finish() -> None:
+            for (own, k), ids in zip(slots, self.encode_turn(turn)):
+                own[k] = ids
+            turn.clear()
+            slots.clear()
+
+        for own, text in zip(out, texts):
+            at = 0
+            for m in [*(self.specials.finditer(text) if self.specials else ()), None]:
+                for part in self.parts(text[at : m.start() if m else len(text)], per_turn):
+                    turn.append(part)
+                    slots.append((own, len(own)))
+                    own.append(None)
+                    size += len(part)
+                    if size >= per_turn:
+                        finish()
+                        size = 0
+                if m:
+                    own.append(np.array([self.special_ids[m[0]]], np.uint32))
+                    at = m.end()
+        if turn:
+            finish()
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]

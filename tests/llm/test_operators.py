@@ -415,3 +415,121 @@ def test_neighbours(spark):
     assert hits / (20 * len(got)) > 0.9
     assert nearest(frame.where("vec_id < 0")).count() == 0
     assert nearest(frame.where("vec_id IN (0, 1, 2)")).count() == 2
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_repetitive_texts_keep_apart(spark):
+    from tokenizers import Tokenizer
+
+    from loomtype.llm.packing import pack
+    from loomtype.llm.shingles import near_duplicate_components
+    from loomtype.llm.wordcache import WordIds
+
+    library, words = Tokenizer.from_file(tokenizer()), WordIds(tokenizer())
+    texts = [w for n in (1024, 2048, 4096) for w in thue_morse(n)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(x) for x in words.encode(texts)] == want
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = {r["doc_id"]: r["ids_crc32"] for r in pack(frame, tokenizer()).where("piece = 0").collect()}
+    for i, ids in enumerate(want):
+        ids = [*ids, 2]
+        assert first[i] == zlib.crc32(np.array(ids[: (len(ids) - 1) % 1024 + 1], "<u4").tobytes())
+    assert all(r["component_id"] == r["doc_id"] for r in near_duplicate_components(frame).collect())
+
+
+def test_pieces_with_a_taken_hash_go_to_the_library():
+    from loomtype.llm import wordcache
+
+    texts = ["a longerwordthaneight byte", "longerwordthanseven", "longerwordthanninet longerwordthanseven", "x", "yy", ""]
+    want = [list(x) for x in wordcache.WordIds(tokenizer()).encode(texts)]
+    good = wordcache.span_hashes
+    wordcache.span_hashes = lambda data, starts, ends: np.where(ends - starts > 8, np.uint64(7), good(data, starts, ends))
+    try:
+        assert [list(x) for x in wordcache.WordIds(tokenizer()).encode(texts * 4, per_turn=30)] == want * 4
+    finally:
+        wordcache.span_hashes = good
+
+
+@pytest.mark.parametrize("per_turn", [1, 7, 60])
+def test_cutting_long_texts_changes_no_ids(per_turn):
+    from tokenizers import Tokenizer
+
+    from loomtype.llm.wordcache import WordIds
+
+    dice = random.Random(8)
+    odd = ["".join(dice.choice("ab's  t\n\t'relv'mdé1²½ 9!-<|endoftext|>　\x85\x1c​漢🙂.") for _ in range(dice.randrange(90))) for _ in range(400)]
+    odd += ["a<|endoftext|>b", "<|endoftext|><|endoftext|> x", "", "q" * 500]
+    want = [e.ids for e in Tokenizer.from_file(tokenizer()).encode_batch(odd, add_special_tokens=False)]
+    assert [list(x) for x in WordIds(tokenizer()).encode(odd, per_turn)] == want
+
+
+@pytest.mark.parametrize("size", [7, 40, 500_000])
+def test_shingle_sets_read_in_parts(size):
+    import pyarrow as pa
+
+    from loomtype.llm.shingles import shingle_sets
+    from loomtype.llm.textbytes import slices
+
+    dice = random.Random(2)
+    texts = [" ".join(dice.choice(["a", "B", "b", "word" * dice.randrange(1, 30), "é漢", "x9"]) for _ in range(dice.randrange(30))) for _ in range(150)]
+    texts += ["", None, " \n ", " a", "a ", "a b c d\n", "q" * 900]
+    names, seen = {}, 0
+    for rows, data, offsets in slices(pa.record_batch({"text": pa.array(texts, pa.string())}), "text", size):
+        hashes, at = shingle_sets(data, offsets, 5, size)
+        for i in range(rows.num_rows):
+            w = re.findall(WORD, (texts[seen] or "").translate({c: c + 32 for c in range(65, 91)}))
+            want = frozenset(" ".join(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([" ".join(w)] if w else [])
+            own = hashes[at[i] : at[i + 1]].tolist()
+            assert own == sorted(set(own)) and len(own) == len(want) and names.setdefault(want, own) == own
+            seen += 1
+    assert seen == len(texts) and len({tuple(v) for v in names.values()}) == len(names)
+
+
+def test_a_very_long_text_needs_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+sys.path.insert(0, {root!r})
+import numpy as np, pyarrow as pa
+from loomtype.llm.shingles import shingle_sets
+from loomtype.llm.textbytes import slices
+from loomtype.llm.wordcache import WordIds
+words = WordIds({path!r})
+words.encode(["warm up " * 100000])
+dice = np.random.default_rng(1)
+raw = dice.integers(97, 123, 30_000_000, np.uint8)
+raw[::6] = 32
+text = pa.array([raw.tobytes().decode()], pa.string())
+del raw
+batch = pa.record_batch({{"text": text}})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for rows, data, offsets in slices(batch, "text"):
+    n = len(shingle_sets(data, offsets, 5)[0])
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code.format(root=root, path=tokenizer())], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 4_900_000 and int(out[1]) < 110  # the set itself is 40 MB
+
+
+def test_mixture_stages_allow_any_column_names(spark, docs, rows, nothing):
+    from loomtype.llm.quality import keep_good
+    from loomtype.llm.shingles import keep_one
+
+    odd = ["_class", "_of", "_id", "_copy", "_score", "class", "of", "id", "copy", "score"]
+    wide = docs.selectExpr("*", *[f"{i} AS `{c}`" for i, c in enumerate(odd)])
+    labels = spark.createDataFrame([(i * 3, 1, 0) for i in range(40)] + [(i * 3, 0, 0) for i in range(40, 60)], "doc_id long, quality int, toxic int")
+    one, good = keep_one(wide), keep_good(wide, labels)
+    assert one.columns == good.columns == wide.columns
+    assert one.count() == keep_one(docs).count() and good.count() == keep_good(docs, labels).count()
+    assert keep_one(nothing).count() == 0 and keep_good(nothing, labels).count() == 0
