@@ -533,3 +533,24 @@ def test_mixture_stages_allow_any_column_names(spark, docs, rows, nothing):
     assert one.columns == good.columns == wide.columns
     assert one.count() == keep_one(docs).count() and good.count() == keep_good(docs, labels).count()
     assert keep_one(nothing).count() == 0 and keep_good(nothing, labels).count() == 0
+
+
+def test_another_seed_draws_other_shard_counts(docs):
+    from pyspark.sql import functions as F
+
+    from loomtype.llm.mixing import mix_sources
+
+    drawn, near = [], []
+    for seed in (1, 2):
+        mix = mix_sources(docs, block=8, shard_slots=128, seed=seed)
+        counts = {(r["shard"], r["source"]): r["count"] for r in mix.shard_counts().collect()}
+        shards = {s for s, _ in counts}
+        assert len(shards) > 3 and all(sum(n for (s, _), n in counts.items() if s == shard) == 128 for shard in shards - {max(shards)})
+        taken = mix.taken()
+        drawn.append(counts)
+        near.append({r["source"]: r["share"] for r in taken.groupBy("source").agg((F.sum("taken") / F.max("target")).alias("share")).collect()})
+        # what a document's row says of shards is what the slots say of its blocks
+        used = mix.slots.groupBy("_i", "block").agg(F.min("shard").alias("lo"))
+        pieces = mix.pieces().join(used, ["_i", "block"])
+        assert pieces.where("first_shard <> lo").isEmpty() and taken.where("taken > 0 AND first_shard IS NULL").isEmpty()
+    assert drawn[0] != drawn[1] and all(abs(v - 1) < 0.1 for n in near for v in n.values())
