@@ -414,6 +414,15 @@ def test_neighbours(spark):
         hits += len(set(np.lexsort((np.arange(1500), -score))[:20].tolist()) & {v for _, v, _ in found})
     assert hits / (20 * len(got)) > 0.9
     assert nearest(frame.where("vec_id < 0")).count() == 0
+    # the same from several shards, a table of doubles beyond the range of floats, and columns of clashing names
+    wide = frame.selectExpr("vec_id", "transform(embedding, v -> v * 1e100D) AS embedding", "1 AS shard", "true AS query", "0 AS rank", "vec_id AS query_id")
+    more = collections.defaultdict(list)
+    for r in nearest(wide, shards=5).orderBy("query_id", "rank").collect():
+        more[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert set(more) == set(got)
+    for q, found in more.items():
+        assert [f[0] for f in found] == list(range(1, 21)) and all(abs(s / 1e100 / 1e100 - y[q] @ y[v]) < 1e-6 for _, v, s in found)
+    assert sum(len({v for _, v, _ in more[q]} & {v for _, v, _ in got[q]}) for q in got) / (20 * len(got)) > 0.9
     assert nearest(frame.where("vec_id IN (0, 1, 2)")).count() == 2
 
 
