@@ -282,10 +282,13 @@ def test_chat_trees(spark):
     talks = {1: [("system", "s"), ("user", "hi"), ("assistant", "yo")], 2: [("system", "s"), ("user", "hi"), ("assistant", "other")], 3: [("system", "s"), ("user", "bye")],
              4: [("user", "a\nb % <|im_end|>"), ("assistant", "é漢 <|endoftext|>"), ("assistant", "")], 5: [("as%\nsist", "x")]}
     talks |= {9: [("user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(60)]}
+    talks |= {100 + i: [*talks[9][:i], ("user", f"leaves at {i}"), ("assistant", f"ok {i % 3}")] for i in range(0, 40, 3)}
+    talks |= {200 + i: [*talks[9][:30], ("user", "other"), ("assistant", f"x{i // 2}")] for i in range(7)}
     data = [(c, t, r, x) for c, turns in talks.items() for t, (r, x) in enumerate(turns)] + [(6, 0, None, None), (None, 1, "user", "no id")]
     rows = mark_test_rows(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), -1, "<|im_end|><|im_start|>assistant ok")
     talks |= {6: [("", "")], None: [("user", "no id")], -1: [("user", "<|im_end|><|im_start|>assistant ok"), ("assistant", "<|im_end|><|im_start|>assistant ok")]}
-    trees = prefix_trees(rows, tokenizer())
+    rows = rows.selectExpr("*", "'c' AS node", "1 AS part", "2 AS depth")
+    trees = prefix_trees(rows, tokenizer(), parts=7)  # so that long conversations are chained across partitions
     got = {r["conv_id"]: r for r in read_back(trees, tokenizer()).collect()}
     assert set(got) == set(talks)
     for c, turns in talks.items():
@@ -297,8 +300,21 @@ def test_chat_trees(spark):
     for tree in {n["tree"] for n in nodes}:
         own = sorted((n["start"], n["stop"]) for n in nodes if n["tree"] == tree)
         assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
-    for n in nodes:
-        assert n["position"] == sum(b - a for a, b in n["attends"]) and all(b <= n["start"] for _, b in n["attends"])
+    at = {n["node"]: n for n in nodes}
+    paths = collections.defaultdict(list)
+    for t in sorted(trees.turns.collect(), key=lambda t: t["depth"]):
+        assert (t["tree"], t["start"]) == (at[t["node"]]["tree"], at[t["node"]]["start"]) and t["depth"] == len(paths[t["conv_id"]])
+        paths[t["conv_id"]].append(at[t["node"]])
+    assert {c: len(x) for c, x in paths.items()} == {c: len(x) for c, x in talks.items()}
+    for path in paths.values():
+        for depth, n in enumerate(path):
+            seen = [i for a, b in n["attends"] for i in range(a, b)]
+            assert seen == [i for p in path[:depth] for i in range(p["start"], p["stop"])] and len(seen) == n["position"]
+            assert len(n["attends"]) <= 6
+    for n in nodes:  # depth first: all below a node follows it at once
+        below = [p["stop"] for path in paths.values() if n in path for p in path[path.index(n) :]]
+        size = sum(m["stop"] - m["start"] for m in {m["node"]: m for path in paths.values() if n in path for m in path[path.index(n) :]}.values())
+        assert max(below) == n["start"] + size
     empty = rows.where("false")
     assert read_back(prefix_trees(empty, tokenizer()), tokenizer()).count() == 0
 
