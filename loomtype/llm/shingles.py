@@ -271,14 +271,14 @@ def _three(keys: np.ndarray) -> np.ndarray:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3]
 
 
-PREFIX = "sig long, class long, at long, hot boolean"
+PREFIX = "sig long, class long, at long"
 
 
-def prefix_rows(docs: DataFrame, n: int, percent: int, order, bits: int, hot: int) -> DataFrame:
+def prefix_rows(docs: DataFrame, n: int, percent: int, order, bits: int, least: int, most: int) -> DataFrame:
     """A row for each shingle in a document's prefix, which holds size - ceil(percent% of size) + 1 shingles.
 
-    ``at`` packs the shingle's place and the set's size: place * 2^32 + size. ``hot`` marks the shingles that more
-    than ``hot`` documents hold.
+    ``at`` packs the shingle's place and the set's size: place * 2^32 + size. Only shingles whose count in ``order``
+    (0 if it is not there) is from ``least`` to ``most`` have rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,7 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, order, bits: int, hot: in
                     where = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
                     hit = keys[where] == short
                     common[hit] = counts[where[hit]]
-                out: list[list[np.ndarray]] = [[], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], []]
                 for i in seen.fresh(classes, at):
                     a, b = int(at[i]), int(at[i + 1])
                     size = b - a
@@ -304,13 +304,13 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, order, bits: int, hot: in
                         rank = np.argsort(own, kind="stable")[:first]
                     else:
                         rank = np.arange(first)
-                    out[0].append(hashes[a + rank])
-                    out[1].append(np.full(first, classes[i]))
-                    out[2].append(np.arange(first) << 32 | size)
-                    out[3].append(own[rank] > hot)
+                    place = np.flatnonzero((own[rank] >= least) & (own[rank] <= most))
+                    out[0].append(hashes[a + rank[place]])
+                    out[1].append(np.full(len(place), classes[i]))
+                    out[2].append(place << 32 | size)
                 if out[0]:
-                    sig, digest, place, is_hot = (np.concatenate(c) for c in out)
-                    yield _batch(PREFIX, pa.array(sig.view(np.int64)), pa.array(digest), pa.array(place), pa.array(is_hot))
+                    sig, digest, place = (np.concatenate(c) for c in out)
+                    yield _batch(PREFIX, pa.array(sig.view(np.int64)), pa.array(digest), pa.array(place))
 
     return docs.select("text").mapInArrow(run, PREFIX)
 
@@ -456,21 +456,23 @@ def similar_classes(docs: DataFrame, classes: DataFrame, n: int = 5, percent: in
     keys, counts = frequent_shingles(docs, n, frequent, most_frequent, bits)
     order = spark.sparkContext.broadcast((keys, counts))
 
-    rows = prefix_rows(docs, n, percent, order, bits, hot)
+    rows = prefix_rows(docs, n, percent, order, bits, 0, hot)
     # of two sets that reach the threshold, the smaller has its first common shingle in an even shorter part
     early = F.expr(f"(at >> 32) * {100 + percent} <= (at & 4294967295) * {100 - percent} + {100 + percent}")
     bucket = Window.partitionBy("sig").orderBy("at", "class")
     whole = Window.partitionBy("sig")
-    led = rows.where("NOT hot").withColumn("lead", F.first("class").over(bucket)).withColumn("lead_at", F.first("at").over(bucket)).withColumn(
+    led = rows.withColumn("lead", F.first("class").over(bucket)).withColumn("lead_at", F.first("at").over(bucket)).withColumn(
         "_prev", F.lag("class").over(bucket)).withColumn("_next", F.lead("class").over(bucket)).withColumn("_early", F.max(early).over(whole)).where("_early")
     copy = F.col("_prev").isNotNull() & (F.col("_prev") == F.col("class"))
     alone = F.col("_prev").isNull() & F.col("_next").isNull()
-    led = led.where(~copy & ~alone).select("sig", "class", "at", "lead", "lead_at")
-    # a bucket that very many documents share is no window's group: its leader is a grouped minimum, joined to its rows
-    shared = rows.where("hot").select("sig", "class", "at").distinct()
-    head = shared.groupBy("sig").agg(F.min(F.struct("at", "class")).alias("head"), F.max(early).alias("_early"), F.count("*").alias("_n"))
-    head = head.where("_early AND _n > 1").select("sig", F.col("head.class").alias("lead"), F.col("head.at").alias("lead_at"))
-    packed = saved(led.unionByName(shared.join(head, "sig")))
+    packed = led.where(~copy & ~alone).select("sig", "class", "at", "lead", "lead_at")
+    if len(counts) and counts.max() > hot:
+        # a bucket that very many documents share is no window's group: its leader is a grouped minimum, joined to its rows
+        shared = saved(prefix_rows(docs, n, percent, order, bits, hot + 1, 2**31 - 1).distinct())
+        head = shared.groupBy("sig").agg(F.min(F.struct("at", "class")).alias("head"), F.max(early).alias("_early"), F.count("*").alias("_n"))
+        head = head.where("_early AND _n > 1").select("sig", F.col("head.class").alias("lead"), F.col("head.at").alias("lead_at"))
+        packed = packed.unionByName(shared.join(head, "sig"))
+    packed = saved(packed)
     size, place = "{0} & 4294967295", "{0} >> 32"
     members = packed.select("sig", "class", F.expr(size.format("at")).alias("n"), F.expr(place.format("at")).alias("place"), "lead",
                             F.expr(size.format("lead_at")).alias("lead_n"), F.expr(place.format("lead_at")).alias("lead_place"))

@@ -579,3 +579,19 @@ def test_another_seed_draws_other_shard_counts(docs):
         pieces = mix.pieces().join(used, ["_i", "block"])
         assert pieces.where("first_shard <> lo").isEmpty() and taken.where("taken > 0 AND first_shard IS NULL").isEmpty()
     assert drawn[0] != drawn[1] and all(abs(v - 1) < 0.1 for n in near for v in n.values())
+
+
+def test_frequent_shingles_take_the_other_way_to_the_same_links(spark, docs):
+    from loomtype.llm.shingles import saved, shingle_classes, similar_classes
+
+    dice = random.Random(12)
+    base = [dice.choice(WORDS) for _ in range(60)]
+    texts = [" ".join([*base[:i], f"new{i}", *base[i + 1 :]]) for i in range(60)] + [" ".join(base[:50] + [f"t{i}"]) for i in range(30)]
+    more = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    classes = saved(shingle_classes(more, 5))
+    found = [sorted(map(tuple, similar_classes(more, classes, frequent=2, hot=hot).collect())) for hot in (50_000, 3, 1)]
+    group = [collections.defaultdict(set) for _ in found]
+    for rows_, by in zip(found, group):
+        for c, component in rows_:
+            by[component].add(c)
+    assert sorted(map(sorted, group[0].values())) == sorted(map(sorted, group[1].values())) == sorted(map(sorted, group[2].values())) and len(found[0]) > 80
