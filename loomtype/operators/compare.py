@@ -25,9 +25,9 @@ def compare_many(scores: DataFrame, alleles: list[str], dx: float = 1e-6) -> Dat
 
 
 def reads_by_locus(assigned: DataFrame) -> DataFrame:
-    """Reads under their gene; a read without one is an error."""
+    """``locus, read_id``: the reads of each gene, each once; a read without one is an error."""
     locus = F.coalesce("locus", F.raise_error(F.concat(F.lit("read without a gene: "), F.col("read_id").cast("string"))))
-    return assigned.groupBy(locus.alias("locus")).agg(F.array_sort(F.collect_set("read_id")).alias("reads"))
+    return assigned.select(locus.alias("locus"), "read_id").distinct()
 
 
 def read_intervals(scores: DataFrame, read_size: int = 100) -> DataFrame:
@@ -37,10 +37,9 @@ def read_intervals(scores: DataFrame, read_size: int = 100) -> DataFrame:
 
 def group_by_boundary(reads: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Put each read into the region whose boundary precedes its position (the later one of a pair); the last is open."""
-    nxt = F.lead("pos").over(Window.partitionBy("locus").orderBy("pos"))
-    spans = boundaries.select("locus", "region", F.col("pos").alias("_lo"), nxt.alias("_hi"))
-    inside = (reads["locus"] == spans["locus"]) & (reads["pos"] >= spans["_lo"]) & (spans["_hi"].isNull() | (reads["pos"] < spans["_hi"]))
-    return reads.join(spans, inside).select(reads["*"], "region")
+    marks = boundaries.groupBy("locus").agg(F.array_sort(F.collect_list(F.struct("pos", "region"))).alias("_marks"))
+    met = reads.join(marks, "locus").withColumn("_m", F.filter("_marks", lambda m: m["pos"] <= F.col("pos"))).where("size(_m) > 0")
+    return met.withColumn("region", F.try_element_at("_m", F.lit(-1))["region"]).select(*[F.col(c) for c in reads.columns], "region")
 
 
 def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

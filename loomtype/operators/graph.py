@@ -24,7 +24,9 @@ def allele_graph(resolved: DataFrame) -> DataFrame:
 def join_same_paths(edges: DataFrame) -> DataFrame:
     """Unbranched runs of edges as one: edges whose end has one way in and one way out continue a run.
 
-    Returns ``src, run, stop, letters`` for runs along positions: chains are found as islands, not by walking.
+    Returns ``src, run, stop, letters`` for runs along positions: chains are found as islands, not by walking. A node's
+    letter is in the run of its way out; at the end of all paths it is in the run of its way in, or, of several ways
+    in, a run of its own.
     """
     out_n = edges.groupBy(*GROUP, F.col("src").alias("pos"), F.col("src_ch").alias("ch")).agg(F.count("*").alias("out_n"))
     in_n = edges.groupBy(*GROUP, F.col("dst").alias("pos"), F.col("dst_ch").alias("ch")).agg(F.count("*").alias("in_n"))
@@ -34,7 +36,27 @@ def join_same_paths(edges: DataFrame) -> DataFrame:
     new = F.when(F.col("_on").isNull() | (F.lag("dst").over(along) != F.col("src")) | F.lag("dst").over(along).isNull(), 1).otherwise(0)
     numbered = marked.withColumn("_new", new).withColumn("run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "src_ch"))), lambda x: x["src_ch"]), "")
-    return numbered.groupBy(*GROUP, "alleles", "run").agg(F.min("src").alias("src"), F.max("dst").alias("stop"), letters.alias("letters"))
+    ends = in_n.join(out_n, [*GROUP, "pos", "ch"], "left_anti")
+    runs = numbered.groupBy(*GROUP, "alleles", "run").agg(
+        F.min("src").alias("src"), F.max("dst").alias("stop"), letters.alias("letters"), F.max_by("dst_ch", "dst").alias("_ch"))
+    last = ends.where("in_n = 1").select(*GROUP, F.col("pos").alias("stop"), F.col("ch").alias("_ch"), F.col("ch").alias("_tail"))
+    runs = runs.join(last, [*GROUP, "stop", "_ch"], "left").withColumn("letters", F.concat("letters", F.coalesce("_tail", F.lit(""))))
+    inward = edges.select(*GROUP, F.col("dst").alias("pos"), F.col("dst_ch").alias("ch"), F.explode("alleles").alias("_a"))
+    alone = ends.where("in_n > 1").join(inward, [*GROUP, "pos", "ch"]).groupBy(*GROUP, "pos", "ch").agg(F.array_sort(F.collect_set("_a")).alias("alleles"))
+    own = alone.select(*GROUP, "alleles", F.lit(0).cast("long").alias("run"), F.col("pos").alias("src"), F.col("pos").alias("stop"), F.col("ch").alias("letters"))
+    return runs.select(*GROUP, "alleles", "run", "src", "stop", "letters").unionByName(own)
+
+
+def terminal_nodes(resolved: DataFrame) -> DataFrame:
+    """``kind, pos, alleles``: where known spans start (S) and end (E, one behind), and boundaries (B) that alleles cross."""
+    spans = bounds(resolved)
+    known = resolved.where("state <> 'unknown'")
+    along = Window.partitionBy(*GROUP, "allele").orderBy("pos")
+    crossed = known.withColumn("_p", F.lag("region_ix").over(along)).withColumn("_q", F.lag("pos").over(along)).where("_p <> region_ix AND _q = pos - 1")
+    rows = spans.select(*GROUP, F.lit("S").alias("kind"), F.col("start").alias("pos"), "allele").unionByName(
+        spans.select(*GROUP, F.lit("E").alias("kind"), F.col("stop").alias("pos"), "allele")).unionByName(
+        crossed.select(*GROUP, F.lit("B").alias("kind"), "pos", "allele"))
+    return rows.groupBy(*GROUP, "kind", "pos").agg(F.array_sort(F.collect_set("allele")).alias("alleles"))
 
 
 def sequence_slice(resolved: DataFrame, start: int, stop: int, pad: bool = False) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import SUPPORTED_LOCI
+from ..functions.values import letters
 
 GROUP = ["locus", "source"]
 
@@ -32,7 +35,7 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     begun = rows.join(first_position, "file").where(F.col("line_no") > F.col("f.line_no"))
     marks = position | head.startswith("|") | (head == "AA") | (F.size("words") < 2)
     chunks = begun.where(~marks).select(*GROUP, "file", "line_no", head.alias("allele"), F.col("f.p").alias("start_pos"),
-                                        F.array_join(F.slice("words", 2, 1_000_000), "").alias("chunk"))
+                                        F.array_join(F.slice("words", F.lit(2), F.size("words")), "").alias("chunk"))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "chunk")))
     streams = chunks.groupBy(*GROUP, "file", "allele", "start_pos").agg(
         F.min("line_no").alias("line_no"), F.array_join(F.transform(ordered, lambda c: c["chunk"]), "").alias("stream"))
@@ -49,33 +52,40 @@ def alignment_header(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*GROUP).agg(found(release).alias("release"), found(date).alias("align_date"))
 
 
+PROTEIN, LETTERS = "ACDEFGHIKLMNPQRSTVWY", "ACGTN"
+
+
 def parse_streams(streams: DataFrame) -> DataFrame:
     """A row for each position of each allele from its letters ``stream``: region, letter, state.
 
     ``|`` begins the next region and takes no position; ``*`` (and ``X`` in proteins) is unknown, ``.`` a gap, ``-``
     the reference's letter. A ``-`` in the reference, or another character, is an error. Regions are exons in coding
     and protein alignments; genomic ones go UTR5 (where they begin before 1), exon, intron, ..., and end in UTR3.
+    Streams are cut into regions with their first positions, and those into letters, without a shuffle.
     """
-    cells = streams.select(*GROUP, "allele", "is_ref", "start_pos", F.posexplode(F.filter(F.split("stream", ""), lambda c: c != "")).alias("k", "c"))
-    upto = Window.partitionBy(*GROUP, "allele").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    mark = (F.col("c") == "|").cast("int")
-    cells = cells.withColumn("region_ix", F.sum(mark).over(upto)).where("c <> '|'")
-    cells = cells.withColumn("pos", F.col("start_pos") + F.col("k") - F.col("region_ix"))
+    parts = streams.withColumn("_parts", F.split("stream", r"\|"))
+    genomic = F.col("source") == "gen"
+    # only genomic streams need to know the gene's last region
+    last = parts.where(genomic).groupBy(*GROUP).agg(F.max(F.size("_parts") - 1).alias("_last"))
+    both = parts.where(~genomic).withColumn("_last", F.lit(None).cast("int")).unionByName(parts.where(genomic).join(last, GROUP))
+    firsts = F.expr("aggregate(_parts, array(start_pos), (a, p) -> array_append(a, a[size(a) - 1] + length(p)))")
+    regions = both.withColumn("_at", firsts).select(
+        *GROUP, "allele", "is_ref", "start_pos", "_last", "_at", F.posexplode("_parts").alias("region_ix", "_part"))
+    cells = regions.where("_part <> ''").withColumn("_first", F.get("_at", F.col("region_ix"))).select(
+        *GROUP, "allele", "is_ref", "start_pos", "_last", "region_ix", "_first", F.posexplode(letters(F.col("_part"))).alias("k", "c"))
+    cells = cells.withColumn("pos", F.col("_first") + F.col("k"))
     protein = F.col("source") == "prot"
-    letter = F.when(protein, F.col("c").rlike("^[ACDEFGHIKLMNPQRSTVWY]$")).otherwise(F.col("c").rlike("^[ACGTN]$"))
+    letter = F.when(protein, F.col("c").isin(*PROTEIN)).otherwise(F.col("c").isin(*LETTERS))
     state = F.when((F.col("c") == "*") | (protein & (F.col("c") == "X")), "unknown").when(F.col("c") == ".", "gap").when(
         (F.col("c") == "-") & ~F.col("is_ref"), "same").when(letter, "base").otherwise(
         F.raise_error(F.concat(F.lit("wrong letter "), F.col("c"), F.lit(" in "), F.col("allele"))))
-    cells = cells.withColumn("state", state)
-    genomic = F.col("source") == "gen"
     utr = genomic & (F.col("start_pos") < 1)
-    last = F.max("region_ix").over(Window.partitionBy(*GROUP))
     step = F.col("region_ix") - F.when(utr, 1).otherwise(0)
-    kind = F.when(utr & (F.col("region_ix") == 0), "UTR5").when(genomic & (F.col("region_ix") == last) & (step % 2 == 1), "UTR3").when(
+    kind = F.when(utr & (F.col("region_ix") == 0), "UTR5").when(genomic & (F.col("region_ix") == F.col("_last")) & (step % 2 == 1), "UTR3").when(
         ~genomic | (step % 2 == 0), "Exon").otherwise("Intron")
     number = F.when(kind.isin("UTR5", "UTR3"), 0).when(genomic, F.floor(step / 2) + 1).otherwise(F.col("region_ix") + 1)
-    return cells.withColumn("region_kind", kind).withColumn("region_n", number.cast("int")).select(
-        *GROUP, "allele", "is_ref", "pos", F.col("region_ix").cast("int").alias("region_ix"), "region_kind", "region_n", F.col("c").alias("ch"), "state")
+    return cells.select(*GROUP, "allele", "is_ref", "pos", "region_ix", kind.alias("region_kind"), number.cast("int").alias("region_n"),
+                        F.col("c").alias("ch"), state.alias("state"))
 
 
 def resolve_to_reference(positions: DataFrame) -> DataFrame:
@@ -106,27 +116,47 @@ def _status(known: Column, total: Column) -> Column:
     return F.when(known == 0, "Missing").when(known < total, "Partial").otherwise("Full")
 
 
-def segment_distance_to_reference(resolved: DataFrame) -> DataFrame:
-    """Per allele and region: mismatching columns over known positions, and Missing, Partial or Full."""
+def differs(own: Column, other: Column) -> Column:
+    """The default projection of a zipped column: two different letters, or a letter and a gap."""
+    return own != other
+
+
+def segment_distance_to_reference(resolved: DataFrame, projection: Callable[[Column, Column], Column] = differs) -> DataFrame:
+    """Per allele and region: columns that ``projection`` (letter, reference's letter; gaps are points) marks, among
+    known positions, and Missing, Partial or Full."""
     ref = resolved.where("is_ref").select(*GROUP, "pos", F.col("ch").alias("_r"))
     rows = resolved.where("NOT is_ref").join(ref, [*GROUP, "pos"], "left")
     known = F.col("state") != "unknown"
-    differs = known & ~F.col("ch").eqNullSafe(F.coalesce("_r", F.lit(".")))
+    marked = known & projection(F.col("ch"), F.coalesce("_r", F.lit(".")))
     return rows.groupBy(*GROUP, "allele", "region_ix").agg(
-        F.count_if(differs).alias("mismatches"), _status(F.count_if(known), F.count("*")).alias("status"))
+        F.count_if(marked).alias("mismatches"), _status(F.count_if(known), F.count("*")).alias("status"))
+
 
+def segment_letters(resolved: DataFrame) -> DataFrame:
+    """``allele, region_ix, start, chars``: a region's letters from its first position on, ``*`` where unknown."""
+    letter = F.when(F.col("state") == "unknown", "*").otherwise(F.col("ch"))
+    rows = resolved.groupBy(*GROUP, "allele", "region_ix").agg(F.array_sort(F.collect_list(F.struct("pos", letter.alias("c")))).alias("_l"))
+    return rows.select(*GROUP, "allele", "region_ix", F.get("_l", F.lit(0))["pos"].alias("start"), F.transform("_l", lambda x: x["c"]).alias("chars"))
 
-def segment_distances(resolved: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """Mismatching columns of allele pairs per region, with both sides' status; joined on gene and column."""
-    cells = resolved.select(*GROUP, "allele", "pos", "region_ix", "ch", (F.col("state") != "unknown").alias("known"))
-    left = cells if targets is None else cells.join(targets.select(*GROUP, "allele").distinct(), [*GROUP, "allele"], "left_semi")
-    a = left.select(*GROUP, "pos", "region_ix", F.col("allele").alias("target"), F.col("ch").alias("_a"), F.col("known").alias("_ka"))
-    b = cells.select(*GROUP, "pos", "region_ix", F.col("allele").alias("candidate"), F.col("ch").alias("_b"), F.col("known").alias("_kb"))
-    both = a.join(b, [*GROUP, "pos", "region_ix"]).where("target <> candidate")
-    known = F.col("_ka") & F.col("_kb")
-    return both.groupBy(*GROUP, "target", "candidate", "region_ix").agg(
-        F.count_if(known & (F.col("_a") != F.col("_b"))).alias("mismatches"), F.count("*").alias("columns"),
-        _status(F.count_if("_ka"), F.count("*")).alias("target_status"), _status(F.count_if("_kb"), F.count("*")).alias("candidate_status"))
+
+def segment_distances(resolved: DataFrame, targets: DataFrame | None = None, projection: Callable[[Column, Column], Column] = differs) -> DataFrame:
+    """Marked columns of allele pairs per region, with both sides' status over the columns that both have.
+
+    A pair's region is one row: its letters are compared as arrays, columns are never joined.
+    """
+    rows = segment_letters(resolved)
+    left = rows if targets is None else rows.join(targets.select(*GROUP, "allele").distinct(), [*GROUP, "allele"], "left_semi")
+    a = left.select(*GROUP, "region_ix", F.col("allele").alias("target"), F.col("start").alias("_sa"), F.col("chars").alias("_a"))
+    b = rows.select(*GROUP, "region_ix", F.col("allele").alias("candidate"), F.col("start").alias("_sb"), F.col("chars").alias("_b"))
+    both = a.join(b, [*GROUP, "region_ix"]).where("target <> candidate")
+    low = F.greatest("_sa", "_sb")
+    n = F.least(F.col("_sa") + F.size("_a"), F.col("_sb") + F.size("_b")) - low
+    both = both.withColumn("_n", n).where("_n > 0").withColumn("_a", F.slice("_a", low - F.col("_sa") + 1, F.col("_n"))).withColumn(
+        "_b", F.slice("_b", low - F.col("_sb") + 1, F.col("_n")))
+    marked = F.zip_with("_a", "_b", lambda x, y: (x != "*") & (y != "*") & projection(x, y))
+    known = lambda c: F.size(F.filter(c, lambda x: x != "*"))
+    return both.select(*GROUP, "target", "candidate", "region_ix", F.size(F.filter(marked, lambda x: x)).cast("long").alias("mismatches"), F.col("_n").cast("long").alias("columns"),
+                       _status(known("_a"), F.col("_n")).alias("target_status"), _status(known("_b"), F.col("_n")).alias("candidate_status"))
 
 
 def weighted_distances(resolved: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -160,17 +190,33 @@ def reference_distances(alleles: DataFrame) -> DataFrame:
 def trie_nearest(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """Nearest name field by field: the least difference, ties to the higher number; a missing field takes the first.
 
-    Both have ``locus, allele, f1..f4``; four rankings, each of which keeps one branch per target.
+    Both have ``locus, allele, f1..f4``. Four steps down the distinct names' beginnings, each of which keeps one branch
+    a target; a branch that holds the target alone is not there for it.
     """
-    rows = targets.select("locus", F.col("allele").alias("target"), *[F.col(f"f{i}").alias(f"t{i}") for i in range(1, 5)]).join(
-        candidates.select("locus", F.col("allele").alias("candidate"), "f1", "f2", "f3", "f4"), "locus").where("target <> candidate")
-    for i in range(1, 5):
-        want, have = F.col(f"t{i}"), F.col(f"f{i}")
+    fields = ["f1", "f2", "f3", "f4"]
+    names = candidates.select("locus", "allele", *fields).distinct()
+    own = names.select("locus", F.col("allele").alias("target"), *[F.col(f).alias(f"_o{f}") for f in fields])
+    at = targets.select("locus", F.col("allele").alias("target"), *[F.col(f).alias(f"_t{f}") for f in fields]).distinct().join(own, ["locus", "target"], "left")
+    for k, field in enumerate(fields):
+        before = fields[:k]
+        branches = names.groupBy("locus", *before, field).agg(F.count("*").alias("_n"))
+        mine = F.lit(True)
+        for f in [*before, field]:
+            mine = mine & F.col(f).eqNullSafe(F.col(f"_o{f}"))
+        rows = at.join(branches, ["locus", *before]).where(F.col("_n") > mine.cast("int"))
+        want, have = F.col(f"_t{field}"), F.col(field)
         gap = F.when(want > 0, F.abs(have - want)).otherwise(have)
-        order = Window.partitionBy("locus", "target").orderBy(gap, F.desc(F.when(want > 0, have).otherwise(F.lit(0))))
-        rows = rows.withColumn("_r", F.rank().over(order)).where("_r = 1")
-    one = Window.partitionBy("locus", "target").orderBy("candidate")
-    return rows.withColumn("_r", F.row_number().over(one)).where("_r = 1").select("locus", "target", "candidate", F.lit(1.0).alias("distance"))
+        keys = ["locus", "target", *[c for f in fields for c in (f"_t{f}", f"_o{f}")], *before]
+        at = rows.groupBy(*keys).agg(F.min_by(field, F.struct(gap, -have)).alias(field))
+    found = at.join(names.select("locus", *fields, F.col("allele").alias("candidate")), ["locus", *fields]).where("target <> candidate")
+    return found.groupBy("locus", "target").agg(F.min("candidate").alias("candidate")).select("locus", "target", "candidate", F.lit(1.0).alias("distance"))
+
+
+def longest_first(resolved: DataFrame) -> DataFrame:
+    """The alleles with unknown positions in the order in which they are completed: by known letters, most first."""
+    known = resolved.groupBy(*GROUP, "allele").agg(F.count_if(F.col("state") == "base").alias("known"), F.count_if(F.col("state") == "unknown").alias("unknown"))
+    order = Window.partitionBy(*GROUP).orderBy(F.desc("known"), "allele")
+    return known.where("unknown > 0").withColumn("place", F.row_number().over(order))
 
 
 def compute_distances(method: str, resolved: DataFrame | None = None, alleles: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
@@ -224,12 +270,29 @@ def merge_input_check(gen_file: DataFrame, nuc_file: DataFrame) -> DataFrame:
     return a.join(b, "locus").withColumn("reason", reason).where("reason IS NOT NULL").select("locus", "reason")
 
 
+def exon_disagreements(gen: DataFrame, nuc: DataFrame) -> DataFrame:
+    """``locus, region_n``: exons of which the references' letters differ between the genomic and the coding alignment."""
+    def exons(rows: DataFrame, name: str) -> DataFrame:
+        kept = rows.where("is_ref AND region_kind = 'Exon' AND state = 'base'")
+        ordered = F.array_sort(F.collect_list(F.struct("pos", "ch")))
+        return kept.groupBy("locus", "region_n").agg(F.array_join(F.transform(ordered, lambda x: x["ch"]), "").alias(name))
+
+    both = exons(gen, "_g").join(exons(nuc, "_n"), ["locus", "region_n"])
+    return both.where("_g <> _n").select("locus", "region_n")
+
+
 def merge_gen_nuc(gen: DataFrame, nuc: DataFrame) -> DataFrame:
     """Exons from the coding alignment, the rest from the genomic one, on a common axis.
 
     Regions keep the genomic order; each is as long as its source's columns, and positions are shifted by the sum of
-    the lengths before it. Positions of both are resolved; only alleles in both are merged.
+    the lengths before it. Positions of both are resolved; only alleles in both are merged. The references' exons must
+    agree in both sources (``exon_disagreements``), otherwise the merged letters raise an error.
     """
+    say = F.concat(F.lit("references differ in exon "), F.col("_bad").cast("string"), F.lit(" of "), F.col("locus"))
+    wrong = exon_disagreements(gen, nuc).groupBy("locus").agg(F.min("region_n").alias("_bad"))
+    # raised by the letters: a key that raises would be dropped as null by a join
+    gen, nuc = (rows.join(wrong, "locus", "left").withColumn(
+        "ch", F.when(F.col("_bad").isNull(), F.col("ch")).otherwise(F.raise_error(say))).drop("_bad") for rows in (gen, nuc))
     both = match_gen_nuc(gen, nuc).where("found = 'both'").select("locus", "allele")
     exons = nuc.where("region_kind = 'Exon'")
     others = gen.where("region_kind <> 'Exon'")

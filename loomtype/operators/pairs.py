@@ -6,50 +6,63 @@ column. Sums over reads are grouped sums, so Spark adds partial sums before any
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def of_sample(rows: DataFrame) -> list[str]:
+    """The key of samples, where rows are of many."""
+    return ["sample"] if "sample" in rows.columns else []
+
+
 def allele_log_likelihood(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("locus", "allele_id").agg(F.sum("llhd").alias("llhd"), F.count("*").alias("reads"))
+    return scores.groupBy(*of_sample(scores), "locus", "allele_id").agg(F.sum("llhd").alias("llhd"), F.count("*").alias("reads"))
 
 
 def mate_product(scores: DataFrame) -> DataFrame:
     """One row per read and allele from its mates' rows: likelihoods multiplied, positions sorted."""
-    return scores.groupBy("read_id", "locus", "allele_id").agg(
+    return scores.groupBy(*of_sample(scores), "read_id", "locus", "allele_id").agg(
         F.sum("llhd").alias("llhd"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def allele_pairs(scores: DataFrame, dx: float = 1e-6) -> DataFrame:
+def allele_pairs(scores: DataFrame, dx: float = 1e-6, pairs: DataFrame | None = None) -> DataFrame:
     """Per read and pair i <= j: the higher likelihood, its position, and the weights of both sides.
 
     Likelihoods closer than ``dx`` count as equal and weigh (1, 1), with the first allele's position. The join has
-    the read and the gene as equi keys, so it is partitioned by them.
+    the read and the gene as equi keys, so it is partitioned by them. With ``pairs`` (locus, i, j) only these are made:
+    their first alleles' rows meet them before the second side is joined.
     """
-    a = scores.select("read_id", "locus", F.col("allele_id").alias("i"), F.col("llhd").alias("_a"), F.col("pos").alias("_pa"))
-    b = scores.select("read_id", "locus", F.col("allele_id").alias("j"), F.col("llhd").alias("_b"), F.col("pos").alias("_pb"))
-    both = a.join(b, ["read_id", "locus"]).where("i <= j")
+    of = of_sample(scores)
+    a = scores.select(*of, "read_id", "locus", F.col("allele_id").alias("i"), F.col("llhd").alias("_a"), F.col("pos").alias("_pa"))
+    b = scores.select(*of, "read_id", "locus", F.col("allele_id").alias("j"), F.col("llhd").alias("_b"), F.col("pos").alias("_pb"))
+    if pairs is None:
+        both = a.join(b, [*of, "read_id", "locus"]).where("i <= j")
+    else:
+        both = a.join(pairs.select(*of, "locus", "i", "j"), [*of, "locus", "i"]).join(b, [*of, "read_id", "locus", "j"])
     equal = F.abs(F.col("_a") - F.col("_b")) < dx
     first = equal | (F.col("_a") > F.col("_b"))
-    return both.select("read_id", "locus", "i", "j", F.when(first, F.col("_a")).otherwise(F.col("_b")).alias("llhd"),
+    return both.select(*of, "read_id", "locus", "i", "j", F.when(first, F.col("_a")).otherwise(F.col("_b")).alias("llhd"),
                        F.when(first, F.col("_pa")).otherwise(F.col("_pb")).alias("pos"),
                        F.when(equal, 1).when(first, 2).otherwise(0).alias("w1"), F.when(equal, 1).when(first, 0).otherwise(2).alias("w2"))
 
 
 def pair_log_likelihood(scores: DataFrame, dx: float = 1e-6) -> DataFrame:
-    return allele_pairs(scores, dx).groupBy("locus", "i", "j").agg(F.sum("llhd").alias("z"), F.count("*").alias("reads"))
+    return allele_pairs(scores, dx).groupBy(*of_sample(scores), "locus", "i", "j").agg(F.sum("llhd").alias("z"), F.count("*").alias("reads"))
 
 
-def pair_sums_blocked(scores: DataFrame, block: int = 256) -> DataFrame:
+def pair_sums_blocked(scores: DataFrame, block: int = 256, reads_per_lane: int = 4096) -> DataFrame:
     """``pair_log_likelihood`` for genes with thousands of alleles, where every read has a score on every allele.
 
     Rows of reads x pairs are never made: alleles are cut into blocks, each pair of blocks of a lane of reads is one
-    group, and numpy sums the elementwise maxima of two small matrices.
+    group, and numpy sums the elementwise maxima of two small matrices. Lanes hold about ``reads_per_lane`` reads.
     """
+    lanes = max(1, -(-scores.agg(F.approx_count_distinct("read_id")).first()[0] // reads_per_lane))
     laned = scores.select("locus", "read_id", "allele_id", "llhd", F.floor(F.col("allele_id") / block).cast("long").alias("own"),
-                          F.pmod(F.xxhash64("read_id"), F.lit(16)).alias("lane"))
+                          F.pmod(F.xxhash64("read_id"), F.lit(lanes)).alias("lane"))
     blocks = laned.select("locus", "own").distinct()
     pairs = blocks.withColumnRenamed("own", "bi").join(blocks.withColumnRenamed("own", "bj"), "locus").where("bi <= bj")
     sides = pairs.select("locus", "bi", "bj", F.col("bi").alias("own")).unionByName(pairs.where("bi < bj").select("locus", "bi", "bj", F.col("bj").alias("own")))
@@ -71,32 +84,36 @@ def pair_sums_blocked(scores: DataFrame, block: int = 256) -> DataFrame:
 
 def rank_alleles(scores: DataFrame, k: int = 5) -> DataFrame:
     """Each read's ``k`` best alleles of a gene."""
-    best = Window.partitionBy("read_id", "locus").orderBy(F.desc("llhd"), "allele_id")
+    best = Window.partitionBy(*of_sample(scores), "read_id", "locus").orderBy(F.desc("llhd"), "allele_id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def rank_pairs(pairs: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The pairs with the ``k`` highest likelihoods of each gene, equal ones (after rounding) together."""
-    best = Window.partitionBy("locus").orderBy(F.desc(F.round("z", digits)))
+    best = Window.partitionBy(*of_sample(pairs), "locus").orderBy(F.desc(F.round("z", digits)))
     return pairs.withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= k)
 
 
 def pair_emissions(scores: DataFrame, top: DataFrame, dx: float = 1e-6) -> DataFrame:
     """Weights by pair, side and position, for the pairs in ``top`` (locus, i, j) only."""
-    rows = allele_pairs(scores, dx).join(top.select("locus", "i", "j"), ["locus", "i", "j"], "left_semi")
-    sides = rows.select("locus", "i", "j", "pos", F.explode(F.array(
+    of = of_sample(scores)
+    rows = allele_pairs(scores, dx, top)
+    sums = rows.groupBy(*of, "locus", "i", "j", "pos").agg(F.sum("w1").alias("w1"), F.sum("w2").alias("w2"))
+    sides = sums.select(*of, "locus", "i", "j", "pos", F.explode(F.array(
         F.struct(F.lit(1).alias("side"), F.col("w1").alias("w")), F.struct(F.lit(2).alias("side"), F.col("w2").alias("w")))).alias("s"))
-    return sides.where("s.w > 0").groupBy("locus", "i", "j", "s.side", "pos").agg(F.sum("s.w").cast("long").alias("weight"))
+    return sides.where("s.w > 0").select(*of, "locus", "i", "j", "s.side", "pos", F.col("s.w").cast("long").alias("weight"))
 
 
 def number_of_reads(emissions: DataFrame) -> DataFrame:
-    return emissions.groupBy("locus", "i", "j", "side").agg((F.sum("weight") / 2).alias("reads"))
+    return emissions.groupBy(*of_sample(emissions), "locus", "i", "j", "side").agg((F.sum("weight") / 2).alias("reads"))
 
 
-def log10_factorials(most: int, frame: DataFrame) -> DataFrame:
-    """``n, f``: log10 n! for n up to ``most``, as a running sum (a table of as many rows as the largest weight)."""
-    steps = frame.sparkSession.range(1, most + 1, numPartitions=1).select(F.col("id").alias("n"), F.log10(F.col("id").cast("double")).alias("_l"))
-    return steps.select("n", F.sum("_l").over(Window.orderBy("n")).alias("f"))
+def log10_factorial(n: Column) -> Column:
+    """log10 n!: exact below 256, else by Stirling's series (to 1e-12)."""
+    small = F.array(*[F.lit(v) for v in np.concatenate([[0.0], np.cumsum(np.log10(np.arange(1, 256)))]).tolist()])
+    x = n.cast("double")
+    series = (x + 0.5) * F.log10(x) - x * math.log10(math.e) + 0.5 * math.log10(2 * math.pi) + (1 / (12 * x) - 1 / (360 * x * x * x)) / math.log(10)
+    return F.when(n < 256, F.get(small, n.cast("int"))).otherwise(series)
 
 
 def coverage_likelihood(emissions: DataFrame, columns: int) -> DataFrame:
@@ -104,13 +121,9 @@ def coverage_likelihood(emissions: DataFrame, columns: int) -> DataFrame:
 
     ``columns`` is the number of alignment columns; each side gives log10 n! - n log10 columns - sum of log10 w!.
     """
-    sides = emissions.groupBy("locus", "i", "j", "side").agg(F.sum("weight").alias("n"), F.collect_list("weight").alias("ws"))
-    most = emissions.groupBy("locus", "i", "j", "side").agg(F.sum("weight").alias("n")).agg(F.max("n")).first()[0] or 1
-    facts = log10_factorials(int(most), emissions)
-    per_side = sides.join(facts, "n").select("locus", "i", "j", "side", "n", F.col("f").alias("fn"), F.explode("ws").alias("w"))
-    per_side = per_side.join(facts.select(F.col("n").alias("w"), F.col("f").alias("fw")), "w").groupBy("locus", "i", "j", "side", "n", "fn").agg(
-        F.sum("fw").alias("fws"))
-    return per_side.groupBy("locus", "i", "j").agg(F.sum(F.col("fn") - F.col("n") * F.log10(F.lit(float(columns))) - F.col("fws")).alias("c"))
+    of = of_sample(emissions)
+    sides = emissions.groupBy(*of, "locus", "i", "j", "side").agg(F.sum("weight").alias("n"), F.sum(log10_factorial(F.col("weight"))).alias("fws"))
+    return sides.groupBy(*of, "locus", "i", "j").agg(F.sum(log10_factorial(F.col("n")) - F.col("n") * math.log10(columns) - F.col("fws")).alias("c"))
 
 
 def pair_posterior(pairs: DataFrame, coverage: DataFrame | None = None, cut: bool = True) -> DataFrame:
@@ -119,17 +132,18 @@ def pair_posterior(pairs: DataFrame, coverage: DataFrame | None = None, cut: boo
     ``pairs`` is the whole pair table: those without coverage were not ranked, and with ``cut`` each of them adds the
     lowest reported probability to the norm. No pairs give an empty result.
     """
-    all_ = Window.partitionBy("locus")
+    of = of_sample(pairs)
+    all_ = Window.partitionBy(*of, "locus")
     if coverage is None:
         kept = pairs.withColumn("c", F.lit(0.0)).withColumn("_missing", F.lit(0))
     else:
-        known = coverage.where("c IS NOT NULL").select("locus", "i", "j", "c")
-        kept = pairs.join(known, ["locus", "i", "j"])
-        kept = kept.join(pairs.groupBy("locus").agg(F.count("*").alias("_all")), "locus").withColumn("_missing", F.col("_all") - F.count("*").over(all_))
+        known = coverage.where("c IS NOT NULL").select(*of, "locus", "i", "j", "c")
+        kept = pairs.join(known, [*of, "locus", "i", "j"])
+        kept = kept.join(pairs.groupBy(*of, "locus").agg(F.count("*").alias("_all")), [*of, "locus"]).withColumn("_missing", F.col("_all") - F.count("*").over(all_))
     scored = kept.withColumn("_s", F.col("z") + F.col("c")).withColumn("_m", F.max("_s").over(all_))
     scored = scored.withColumn("_p", F.pow(F.lit(10.0), F.col("_s") - F.col("_m")))
     norm = F.sum("_p").over(all_) + (F.min("_p").over(all_) * F.col("_missing") if cut else F.lit(0.0))
-    return scored.withColumn("prob", F.col("_p") / norm).select("locus", "i", "j", "z", "c", "prob")
+    return scored.withColumn("prob", F.col("_p") / norm).select(*of, "locus", "i", "j", "z", "c", "prob")
 
 
 def top_pairs(posterior: DataFrame, size: int | None = None, least: float | None = None) -> DataFrame:
@@ -138,7 +152,7 @@ def top_pairs(posterior: DataFrame, size: int | None = None, least: float | None
         return posterior.where(F.col("prob") > least)
     if size is None:
         return posterior
-    best = Window.partitionBy("locus").orderBy(F.desc("prob"), "i", "j")
+    best = Window.partitionBy(*of_sample(posterior), "locus").orderBy(F.desc("prob"), "i", "j")
     return posterior.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= size).drop("_r")
 
 
@@ -148,29 +162,39 @@ def most_likely_pair(posterior: DataFrame) -> DataFrame:
 
 def assign_reads(scores: DataFrame, reported: DataFrame) -> DataFrame:
     """Each read's allele among those of the reported pairs: the likeliest, the earlier pair's on ties."""
-    order = Window.partitionBy("locus").orderBy(F.desc("prob"), "i", "j")
+    of = of_sample(scores)
+    order = Window.partitionBy(*of, "locus").orderBy(F.desc("prob"), "i", "j")
     members = reported.withColumn("_o", F.row_number().over(order)).select(
-        "locus", "_o", F.posexplode(F.array("i", "j")).alias("_side", "allele_id")).groupBy("locus", "allele_id").agg(
+        *of, "locus", "_o", F.posexplode(F.array("i", "j")).alias("_side", "allele_id")).groupBy(*of, "locus", "allele_id").agg(
         F.min(F.struct("_o", "_side")).alias("_at"))
-    best = Window.partitionBy("read_id").orderBy(F.desc("llhd"), "_at", "locus")
-    return scores.join(members, ["locus", "allele_id"]).withColumn("_r", F.row_number().over(best)).where("_r = 1").select(
-        "read_id", "locus", "allele_id", "llhd")
+    best = Window.partitionBy(*of, "read_id").orderBy(F.desc("llhd"), "_at", "locus")
+    return scores.join(members, [*of, "locus", "allele_id"]).withColumn("_r", F.row_number().over(best)).where("_r = 1").select(
+        *of, "read_id", "locus", "allele_id", "llhd")
 
 
 def best_locus(scores: DataFrame) -> DataFrame:
     """Each read's gene: unfiltered before filtered, pairs before singles, then the likelihood, then the earlier gene."""
     filtered = F.col("filter_reason").isNotNull() if "filter_reason" in scores.columns else F.lit(False)
     paired = F.col("paired") if "paired" in scores.columns else F.lit(False)
-    best = Window.partitionBy("read_id").orderBy(filtered, F.desc(paired), F.desc("llhd"), "locus", "allele_id")
+    best = Window.partitionBy(*of_sample(scores), "read_id").orderBy(filtered, F.desc(paired), F.desc("llhd"), "locus", "allele_id")
     return scores.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
 def best_orientation(scores: DataFrame) -> DataFrame:
     """Per read and gene the orientation with the best allele; the regular one wins ties, filtered ones lose."""
     filtered = F.col("filter_reason").isNotNull() if "filter_reason" in scores.columns else F.lit(False)
-    best = Window.partitionBy("read_id", "locus").orderBy(filtered, F.desc("llhd"), "rc", "allele_id")
-    chosen = scores.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("read_id", "locus", "rc")
-    return scores.join(chosen, ["read_id", "locus", "rc"])
+    key = [*of_sample(scores), "read_id", *(["mate"] if "mate" in scores.columns else []), "locus"]
+    best = Window.partitionBy(*key).orderBy(filtered, F.desc("llhd"), "rc", "allele_id")
+    chosen = scores.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(*key, "rc")
+    return scores.join(chosen, [*key, "rc"])
+
+
+def final_emission(cells: DataFrame) -> DataFrame:
+    """Per read and allele, from its last row's cells ``pos, llhd``: the log10 sum, and the first column with the largest term."""
+    key = [*of_sample(cells), "read_id", "allele_id"]
+    tops = cells.groupBy(*key).agg(F.max("llhd").alias("_m"), F.max_by("pos", F.struct("llhd", -F.col("pos"))).alias("pos"))
+    sums = cells.join(tops.select(*key, "_m"), key).groupBy(*key).agg(F.sum(F.pow(F.lit(10.0), F.col("llhd") - F.col("_m"))).alias("_s"))
+    return tops.join(sums, key).select(*key, (F.col("_m") + F.log10("_s")).alias("llhd"), "pos")
 
 
 def report_depth(rows: DataFrame, n: int | None, by: list[str], order: list) -> DataFrame:

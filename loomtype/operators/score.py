@@ -1,7 +1,7 @@
 """Distributed scoring of reads on alleles, and typing of samples.
 
-Reads are partitioned by Spark; a task holds one gene's alleles at a time. The allele tables are sent to the tasks
-only while they are under ``ALLELE_BYTES``, otherwise reads and allele blocks meet by a join.
+Reads are partitioned by Spark and never shuffled to be scored. The alleles, which don't grow with the reads, are sent
+to the tasks in pieces of ``ALLELE_BYTES`` at most, and each piece is one pass over the reads.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import reverse_complement
+from ..sources.shared import saved
 from . import kernel
-from .pairs import (allele_log_likelihood, assign_reads, best_locus, best_orientation, coverage_likelihood, pair_emissions,
+from .pairs import (allele_log_likelihood, assign_reads, best_locus, best_orientation, coverage_likelihood, of_sample, pair_emissions,
                     pair_log_likelihood, pair_posterior, rank_pairs, top_pairs)
 
 ALLELE_BYTES = 64 << 20
 SCORES = "read_id long, locus string, allele_id long, rc boolean, mate int, llhd double, pos long, filter_reason string"
-BLOCK = 64
+BLOCK = 256
+#: Cells (reads x alleles x columns) that are in work at a time.
+CELLS = 1 << 20
 
 
 def oriented(reads: DataFrame, check_rc: bool = True) -> DataFrame:
@@ -45,38 +48,92 @@ def build_emissions(sequences: DataFrame) -> DataFrame:
         F.collect_list(F.struct("seq", "ids")).alias("alleles"))
 
 
+def _pieces(emissions: DataFrame) -> Iterator[list[tuple]]:
+    """The blocks of alleles, coded for the kernel, in pieces of ``ALLELE_BYTES`` at most."""
+    size = F.expr("aggregate(alleles, 0L, (n, a) -> n + length(a.seq) + 8 * size(a.ids))")
+    sizes = emissions.select("locus", "block", size.alias("n")).orderBy("locus", "block").collect()
+    piece, used = [], 0
+    groups = []
+    for r in sizes:
+        if piece and used + r["n"] > ALLELE_BYTES:
+            groups.append(piece)
+            piece, used = [], 0
+        piece.append((r["locus"], r["block"]))
+        used += r["n"]
+    for group in [*groups, piece] if piece else []:
+        wanted = emissions.sparkSession.createDataFrame(group, "locus string, block int")
+        coded = []
+        for r in emissions.join(F.broadcast(wanted), ["locus", "block"]).orderBy("locus", "block").collect():
+            alleles = sorted(r["alleles"], key=lambda a: a["seq"])
+            ids = [i for a in alleles for i in a["ids"]]
+            row = np.repeat(np.arange(len(alleles)), [len(a["ids"]) for a in alleles])
+            coded.append((r["locus"], r["n_columns"], *kernel.encode([a["seq"] for a in alleles]), np.array(ids, np.int64), row))
+        yield coded
+
+
 def forward_scores(reads: DataFrame, emissions: DataFrame, prealigned: bool = True, parts: int = 1,
-                   allowed_mismatches: int | None = None) -> DataFrame:
+                   allowed_mismatches: int | None = None, thresholds: str | None = None) -> DataFrame:
     """Score every (oriented) read ``read_id, mate, rc, seq, q`` on every allele of every gene.
 
-    Every read meets every block of alleles: the blocks, which do not grow with the reads, are the small side.
+    Reads of one length go through the kernel together. The filters look at all alleles of a gene's block.
+    ``thresholds`` names a column of the reads that maps genes to their threshold. A ``sample`` is kept. Reads without
+    letters or with other than one quality a letter are left out.
+    """
+    of = ["sample"] if "sample" in reads.columns else []
+    schema = ", ".join([*(f"{c} string" for c in of), SCORES])
+    names = [c.split()[0] for c in schema.split(", ")]
+    spark = reads.sparkSession
+    columns = [*of, "read_id", "mate", "rc", "seq", "q", *([thresholds] if thresholds else [])]
+    usable = reads.where("length(seq) > 0 AND size(q) = length(seq)").select(*columns)
+
+    def scored(coded) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for size, same in frame.groupby(frame["seq"].str.len()):
+                    for locus, n_columns, matrix, lengths, ids, row in coded.value:
+                        t = kernel.transitions(int(size), int(n_columns), prealigned)
+                        step = max(1, CELLS // max(matrix.size, 1))
+                        for at in range(0, len(same), step):
+                            yield block(same.iloc[at : at + step], locus, matrix, lengths, ids, row, t)
+
+        def block(some: pd.DataFrame, locus: str, matrix, lengths, ids, row, t) -> pd.DataFrame:
+            codes, errors = kernel.read_codes(some["seq"].tolist(), some["q"].tolist())
+            limits = None
+            if thresholds:
+                limits = np.array([dict(x).get(locus, -np.inf) if x is not None else -np.inf for x in some[thresholds]])
+            value, pos, why = kernel.forward_many(codes, errors, matrix, lengths, t, allowed_mismatches, limits, parts)
+            n = len(ids)
+            own = {c: np.repeat(some[c].to_numpy(), n) for c in [*of, "read_id", "rc", "mate"]}
+            own |= {"locus": locus, "allele_id": np.tile(ids, len(some)), "llhd": value[:, row].reshape(-1), "pos": pos[:, row].reshape(-1),
+                    "filter_reason": np.repeat([w or None for w in why], n)}
+            return pd.DataFrame(own)[names]
+
+        return usable.mapInPandas(run, schema)
+
+    out = None
+    for piece in _pieces(emissions):
+        one = scored(spark.sparkContext.broadcast(piece))
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def past_threshold_scores(reads: DataFrame, emissions: DataFrame, allowed_mismatches: int | None = None, **options) -> DataFrame:
+    """Score reads as they are, then their reverse complements against the gene's best likelihood of the first pass.
+
+    A reverse complement whose best cell falls below that threshold cannot win and is filtered. ``allowed_mismatches``
+    is a filter beside it; a read has to pass both.
     """
+    key = [*(["sample"] if "sample" in reads.columns else []), "read_id", "mate"]
+    first = saved(forward_scores(reads.withColumn("rc", F.lit(False)), emissions, allowed_mismatches=allowed_mismatches, **options))
+    best = first.groupBy(*key, "locus").agg(F.max("llhd").alias("_b")).where("_b > double('-infinity')")
+    limits = best.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("locus", "_b"))).alias("limits"))
+    turned = oriented(reads).where("rc").join(limits, key, "left")
+    return first.unionByName(forward_scores(turned, emissions, allowed_mismatches=allowed_mismatches, thresholds="limits", **options))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coded: dict[tuple[str, int], tuple] = {}
-        for frame in frames:
-            out = {c.split()[0]: [] for c in SCORES.split(", ")}
-            for row in frame.itertuples():
-                key = (row.locus, row.block)
-                if key not in coded:
-                    alleles = sorted(row.alleles, key=lambda a: a["seq"])
-                    coded[key] = (*kernel.encode([a["seq"] for a in alleles]), [list(a["ids"]) for a in alleles])
-                matrix, lengths, ids = coded[key]
-                t = kernel.transitions(len(row.seq), row.n_columns, prealigned)
-                value, pos, why = kernel.forward(row.seq, row.q, matrix, lengths, t, allowed_mismatches, parts=parts)
-                for k, same in enumerate(ids):
-                    for allele in same:
-                        for name, v in zip(out, (row.read_id, row.locus, allele, row.rc, row.mate, value[k], int(pos[k]), why)):
-                            out[name].append(v)
-            yield pd.DataFrame(out)
-
-    usable = reads.where("length(seq) > 0 AND size(q) = length(seq)")
-    blocks = emissions.withColumn("_on", F.lit(1))
-    size = emissions.agg(F.sum(F.expr("aggregate(alleles, 0L, (n, a) -> n + length(a.seq))"))).first()[0] or 0
-    if size <= ALLELE_BYTES:
-        blocks = F.broadcast(blocks)
-    met = usable.withColumn("_on", F.lit(1)).join(blocks, "_on").drop("_on")
-    return met.select("read_id", "mate", "rc", "seq", "q", "locus", "block", "n_columns", "alleles").mapInPandas(run, SCORES)
+
+def reads_x_alleles(scores: DataFrame) -> DataFrame:
+    """How many alleles of each gene every oriented read met."""
+    return scores.groupBy(*of_sample(scores), "read_id", "mate", "rc", "locus").agg(F.count("*").alias("alleles"))
 
 
 def viterbi_align(reads: DataFrame, allele_id: int, allele: str, n_columns: int, prealigned: bool = True) -> DataFrame:
@@ -107,8 +164,9 @@ def viterbi_report(aligned: DataFrame) -> DataFrame:
 
 def second_mate_scores(scores: DataFrame) -> DataFrame:
     """Keep mate 2 only in the orientation opposite to mate 1's best; in both where mate 1 was filtered or is missing."""
-    first = best_orientation(scores.where("mate <= 1")).where("filter_reason IS NULL").select("read_id", "locus", F.col("rc").alias("_rc")).distinct()
-    second = scores.where("mate = 2").join(first, ["read_id", "locus"], "left").where("_rc IS NULL OR rc <> _rc").drop("_rc")
+    key = [*of_sample(scores), "read_id", "locus"]
+    first = best_orientation(scores.where("mate <= 1")).where("filter_reason IS NULL").select(*key, F.col("rc").alias("_rc")).distinct()
+    second = scores.where("mate = 2").join(first, key, "left").where("_rc IS NULL OR rc <> _rc").drop("_rc")
     return best_orientation(scores.where("mate <= 1")).unionByName(best_orientation(second))
 
 
@@ -116,18 +174,20 @@ def type_samples(scores: DataFrame, n_columns: int, report: int | None = 50, mul
                  least: float | None = None) -> dict[str, DataFrame]:
     """From scored reads to the posterior: orientation, mates, best gene, sums, coverage, assignment.
 
-    The posterior reports the pairs of the ``report`` highest likelihoods, None: all; the others count in its norm.
-    With ``least`` all pairs are evaluated, and those above it are reported.
+    With a column ``sample``, many samples are typed at once, each by itself. The posterior reports the pairs of the
+    ``report`` highest likelihoods, None: all; the others count in its norm. With ``least`` all pairs are evaluated,
+    and those above it are reported. Scores and sums are kept as tables in the shared folder.
     """
-    scores = scores.persist()  # the kernel's output feeds several branches below
+    scores = saved(scores)  # the kernel's output feeds several branches below
+    of = of_sample(scores)
     usable = second_mate_scores(scores).where("filter_reason IS NULL")
-    merged = usable.groupBy("read_id", "locus", "allele_id").agg(F.sum("llhd").alias("llhd"), F.min("pos").alias("pos"))
+    merged = usable.groupBy(*of, "read_id", "locus", "allele_id").agg(F.sum("llhd").alias("llhd"), F.min("pos").alias("pos"))
     if multi_locus:
-        merged = merged.join(best_locus(merged).select("read_id", "locus"), ["read_id", "locus"], "left_semi")
-    merged = merged.persist()
-    pairs = pair_log_likelihood(merged).persist()
+        merged = merged.join(best_locus(merged).select(*of, "read_id", "locus"), [*of, "read_id", "locus"], "left_semi")
+    merged = saved(merged)
+    pairs = saved(pair_log_likelihood(merged))
     top = pairs if report is None or least is not None else rank_pairs(pairs, report)
-    posterior = pair_posterior(pairs.select("locus", "i", "j", "z"), coverage_likelihood(pair_emissions(merged, top), n_columns))
+    posterior = pair_posterior(pairs.select(*of, "locus", "i", "j", "z"), coverage_likelihood(pair_emissions(merged, top), n_columns))
     if least is not None:
         posterior = top_pairs(posterior, least=least)
     return {"alleles": allele_log_likelihood(merged), "pairs": pairs, "posterior": posterior, "assignment": assign_reads(merged, posterior)}

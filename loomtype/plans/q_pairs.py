@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pairs as P
 from ..operators import select as S
+from ..sources.shared import saved
 from .registry import SCORES, derive, query, scores, text
 
 _S = f"WITH s AS ({SCORES})"
@@ -48,7 +49,7 @@ _E = f"""{_TOP}, e AS (SELECT p.locus, p.i, p.j, side, pos, CAST(sum(CASE side W
 
 def _top(spark, sf):
     z = P.pair_log_likelihood(scores(spark, sf))
-    return P.report_depth(z, 20, ["locus"], [F.desc("z"), "i", "j"])
+    return saved(P.report_depth(z, 20, ["locus"], [F.desc("z"), "i", "j"]))
 
 
 @query("agg4_pair_emissions", f"{_E} SELECT locus, i, j, side, pos, weight FROM e")
@@ -192,7 +193,7 @@ def jn27(spark, sf):
 def agg17(spark, sf):
     from ..operators.compare import reads_by_locus
 
-    return reads_by_locus(P.best_locus(scores(spark, sf))).select("locus", F.size("reads").cast("long").alias("reads"))
+    return reads_by_locus(P.best_locus(scores(spark, sf))).groupBy("locus").agg(F.count("*").alias("reads"))
 
 
 @query("agg18_read_intervals", f"{_S} SELECT read_id, allele_id, pos * 1000 - 100 AS start, pos * 1000 AS stop FROM s")

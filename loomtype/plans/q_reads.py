@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import select as S
@@ -74,33 +72,42 @@ def _stream(spark, sf):
 
 @query("st1_stream_reads", "SELECT event_type AS locus, count(*) AS reads FROM events GROUP BY event_type")
 def st1(spark, sf):
-    return ST.run_available(_stream(spark, sf).groupBy("locus").agg(F.count("*").alias("reads")), f"st1_{uuid.uuid4().hex}")
+    return ST.run_available(_stream(spark, sf).groupBy("locus").agg(F.count("*").alias("reads")))
 
 
 @query("st3_stream_accumulate", f"SELECT locus, allele_id, CAST(sum(llhd) AS BIGINT) AS llhd, count(*) AS reads FROM ({_STREAMED}) GROUP BY locus, allele_id")
 def st3(spark, sf):
-    return ST.run_available(ST.stream_accumulate(_stream(spark, sf)), f"st3_{uuid.uuid4().hex}")
+    return ST.run_available(ST.stream_accumulate(_stream(spark, sf)))
 
 
-@query("st2_stream_pair_mates")
+# Singles leave when the watermark, ten minutes behind the slower side, has passed them by ten minutes more.
+@query("st2_stream_pair_mates", """WITH e AS (SELECT event_id // 2 AS key, ts, CAST(round(value * 100) AS BIGINT) AS v, event_id % 2 AS side FROM events),
+w AS (SELECT least(max(ts) FILTER (side = 0), max(ts) FILTER (side = 1)) - INTERVAL 20 MINUTE AS past FROM e),
+j AS (SELECT coalesce(a.key, b.key) AS key, a.v AS value1, b.v AS value2, a.ts AS t1, b.ts AS t2 FROM (SELECT * FROM e WHERE side = 0) a
+  FULL OUTER JOIN (SELECT * FROM e WHERE side = 1) b ON a.key = b.key AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE)
+SELECT key, value1, value2 FROM j, w WHERE t1 IS NOT NULL AND t2 IS NOT NULL OR coalesce(t1, t2) < past""")
 def st2(spark, sf):
     rows = _stream(spark, sf).select(F.floor(F.col("event_id") / 2).alias("key"), "ts", F.col("llhd").alias("value"), "event_id")
     paired = ST.stream_pair_mates(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"))
-    return ST.run_available(paired.select("key", "value1", "value2"), f"st2_{uuid.uuid4().hex}", "append")
+    return ST.run_available(paired.select("key", "value1", "value2"), "append")
 
 
-@query("st5_first_read_setup", "SELECT length(text) AS read_length, count(*) AS count FROM documents WHERE text IS NOT NULL GROUP BY 1")
-def st5(spark, sf):
-    return ST.read_lengths(derive(spark, sf, "SELECT text AS seq FROM {documents} WHERE text IS NOT NULL", "documents")).select(F.col("read_length").cast("long"), "count")
+@query("st4_stream_stop", "SELECT event_id AS read_id, event_type AS name FROM events ORDER BY event_id LIMIT 40")
+def st4(spark, sf):
+    rows = _stream(spark, sf).select(F.col("event_id").alias("read_id"), F.col("locus").alias("name"))
+    return ST.run_until(rows, n=40)
 
 
-@query("jn9_distance_trie")
-def jn9(spark, sf):
-    from ..operators.msa import compute_distances
-    from .registry import names
+@query("st4_stream_names", "SELECT event_id AS read_id, event_type AS name FROM events WHERE event_type IN (SELECT min(event_type) FROM events)")
+def st4b(spark, sf):
+    first = spark.read.parquet(f"{sf}/events.parquet").agg(F.min("event_type")).first()[0]
+    rows = _stream(spark, sf).select(F.col("event_id").alias("read_id"), F.col("locus").alias("name"))
+    return ST.run_until(rows, names={first})
 
-    n = names(spark, sf).dropDuplicates(["allele"])
-    return compute_distances("trie", alleles=n)
+
+@query("st5_first_read_setup", "SELECT length(text) AS read_length, count(*) AS count FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def st5(spark, sf):
+    return ST.read_lengths(derive(spark, sf, "SELECT text AS seq FROM {documents} WHERE text IS NOT NULL", "documents")).select(F.col("read_length").cast("long"), "count")
 
 
 @query("jn29_best_offset_mismatches", """

@@ -1,91 +1,210 @@
-"""Queries over scored reads: stretches of the benchmark texts' letters, scored on those texts.
+"""Queries over scored reads.
 
-The recurrence over cells has no SQL form; tests hold the kernel against a plain recurrence, and the queries against it.
+Every document is a read and every benchmark text an allele: their letters are digests of the whole texts. The model's
+recurrence over cells is a recursive query in SQL, letter by letter, with windows along the columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import score
-from ..operators.pairs import best_orientation
-from .q_align import _LETTERS
-from .registry import derive, query
+from ..operators import kernel, score
+from ..operators.pairs import best_orientation, final_emission
+from ..sources.shared import saved
+from .registry import derive, query, text
+
+_DIGEST = "translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_ALLELES = f"SELECT item_id AS allele_id, concat('L', item_id % 3) AS locus, substr({_DIGEST}, 1, CAST(18 + item_id % 5 AS INT)) AS seq FROM benchmark WHERE text IS NOT NULL"
+_READS = f"SELECT doc_id AS read_id, substr({_DIGEST}, 1, 12) AS seq FROM documents WHERE text IS NOT NULL"
 
 
 def alleles(spark, sf):
-    sql = f"SELECT item_id AS allele_id, concat('L', item_id % 3) AS locus, {_LETTERS.format(g='')} AS seq FROM {{benchmark}} WHERE text IS NOT NULL"
-    return derive(spark, sf, sql, "benchmark").where("seq <> ''")
+    return derive(spark, sf, text(_ALLELES, "benchmark"), "benchmark")
 
 
 def reads(spark, sf):
-    """All stretches of 50 letters with qualities from their place."""
-    a = alleles(spark, sf).where("length(seq) >= 50").withColumn("k", F.explode(F.expr("sequence(0L, length(seq) div 50 - 1)")))
-    quality = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: ((F.col("allele_id") * 31 + i * 17) % 31 + 10).cast("int"))
-    return a.select((F.col("allele_id") * 1000 + F.col("k")).alias("read_id"), F.lit(0).alias("mate"),
-                    F.substring(F.col("seq"), (F.col("k") * 50 + 1).cast("int"), F.lit(50)).alias("seq"), quality.alias("q"))
+    quality = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: ((F.col("read_id") * 31 + i * 17) % 31 + 10).cast("int"))
+    return derive(spark, sf, text(_READS, "documents"), "documents").withColumn("mate", F.lit(0)).withColumn("q", quality)
 
 
 def _scores(spark, sf, **options):
-    r = reads(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism, "read_id")
-    return score.forward_scores(score.oriented(r), score.build_emissions(alleles(spark, sf)), **options)
-
-
-@query("hm1_build_emissions")
+    return score.forward_scores(score.oriented(reads(spark, sf)), score.build_emissions(alleles(spark, sf)), **options)
+
+
+def cells_sql(parts: int = 1) -> str:
+    """Cells f (read, orientation, part, allele, letter i, column k: match, insert, delete) of all reads on all alleles."""
+    n = 12 // parts
+    return f"""WITH RECURSIVE a AS ({_ALLELES}), g AS (SELECT locus, CAST(max(length(seq)) AS DOUBLE) AS g FROM a GROUP BY locus),
+al AS (SELECT allele_id, a.locus, unnest(range(1, length(seq) + 1)) AS k, unnest(string_split(seq, '')) AS ch, g, 1 / (2 * greatest(g - 12, 1)) AS me FROM a JOIN g ON a.locus = g.locus),
+o AS (SELECT read_id, false AS rc, seq FROM ({_READS}) UNION ALL SELECT read_id, true, reverse(translate(seq, 'ACGT', 'TGCA')) FROM ({_READS})),
+rl AS (SELECT read_id, rc, CAST((x - 1) // {n} AS INT) AS part, CAST((x - 1) % {n} + 1 AS INT) AS i, substr(seq, CAST(x AS INT), 1) AS b,
+  pow(10, -((read_id * 31 + (CASE WHEN rc THEN 12 - x ELSE x - 1 END) * 17) % 31 + 10) / 10.0) AS e FROM (SELECT *, unnest(range(1, 13)) AS x FROM o)),
+f(read_id, rc, part, allele_id, i, k, m, s, d) AS (
+  SELECT read_id, rc, part, allele_id, 1, k, CASE WHEN b = ch THEN 1 - e ELSE e / 3 END * 0.999 / g, 0.25 * 0.001 / g, CAST(0 AS DOUBLE) FROM rl, al WHERE i = 1
+  UNION ALL
+  SELECT read_id, rc, part, allele_id, i, k, m, s, coalesce(0.001 * pow(10, 1 - k) * sum(m * pow(10, k)) OVER (PARTITION BY read_id, rc, part, allele_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) FROM (
+    SELECT f.read_id, f.rc, f.part, f.allele_id, rl.i, f.k,
+      CASE WHEN b = ch THEN 1 - e ELSE e / 3 END * coalesce(lag(0.998 * m + 0.9 * s + 0.9 * d) OVER (PARTITION BY f.read_id, f.rc, f.part, f.allele_id ORDER BY f.k), 0) AS m, 0.25 * (0.001 * m + 0.1 * s) AS s
+    FROM f JOIN rl ON f.read_id = rl.read_id AND f.rc = rl.rc AND f.part = rl.part AND rl.i = f.i + 1 JOIN al ON f.allele_id = al.allele_id AND f.k = al.k)),
+ends AS (SELECT f.read_id, f.rc, f.part, f.allele_id, al.locus, f.k, (m + s) * me AS v, g, me FROM f JOIN al ON f.allele_id = al.allele_id AND f.k = al.k WHERE i = {n}),
+value AS (SELECT read_id, rc, part, allele_id, locus, log10(sum(v)) AS llhd, CAST(arg_max(k, v) - 1 AS BIGINT) AS pos, max(g) AS g, max(me) AS me FROM ends GROUP BY read_id, rc, part, allele_id, locus)"""
+
+
+_F = cells_sql()
+_BEST = f"""{_F}, best AS (SELECT read_id, locus, rc FROM (SELECT *, row_number() OVER (PARTITION BY read_id, locus ORDER BY llhd DESC, rc, allele_id) AS r FROM value) WHERE r = 1),
+one AS (SELECT v.* FROM value v JOIN best b ON v.read_id = b.read_id AND v.locus = b.locus AND v.rc = b.rc)"""
+
+
+@query("hm1_build_emissions", f"SELECT locus, CAST(max(length(seq)) AS INT) AS n_columns, count(DISTINCT seq) AS sequences, count(*) AS alleles FROM ({_ALLELES}) GROUP BY locus")
 def hm1(spark, sf):
     e = score.build_emissions(alleles(spark, sf))
-    return e.select("locus", "block", "n_columns", F.size("alleles").alias("sequences"), F.expr("aggregate(alleles, 0, (n, a) -> n + size(a.ids))").alias("alleles"))
+    return e.groupBy("locus", "n_columns").agg(F.sum(F.size("alleles")).alias("sequences"), F.sum(F.expr("aggregate(alleles, 0, (n, a) -> n + size(a.ids))")).alias("alleles"))
+
+
+_T = "SELECT DISTINCT length(text) AS read_length, 3 * length(text) + 5 AS columns FROM documents WHERE length(text) > 0"
 
 
-@query("hm3_forward_score")
+@query("hm2_transitions", f"""WITH t AS ({_T}), x AS (SELECT read_length, columns, true AS prealigned, 1.0 AS stay, 1 / (2.0 * greatest(columns - read_length, 1)) AS g FROM t
+UNION ALL SELECT read_length, columns, false, 1 - 1 / (2.0 * read_length), 1 / (2.0 * read_length) FROM t)
+SELECT read_length, columns, prealigned, round(0.998 * stay, 12) AS mm, round(0.001 * stay, 12) AS mi, round(0.001 * stay, 12) AS md, round(0.9 * stay, 12) AS im, round(0.1 * stay, 12) AS ii, CAST(0.9 AS DOUBLE) AS dm, CAST(0.1 AS DOUBLE) AS dd,
+round(g, 12) AS me, round(g, 12) AS ie, round(0.999 / columns, 12) AS sm, round(0.001 / columns, 12) AS si FROM x""")
+def hm2(spark, sf):
+    sizes = derive(spark, sf, text(_T, "documents"), "documents")
+    return kernel.transition_table(sizes.select(F.col("read_length").cast("long"), F.col("columns").cast("long"))).select(
+        "read_length", "columns", "prealigned", *[F.round(c, 12).alias(c) for c in kernel.Transitions.__dataclass_fields__])
+
+
+@query("hm3_forward_score", f"{_F} SELECT read_id, locus, allele_id, rc, round(llhd, 6) AS llhd, pos FROM value")
 def hm3(spark, sf):
     return _scores(spark, sf).select("read_id", "locus", "allele_id", "rc", F.round("llhd", 6).alias("llhd"), "pos")
 
 
-@query("hm4_best_orientation_scores")
+@query("jn17_reads_x_alleles", f"WITH a AS ({_ALLELES}) SELECT read_id, rc, locus, count(*) AS alleles FROM ({_READS}) r, (VALUES (false), (true)) AS o(rc), a GROUP BY read_id, rc, locus")
+def jn17(spark, sf):
+    return score.reads_x_alleles(_scores(spark, sf)).select("read_id", "rc", "locus", "alleles")
+
+
+@query("hm4_best_orientation_scores", f"{_BEST} SELECT read_id, locus, allele_id, rc, round(llhd, 6) AS llhd, pos FROM one")
 def hm4(spark, sf):
-    return best_orientation(_scores(spark, sf)).select("read_id", "locus", "allele_id", "rc", F.round("llhd", 6).alias("llhd"), "pos")
+    return best_orientation(saved(_scores(spark, sf))).select("read_id", "locus", "allele_id", "rc", F.round("llhd", 6).alias("llhd"), "pos")
 
 
-@query("hm5_forward_score_split")
+@query("hm5_forward_score_split", f"{cells_sql(2)} SELECT read_id, locus, allele_id, rc, round(sum(llhd) - log10(0.999 / max(g) * max(me)), 6) AS llhd FROM value GROUP BY read_id, locus, allele_id, rc")
 def hm5(spark, sf):
     return _scores(spark, sf, parts=2).select("read_id", "locus", "allele_id", "rc", F.round("llhd", 6).alias("llhd"))
 
 
-@query("flt10_max_mismatch_filter")
+# The best cell over a gene's alleles after each letter, and the chance of an ungapped path with three mismatches.
+_LIMITS = """top AS (SELECT f.read_id, f.rc, al.locus, f.i, log10(max(m)) AS best FROM f JOIN al ON f.allele_id = al.allele_id AND f.k = al.k GROUP BY f.read_id, f.rc, al.locus, f.i),
+ranked AS (SELECT a.read_id, a.rc, a.i, b.e, row_number() OVER (PARTITION BY a.read_id, a.rc, a.i ORDER BY b.e) AS r FROM rl a JOIN rl b ON a.read_id = b.read_id AND a.rc = b.rc AND b.i <= a.i),
+bound AS (SELECT read_id, rc, i, sum(CASE WHEN r <= 3 THEN log10(e / 3) ELSE log10(1 - e) END) AS bound FROM ranked GROUP BY read_id, rc, i),
+failed AS (SELECT DISTINCT t.read_id, t.rc, t.locus FROM top t JOIN bound b ON t.read_id = b.read_id AND t.rc = b.rc AND t.i = b.i JOIN g ON t.locus = g.locus
+  WHERE best < bound + log10(0.999 / g) + (t.i - 1) * log10(0.998)),
+every AS (SELECT DISTINCT read_id, rc, locus FROM value)"""
+
+
+@query("flt10_max_mismatch_filter", f"""{_F}, {_LIMITS}
+SELECT e.read_id, e.locus, e.rc, CASE WHEN f.read_id IS NOT NULL THEN 'mismatches' END AS filter_reason FROM every e LEFT JOIN failed f ON e.read_id = f.read_id AND e.rc = f.rc AND e.locus = f.locus""")
 def flt10(spark, sf):
     return _scores(spark, sf, allowed_mismatches=3).groupBy("read_id", "locus", "rc").agg(F.max("filter_reason").alias("filter_reason"))
 
 
-@query("hm9_type_multi_locus")
+_PAST = """{first} past AS (SELECT DISTINCT t.read_id, t.locus FROM top t JOIN regular r ON t.read_id = r.read_id AND t.locus = r.locus AND t.rc AND best < r.llhd)"""
+
+
+@query("flt11_past_threshold_filter", f"""{_F}, {_LIMITS}, regular AS (SELECT read_id, locus, max(llhd) AS llhd FROM value WHERE NOT rc GROUP BY read_id, locus), {_PAST.format(first='')}
+SELECT v.read_id, v.locus, v.allele_id, v.rc, CASE WHEN rc AND p.read_id IS NOT NULL THEN 'threshold' END AS filter_reason, CASE WHEN NOT rc OR p.read_id IS NULL THEN round(llhd, 6) END AS llhd
+FROM value v LEFT JOIN past p ON v.read_id = p.read_id AND v.locus = p.locus""")
+def flt11(spark, sf):
+    s = score.past_threshold_scores(reads(spark, sf), score.build_emissions(alleles(spark, sf)))
+    return s.select("read_id", "locus", "allele_id", "rc", "filter_reason", F.when(F.col("filter_reason").isNull(), F.round("llhd", 6)).alias("llhd"))
+
+
+@query("flt12_join_filters", f"""{_F}, {_LIMITS}, regular AS (SELECT v.read_id, v.locus, max(llhd) AS llhd FROM value v LEFT JOIN failed f ON v.read_id = f.read_id AND v.locus = f.locus AND v.rc = f.rc
+  WHERE NOT v.rc AND f.read_id IS NULL GROUP BY v.read_id, v.locus), {_PAST.format(first='')}
+SELECT e.read_id, e.locus, e.rc, f.read_id IS NULL AND (NOT e.rc OR p.read_id IS NULL) AS passed FROM every e LEFT JOIN failed f ON e.read_id = f.read_id AND e.rc = f.rc AND e.locus = f.locus
+LEFT JOIN past p ON e.read_id = p.read_id AND e.locus = p.locus""")
+def flt12(spark, sf):
+    s = score.past_threshold_scores(reads(spark, sf), score.build_emissions(alleles(spark, sf)), allowed_mismatches=3)
+    return s.groupBy("read_id", "locus", "rc").agg((F.max("filter_reason").isNull()).alias("passed"))
+
+
+_CELLS = "SELECT l_orderkey AS read_id, l_suppkey % 5 AS allele_id, l_linenumber AS pos, max(-round(l_extendedprice) / 10000) AS llhd FROM lineitem GROUP BY l_orderkey, l_suppkey % 5, l_linenumber"
+
+
+@query("agg7_final_emission", f"""WITH c AS ({_CELLS}), m AS (SELECT *, max(llhd) OVER (PARTITION BY read_id, allele_id) AS m FROM c)
+SELECT read_id, allele_id, round(m + log10(sum(pow(10, llhd - m))), 6) AS llhd, min(CASE WHEN llhd = m THEN pos END) AS pos FROM m GROUP BY read_id, allele_id, m""")
+def agg7(spark, sf):
+    return final_emission(derive(spark, sf, text(_CELLS, "lineitem"), "lineitem")).select("read_id", "allele_id", F.round("llhd", 6).alias("llhd"), "pos")
+
+
+# Typing: each read's best gene, sums over pairs, the coverage of the fifty best ranks, and the posterior.
+_TYPED = f"""{_BEST}, gene AS (SELECT read_id, locus FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY llhd DESC, locus, allele_id) AS r FROM one) WHERE r = 1),
+s AS (SELECT o.read_id, o.locus, o.allele_id, llhd, pos FROM one o JOIN gene ON o.read_id = gene.read_id AND o.locus = gene.locus),
+p AS (SELECT x.read_id, x.locus, x.allele_id AS i, y.allele_id AS j, CASE WHEN abs(x.llhd - y.llhd) < 1e-6 OR x.llhd > y.llhd THEN x.llhd ELSE y.llhd END AS llhd,
+  CASE WHEN abs(x.llhd - y.llhd) < 1e-6 OR x.llhd > y.llhd THEN x.pos ELSE y.pos END AS pos, CASE WHEN abs(x.llhd - y.llhd) < 1e-6 THEN 1 WHEN x.llhd > y.llhd THEN 2 ELSE 0 END AS w1
+  FROM s x JOIN s y ON x.read_id = y.read_id AND x.locus = y.locus AND x.allele_id <= y.allele_id),
+z AS (SELECT locus, i, j, sum(llhd) AS z FROM p GROUP BY locus, i, j), t AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY locus ORDER BY round(z, 6) DESC) AS r FROM z) WHERE r <= 50),
+w AS (SELECT p.locus, p.i, p.j, side, pos, sum(CASE side WHEN 1 THEN w1 ELSE 2 - w1 END) AS w FROM p JOIN t ON p.locus = t.locus AND p.i = t.i AND p.j = t.j, (VALUES (1), (2)) AS v(side)
+  WHERE CASE side WHEN 1 THEN w1 ELSE 2 - w1 END > 0 GROUP BY p.locus, p.i, p.j, side, pos),
+cs AS (SELECT locus, i, j, side, sum(w) AS n, sum(lgamma(w + 1.0) / ln(10.0)) AS fw FROM w GROUP BY locus, i, j, side),
+c AS (SELECT locus, i, j, sum(lgamma(n + 1.0) / ln(10.0) - n * log10(300.0) - fw) AS c FROM cs GROUP BY locus, i, j),
+u AS (SELECT t.locus, t.i, t.j, t.z, c.c, max(t.z + c.c) OVER (PARTITION BY t.locus) AS top, (SELECT count(*) FROM z WHERE z.locus = t.locus) - count(*) OVER (PARTITION BY t.locus) AS cut FROM t JOIN c ON t.locus = c.locus AND t.i = c.i AND t.j = c.j),
+post AS (SELECT locus, i, j, z, c, pow(10.0, z + c - top) / (sum(pow(10.0, z + c - top)) OVER (PARTITION BY locus) + cut * min(pow(10.0, z + c - top)) OVER (PARTITION BY locus)) AS prob FROM u)"""
+
+
+@query("hm9_type_multi_locus", f"{_TYPED} SELECT locus, i, j, round(z, 4) AS z, round(c, 4) AS c, round(prob, 6) AS prob FROM post")
 def hm9(spark, sf):
     t = score.type_samples(_scores(spark, sf), 300)
     return t["posterior"].select("locus", "i", "j", F.round("z", 4).alias("z"), F.round("c", 4).alias("c"), F.round("prob", 6).alias("prob"))
 
 
-@query("hm8_type_single_locus")
+@query("hm8_type_single_locus", f"{_BEST} SELECT locus, allele_id, round(sum(llhd), 4) AS llhd, count(*) AS reads FROM one GROUP BY locus, allele_id")
 def hm8(spark, sf):
     t = score.type_samples(_scores(spark, sf), 300, multi_locus=False)
     return t["alleles"].select("locus", "allele_id", F.round("llhd", 4).alias("llhd"), "reads")
 
 
-@query("hm6_viterbi_align")
+@query("hm9_type_many_samples", f"{_BEST} SELECT concat('s', read_id % 4) AS sample, locus, allele_id, round(sum(llhd), 4) AS llhd, count(*) AS reads FROM one GROUP BY 1, 2, 3")
+def hm9s(spark, sf):
+    r = reads(spark, sf).withColumn("sample", F.concat(F.lit("s"), F.col("read_id") % 4))
+    s = score.forward_scores(score.oriented(r), score.build_emissions(alleles(spark, sf)))
+    return score.type_samples(s, 300, multi_locus=False)["alleles"].select("sample", "locus", "allele_id", F.round("llhd", 4).alias("llhd"), "reads")
+
+
+# The best path to each cell, as rows: a delete's from the matches before it, the sum of its steps being the same however it is split.
+_VITERBI = f"""WITH RECURSIVE target AS (SELECT * FROM ({_ALLELES}) ORDER BY length(seq) DESC, allele_id LIMIT 1), g AS (SELECT CAST(length(seq) AS DOUBLE) AS g FROM target),
+al AS (SELECT unnest(range(1, length(seq) + 1)) AS k, unnest(string_split(seq, '')) AS ch FROM target),
+o AS (SELECT read_id, false AS rc, seq FROM ({_READS}) UNION ALL SELECT read_id, true, reverse(translate(seq, 'ACGT', 'TGCA')) FROM ({_READS})),
+rl AS (SELECT read_id, rc, CAST(x AS INT) AS i, substr(seq, CAST(x AS INT), 1) AS b, pow(10, -((read_id * 31 + (CASE WHEN rc THEN 12 - x ELSE x - 1 END) * 17) % 31 + 10) / 10.0) AS e FROM (SELECT *, unnest(range(1, 13)) AS x FROM o)),
+f(read_id, rc, i, k, m, s, d) AS (
+  SELECT read_id, rc, 1, k, log10(CASE WHEN b = ch THEN 1 - e ELSE e / 3 END) + log10(0.999 / g), log10(0.25 * 0.001 / g), CAST(-1e9 AS DOUBLE) FROM rl, al, g WHERE i = 1
+  UNION ALL
+  SELECT read_id, rc, i, k, m, s, coalesce(max(m + k) OVER (PARTITION BY read_id, rc ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3 - (k - 1), -1e9) FROM (
+    SELECT f.read_id, f.rc, rl.i, f.k, log10(CASE WHEN b = ch THEN 1 - e ELSE e / 3 END)
+      + coalesce(lag(greatest(m + log10(0.998), s + log10(0.9), d + log10(0.9))) OVER (PARTITION BY f.read_id, f.rc ORDER BY f.k), -1e9) AS m, log10(0.25) + greatest(m - 3, s - 1) AS s
+    FROM f JOIN rl ON f.read_id = rl.read_id AND f.rc = rl.rc AND rl.i = f.i + 1 JOIN al ON f.k = al.k))"""
+
+
+@query("hm6_viterbi_align", f"""{_VITERBI} SELECT read_id, round(max(greatest(m, s)) + log10(1 / (2 * greatest(max(g) - 12, 1))), 6) AS llhd, true AS whole_read, true AS within_allele
+FROM f, g WHERE i = 12 GROUP BY read_id""")
 def hm6(spark, sf):
-    return _aligned(spark, sf).select("read_id", "rc", F.round("llhd", 6).alias("llhd"), "start", "stop", "allele_text", "read_text")
+    longest = alleles(spark, sf).orderBy(F.desc(F.length("seq")), "allele_id").first()
+    a = score.viterbi_align(score.oriented(reads(spark, sf)), longest["allele_id"], longest["seq"], len(longest["seq"])).join(
+        score.oriented(reads(spark, sf)).select("read_id", "rc", "seq"), ["read_id", "rc"])
+    plain = lambda c: F.regexp_replace(c, "-", "")
+    inside = plain("allele_text") == F.substring(F.lit(longest["seq"]), F.col("start") + 1, F.col("stop") - F.col("start") + 1)
+    return a.select("read_id", F.round("llhd", 6).alias("llhd"), (plain("read_text") == F.col("seq")).alias("whole_read"), inside.alias("within_allele"))
 
 
 @query("hm7_viterbi_report")
 def hm7(spark, sf):
-    return score.viterbi_report(_aligned(spark, sf))
-
-
-def _aligned(spark, sf):
     longest = alleles(spark, sf).orderBy(F.desc(F.length("seq")), "allele_id").first()
-    r = reads(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism, "read_id")
-    return score.viterbi_align(score.oriented(r), longest["allele_id"], longest["seq"], len(longest["seq"]))
+    return score.viterbi_report(score.viterbi_align(score.oriented(reads(spark, sf)), longest["allele_id"], longest["seq"], len(longest["seq"])))
 
 
-@query("ud1_fold")
+@query("ud1_fold", """WITH s AS (SELECT user_id, event_id, sum(value - 1) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events), n AS (SELECT user_id, arg_max(s, event_id) AS last, min(s) AS low FROM s GROUP BY user_id)
+SELECT user_id, round(last - least(low, 0), 6) AS state FROM n""")
 def ud1(spark, sf):
     import pandas as pd
 
@@ -104,3 +223,19 @@ def ud5(spark, sf):
     worker = Worker(lambda f: f.assign(letters=f["props"].str.len())[["event_type", "letters"]], "event_type string, letters long", ("event_type",),
                     (F.sum("letters").alias("letters"), F.count("*").alias("n")))
     return worker.run(rows)
+
+
+_WORK = "SELECT user_id % 10 AS lane, count(*) AS n, CAST(sum(length(event_type) * event_id) AS BIGINT) AS letters, CAST(max(length(event_type)) AS BIGINT) AS longest FROM events GROUP BY user_id % 10"
+
+
+@query("ud2_map_then_combine", _WORK)
+def ud2(spark, sf):
+    from ..operators.user import map_then_combine
+
+    rows = derive(spark, sf, "SELECT user_id, event_id, event_type FROM {events}", "events")
+
+    def work(frame):
+        size = frame["event_type"].str.len().astype("int64")
+        return frame.assign(lane=frame["user_id"] % 10, w=size * frame["event_id"], size=size)[["lane", "w", "size"]]
+
+    return map_then_combine(rows, work, "lane long, w long, size long", ["lane"], [F.count("*").alias("n"), F.sum("w").alias("letters"), F.max("size").alias("longest")])

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-for _module in ("q_names", "q_pairs", "q_align", "q_evaluate", "q_score", "q_reads"):
+for _module in ("q_names", "q_pairs", "q_align", "q_evaluate", "q_score", "q_reads", "q_files", "q_merge"):
     import_module(f"{__package__}.{_module}")
 
 

@@ -33,7 +33,7 @@ def _sample(file: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(file, r"([^/]+)$", 1), r"(_R?[12])?\.(fastq|fq)(\.gz)?$", "")
 
 
-def read_fastq(spark: SparkSession, path: str | list[str], mate: int = 0) -> tuple[DataFrame, DataFrame]:
+def read_fastq(spark: SparkSession, path: str | list[str], mate: int = 0, keep_file: bool = False) -> tuple[DataFrame, DataFrame]:
     """(reads, malformed) of four-line FASTQ files.
 
     reads: ``sample, read_id, name, mate, seq, qual, q``. Records are lines 4k..4k+3 of a file (quality lines may
@@ -43,17 +43,35 @@ def read_fastq(spark: SparkSession, path: str | list[str], mate: int = 0) -> tup
     rows = lines.groupBy("file", "record").agg(*[F.max(F.when(F.col("_k") == k, F.col("text"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
     good = F.coalesce(F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual")) & (F.length("seq") > 0), F.lit(False))
     reads = rows.where(good).select(
-        _sample(F.col("file")).alias("sample"), F.col("record").cast("long").alias("read_id"),
+        *(["file"] if keep_file else []), _sample(F.col("file")).alias("sample"), F.col("record").cast("long").alias("read_id"),
         F.regexp_replace(F.split(F.substring(F.col("head"), F.lit(2), F.length("head")), r"\s")[0], r"/[12]$", "").alias("name"),
         F.lit(mate).alias("mate"), F.upper("seq").alias("seq"), "qual", phred(F.col("qual")).alias("q"))
     return reads, rows.where(~good)
 
 
+def read_fastq_all(spark: SparkSession, path: str | list[str], mate: int = 0, number_of_reads: int | None = None) -> DataFrame:
+    """All good reads with ``place``, their number from 0 in the order of the files' names and of the records in them.
+
+    Places are sums of the files' counts before, plus a read's place in its file, so no file is read in one task.
+    ``number_of_reads`` keeps the first ones.
+    """
+    reads, _ = read_fastq(spark, path, mate, keep_file=True)
+    lane = F.floor(F.col("read_id") / 4096)
+    counts = reads.groupBy("file", lane.alias("_l")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("file", "_l").rowsBetween(Window.unboundedPreceding, -1)  # one row per 4096 records
+    starts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("file", "_l", "_base")
+    place = F.row_number().over(Window.partitionBy("file", "_l").orderBy("read_id")) - 1
+    placed = reads.withColumn("_l", lane).withColumn("_p", place).join(starts, ["file", "_l"]).withColumn("place", F.col("_base") + F.col("_p"))
+    if number_of_reads is not None:
+        placed = placed.where(F.col("place") < number_of_reads)
+    return placed.drop("_l", "_p", "_base", "file")
+
+
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``description, sequence``; sequences over several lines are joined."""
     records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("v"))
     split = F.split("v", "\n")
-    body = F.array_join(F.transform(F.slice(split, 2, 10_000_000), lambda x: F.trim(x)), "")
+    body = F.array_join(F.transform(F.slice(split, F.lit(2), F.size(split)), lambda x: F.trim(x)), "")
     return records.where(F.trim("v") != "").select(F.trim(split[0]).alias("description"), body.alias("sequence"))
 
 
@@ -69,6 +87,20 @@ def alignment_files(directory: str, group: str | None = None, loci: list[str] |
     return [f"{directory.rstrip('/')}/{g}_{k}.txt" for g in genes for k in kinds]
 
 
+def alignment_sources(genes: DataFrame, directory: str, group: str | None = None) -> DataFrame:
+    """``locus, kind, file`` for a table of genes and kinds (``locus, kind``); merged ones need two files.
+
+    With ``group`` only its genes; genes P and E have genomic files only, also where merged ones are asked for.
+    """
+    rows = genes.select("locus", "kind").distinct()
+    if group is not None:
+        rows = rows.where(F.col("locus").isin(list(LOCUS_GROUPS[group])))
+    kinds = F.when((F.col("kind") == "merged") & F.col("locus").isin("P", "E"), F.array(F.lit("gen"))).when(
+        F.col("kind") == "merged", F.array(F.lit("gen"), F.lit("nuc"))).otherwise(F.array("kind"))
+    file = F.concat(F.lit(directory.rstrip("/") + "/"), "locus", F.lit("_"), "_k", F.lit(".txt"))
+    return rows.withColumn("_k", F.explode(kinds)).select("locus", "kind", file.alias("file"))
+
+
 def pair_mates(one: DataFrame, two: DataFrame, keep_singles: bool = True, key: Column | None = None) -> DataFrame:
     """Join both mates by name (or a key expression) whatever their order; singles are kept or dropped."""
     key = F.col("name") if key is None else key
@@ -88,9 +120,15 @@ RESULT = (
 
 
 def read_typing_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Finished results, one document a file; ``sample`` from the file's name."""
+    """Finished results, one document a file; ``sample`` from a folder ``sample=...``, else from the file's name."""
     rows = spark.read.schema(RESULT).option("multiLine", True).json(path)
-    return rows.withColumn("sample", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
+    return rows.select("header", "per_loci", "per_reads", _sample_of(r"([^/]+)\.json$").alias("sample"))
+
+
+def _sample_of(file_name: str) -> Column:
+    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    folder = F.regexp_extract(path, r"/sample=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(path, file_name, 1))
 
 
 def read_truth_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -101,8 +139,8 @@ def read_truth_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_times(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``sample, real, user, sys`` in seconds from files of lines such as ``real 1m2.5s``."""
-    rows = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^/.]*)?$", 1).alias("sample"), "value")
+    """``sample, real, user, sys`` in seconds from files of lines such as ``real 1m2.5s``; a file or a folder ``sample=...`` each."""
+    rows = spark.read.text(path).select(_sample_of(r"([^/]+?)(?:\.[^/.]*)?$").alias("sample"), "value")
     pattern = r"^(real|user|sys)\s+(\d+)m([0-9.]+)s"
     parts = rows.select("sample", F.regexp_extract("value", pattern, 1).alias("kind"), (
         F.regexp_extract("value", pattern, 2).try_cast("double") * 60 + F.regexp_extract("value", pattern, 3).try_cast("double")).alias("seconds"))

@@ -20,43 +20,56 @@ def write_fasta(sequences: DataFrame, path: str, width: int = 60) -> None:
 
 
 def write_fastq_subset(reads: DataFrame, wanted: DataFrame, path: str) -> None:
-    """The reads with wanted names as FASTQ, one folder a mate."""
+    """The reads with wanted names as FASTQ, one folder a mate; files follow each other in the reads' order."""
     kept = reads.join(wanted.select("name").distinct(), "name", "left_semi")
     record = F.concat(F.lit("@"), F.col("name"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual"))
-    kept.repartition("mate").sortWithinPartitions("mate", "read_id").select("mate", record.alias("value")).write.partitionBy("mate").text(path)
+    ordered = kept.repartitionByRange("mate", "read_id").sortWithinPartitions("mate", "read_id")
+    ordered.select("mate", record.alias("value")).write.partitionBy("mate").text(path)
 
 
 def typing_document(posterior: DataFrame, alleles: DataFrame, reads: DataFrame, header: str) -> DataFrame:
-    """One nested row: header, per gene its pairs and alleles from best to worst, and the reads' alleles."""
+    """One nested row a sample: header, per gene its pairs and alleles from best to worst, and the reads' alleles.
+
+    The tables have a column ``sample``; a document holds one sample, so its size is a sample's. Where reads are many,
+    ``write_typing_tsv`` keeps them as a table.
+    """
     pair = F.struct((-F.col("prob")).alias("_o"), "allele1", "allele2", "z", "c", "prob")
     one = F.struct((-F.col("llhd")).alias("_o"), "allele", "llhd")
     drop = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x.dropFields("_o"))
-    loci = posterior.groupBy("locus").agg(drop(pair).alias("zygosity")).join(alleles.groupBy("locus").agg(drop(one).alias("per_allele")), "locus", "full_outer")
-    per_loci = loci.agg(F.array_sort(F.collect_list(F.struct("locus", "zygosity", "per_allele"))).alias("per_loci"))
-    per_reads = reads.agg(F.array_sort(F.collect_list(F.struct("name", "locus", "allele"))).alias("per_reads"))
-    return per_loci.join(F.broadcast(per_reads)).select(F.lit(header).alias("header"), "per_loci", "per_reads")
+    key = ["sample", "locus"]
+    loci = posterior.groupBy(*key).agg(drop(pair).alias("zygosity")).join(alleles.groupBy(*key).agg(drop(one).alias("per_allele")), key, "full_outer")
+    per_loci = loci.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("locus", "zygosity", "per_allele"))).alias("per_loci"))
+    per_reads = reads.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("name", "locus", "allele"))).alias("per_reads"))
+    return per_loci.join(per_reads, "sample", "full_outer").select("sample", F.lit(header).alias("header"), "per_loci", "per_reads")
 
 
-def write_typing_json(document: DataFrame, path: str) -> None:
-    document.coalesce(1).write.json(path)
+def write_typing_json(documents: DataFrame, path: str) -> None:
+    """A folder ``sample=...`` with one file for each sample's document."""
+    documents.repartition("sample").write.partitionBy("sample").json(path)
 
 
 def write_typing_tsv(posterior: DataFrame, alleles: DataFrame, reads: DataFrame, path: str) -> None:
-    """Three tables, tab separated: zygosity, likelihood and per_read."""
-    order = Window.partitionBy("locus").orderBy(F.desc("prob"), "allele1", "allele2")
+    """Three tables, tab separated: zygosity, likelihood and per_read; a column ``sample`` comes first where there is one."""
+    of = ["sample"] if "sample" in posterior.columns else []
+    order = Window.partitionBy(*of, "locus").orderBy(F.desc("prob"), "allele1", "allele2")
     zygosity = posterior.withColumn("rank", F.row_number().over(order)).select(
-        "locus", "rank", "allele1", "allele2", F.format_string("%.6f", "z").alias("z"), F.format_string("%.6f", "c").alias("c"), F.format_string("%.6f", "prob").alias("prob"))
-    likelihood = alleles.orderBy("locus", F.desc("llhd"), "allele").select("locus", "allele", F.format_string("%.6f", "llhd").alias("llhd"))
-    for name, table in (("zygosity", zygosity), ("likelihood", likelihood), ("per_read", reads.select("name", "locus", "allele"))):
+        *of, "locus", "rank", "allele1", "allele2", F.format_string("%.6f", "z").alias("z"), F.format_string("%.6f", "c").alias("c"), F.format_string("%.6f", "prob").alias("prob"))
+    likelihood = alleles.orderBy(*of, "locus", F.desc("llhd"), "allele").select(*of, "locus", "allele", F.format_string("%.6f", "llhd").alias("llhd"))
+    for name, table in (("zygosity", zygosity), ("likelihood", likelihood), ("per_read", reads.select(*of, "name", "locus", "allele"))):
         table.write.option("sep", "\t").option("header", True).csv(f"{path}/{name}")
 
 
+def read_typing_tsv(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of the three tables that ``write_typing_tsv`` wrote, as texts."""
+    return spark.read.option("sep", "\t").option("header", True).csv(f"{path}/{name}")
+
+
 def json_to_tsv(documents: DataFrame, path: str) -> None:
     """Flatten reloaded results (``read_typing_json``) into the three tables."""
-    loci = documents.select(F.explode("per_loci").alias("l"))
-    zygosity = loci.select(F.col("l.locus").alias("locus"), F.explode("l.zygosity").alias("z")).select("locus", "z.*")
-    alleles = loci.select(F.col("l.locus").alias("locus"), F.explode("l.per_allele").alias("a")).select("locus", "a.*")
-    write_typing_tsv(zygosity, alleles, documents.select(F.explode("per_reads").alias("r")).select("r.*"), path)
+    loci = documents.select("sample", F.explode("per_loci").alias("l"))
+    zygosity = loci.select("sample", F.col("l.locus").alias("locus"), F.explode("l.zygosity").alias("z")).select("sample", "locus", "z.*")
+    alleles = loci.select("sample", F.col("l.locus").alias("locus"), F.explode("l.per_allele").alias("a")).select("sample", "locus", "a.*")
+    write_typing_tsv(zygosity, alleles, documents.select("sample", F.explode("per_reads").alias("r")).select("sample", "r.*"), path)
 
 
 def materialize_reference(spark: SparkSession, path: str, align_date: str | None, build: Callable[[], DataFrame]) -> DataFrame:
@@ -73,5 +86,12 @@ def materialize_reference(spark: SparkSession, path: str, align_date: str | None
             return stored.drop("align_date")
     elif align_date is None:
         raise FileNotFoundError(f"neither a source nor a stored table at {path}")
-    build().withColumn("align_date", F.lit(align_date)).write.mode("overwrite").partitionBy("locus").parquet(path)
+    # written beside the old one, which ``build`` may be reading, and then put into its place
+    fresh = f"{path.rstrip('/')}.new"
+    build().withColumn("align_date", F.lit(align_date)).write.mode("overwrite").partitionBy("locus").parquet(fresh)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if exists:
+        files.delete(place, True)
+    if not files.rename(jvm.org.apache.hadoop.fs.Path(fresh), place):
+        raise OSError(f"cannot put {fresh} into place")
     return spark.read.parquet(path).drop("align_date")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.pairs import coverage_likelihood, pair_posterior
+from ..sources.shared import new_path
 
 
 def stream_reads(spark: SparkSession, path: str, schema: T.StructType, per_batch: int = 1) -> DataFrame:
@@ -75,9 +76,38 @@ def read_lengths(reads: DataFrame) -> DataFrame:
     return reads.groupBy(F.length("seq").alias("read_length")).count()
 
 
-def run_available(query_source: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there into a table in memory, for tests and small results."""
-    spark = query_source.sparkSession
-    query = query_source.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_available(source: DataFrame, mode: str = "complete") -> DataFrame:
+    """Process all that is there into a table in the shared folder: of complete results the last, of others all."""
+    spark = source.sparkSession
+    path, epochs = new_path(spark, "stream"), []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        epochs.append(epoch)
+
+    query = source.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not epochs:
+        return spark.createDataFrame([], source.schema)
+    if mode == "complete":
+        return spark.read.schema(source.schema).parquet(f"{path}/epoch={max(epochs)}")
+    return spark.read.schema(source.schema).parquet(*[f"{path}/epoch={e}" for e in sorted(set(epochs))])
+
+
+def run_until(source: DataFrame, n: int | None = None, names: set[str] | None = None) -> DataFrame:
+    """The reads of a stream until ``n`` were taken or all ``names`` were seen, as a table in the shared folder."""
+    spark = source.sparkSession
+    path, epochs = new_path(spark, "stream"), []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        epochs.append(epoch)
+
+    stop = StopAfter(lambda batch, epoch: write(batch, epoch), n, names)
+    query = source.writeStream.foreachBatch(stop).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start()
+    while not query.awaitTermination(1):
+        if stop.done:
+            query.stop()
+    if not epochs:
+        return spark.createDataFrame([], source.schema)
+    return spark.read.schema(source.schema).parquet(*[f"{path}/epoch={e}" for e in sorted(set(epochs))])

@@ -113,14 +113,15 @@ def test_run_times_and_truth(spark, tmp_path):
 
 
 def test_result_json_and_tsv(spark, tmp_path):
-    post = spark.createDataFrame([("A", "A*01", "A*02", -1.0, -2.0, 0.75), ("A", "A*01", "A*01", -2.0, -2.0, 0.25)], "locus string, allele1 string, allele2 string, z double, c double, prob double")
-    alleles = spark.createDataFrame([("A", "A*01", -1.0)], "locus string, allele string, llhd double")
-    reads = spark.createDataFrame([("r1", "A", "A*01")], "name string, locus string, allele string")
+    post = spark.createDataFrame([("s 1+", "A", "A*01", "A*02", -1.0, -2.0, 0.75), ("s 1+", "A", "A*01", "A*01", -2.0, -2.0, 0.25), ("t", "A", "A*03", "A*03", -2.0, -2.0, 1.0)],
+                                 "sample string, locus string, allele1 string, allele2 string, z double, c double, prob double")
+    alleles = spark.createDataFrame([("s 1+", "A", "A*01", -1.0)], "sample string, locus string, allele string, llhd double")
+    reads = spark.createDataFrame([("s 1+", "r1", "A", "A*01")], "sample string, name string, locus string, allele string")
     K.write_typing_json(K.typing_document(post, alleles, reads, "h"), str(tmp_path / "j"))
-    back = R.read_typing_json(spark, str(tmp_path / "j"))
-    assert [z["prob"] for z in back.first()["per_loci"][0]["zygosity"]] == [0.75, 0.25]
-    K.json_to_tsv(back, str(tmp_path / "tsv"))
-    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv/zygosity")).count() == 2
+    back = {r["sample"]: r for r in R.read_typing_json(spark, str(tmp_path / "j")).collect()}
+    assert set(back) == {"s 1+", "t"} and [z["prob"] for z in back["s 1+"]["per_loci"][0]["zygosity"]] == [0.75, 0.25] and back["t"]["per_reads"] is None
+    K.json_to_tsv(R.read_typing_json(spark, str(tmp_path / "j")), str(tmp_path / "tsv"))
+    assert K.read_typing_tsv(spark, str(tmp_path / "tsv"), "zygosity").count() == 3
 
 
 def test_reference_table_is_rebuilt_on_a_new_date(spark, tmp_path):
@@ -134,3 +135,35 @@ def test_reference_table_is_rebuilt_on_a_new_date(spark, tmp_path):
     for date in ("2018", "2018", "2019", None):
         assert K.materialize_reference(spark, path, date, build).count() == 1
     assert len(built) == 2
+
+
+def test_reference_is_rebuilt_from_itself(spark, tmp_path):
+    path = str(tmp_path / "ref")
+    K.materialize_reference(spark, path, "2018", lambda: spark.createDataFrame([("A", 1)], "locus string, n int"))
+    again = K.materialize_reference(spark, path, "2019", lambda: spark.read.parquet(path).drop("align_date").withColumn("n", F.col("n") + 1))
+    assert [tuple(r) for r in again.select("locus", "n").collect()] == [("A", 2)]
+
+
+def test_references_that_differ_are_not_merged(spark):
+    ddl = "locus string, source string, allele string, is_ref boolean, start_pos int, stream string"
+    gen = msa.resolve_to_reference(msa.parse_streams(spark.createDataFrame([("A", "gen", "A*01", True, -1, "AC|GT|AA|CC|GG")], ddl)))
+    nuc = msa.resolve_to_reference(msa.parse_streams(spark.createDataFrame([("A", "nuc", "A*01", True, 1, "GA|CC")], ddl)))
+    with pytest.raises(Exception, match="references differ in exon 1 of A"):
+        msa.merge_gen_nuc(gen, nuc).collect()
+
+
+def test_runs_keep_the_last_letter(spark):
+    from loomtype.operators import graph
+
+    ddl = "locus string, source string, allele string, is_ref boolean, start_pos int, stream string"
+    rows = msa.resolve_to_reference(msa.parse_streams(spark.createDataFrame([("A", "nuc", "A*01", True, 1, "ACGT"), ("B", "nuc", "B*01", True, 1, "ACGT"), ("B", "nuc", "B*02", False, 1, "-T--")], ddl)))
+    runs = sorted((r["locus"], r["src"], r["letters"]) for r in graph.join_same_paths(graph.allele_graph(rows)).collect())
+    assert runs == [("A", 1, "ACGT"), ("B", 1, "A"), ("B", 1, "A"), ("B", 2, "C"), ("B", 2, "T"), ("B", 3, "GT")]
+
+
+def test_boundaries_group_reads(spark):
+    from loomtype.operators.compare import group_by_boundary
+
+    reads = spark.createDataFrame([("A", 5), ("A", 10), ("A", 1), ("A", 99), ("B", 7)], "locus string, pos int")
+    marks = spark.createDataFrame([("A", 2, "x"), ("A", 10, "y"), ("A", 10, "z")], "locus string, pos int, region string")
+    assert sorted(tuple(r) for r in group_by_boundary(reads, marks).collect()) == [("A", 5, "x"), ("A", 10, "z"), ("A", 99, "z")]

@@ -27,5 +27,5 @@ def test_unmatched_mates_leave_as_singles(spark, tmp_path):
             frame.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
     schema = spark.createDataFrame([], ddl).schema
     a, b = (ST.stream_reads(spark, str(tmp_path / n), schema) for n in ("one", "two"))
-    got = {(r["key"], r["value1"], r["value2"]) for r in ST.run_available(ST.stream_pair_mates(a, b).select("key", "value1", "value2"), "mates", "append").collect()}
+    got = {(r["key"], r["value1"], r["value2"]) for r in ST.run_available(ST.stream_pair_mates(a, b).select("key", "value1", "value2"), "append").collect()}
     assert {(1, "a1", "b1"), (2, "a2", None), (3, None, "b3")} <= got
