@@ -11,6 +11,7 @@ import os
 from collections.abc import Iterator
 from functools import cache
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import regex
@@ -114,9 +115,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def _appended(store: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
-    """``store`` with ``more`` behind its first ``used`` items, grown by half or more where it is full, and what is used."""
+    """``store`` with ``more`` behind its first ``used`` rows, grown by half or more where it is full, and what is used."""
     if used + len(more) > len(store):
-        store = np.concatenate([store[:used], np.zeros(max(len(store) // 2, len(more)), store.dtype)])
+        grown = np.zeros((max(len(store) // 2, len(more)), *store.shape[1:]), store.dtype)
+        store = np.concatenate([store[:used], grown])
     store[used : used + len(more)] = more
     return store, used + len(more)
 
@@ -130,7 +132,7 @@ class WordIds:
     than ``limit``; that changes the speed, never the ids.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -143,9 +145,9 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        # rows: hash (in order), first id, number of ids, first byte, number of bytes
-        self.table = np.zeros((5, 0), np.int64)
-        self.hashes = self.table[0].view(np.uint64)
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # in the order of hashes
+        # by row: first id, number of ids, first byte, number of bytes
+        self.known, self.n_known = np.zeros((1 << 14, 4), np.int64), 0
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.bytes, self.n_bytes = np.zeros(1 << 16, np.uint8), 0
 
@@ -154,21 +156,23 @@ class WordIds:
         got = [e.ids for e in self.library.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in pieces], add_special_tokens=False)]
         counts = np.array([len(x) for x in got], np.int64)
         widths = np.array([len(x) for x in pieces], np.int64)
-        new = np.stack([hashes.view(np.int64), self.n_ids + np.cumsum(counts) - counts, counts, self.n_bytes + np.cumsum(widths) - widths, widths])
-        self.ids, self.n_ids = _appended(self.ids, self.n_ids, np.array([i for x in got for i in x], np.uint32))
+        new = np.stack([self.n_ids + np.cumsum(counts) - counts, counts, self.n_bytes + np.cumsum(widths) - widths, widths], axis=1)
+        self.ids, self.n_ids = _appended(self.ids, self.n_ids, np.fromiter(chain.from_iterable(got), np.uint32, counts.sum()))
         self.bytes, self.n_bytes = _appended(self.bytes, self.n_bytes, np.frombuffer(b"".join(pieces), np.uint8))
-        self.table = np.insert(self.table, np.searchsorted(self.hashes, hashes), new, axis=1)
-        self.hashes = self.table[0].view(np.uint64)
+        at = np.searchsorted(self.hashes, hashes)
+        self.rows = np.insert(self.rows, at, np.arange(self.n_known, self.n_known + len(new), dtype=np.int32))
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.known, self.n_known = _appended(self.known, self.n_known, new)
 
-    def taken(self, at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def taken(self, known: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The pieces that are not the cached ones that their hashes led to. Eight bytes' hash has no other preimage of that length."""
         widths = ends - starts
-        differs = self.table[4][at] != widths
+        differs = known[:, 3] != widths
         long = np.flatnonzero((widths > 8) & ~differs)
         if len(long):
             widths = widths[long]
             step = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
-            other = self.bytes[np.repeat(self.table[3][at[long]], widths) + step] != data[np.repeat(starts[long], widths) + step]
+            other = self.bytes[np.repeat(known[long, 2], widths) + step] != data[np.repeat(starts[long], widths) + step]
             differs[long] = np.bitwise_or.reduceat(other, np.cumsum(widths) - widths)
         return np.flatnonzero(differs)
 
@@ -193,14 +197,14 @@ class WordIds:
         if new.any():
             self.learn(known[new], [raw[places[i] : ends[i]] for i in where[new]])
             at = np.searchsorted(self.hashes, known)
-        at = at[back]
-        counts = self.table[2][at]
+        rows = self.known[self.rows[at]][back]
+        counts = rows[:, 1]
         upto = np.cumsum(counts)
-        flat = self.ids[np.repeat(self.table[1][at] - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)]
+        flat = self.ids[np.repeat(rows[:, 0] - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)]
         firsts = np.searchsorted(starts, bounds)
         edge = np.concatenate([[0], upto])[firsts]
         out = [flat[a:b] for a, b in zip(edge[:-1], edge[1:])]
-        for i in np.unique(np.searchsorted(firsts, self.taken(at, data, places, ends), "right") - 1).tolist():
+        for i in np.unique(np.searchsorted(firsts, self.taken(rows, data, places, ends), "right") - 1).tolist():
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
 
