@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved as saved
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -15,26 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
-
-    Parquet rather than ``checkpoint()`` so that later reads take only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/t{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lanes(n_rows: int, per_lane: int = 20_000) -> int:
     """Number of hash lanes that keeps each near ``per_lane`` rows at any input size."""
     return max(64, -(-n_rows // per_lane))

@@ -118,9 +118,9 @@ def edit_sensitivity(docs: DataFrame, chunk_chars: int = 2_000_000) -> DataFrame
     """Compare each text's fingerprint with an edited text's and with the next document's.
 
     The edited text has its last third (code points, rounded down) replaced by the beginning of the next document in
-    descending ``doc_id`` order; the last document is followed by the first. Rows are range-partitioned by doc_id,
-    so that neighbours meet within a task; only each partition's first and last document are matched afterwards,
-    in a table of two rows a partition.
+    descending ``doc_id`` order; the last document is followed by the first. Rows are range-partitioned by doc_id and
+    the text's beginning, so that neighbours meet within a task; only each partition's first and last document are
+    matched afterwards, by a join on the partition's number.
 
     Null texts are empty; null ids come last; rows that share an id are ordered by their text; an empty table gives
     no rows; a single row is followed by itself; other columns are dropped.
@@ -162,14 +162,16 @@ def edit_sensitivity(docs: DataFrame, chunk_chars: int = 2_000_000) -> DataFrame
         if begun:
             yield edge(2, held[0][-1], held[1][-1])
 
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    walked = saved(docs.select("doc_id", "text").repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(
+    by = [F.col("doc_id").desc_nulls_last(), F.substring("text", 1, 64).asc_nulls_first()]
+    order = [*by, F.col("text").asc_nulls_first()]
+    walked = saved(docs.select("doc_id", "text").repartitionByRange(*by).sortWithinPartitions(*order).mapInArrow(
         walk, RESULT + ", part int, kind int, text string"))
 
-    edges = walked.where("kind > 0").select("doc_id", "part", "kind", "text")
-    along = Window.orderBy("part", "kind")
-    first = F.first("text").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = edges.withColumn("after", F.coalesce(F.lead("text").over(along), first)).where("kind = 2")
+    heads = walked.where("kind = 1").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    along = Window.orderBy("part")  # one number a partition
+    first = F.first("part").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    follows = walked.where("kind = 1").select("part").withColumn("next", F.coalesce(F.lead("part").over(along), first))
+    last = walked.where("kind = 2").select("doc_id", "part", "text").join(follows, "part").join(heads, "next")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -296,7 +296,7 @@ def hnsw_index(rows: DataFrame, k: int, shards: int | None = None, salts: int =
     if shards is None:
         n, dim = distinct.agg(F.count("*"), F.max(F.size("embedding"))).first()
         shards = shard_count(n, dim or 1)
-    index = distinct.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(
+    index = distinct.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard").applyInArrow(
         _build_shard(_kind(rows)), INDEX)
     return saved(index), shards
 

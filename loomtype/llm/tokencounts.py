@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import clean
-from .wordcache import BLANK, LETTER, NUMBER, SPACE, classes, code_points
+from .wordcache import BLANK, LETTER, NUMBER, SPACE, classes, code_points, cut_at_pieces
 
 # Symbols of the cutter: the letters that can end a contraction stand apart.
 S_LETTER, S_SHORT, S_RV, S_L, S_E, S_NUMBER, S_OTHER, S_QUOTE, S_BLANK, S_SPACE, S_END = range(11)
@@ -122,6 +122,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: A cell has 21 bits for a state.
+STATE_LIMIT = 1 << 21
+
+
 class Counter:
     """The counter, compiled state by state.
 
@@ -143,6 +147,7 @@ class Counter:
         self.tokens = {plain(t) for t in spec["model"]["vocab"] if t not in self.specials}
         self.longer = {t[:i] for t in self.tokens for i in range(1, len(t))}
         self.limit = limit
+        self.path = path
         self.reset()
 
     def reset(self) -> None:
@@ -155,6 +160,8 @@ class Counter:
 
     def number(self, state: tuple[bytes, tuple]) -> int:
         if state not in self.numbers:
+            if len(self.states) >= STATE_LIMIT:
+                raise OverflowError("too many states")
             self.numbers[state] = len(self.states)
             self.states.append(state)
         return self.numbers[state]
@@ -222,6 +229,8 @@ class Counter:
                 if suffix[len(suffix) - back :] + one in self.longer]
         reach = kept[0][0] if kept else 0
         state = ((suffix + one)[len(suffix) + 1 - reach :], (*kept, (0, token, 0)))
+        if not 0 <= grown + 64 < 128:
+            raise OverflowError("a token too many")
         return (number * 256 + byte) << 28 | self.number(state) << 7 | grown + 64
 
     def token_deltas(self, data: np.ndarray, starts: np.ndarray, lane: int = 1024) -> np.ndarray:
@@ -248,7 +257,33 @@ class Counter:
         return out
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text, special strings inside counted as one token each."""
+        """Tokens of each text, special strings inside counted as one token each.
+
+        Where the states don't suffice, they are forgotten and the texts, or parts of a text, are counted by halves; a
+        single piece that has more by itself is left to the library.
+        """
+        try:
+            return self._counts(texts)
+        except OverflowError:
+            self.reset()
+        if len(texts) > 1:
+            half = len(texts) // 2
+            return np.concatenate([self.counts(texts[:half]), self.counts(texts[half:])])
+        parts, specials = self.parts(texts[0], max(len(texts[0]) // 2, 1))
+        if len(parts) > 1:
+            return np.array([specials + sum(int(self.counts([p])[0]) for p in parts)], np.int64)
+        from tokenizers import Tokenizer
+
+        return np.array([len(Tokenizer.from_file(self.path).encode(texts[0], add_special_tokens=False).ids)], np.int64)
+
+    def parts(self, text: str, size: int) -> tuple[list[str], int]:
+        """``text`` in parts of about ``size`` characters whose counts add up, and the special strings between them."""
+        pieces = [text]
+        for special in self.specials:
+            pieces = [p for piece in pieces for p in piece.split(special)]
+        return [p for piece in pieces for p in cut_at_pieces(piece, size)], len(pieces) - 1
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
         parts, owners = [], []
         extra = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -292,14 +327,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, turn_ch
         counter = compiled(tokenizer_path)
         for batch in batches:
             texts = clean(batch.column("text"))
-            counts, turn, size = [], [], 0
+            n = np.zeros(len(texts), np.int64)
+            turn, owners, size = [], [], 0
             for i, text in enumerate(texts):
-                turn.append(text)
-                size += len(text)
-                if size >= turn_chars or i + 1 == len(texts):
-                    counts.append(counter.counts(turn))
-                    turn, size = [], 0
-            n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+                parts, n[i] = counter.parts(text, turn_chars) if len(text) > turn_chars else ([text], 0)
+                for part in parts:
+                    turn.append(part)
+                    owners.append(i)
+                    size += len(part)
+                    if size >= turn_chars:
+                        np.add.at(n, owners, counter.counts(turn))
+                        turn, owners, size = [], [], 0
+            if turn:
+                np.add.at(n, owners, counter.counts(turn))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64()),
                                               pa.array(n > limit, pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

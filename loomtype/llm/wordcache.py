@@ -77,6 +77,28 @@ def piece_starts(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return starts
 
 
+def cut_at_pieces(text: str, size: int) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters, cut where a piece begins.
+
+    Not between white space and what follows it: there the end of a part would join what the text keeps apart. ``text``
+    holds no special token's string.
+    """
+    at, width = 0, size
+    while len(text) - at > width:
+        window = text[at : at + width + 8]
+        points, bounds = code_points([window])
+        gap = classes()[points] >= BLANK
+        fit = piece_starts(points, bounds)
+        fit[1:] &= gap[1:] | ~gap[:-1]
+        starts = np.flatnonzero(fit[: width + 1])
+        if len(starts) > 1:
+            yield text[at : at + int(starts[-1])]
+            at, width = at + int(starts[-1]), size
+        else:
+            width *= 2
+    yield text[at:]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -208,26 +230,6 @@ class WordIds:
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
 
-    def parts(self, text: str, size: int) -> Iterator[str]:
-        """``text`` in parts of about ``size`` characters, cut where a piece begins.
-
-        Not between white space and what follows it: there the end of a part would join what the text keeps apart.
-        """
-        at, width = 0, size
-        while len(text) - at > width:
-            window = text[at : at + width + 8]
-            points, bounds = code_points([window])
-            gap = classes()[points] >= BLANK
-            fit = piece_starts(points, bounds)
-            fit[1:] &= gap[1:] | ~gap[:-1]
-            starts = np.flatnonzero(fit[: width + 1])
-            if len(starts) > 1:
-                yield text[at : at + int(starts[-1])]
-                at, width = at + int(starts[-1]), size
-            else:
-                width *= 2
-        yield text[at:]
-
     def encode(self, texts: list[str], per_turn: int = 500_000) -> list[np.ndarray]:
         """Ids of each text, from turns of about ``per_turn`` characters; long texts are cut."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
@@ -244,7 +246,7 @@ class WordIds:
         for own, text in zip(out, texts):
             at = 0
             for m in [*(self.specials.finditer(text) if self.specials else ()), None]:
-                for part in self.parts(text[at : m.start() if m else len(text)], per_turn):
+                for part in cut_at_pieces(text[at : m.start() if m else len(text)], per_turn):
                     turn.append(part)
                     slots.append((own, len(own)))
                     own.append(None)

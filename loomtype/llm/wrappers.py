@@ -398,7 +398,10 @@ def host_templates(pages: DataFrame, share: float = 0.6, least: int = 3) -> Data
                 counts = {}
         yield _count_rows(counts)
 
-    counted = trees.join(chosen, "host").select("host", "tree", "chosen").mapInArrow(align, "host string, item long, n long")
+    # a host's trees are dealt to parts, so that a host with a third of all pages is no single task's work
+    part = F.pmod(F.xxhash64("longest"), F.lit(64)).alias("part")
+    copies = chosen.join(trees.select("host", part).distinct(), "host").select("host", "part", "chosen")
+    counted = trees.withColumn("part", part).join(copies, ["host", "part"]).select("host", "tree", "chosen").mapInArrow(align, "host string, item long, n long")
     counted = counted.groupBy("host", "item").agg(F.sum("n").alias("n"))
     constant = counted.join(chosen.select("host", "pages"), "host").where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * share))
     rows = constant.groupBy("host").agg(F.collect_set("item").alias("constant"))

@@ -197,6 +197,20 @@ def test_token_counts(docs, rows, nothing):
     assert count_tokens(nothing, tokenizer()).count() == 0
 
 
+def test_token_counts_with_few_states(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from loomtype.llm import tokencounts
+
+    dice = random.Random(4)
+    texts = [" ".join(dice.choice(WORDS) for _ in range(300)) + "<|endoftext|>" + "q" * 40, "it's <|endoftext|><|endoftext|> x", "", "z" * 300]
+    want = [len(e.ids) for e in Tokenizer.from_file(tokenizer()).encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokencounts, "STATE_LIMIT", 60)
+    assert tokencounts.Counter(tokenizer()).counts(texts).tolist() == want
+    parts, specials = tokencounts.Counter(tokenizer()).parts(texts[0], 50)
+    assert specials == 1 and len(parts) > 20 and "<|endoftext|>".join(["".join(parts[:-1]), parts[-1]]) == texts[0]
+
+
 def test_cutter_equals_library_on_odd_texts():
     from tokenizers import Tokenizer
 
@@ -595,3 +609,193 @@ def test_frequent_shingles_take_the_other_way_to_the_same_links(spark, docs):
         for c, component in rows_:
             by[component].add(c)
     assert sorted(map(sorted, group[0].values())) == sorted(map(sorted, group[1].values())) == sorted(map(sorted, group[2].values())) and len(found[0]) > 80
+
+
+def plain_digest(raw):
+    """The fingerprint, a byte at a time: counts of hashed triplets, quartiles of the counts, and the length's class."""
+    from loomtype.llm import fingerprints as P
+
+    counts = [0] * 128
+    data = raw if len(raw) >= 5 or not raw else raw + bytes(5 - len(raw))
+    for end in range(4, len(data)):
+        for k, (a, b, c) in enumerate(((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))):
+            h = (int(P._TABLES[0][data[end - a]]) + int(P._TABLES[1][data[end - b]]) + int(P._TABLES[2][data[end - c]]) + int(P._SALTS[k])) % 2**32
+            h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+            counts[h >> 25] += 1
+    ordered = sorted(counts)
+    code = [sum(n > ordered[q * 32 - 1] for q in (1, 2, 3)) for n in counts]
+    length = 0 if not raw else min(255, 1 + int(np.floor(np.log(len(raw)) / np.log(1.1))))
+    return code, length
+
+
+def plain_likeness(x, y):
+    if (x[1] == 0) != (y[1] == 0):
+        return 0.0
+    cost = sum((0, 1, 2, 6)[abs(a - b)] for a, b in zip(x[0], y[0])) + max(abs(x[1] - y[1]) - 1, 0)
+    return 1 - min(cost, 180) / 180
+
+
+def test_fingerprints_against_brute_force(spark):
+    from loomtype.llm.fingerprints import edit_sensitivity
+
+    dice = random.Random(7)
+    texts = [prose(dice.randrange(0, 60), dice) for _ in range(25)] + ["", None, "abc", "é漢🙂", "x" * 400, "abc"]
+    data = [(i * 2, t) for i, t in enumerate(texts)] + [(None, "last a"), (None, "last b")]
+    order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = collections.Counter()
+    for i, (doc, text) in enumerate(order):
+        text, after = text or "", order[(i + 1) % len(order)][1] or ""
+        n = len(text)
+        edited = text[: n - n // 3] + after[: n // 3]
+        own, changed, following = (plain_digest(t.encode()) for t in (text, edited, after))
+        name = lambda d: f"{d[1]:02x}" + bytes(sum(q << s for q, s in zip(d[0][j : j + 4], (6, 4, 2, 0))) for j in range(0, 128, 4)).hex()
+        want[doc, n, hashlib.sha256(edited.encode()).hexdigest(), name(own), name(changed), round(plain_likeness(own, changed), 9), round(plain_likeness(own, following), 9)] += 1
+    for parts in (1, 6):
+        frame = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS kind", "'c' AS after").repartition(parts)
+        got = edit_sensitivity(frame, chunk_chars=200).collect()
+        assert collections.Counter((*tuple(r)[:5], round(r[5], 9), round(r[6], 9)) for r in got) == want
+
+
+def test_attention_model_against_brute_force():
+    import math
+
+    from loomtype.llm.quality import FEATURES, Model, fit, passages
+
+    dice = np.random.default_rng(2)
+    raw = [("Word word, 12%\n" * k).encode() for k in (0, 1, 40, 200)]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    owner, features = passages(data, offsets)
+    assert [int((owner == i).sum()) for i in range(4)] == [max(1, (len(t) + 200) // 400) for t in raw] and features.shape[1] == FEATURES
+    assert np.allclose(features[0, : FEATURES - 4], 0, atol=1e-6) and abs(features[owner == 2][:, :16].sum(axis=1) - 1).max() < 1e-5
+    model = fit(np.repeat(np.arange(30), 3), dice.normal(size=(90, FEATURES)).astype(np.float32), dice.integers(0, 2, 30).astype(float), steps=5)
+    got, attention = model.scores(owner, features, 4)
+    w = model.weights
+    for i in range(4):
+        hidden, raw_weights = [], []
+        for x in features[owner == i]:
+            z = [min(6, max(-6, (float(v) - float(m)) / float(s))) for v, m, s in zip(x, model.mean, model.scale)]
+            h = [math.tanh(sum(z[a] * w["E"][a, b] for a in range(FEATURES)) + w["e"][b]) for b in range(w["E"].shape[1])]
+            hidden.append(h)
+            raw_weights.append(sum(math.tanh(sum(h[a] * w["V"][a, b] for a in range(len(h)))) / (1 + math.exp(-sum(h[a] * w["U"][a, b] for a in range(len(h))))) * w["a"][b]
+                                   for b in range(w["V"].shape[1])))
+        top = max(raw_weights)
+        part = [math.exp(v - top) for v in raw_weights]
+        bag = [sum(p * h[b] for p, h in zip(part, hidden)) / sum(part) for b in range(len(hidden[0]))]
+        expected = 1 / (1 + math.exp(-(sum(v * c for v, c in zip(bag, w["c"])) + w["b"][0])))
+        assert abs(expected - got[i]) < 1e-5 and np.allclose(attention[owner == i], np.array(part) / sum(part), atol=1e-5)
+    assert isinstance(model, Model)
+
+
+def test_attention_learning_follows_the_gradient():
+    """One step of the learner goes down every weight's slope, as finite differences of the loss see it."""
+    from loomtype.llm import quality
+
+    dice = np.random.default_rng(5)
+    owner, labels = np.repeat(np.arange(12), 2), dice.integers(0, 2, 12).astype(float)
+    features = dice.normal(size=(24, quality.FEATURES)).astype(np.float32)
+    before, after = (quality.fit(owner, features, labels, steps=n, rate=1e-3, decay=0.0, batch=12) for n in (0, 1))
+
+    def loss(weights):
+        p, _ = quality.Model(before.mean, before.scale, weights).scores(owner, features, 12)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    for name, value in before.weights.items():
+        for at in [np.unravel_index(int(i), value.shape) for i in dice.integers(0, value.size, 6)]:
+            slope = 0.0
+            for sign in (1, -1):
+                moved = {k: v.astype(np.float64).copy() for k, v in before.weights.items()}
+                moved[name][at] += sign * 1e-4
+                slope += sign * loss(moved) / 2e-4
+            step = after.weights[name][at] - value[at]
+            if abs(slope) > 1e-6:  # the first step of Adam is the rate, against the gradient's sign
+                assert np.sign(step) == -np.sign(slope) and abs(abs(step) - 1e-3) < 2e-4, (name, at)
+
+
+def test_wrappers_need_no_names(spark):
+    """Meaningless tags and classes: only the alignment of a host's pages tells the article from its frame."""
+    from loomtype.llm.wrappers import Page, extract_text, main_text
+
+    dice = random.Random(3)
+    frame = [" ".join(dice.choice(WORDS) for _ in range(dice.randrange(3, 9))) for _ in range(8)]
+
+    def page(i):
+        own = [f"{prose(14, random.Random(100 * i + k))} {i}-{k}." for k in range(2 + i % 4)]
+        body = "".join(f"<div class='k3'>{t}</div>" for t in own[:1]) + "".join(f"<p class='k{4 + k % 2}'>{t}</p>" for k, t in enumerate(own[1:]))
+        html = (f"<body><div class='a1'><div class='b7'>{frame[0]}</div><div class='b8'>{frame[1]}</div></div><div class='q2'>{body}<div class='z5'>{frame[2]}</div></div>"
+                f"<div class='w9'><p>{frame[3]}</p><p>{frame[4]}</p><ul><li>{frame[5]}</li><li>{frame[6]}</li></ul></div><div class='w4'>{frame[7]}</div></body>")
+        return html, "\n".join(own)
+
+    pages = {i: page(i) for i in range(12)}
+    table = spark.createDataFrame([(i, f"https://plain.example/{i}", html) for i, (html, _) in pages.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_text(table).collect()}
+    for i, (html, want) in pages.items():
+        assert got[i] == want
+        assert main_text(Page(html), set(), set()) != want  # without the template the frame stays
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, docs, rows):
+    """The stages one after the other, each held against a plain computation on what the one before it kept."""
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as C
+    from loomtype.llm.common import saved
+    from loomtype.llm.quality import classify
+
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    good = [r[0] for r in rows if r[0] is not None]
+    labels = spark.createDataFrame([(d, int(i % 5 > 0), 0) for i, d in enumerate(sorted(set(good)))], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    base.write.parquet(str(tmp_path / "documents.parquet"))
+    sf = str(tmp_path)
+    start = spark.read.parquet(f"{sf}/documents.parquet")
+    held = []
+    frame = start
+    for name, stage in C.STAGES[:-1]:
+        frame = saved(stage(spark, frame, sf))
+        assert frame.columns == start.columns, name
+        held.append([tuple(r) for r in frame.collect()])
+    accepted = collections.Counter((r["doc_id"]) for r in classify(start, labels).collect() if r["predicted"])
+    assert collections.Counter(r[0] for r in held[0]) == accepted
+    up = {i: i + 32 for i in range(65, 91)}
+    sets, leaders = [], 0
+    for r in held[0]:
+        w = re.findall(WORD, (r[1] or "").translate(up))
+        sets.append(frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([" ".join(w)] if w else []))
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= 75 * (len(a) + len(sets[j]) - both):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    by = collections.defaultdict(list)
+    for g, s, r in zip(group, sets, held[0]):
+        by[g if s else ("empty", leaders := leaders + 1)].append(r)
+    least = lambda own: min((r[0] is None, r[0] or 0) for r in own)
+    assert sorted(map(str, (least([r]) for r in held[1]))) == sorted(map(str, (least(own) for own in by.values())))
+    words = lambda t: len(re.findall(WORD, t or ""))
+    size = collections.Counter()
+    for r in held[1]:
+        size[r[3]] += words(r[1])
+    taken = collections.Counter()
+    uses = collections.Counter()
+    for r in held[2]:
+        taken[r[3]] += words(r[1])
+        uses[r[0]] += words(r[1])
+    assert abs(sum(taken.values()) - sum(size.values())) <= 64 * 4 + 0.01 * sum(size.values())
+    own = collections.Counter()
+    for r in held[1]:
+        own[r[0]] += words(r[1])
+    assert all(n <= 3 * own[d] for d, n in uses.items()) and all(r[4] == len(r[1]) for r in held[2])
+    packed = C.STAGES[-1][1](spark, frame, sf).collect()
+    bins = collections.defaultdict(list)
+    for r in packed:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        parts.sort()
+        assert [o for o, _ in parts] == list(np.cumsum([0] + [n for _, n in parts])[:-1]) and sum(n for _, n in parts) <= 1024
+    assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == collections.Counter(r[0] for r in held[2])
+    assert collections.Counter(r["doc_id"] for r in C.run(spark, sf).collect()) == collections.Counter(r["doc_id"] for r in packed)
+    empty = start.where("false")
+    for _, stage in C.STAGES:
+        assert stage(spark, empty, sf).count() == 0
