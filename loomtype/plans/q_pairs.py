@@ -41,20 +41,21 @@ def agg3(spark, sf):
     return m.select("read_id", "allele_id", "llhd", F.concat_ws(",", F.transform("positions", lambda x: x.cast("string"))).alias("positions"))
 
 
-_TOP = f"{_Z}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY z DESC, i, j) AS r FROM z) WHERE r <= 20)"
+_TOP = f"{_Z}, t AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY locus ORDER BY z DESC) AS r FROM z) WHERE r <= 20)"
 _E = f"""{_TOP}, e AS (SELECT p.locus, p.i, p.j, side, pos, CAST(sum(CASE side WHEN 1 THEN w1 ELSE w2 END) AS BIGINT) AS weight
   FROM p JOIN t ON p.locus = t.locus AND p.i = t.i AND p.j = t.j, (VALUES (1), (2)) v(side)
   WHERE CASE side WHEN 1 THEN w1 ELSE w2 END > 0 GROUP BY p.locus, p.i, p.j, side, pos)"""
 
 
-def _top(spark, sf):
-    z = P.pair_log_likelihood(scores(spark, sf))
-    return saved(P.report_depth(z, 20, ["locus"], [F.desc("z"), "i", "j"]))
+def _ranked(spark, sf):
+    """All pairs, and those of the twenty best ranks, equal ones together."""
+    z = saved(P.pair_log_likelihood(scores(spark, sf)))
+    return z, P.rank_pairs(z, 20)
 
 
 @query("agg4_pair_emissions", f"{_E} SELECT locus, i, j, side, pos, weight FROM e")
 def agg4(spark, sf):
-    return P.pair_emissions(scores(spark, sf), _top(spark, sf))
+    return P.pair_emissions(scores(spark, sf), _ranked(spark, sf)[1])
 
 
 _C = f"""{_E}, g AS (SELECT locus, i, j, side, CAST(sum(weight) AS BIGINT) AS n, sum(lgamma(weight + 1.0) / ln(10.0)) AS fws FROM e GROUP BY locus, i, j, side),
@@ -63,19 +64,24 @@ c AS (SELECT locus, i, j, sum(lgamma(n + 1.0) / ln(10.0) - n * log10(3000.0) - f
 
 @query("agg5_coverage_likelihood", f"{_C} SELECT locus, i, j, round(c, 4) AS c FROM c")
 def agg5(spark, sf):
-    c = P.coverage_likelihood(P.pair_emissions(scores(spark, sf), _top(spark, sf)), 3000)
+    c = P.coverage_likelihood(P.pair_emissions(scores(spark, sf), _ranked(spark, sf)[1]), 3000)
     return c.select("locus", "i", "j", F.round("c", 4).alias("c"))
 
 
-_POST = f"""{_C}, q AS (SELECT t.locus, t.i, t.j, t.z / 1000.0 / reads AS z, c / 100 AS c FROM t JOIN c ON t.locus = c.locus AND t.i = c.i AND t.j = c.j),
-m AS (SELECT *, max(z + c) OVER (PARTITION BY locus) AS m FROM q),
-post AS (SELECT locus, i, j, z, c, pow(10.0, z + c - m) / sum(pow(10.0, z + c - m)) OVER (PARTITION BY locus) AS prob FROM m)"""
+def _post(c: str) -> str:
+    """The posterior in SQL; pairs that ``c`` doesn't hold were cut, and count with the least chance of those it holds."""
+    return f"""{c}, q AS (SELECT z.locus, z.i, z.j, z.z / 1000.0 / reads AS z, c / 100 AS c FROM z JOIN c ON z.locus = c.locus AND z.i = c.i AND z.j = c.j),
+n AS (SELECT locus, count(*) AS n FROM z GROUP BY locus), m AS (SELECT q.*, n, max(z + c) OVER (PARTITION BY q.locus) AS m, count(*) OVER (PARTITION BY q.locus) AS kept FROM q JOIN n ON q.locus = n.locus),
+post AS (SELECT locus, i, j, z, c, pow(10.0, z + c - m) / (sum(pow(10.0, z + c - m)) OVER (PARTITION BY locus) + (n - kept) * min(pow(10.0, z + c - m)) OVER (PARTITION BY locus)) AS prob FROM m)"""
 
 
-def _posterior(spark, sf):
-    top = _top(spark, sf)
-    c = P.coverage_likelihood(P.pair_emissions(scores(spark, sf), top), 3000).select("locus", "i", "j", (F.col("c") / 100).alias("c"))
-    return P.pair_posterior(top.select("locus", "i", "j", (F.col("z") / 1000.0 / F.col("reads")).alias("z")), c)
+_POST, _ALL = _post(_C), _post(_C.replace("WHERE r <= 20", ""))
+
+
+def _posterior(spark, sf, every=False):
+    z, top = _ranked(spark, sf)
+    c = P.coverage_likelihood(P.pair_emissions(scores(spark, sf), z if every else top), 3000).select("locus", "i", "j", (F.col("c") / 100).alias("c"))
+    return P.pair_posterior(z.select("locus", "i", "j", (F.col("z") / 1000.0 / F.col("reads")).alias("z")), c)
 
 
 @query("agg6_pair_posterior", f"{_POST} SELECT locus, i, j, round(z, 4) AS z, round(c, 4) AS c, round(prob, 4) AS prob FROM post")
@@ -83,9 +89,10 @@ def agg6(spark, sf):
     return _posterior(spark, sf).select("locus", "i", "j", F.round("z", 4).alias("z"), F.round("c", 4).alias("c"), F.round("prob", 4).alias("prob"))
 
 
-@query("flt14_non_zero_posterior", f"{_POST} SELECT locus, i, j FROM post WHERE prob > 0.001")
+# every pair is evaluated
+@query("flt14_non_zero_posterior", f"{_ALL} SELECT locus, i, j FROM post WHERE prob > 0.001")
 def flt14(spark, sf):
-    return S.non_zero_posterior(_posterior(spark, sf), 1e-3).select("locus", "i", "j")
+    return S.non_zero_posterior(_posterior(spark, sf, every=True), 1e-3).select("locus", "i", "j")
 
 
 @query("srt4_top_pairs", f"{_POST} SELECT locus, i, j FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY prob DESC, i, j) AS r FROM post) WHERE r <= 3")
@@ -144,7 +151,7 @@ def agg11(spark, sf):
 
 @query("agg23_number_of_reads", f"{_E} SELECT locus, i, j, side, sum(weight) / 2 AS reads FROM e GROUP BY locus, i, j, side")
 def agg23(spark, sf):
-    return P.number_of_reads(P.pair_emissions(scores(spark, sf), _top(spark, sf)))
+    return P.number_of_reads(P.pair_emissions(scores(spark, sf), _ranked(spark, sf)[1]))
 
 
 @query("win5_rank_alleles", f"{_S} SELECT read_id, locus, allele_id, llhd, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY read_id, locus ORDER BY llhd DESC, allele_id) AS INT) AS rank FROM s) WHERE rank <= 3")
