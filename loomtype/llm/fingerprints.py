@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
-from .textbytes import clean
+from .textbytes import clean, runs
 
 BUCKETS = 128
 #: Offsets, from the newest byte of a five-byte window, of the triplets that are counted.
@@ -27,18 +27,23 @@ _TABLES = _dice.integers(0, 2**32, (3, 256), np.uint32)
 _SALTS = _dice.integers(0, 2**32, len(TRIPLETS), np.uint32)
 
 
-def bucket_counts(texts: list[bytes]) -> np.ndarray:
-    """Counts of hashed byte triplets per text and bucket. Texts under five bytes are padded by zero bytes to five."""
+def bucket_counts(texts: list[bytes], block: int = 1 << 18) -> np.ndarray:
+    """Counts of hashed byte triplets per text and bucket. Texts under five bytes are padded by zero bytes to five.
+
+    Works on ``block`` bytes at a time, however long the texts are.
+    """
     padded = [t if len(t) >= 5 or not t else t + bytes(5 - len(t)) for t in texts]
     data = np.frombuffer(b"".join(padded), np.uint8)
-    lengths = np.array([len(t) for t in padded], np.int64)
+    ends = np.cumsum([len(t) for t in padded], dtype=np.int64)
+    starts = np.append(0, ends[:-1])
     counts = np.zeros(len(texts) * BUCKETS, np.int64)
-    if len(data):
-        owner = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)[4:]
-        whole = np.flatnonzero(owner == np.repeat(np.arange(len(texts), dtype=np.int64), lengths)[:-4])
+    for low in range(4, len(data), block):
+        high = min(low + block, len(data))  # the newest bytes of this block's windows
+        owner = np.repeat(np.arange(len(texts)), np.clip(ends, low, high) - np.clip(starts, low, high))
+        whole = np.flatnonzero(np.arange(low, high) - starts[owner] >= 4)
         rows = owner[whole] * BUCKETS
-        one, two, three = (t[data] for t in _TABLES)
-        n = len(data)
+        one, two, three = (t[data[low - 4 : high]] for t in _TABLES)
+        n = len(one)
         for (a, b, c), salt in zip(TRIPLETS, _SALTS):
             h = one[4 - a : n - a] + two[4 - b : n - b] + three[4 - c : n - c] + salt
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
@@ -107,14 +112,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            strings = digest_strings(*digests([t.encode("utf-8", "surrogatepass") for t in clean(batch.column("text"))]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(strings, pa.string())], ["doc_id", "fingerprint"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                for batch, texts in runs(whole.slice(at, 1000), "text"):
+                    strings = digest_strings(*digests([t.encode("utf-8", "surrogatepass") for t in texts]))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(strings, pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def edit_sensitivity(docs: DataFrame, chunk_chars: int = 2_000_000) -> DataFrame:
+def edit_sensitivity(docs: DataFrame, chunk_chars: int = 500_000, chunk_rows: int = 1000) -> DataFrame:
     """Compare each text's fingerprint with an edited text's and with the next document's.
 
     The edited text has its last third (code points, rounded down) replaced by the beginning of the next document in
@@ -153,7 +160,7 @@ def edit_sensitivity(docs: DataFrame, chunk_chars: int = 2_000_000) -> DataFrame
                 held[0].append(doc_id)
                 held[1].append(text)
                 size += len(text)
-                if size > chunk_chars and len(held[0]) > 1:
+                if (size > chunk_chars or len(held[0]) > chunk_rows) and len(held[0]) > 1:
                     yield rows(*held)
                     held = (held[0][-1:], held[1][-1:])
                     size = len(text)
