@@ -24,7 +24,17 @@ def new_path(spark: SparkSession, kind: str = "t") -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back."""
+    """Write ``df`` as a table in the shared folder and read it back; ``discard`` removes it when nothing reads it any more."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``saved`` made. Whatever was computed from them must have been written by now."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(table.saved_path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
