@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 from .textbytes import runs
 from .tokencounts import byte_alphabet
 from .wordcache import WordIds
@@ -212,6 +212,7 @@ def prefix_trees(conversations: DataFrame, tokenizer_path: str, loss_role: str =
     full = placed.join(jumps, own, "left").withColumn("attends", attends).withColumn(
         "position", F.expr("aggregate(attends, 0L, (n, x) -> n + x.stop - x.start)"))
     turns = saved(rows.select("conv_id", "depth", "node").join(placed.select("node", "tree", "start"), "node"))
+    discard(laid, rows, nodes, sorted_)
     return PrefixTrees(full.select("node", "tree", "start", "stop", "depth", "position", "attends", "role", "ids", "loss_from", "loss_to"), turns)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard as discard
 from ..sources.shared import saved as saved
 
 WORD = r"[^\x20\x09-\x0D]+"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 LINKS = 16
 BATCH = 256
@@ -296,9 +296,10 @@ def hnsw_index(rows: DataFrame, k: int, shards: int | None = None, salts: int =
     if shards is None:
         n, dim = distinct.agg(F.count("*"), F.max(F.size("embedding"))).first()
         shards = shard_count(n, dim or 1)
-    index = distinct.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard").applyInArrow(
-        _build_shard(_kind(rows)), INDEX)
-    return saved(index), shards
+    index = saved(distinct.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard").applyInArrow(
+        _build_shard(_kind(rows)), INDEX))
+    discard(distinct)
+    return index, shards
 
 
 def _kind(rows: DataFrame) -> type:

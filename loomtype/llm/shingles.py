@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import discard, saved
 from .textbytes import slices
 from .wordcache import mixed, span_hashes
 
@@ -261,8 +261,10 @@ def frequent_shingles(docs: DataFrame, n: int, least: int, most: int, bits: int)
             break
         kept, lowest = kept + row["count"], row["level"]
     if lowest is None:
+        discard(common)
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     got = common.where(level >= lowest).toPandas().sort_values("key")
+    discard(common)
     return got["key"].to_numpy(np.int64).view(np.uint64), np.minimum(got["n"], 2**31 - 1).to_numpy(np.int32)
 
 
@@ -399,7 +401,9 @@ def plausible(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     left = pairs.join(held.select(F.col("class").alias("a"), F.col("part").alias("sa")), "a")
     both = left.join(held.select(F.col("class").alias("b"), F.col("part").alias("sb")), "b")
     apart = F.size("sa") + F.size("sb") - 2 * F.size(F.array_intersect("sa", "sb"))
-    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb")
+    kept = saved(both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb"))
+    discard(held)
+    return kept
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
@@ -412,8 +416,10 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, fragments:
     left = pairs.join(held.select(F.col("class").alias("a"), "fragment", F.col("segment").alias("sa")), "a")
     both = left.join(held.select(F.col("class").alias("b"), "fragment", F.col("segment").alias("sb")), ["b", "fragment"])
     partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).where(
-        F.expr(f"100 * shared >= {percent} * (na + nb - shared)")).select("a", "b")
+    linked = saved(partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).where(
+        F.expr(f"100 * shared >= {percent} * (na + nb - shared)")).select("a", "b"))
+    discard(held)
+    return linked
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -431,7 +437,9 @@ def components(links: DataFrame) -> DataFrame:
         large = saved(large.where("a <> b").distinct())
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = saved(small.where("a <> b").distinct())
+        then = saved(small.where("a <> b").distinct())
+        discard(edges, large)
+        edges = then
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -488,8 +496,8 @@ def similar_classes(docs: DataFrame, classes: DataFrame, n: int = 5, percent: in
 
     led = members.where("class <> lead").where(possible("n", "place", "lead_n", "lead_place"))
     tried = saved(pairs(led, "class", "n", "lead", "lead_n"))
-    links = saved(verified(docs, saved(plausible(classes, tried, percent)), n, percent, fragments))
-    joined = saved(components(links))
+    links = verified(docs, plausible(classes, tried, percent), n, percent, fragments)
+    joined = components(links)
 
     labelled = members.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")).select(
         "sig", "class", "n", "place", "component")
@@ -504,10 +512,12 @@ def similar_classes(docs: DataFrame, classes: DataFrame, n: int = 5, percent: in
                             + possible("x.n", "x.place", "y.n", "y.place"))).select(
         F.col("x.class").alias("a"), F.col("x.n").alias("na"), F.col("y.class").alias("b"), F.col("y.n").alias("nb")).distinct()
     rest = saved(rest.join(tried, ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
-    rest = saved(plausible(classes, rest, percent))
-    if rest.isEmpty():
+    discard(packed, open_, tried)
+    left = plausible(classes, rest, percent)
+    discard(rest)
+    if left.isEmpty():
         return joined
-    more = saved(verified(docs, rest, n, percent, fragments))
+    more = verified(docs, left, n, percent, fragments)
     if more.isEmpty():
         return joined
     return components(links.unionByName(more))

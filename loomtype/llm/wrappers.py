@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 from .textbytes import clean
 
 # Names of HTML's elements by kind, and words that mark what is not the article.
@@ -405,7 +405,9 @@ def host_templates(pages: DataFrame, share: float = 0.6, least: int = 3) -> Data
     counted = counted.groupBy("host", "item").agg(F.sum("n").alias("n"))
     constant = counted.join(chosen.select("host", "pages"), "host").where((F.col("n") >= least) & (F.col("n") >= F.col("pages") * share))
     rows = constant.groupBy("host").agg(F.collect_set("item").alias("constant"))
-    return saved(chosen.join(rows, "host", "left").select("host", F.col("chosen").alias("tree"), "constant"))
+    templates = saved(chosen.join(rows, "host", "left").select("host", F.col("chosen").alias("tree"), "constant"))
+    discard(trees, chosen)
+    return templates
 
 
 def _longest(page: Page) -> int:
