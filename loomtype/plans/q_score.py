@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import kernel, score
-from ..operators.pairs import best_orientation, final_emission
+from ..operators.pairs import best_orientation, final_emission, pair_sums_blocked
 from ..sources.shared import saved
 from .registry import derive, query, text
 
@@ -172,6 +172,13 @@ def hm9s(spark, sf):
     return score.type_samples(s, 300, multi_locus=False)["alleles"].select("sample", "locus", "allele_id", F.round("llhd", 4).alias("llhd"), "reads")
 
 
+@query("agg2_pair_sums_blocked", f"""{_F}, s AS (SELECT * FROM value WHERE NOT rc)
+SELECT x.locus, x.allele_id AS i, y.allele_id AS j, round(sum(greatest(x.llhd, y.llhd)), 4) AS z FROM s x JOIN s y ON x.read_id = y.read_id AND x.locus = y.locus AND x.allele_id <= y.allele_id GROUP BY x.locus, x.allele_id, y.allele_id""")
+def agg2b(spark, sf):
+    s = score.forward_scores(reads(spark, sf).withColumn("rc", F.lit(False)), score.build_emissions(alleles(spark, sf)))
+    return pair_sums_blocked(saved(s), block=8, reads_per_lane=256).select("locus", "i", "j", F.round("z", 4).alias("z"))
+
+
 # The best path to each cell, as rows: a delete's from the matches before it, the sum of its steps being the same however it is split.
 _VITERBI = f"""WITH RECURSIVE target AS (SELECT * FROM ({_ALLELES}) ORDER BY length(seq) DESC, allele_id LIMIT 1), g AS (SELECT CAST(length(seq) AS DOUBLE) AS g FROM target),
 al AS (SELECT unnest(range(1, length(seq) + 1)) AS k, unnest(string_split(seq, '')) AS ch FROM target),
@@ -197,10 +204,15 @@ def hm6(spark, sf):
     return a.select("read_id", F.round("llhd", 6).alias("llhd"), (plain("read_text") == F.col("seq")).alias("whole_read"), inside.alias("within_allele"))
 
 
-@query("hm7_viterbi_report")
+@query("hm7_viterbi_report", f"""{_VITERBI}, v AS (SELECT read_id, rc, max(greatest(m, s)) AS llhd FROM f WHERE i = 12 GROUP BY read_id, rc),
+b AS (SELECT read_id, rc FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY llhd DESC, rc) AS r FROM v) WHERE r = 1)
+SELECT o.read_id // 2 AS read_id, count(*) AS mates, string_agg(seq, ' ' ORDER BY seq) AS reads, count(*) > 1 AS has_distance FROM o JOIN b ON o.read_id = b.read_id AND o.rc = b.rc GROUP BY o.read_id // 2""")
 def hm7(spark, sf):
     longest = alleles(spark, sf).orderBy(F.desc(F.length("seq")), "allele_id").first()
-    return score.viterbi_report(score.viterbi_align(score.oriented(reads(spark, sf)), longest["allele_id"], longest["seq"], len(longest["seq"])))
+    mates = reads(spark, sf).withColumn("mate", (F.col("read_id") % 2 + 1).cast("int")).withColumn("read_id", F.expr("read_id div 2"))
+    r = score.viterbi_report(score.viterbi_align(score.oriented(mates), longest["allele_id"], longest["seq"], len(longest["seq"])))
+    texts = F.transform(F.split("report", "\n\n"), lambda m: F.regexp_replace(F.split(m, "\n")[1], "-", ""))
+    return r.select("read_id", F.size(texts).cast("long").alias("mates"), F.array_join(F.array_sort(texts), " ").alias("reads"), F.col("inner_distance").isNotNull().alias("has_distance"))
 
 
 @query("ud1_fold", """WITH s AS (SELECT user_id, event_id, sum(value - 1) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events), n AS (SELECT user_id, arg_max(s, event_id) AS last, min(s) AS low FROM s GROUP BY user_id)
