@@ -278,8 +278,11 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def shard_count(rows: int, dim: int) -> int:
-    """Shards of 16,384 vectors up to 64 of them, then of up to 131,072 vectors, but never more than 64 MB of them."""
-    size = min(max(rows // 64, 16_384), 131_072, max((1 << 26) // (4 * max(dim, 1)), 1))
+    """Shards of up to 16,384 vectors, and never more than 64 MB of them.
+
+    Larger ones would be fewer for a query to visit, but a beam of one width finds less in them (see the README).
+    """
+    size = min(16_384, max((1 << 26) // (4 * max(dim, 1)), 1))
     return max(1, -(-rows // size))
 
 
@@ -306,7 +309,7 @@ def _kind(rows: DataFrame) -> type:
     return np.float32 if rows.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, ef: int = 128, shards: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, ef: int = 192, shards: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of each row whose vec_id is divisible by ``every``, among all other rows.
 
     A query is sent once to every shard; there the shard's graph comes first and its queries stream by, so neither is
