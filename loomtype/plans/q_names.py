@@ -146,14 +146,15 @@ def sequences(spark, sf):
     return derive(spark, sf, text(SEQUENCES.replace(", 'g')", ")"), "documents"), "documents")
 
 
-#: All stretches of 200 letters, as two reads each.
+#: All stretches of 200 letters, as two reads each; the last of a text is filled up.
 _SHORT = f"""WITH s AS (SELECT doc_id, k, substr(seq, CAST(200 * k + 1 AS INT), 100) AS seq, substr(seq, CAST(200 * k + 101 AS INT), 100) AS other
-  FROM (SELECT doc_id, seq, unnest(range(length(seq) // 200)) AS k FROM ({SEQUENCES}) x) y)"""
+  FROM (SELECT doc_id, seq, unnest(range(length(seq) // 200)) AS k FROM (SELECT doc_id, rpad(seq, CAST((length(seq) + 199) // 200 * 200 AS INT), 'ACGT') AS seq FROM ({SEQUENCES}) x) z) y)"""
 
 
 def _short(spark, sf):
     n = F.floor(F.length("seq") / 200)
-    cut = sequences(spark, sf).where("length(seq) >= 200").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    full = sequences(spark, sf).where("seq <> ''").withColumn("seq", F.expr("rpad(seq, cast((length(seq) + 199) div 200 * 200 AS int), 'ACGT')"))
+    cut = full.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     at = lambda add: F.substring(F.col("seq"), (F.col("k") * 200 + add).cast("int"), F.lit(100))
     return cut.select("doc_id", "k", at(1).alias("seq"), at(101).alias("other"))
 
