@@ -137,7 +137,7 @@ def reads_x_alleles(scores: DataFrame) -> DataFrame:
 
 
 def viterbi_align(reads: DataFrame, allele_id: int, allele: str, n_columns: int, prealigned: bool = True) -> DataFrame:
-    """Best path of each oriented read on one allele: aligned texts, first and last column, the better orientation."""
+    """Best path of each oriented read on one allele: aligned texts, first and last column, the better orientation (the regular one where both are alike)."""
     schema = "read_id long, mate int, rc boolean, allele_id long, llhd double, start long, stop long, allele_text string, read_text string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +149,7 @@ def viterbi_align(reads: DataFrame, allele_id: int, allele: str, n_columns: int,
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     aligned = reads.where("length(seq) > 0 AND size(q) = length(seq)").select("read_id", "mate", "rc", "seq", "q").mapInPandas(run, schema)
-    best = aligned.groupBy("read_id", "mate").agg(F.max_by(F.struct("*"), F.struct("llhd", ~F.col("rc"))).alias("b"))
+    best = aligned.groupBy("read_id", "mate").agg(F.max_by(F.struct("*"), F.struct(F.round("llhd", 9), ~F.col("rc"))).alias("b"))
     return best.select("b.*")
 
 

@@ -205,7 +205,7 @@ def hm6(spark, sf):
 
 
 @query("hm7_viterbi_report", f"""{_VITERBI}, v AS (SELECT read_id, rc, max(greatest(m, s)) AS llhd FROM f WHERE i = 12 GROUP BY read_id, rc),
-b AS (SELECT read_id, rc FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY llhd DESC, rc) AS r FROM v) WHERE r = 1)
+b AS (SELECT read_id, rc FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY round(llhd, 9) DESC, rc) AS r FROM v) WHERE r = 1)
 SELECT o.read_id // 2 AS read_id, count(*) AS mates, string_agg(seq, ' ' ORDER BY seq) AS reads, count(*) > 1 AS has_distance FROM o JOIN b ON o.read_id = b.read_id AND o.rc = b.rc GROUP BY o.read_id // 2""")
 def hm7(spark, sf):
     longest = alleles(spark, sf).orderBy(F.desc(F.length("seq")), "allele_id").first()
