@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import discard, saved, small_batches
 from .textbytes import runs
 from .tokencounts import byte_alphabet
 from .wordcache import WordIds
@@ -150,6 +150,7 @@ def prefix_trees(conversations: DataFrame, tokenizer_path: str, loss_role: str =
     repeated rows are turns of their own; rows without a conversation id form one conversation with a null id; an
     empty table gives no nodes; other columns are dropped, whatever their names.
     """
+    small_batches(conversations.sparkSession)
     base = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"),
                                 F.coalesce("text", F.lit("")).alias("text"))
     order = ["conv_id", "turn", F.substring("role", 1, 64), F.substring("text", 1, 64)]

@@ -11,6 +11,18 @@ from ..sources.shared import saved as saved
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Let Arrow batches have ``size`` bytes, where the session has no limit of its own below that.
+
+    Texts are long: batches of Spark's default size are held several times over by an executor and its workers.
+    """
+    if int(spark.conf.get(BATCH_BYTES).rstrip("b")) > size:
+        spark.conf.set(BATCH_BYTES, f"{size}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 from .textbytes import clean, runs
 
 BUCKETS = 128
@@ -169,6 +169,7 @@ def edit_sensitivity(docs: DataFrame, chunk_chars: int = 500_000, chunk_rows: in
         if begun:
             yield edge(2, held[0][-1], held[1][-1])
 
+    small_batches(docs.sparkSession)
     by = [F.col("doc_id").desc_nulls_last(), F.substring("text", 1, 64).asc_nulls_first()]
     order = [*by, F.col("text").asc_nulls_first()]
     walked = saved(docs.select("doc_id", "text").repartitionByRange(*by).sortWithinPartitions(*order).mapInArrow(

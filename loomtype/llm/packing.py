@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lanes, saved, spread
+from .common import lanes, saved, small_batches, spread
 from .textbytes import runs
 from .wordcache import WordIds
 
@@ -46,6 +46,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024,
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .textbytes import slices
 
 PASSAGE_BYTES = 400
@@ -190,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 3000, passages_bound:
     document has several label rows' mean as its label. Without labels every score is one half; labelled documents
     of which none fits raise an error.
     """
+    small_batches(docs.sparkSession)
     bags = _bags(docs, labels, bound, passages_bound)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, saved
+from .common import discard, saved, small_batches
 from .textbytes import slices
 from .wordcache import mixed, span_hashes
 
@@ -525,6 +525,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, n: int = 5, percent: in
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The class of each document, and the component and least doc_id of each class."""
+    small_batches(docs.sparkSession)
     classes = saved(shingle_classes(docs, n))
     named = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")).join(
         similar_classes(docs, classes, n, percent), "class", "left").withColumn("component", F.coalesce("component", "class"))

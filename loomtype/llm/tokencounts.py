@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textbytes import clean
 from .wordcache import BLANK, LETTER, NUMBER, SPACE, classes, code_points, cut_at_pieces
 
@@ -343,5 +344,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, turn_ch
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64()),
                                               pa.array(n > limit, pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).mapInArrow(
         run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import discard, saved, small_batches
 from .textbytes import clean
 
 # Names of HTML's elements by kind, and words that mark what is not the article.
@@ -464,5 +464,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", "html", _host().alias("host"))
     return rows.join(host_templates(pages), "host", "left").select("page_id", "url", "html", "tree", "constant").mapInArrow(run, RESULT)
