@@ -78,9 +78,15 @@ def op10_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_attention_quality, op2_prefix_tree_chat, op3_wrapper_text, op4_hnsw_neighbours, op5_source_mix,
-    op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards, op10_shingle_components)}
+    op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards, op10_shingle_components, op12_son_collocations)}
 
 
 def queries() -> dict:
@@ -90,5 +96,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """SQL where there is any: hashes, models and tokenizers have none, and component search in SQL is too slow."""
     from .mixing import oracle_sql as mix_sql
+    from .phrases import oracle_sql as phrase_sql
 
-    return {"op5_source_mix": mix_sql()}
+    return {"op5_source_mix": mix_sql(), "op12_son_collocations": phrase_sql()}
