@@ -242,7 +242,7 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
 
 
 #: floor(1000 a n / (l r)), in decimals, since the products may pass 64 bits.
-SCORE = F.expr("(CAST(1000 * CAST(a AS DECIMAL(19,0)) AS DECIMAL(23,0)) * CAST(n AS DECIMAL(15,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))")
+SCORE = "(CAST(1000 * CAST(a AS DECIMAL(19,0)) AS DECIMAL(23,0)) * CAST(n AS DECIMAL(15,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))"
 
 
 def collocations(docs: DataFrame, support: int = 100, longest: int = 5, first: int = 2000, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -265,7 +265,7 @@ def collocations(docs: DataFrame, support: int = 100, longest: int = 5, first: i
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("_l"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("_r"))
     cuts = cuts.join(of("_l", "l"), ["lang", "_l"]).join(of("_r", "r"), ["lang", "_r"])
     cuts = cuts.join(F.broadcast(known.where("size = 0").select("lang", F.col("f").alias("n"))), "lang")  # a row a language
-    cuts = cuts.withColumn("score", SCORE)
+    cuts = cuts.withColumn("score", F.expr(SCORE))
     best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("b")).select("lang", "phrase", "b.*")
     spans = long.where("size > 2").select("lang", "f", "_w", "size", F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("_m"))
     spans = spans.select("lang", "f", "_w", "_m", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("_m") + 1)).alias("_s"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomtype.llm.phrases import SCORE, collocations, frequent_phrases
 
@@ -69,7 +70,7 @@ def test_counts_of_all_lengths_and_of_words(spark):
 
 def test_products_beyond_64_bits_are_exact(spark):
     rows = [(10**12, 10**12 + 7, 10**12 + 1, 3 * 10**14), (123456789012, 10**9 + 7, 123456789013, 98765432109876), (100, 100, 100, 10**14)]
-    got = spark.createDataFrame(rows, "a long, l long, r long, n long").select("a", "l", "r", "n", SCORE.alias("s")).collect()
+    got = spark.createDataFrame(rows, "a long, l long, r long, n long").select("a", "l", "r", "n", F.expr(SCORE).alias("s")).collect()
     assert all(x["s"] == 1000 * x["a"] * x["n"] // (x["l"] * x["r"]) for x in got)
 
 
