@@ -84,9 +84,16 @@ def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crosstokens import align_tokens
+
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_attention_quality, op2_prefix_tree_chat, op3_wrapper_text, op4_hnsw_neighbours, op5_source_mix,
-    op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards, op10_shingle_components, op12_son_collocations)}
+    op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards, op10_shingle_components, op12_son_collocations,
+    op13_token_alignment)}
 
 
 def queries() -> dict:

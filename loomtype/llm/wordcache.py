@@ -198,9 +198,17 @@ class WordIds:
             differs[long] = np.bitwise_or.reduceat(other, np.cumsum(widths) - widths)
         return np.flatnonzero(differs)
 
+    def starts(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where pieces begin, as a mask over ``points``."""
+        return piece_starts(points, bounds)
+
+    def parts(self, text: str, size: int) -> Iterator[str]:
+        """``text`` in parts that may be encoded apart."""
+        return cut_at_pieces(text, size)
+
     def encode_turn(self, texts: list[str]) -> list[np.ndarray]:
         points, bounds = code_points(texts)
-        starts = np.flatnonzero(piece_starts(points, bounds))
+        starts = np.flatnonzero(self.starts(points, bounds))
         raw = "".join(texts).encode("utf-8", "surrogatepass")
         data = np.frombuffer(raw + bytes(8), np.uint8)
         places = starts
@@ -246,7 +254,7 @@ class WordIds:
         for own, text in zip(out, texts):
             at = 0
             for m in [*(self.specials.finditer(text) if self.specials else ()), None]:
-                for part in cut_at_pieces(text[at : m.start() if m else len(text)], per_turn):
+                for part in self.parts(text[at : m.start() if m else len(text)], per_turn):
                     turn.append(part)
                     slots.append((own, len(own)))
                     own.append(None)
