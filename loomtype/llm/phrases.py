@@ -24,9 +24,9 @@ from .textbytes import slices
 from .wordcache import mixed, span_hashes
 
 BITS = 27
-SHARD_BYTES = 32 << 20
-#: Pass over counters of a shard's keys, to leave rare ones out before they are counted exactly.
-_SLOTS = 1 << 22
+SHARD_BYTES = 64 << 20
+_SLOTS, _BLOCK = 1 << 22, 1 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 _KIND = np.zeros(256, np.uint8)  # 1 between words, 2 between pieces
 _KIND[[0x20, 0x09]] = 1
@@ -36,10 +36,13 @@ _LOWER[65:91] += 32
 
 
 class Shard:
-    """The words of some texts, with where pieces begin, and each word's language."""
+    """The words of some texts as numbers of distinct (language, word), and how far each piece goes on.
+
+    A word takes five bytes, whatever its length: a shard of 64 MB of text is mined in a few hundred MB.
+    """
 
     def __init__(self) -> None:
-        self.size, self.held = 0, 0
+        self.size = 0
         self.parts: list[tuple] = []
         self.langs: dict[str, int] = {}
 
@@ -57,68 +60,103 @@ class Shard:
         ends = word.copy()
         ends[:-1] &= ~word[1:] | first[1:-1]
         starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        if not len(starts):
+        n = len(starts)
+        if not n:
             return
         text = np.searchsorted(offsets, starts, "right") - 1
         breaks = np.cumsum(kind == 2, dtype=np.int32)[starts]
-        new = np.ones(len(starts), bool)
+        new = np.ones(n, bool)
         new[1:] = (text[1:] != text[:-1]) | (breaks[1:] != breaks[:-1])
-        self.parts.append((span_hashes(data, starts, ends), new, codes[text], (starts + self.held).astype(np.int64), (ends - starts).astype(np.int32), data))
-        self.held += len(data)
+        at = np.append(np.flatnonzero(new), n)
+        left = np.minimum(np.repeat(at[1:], np.diff(at)) - np.arange(n), 255).astype(np.uint8)
+        lang = codes[text]
+        keys = mixed((self.seeds()[lang] ^ span_hashes(data, starts, ends)) * _STEP + np.uint64(1))
+        some, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        self.parts.append((some, lang[where], _spans(data, starts[where], (ends - starts)[where]), back.astype(np.int32), left))
+
+    def seeds(self) -> np.ndarray:
+        """A number for each language."""
+        names = [x.encode() for x in self.langs]
+        ends = np.cumsum([len(x) for x in names], dtype=np.int64)
+        raw = np.frombuffer(b"".join(names) + bytes(8), np.uint8)
+        return mixed(span_hashes(raw, ends - np.array([len(x) for x in names], np.int64), ends) + np.uint64(1))
 
     def close(self) -> None:
-        hashes, new, lang, self.starts, self.widths, data = (np.concatenate(x) for x in zip(*self.parts))
+        """Number the distinct words of all parts."""
+        every = np.concatenate([p[0] for p in self.parts])
+        self.keys, where, back = np.unique(every, return_index=True, return_inverse=True)
+        self.lang = np.concatenate([p[1] for p in self.parts])[where]
+        self.words = pa.chunked_array([p[2] for p in self.parts]).combine_chunks().take(pa.array(where))
+        starts = np.cumsum([0, *(len(p[0]) for p in self.parts)])
+        self.left = np.concatenate([p[4] for p in self.parts])
+        self.ids = np.concatenate([back[a : a + len(p[0])].astype(np.int32)[p[3]] for a, p in zip(starts, self.parts)])
         self.parts.clear()
-        self.data = data
-        seeds = pa.array(list(self.langs)).cast(pa.large_binary())
-        bounds = np.frombuffer(seeds.buffers()[1], np.int64)
-        raw = np.frombuffer((seeds.buffers()[2] or b"") and seeds.buffers()[2].to_pybytes() + bytes(8) or bytes(8), np.uint8)
-        self.seeds = mixed(span_hashes(raw, bounds[:-1], bounds[1:]) + np.uint64(1))
-        self.hashes, self.lang = hashes, lang
-        # how many words follow in the piece, this one included, up to where pieces begin anew
-        n = len(hashes)
-        at = np.append(np.flatnonzero(new), n)
-        self.left = np.repeat(at[1:], np.diff(at)) - np.arange(n)
-
-    def lengths(self, longest: int, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length: the places of the phrases that ``keep`` marks and of which all parts were kept, and their keys."""
-        at = np.arange(len(self.hashes))
-        keys = mixed((self.seeds[self.lang] ^ self.hashes) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-        for size in range(1, longest + 1):
-            if size > 1:
-                kept = np.zeros(len(self.hashes) + 1, bool)
-                kept[at] = True
-                further = (self.left[at] >= size) & kept[at + 1]
-                at = at[further]
-                keys = mixed((keys[further] ^ self.hashes[at + size - 1]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size))
-            mark = keep(keys)
-            at, keys = at[mark], keys[mark]
+
+    def blocks(self, at: np.ndarray, keys: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places ``at`` whose phrases of ``size - 1`` words have these keys, and the keys with the next word, in blocks."""
+        for i in range(0, len(at), _BLOCK):
+            some = at[i : i + _BLOCK]
+            yield some, mixed((mixed(keys[i : i + _BLOCK]) ^ self.keys[self.ids[some + (size - 1)]]) * _STEP + np.uint64(size))
+
+    def lengths(self, longest: int, one, more) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length the phrases that are kept: places, keys and counts of distinct ones.
+
+        ``one`` marks distinct words by their keys and counts; ``more(blocks)`` gives those of the phrases that are
+        kept, with a place for each of their occurrences. Only phrases are asked for of which all parts were kept.
+        """
+        counts = np.bincount(self.ids, minlength=len(self.keys))
+        kept = one(self.keys, counts)
+        mark = np.append(kept[self.ids], False)
+        where = np.zeros(len(self.keys), np.int64)
+        where[self.ids[::-1]] = np.arange(len(self.ids))[::-1]
+        yield 1, where[kept], self.keys[kept], counts[kept]
+        at = np.flatnonzero(mark).astype(np.int32)
+        keys = None
+        for size in range(2, longest + 1):
+            further = (self.left[at] >= size) & mark[at + 1]
+            at = at[further]
+            keys = self.keys[self.ids[at]] if keys is None else keys[further]
+            at, keys = more(lambda at=at, keys=keys, size=size: self.blocks(at, keys, size))
             if not len(at):
                 return
-            yield size, at, keys
+            mark = np.zeros(len(self.ids) + 1, bool)
+            mark[at] = True
+            some, where, counts = np.unique(keys, return_index=True, return_counts=True)
+            yield size, at[where].astype(np.int64), some, counts
 
     def phrases(self, at: np.ndarray, size: int) -> pa.Array:
         """The texts of phrases, their words joined by one space."""
-        words = []
-        for k in range(size):
-            starts, widths = self.starts[at + k], self.widths[at + k].astype(np.int64)
-            step = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
-            raw = self.data[np.repeat(starts, widths) + step]
-            bounds = np.concatenate([[0], np.cumsum(widths)])
-            words.append(pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)]))
+        words = [self.words.take(pa.array(self.ids[at + k])) for k in range(size)]
         joined = words[0] if size == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary()))
         return joined.cast(pa.large_string()).cast(pa.string())
 
 
-def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which of ``keys`` occur ``least`` times or more; those keys once each, and how often they occur."""
-    mark = np.ones(len(keys), bool)
-    if least > 1 and len(keys) > 1000:
-        slot = (keys >> np.uint64(20)) & np.uint64(_SLOTS - 1)
-        mark = (np.bincount(slot.astype(np.int64), minlength=_SLOTS) >= least)[slot]
-    some, back, counts = np.unique(keys[mark], return_inverse=True, return_counts=True)
-    mark[mark] = (counts >= least)[back]
-    return mark, some[counts >= least], counts[counts >= least]
+def _spans(data: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> pa.Array:
+    step = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
+    bounds = np.concatenate([[0], np.cumsum(widths)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[np.repeat(starts, widths) + step])])
+
+
+def _joined(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not pairs:
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    return np.concatenate([a for a, _ in pairs]), np.concatenate([k for _, k in pairs])
+
+
+def _frequent(least: int):
+    """Keeps what occurs ``least`` times: counters that keys share leave most rare ones out before they are counted one by one."""
+    def more(blocks) -> tuple[np.ndarray, np.ndarray]:
+        slot = lambda keys: ((keys >> np.uint64(20)) & np.uint64(_SLOTS - 1)).astype(np.int64)
+        counters = np.zeros(_SLOTS, np.int32)
+        for _, keys in blocks():
+            counters += np.bincount(slot(keys), minlength=_SLOTS).astype(np.int32)
+        enough = counters >= least
+        at, keys = _joined([(a[m], k[m]) for a, k in blocks() for m in (enough[slot(k)],)])
+        some, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        own = (counts >= least)[back]
+        return at[own], keys[own]
+
+    return more
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[Shard]:
@@ -181,17 +219,9 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A shard's frequent keys, by how much each count is over what a shard that does not name it may have; and that, with no key."""
         for shard in _shards(batches, shard_bytes):
-            t, found = least(shard), []
-
-            def keep(keys: np.ndarray) -> np.ndarray:
-                mark, some, counts = _frequent(keys, t)
-                found.append((some, counts))
-                return mark
-
-            for _ in shard.lengths(longest, keep):
-                pass
-            for some, counts in found:
-                yield _batch({"key": pa.array(some.view(np.int64)), "over": pa.array(counts - (t - 1), pa.int64())})
+            t = least(shard)
+            for _, _, keys, counts in shard.lengths(longest, lambda keys, counts, t=t: counts >= t, _frequent(t)):
+                yield _batch({"key": pa.array(keys.view(np.int64)), "over": pa.array(counts - (t - 1), pa.int64())})
             yield _batch({"key": pa.array([None], pa.int64()), "over": pa.array([t - 1], pa.int64())})
 
     mined = saved(rows.mapInArrow(mine, "key long, over long"))
@@ -207,30 +237,30 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
-        for shard in _shards(batches, shard_bytes):
-            t, names = least(shard), list(shard.langs)
 
-            def keep(keys: np.ndarray) -> np.ndarray:
-                low = keys & np.uint64((1 << BITS) - 1)
-                return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        def known(keys: np.ndarray) -> np.ndarray:
+            low = keys & np.uint64((1 << BITS) - 1)
+            return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+        def more(blocks) -> tuple[np.ndarray, np.ndarray]:
+            return _joined([(a[m], k[m]) for a, k in blocks() for m in (known(k),)])
 
-            n = np.bincount(shard.lang, minlength=len(names))
-            yield _batch({"key": pa.array(shard.seeds.view(np.int64)), "n": pa.array(n, pa.int64()), "size": pa.array([0] * len(names), pa.int32()),
+        for shard in _shards(batches, shard_bytes):
+            t, names = least(shard), list(shard.langs)
+            n = np.bincount(shard.lang[shard.ids], minlength=len(names))
+            yield _batch({"key": pa.array(shard.seeds().view(np.int64)), "n": pa.array(n, pa.int64()), "size": pa.array([0] * len(names), pa.int32()),
                           "lang": pa.array(names), "phrase": pa.array([""] * len(names))})
-            for size, at, keys in shard.lengths(longest, keep):
-                some, where, counts = np.unique(keys, return_index=True, return_counts=True)
+            for size, at, keys, counts in shard.lengths(longest, lambda keys, counts: known(keys), more):
                 # a frequent phrase has its share in one shard at least, which gives its text
-                own = counts >= t
-                for k in (own, ~own):
-                    m = int(k.sum())
-                    for i in range(0, m, 100_000):
-                        part = np.flatnonzero(k)[i : i + 100_000]
-                        places = at[where[part]]
+                for own in (True, False):
+                    picked = np.flatnonzero((counts >= t) == own)
+                    for i in range(0, len(picked), 100_000):
+                        part = picked[i : i + 100_000]
                         text, lang = pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.string())
-                        if k is own:
-                            text = shard.phrases(places, size)
-                            lang = pa.array(names).take(pa.array(shard.lang[places]))
-                        yield _batch({"key": pa.array(some[part].view(np.int64)), "n": pa.array(counts[part], pa.int64()),
+                        if own:
+                            text = shard.phrases(at[part], size)
+                            lang = pa.array(names).take(pa.array(shard.lang[shard.ids[at[part]]]))
+                        yield _batch({"key": pa.array(keys[part].view(np.int64)), "n": pa.array(counts[part], pa.int64()),
                                       "size": pa.array(np.full(len(part), size, np.int32)), "lang": lang, "phrase": text})
 
     counted = saved(rows.mapInArrow(count, "key long, n long, size int, lang string, phrase string"))
