@@ -24,7 +24,8 @@ from .textbytes import slices
 from .wordcache import mixed, span_hashes
 
 BITS = 27
-SHARD_BYTES = 64 << 20
+#: Shards are as large as this, but there are ``LEAST_SHARDS`` at least, so that a cluster has work.
+SHARD_BYTES, LEAST_SHARDS = 64 << 20, 16
 _SLOTS, _BLOCK = 1 << 22, 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -211,6 +212,7 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # shards as large as they may be: the fewer they are, the higher is their support
+    shard_bytes = max(1, min(shard_bytes, -(-total // LEAST_SHARDS)))
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes)))
 
     def least(shard: Shard) -> int:
