@@ -78,6 +78,12 @@ def op10_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytemodel import held_out_by_crc, language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"), held_out_by_crc())
+
+
 def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import collocations
 
@@ -92,8 +98,8 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_attention_quality, op2_prefix_tree_chat, op3_wrapper_text, op4_hnsw_neighbours, op5_source_mix,
-    op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards, op10_shingle_components, op12_son_collocations,
-    op13_token_alignment)}
+    op6_best_fit_packing, op7_quartile_digests, op8_token_counts, op9_interleaved_shards, op10_shingle_components,
+    op11_byte_contexts, op12_son_collocations, op13_token_alignment)}
 
 
 def queries() -> dict:
