@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.pairs import coverage_likelihood, pair_posterior
-from ..sources.shared import new_path
+from ..sources.shared import discard, new_path, saved
 
 
 def stream_reads(spark: SparkSession, path: str, schema: T.StructType, per_batch: int = 1) -> DataFrame:
@@ -47,28 +47,38 @@ def posterior_sink(results: dict[str, DataFrame], emissions: DataFrame | None =
 
 
 class StopAfter:
-    """A ``foreachBatch`` wrapper that counts accepted reads and stops the query when ``n`` or all names were seen."""
+    """A ``foreachBatch`` function that passes reads on until ``n`` were taken or all ``names`` were seen.
+
+    What a batch gives counts only when ``write`` has returned, by the batch's number: a batch that is run again counts
+    once, and a query may be stopped as soon as ``done`` without losing rows. Batches after that are not read at all.
+    """
 
     def __init__(self, write, n: int | None = None, names: set[str] | None = None):
-        self.write, self.n, self.names, self.seen, self.query = write, n, set(names) if names else None, 0, None
+        self.write, self.n, self.names = write, n, None if names is None else set(names)
+        self.taken: dict[int, int] = {}
+        self.found: dict[int, set[str]] = {}
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        if self.n is not None and self.seen >= self.n:
+        taken = sum(k for e, k in self.taken.items() if e != epoch)
+        left = None if self.names is None else self.names - set().union(*(x for e, x in self.found.items() if e != epoch))
+        if taken == self.n or left == set():
             return
-        if self.names is not None:
-            batch = batch.where(F.col("name").isin(sorted(self.names)))
+        if left is not None:
+            batch = batch.where(F.col("name").isin(sorted(left)))
         if self.n is not None:
-            batch = batch.orderBy("read_id").limit(self.n - self.seen)
-        batch = batch.persist()
-        self.seen += batch.count()
-        if self.names is not None:
-            self.names -= {r["name"] for r in batch.select("name").distinct().collect()}
-        self.write(batch, epoch)
-        batch.unpersist()
+            batch = batch.orderBy("read_id").limit(self.n - taken)
+        rows = saved(batch)
+        try:
+            count = rows.count()
+            names = set() if left is None else {r["name"] for r in rows.select("name").distinct().collect()}
+            self.write(rows, epoch)
+        finally:
+            discard(rows)
+        self.taken[epoch], self.found[epoch] = count, names
 
     @property
     def done(self) -> bool:
-        return (self.n is not None and self.seen >= self.n) or (self.names is not None and not self.names)
+        return (self.n is not None and sum(self.taken.values()) >= self.n) or (self.names is not None and self.names <= set().union(*self.found.values()))
 
 
 def read_lengths(reads: DataFrame) -> DataFrame:
@@ -97,17 +107,17 @@ def run_available(source: DataFrame, mode: str = "complete") -> DataFrame:
 def run_until(source: DataFrame, n: int | None = None, names: set[str] | None = None) -> DataFrame:
     """The reads of a stream until ``n`` were taken or all ``names`` were seen, as a table in the shared folder."""
     spark = source.sparkSession
-    path, epochs = new_path(spark, "stream"), []
+    path, epochs = new_path(spark, "stream"), set()
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        epochs.append(epoch)
+        epochs.add(epoch)
 
-    stop = StopAfter(lambda batch, epoch: write(batch, epoch), n, names)
+    stop = StopAfter(write, n, names)
     query = source.writeStream.foreachBatch(stop).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start()
     while not query.awaitTermination(1):
-        if stop.done:
+        if stop.done:  # all that counts is written; later batches write nothing
             query.stop()
     if not epochs:
         return spark.createDataFrame([], source.schema)
-    return spark.read.schema(source.schema).parquet(*[f"{path}/epoch={e}" for e in sorted(set(epochs))])
+    return spark.read.schema(source.schema).parquet(*[f"{path}/epoch={e}" for e in sorted(epochs)])

@@ -1,5 +1,8 @@
 """Streams stop when they should, and a folder of files gives what a batch gives."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from loomtype.streaming import reads as ST
@@ -29,3 +32,45 @@ def test_unmatched_mates_leave_as_singles(spark, tmp_path):
     a, b = (ST.stream_reads(spark, str(tmp_path / n), schema) for n in ("one", "two"))
     got = {(r["key"], r["value1"], r["value2"]) for r in ST.run_available(ST.stream_pair_mates(a, b).select("key", "value1", "value2"), "append").collect()}
     assert {(1, "a1", "b1"), (2, "a2", None), (3, None, "b3")} <= got
+
+
+def test_a_slow_writer_loses_nothing_when_the_query_is_stopped(spark, tmp_path, monkeypatch):
+    rows = spark.range(20).select(F.col("id").alias("read_id"), F.concat(F.lit("r"), (F.col("id") % 2).cast("string")).alias("name"))
+    for k in range(4):
+        rows.where(f"read_id div 5 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    own = ST.StopAfter.__init__
+
+    def slow(self, write, *options):
+        def late(batch, epoch):
+            time.sleep(2.5)
+            write(batch, epoch)
+            time.sleep(1.5)
+
+        own(self, late, *options)
+
+    monkeypatch.setattr(ST.StopAfter, "__init__", slow)
+    stream = lambda: ST.stream_reads(spark, str(tmp_path / "in"), rows.schema)
+    assert ST.run_until(stream(), n=7).count() == 7
+    assert ST.run_until(stream(), names={"r1"}).where("name = 'r1'").count() >= 2
+
+
+def test_a_batch_that_runs_again_counts_once(spark):
+    rows = spark.range(4).select(F.col("id").alias("read_id"), F.lit("a").alias("name"))
+    seen = []
+    stop = ST.StopAfter(lambda batch, epoch: seen.append(batch.count()), n=6)
+    stop(rows, 0)
+    stop(rows, 0)
+    assert not stop.done
+    stop(rows, 1)
+    stop(rows, 2)
+    assert stop.done and seen == [4, 4, 2]
+
+
+def test_a_writer_that_fails_counts_nothing(spark):
+    def fail(batch, epoch):
+        raise OSError("full")
+
+    stop = ST.StopAfter(fail, names={"a"})
+    with pytest.raises(OSError):
+        stop(spark.range(4).select(F.col("id").alias("read_id"), F.lit("a").alias("name")), 0)
+    assert not stop.done
