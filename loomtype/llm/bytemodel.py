@@ -7,7 +7,9 @@ counts and distinct bytes, a byte that it counts c times has the chance (c - 1/2
 an escape of D / (2 N); bytes that longer contexts know are excluded from N and D of shorter ones. Bytes that no context
 knows share what is left evenly.
 
-Texts are cut into chunks. A chunk sends its distinct grams and words, and gets each one's probability and count back.
+Texts are cut into chunks. A chunk sends its distinct grams and words in packed lists, one for each bucket (grams of one
+context share a bucket, as do equal words), and gets lists of their counts back. Nothing is sent a row a gram but the
+trie itself and the grams that no training text has.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, saved, small_batches
 from .textbytes import slices
-from .wordcache import span_hashes
+from .wordcache import mixed, span_hashes
 
 ORDER = 6
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES, BUCKET_BYTES = 64 << 20, 16 << 20
 END = 0x0A  # white space, so no word holds it
 BYTES = 256
 _BLOCK = 2 << 20
@@ -118,18 +120,43 @@ class Chunk:
         if len(self.grams) > 16:
             self.grams = [_summed(self.grams)]
 
-    def rows(self) -> Iterator[dict[str, pa.Array]]:
+    def rows(self, buckets: int) -> Iterator[dict[str, list]]:
+        """A row for each bucket: packed grams or words, and their counts."""
         code, counts = _summed(self.grams)
         keys, n = _summed([(code >> 1, np.where(code & 1, 0, counts))])
-        for i in range(0, len(keys), 200_000):
-            yield {"gram": pa.array(keys[i : i + 200_000]), "n": pa.array(n[i : i + 200_000])}
+        bucket = bucket_of(keys >> 8, buckets)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        yield {"bucket": [b for b in range(buckets) if edges[b] < edges[b + 1]], "word": False,
+               "keys": [packed(np.diff(keys[order[a:b]], prepend=0)) for a, b in zip(edges, edges[1:]) if a < b],
+               "n": [packed(n[order[a:b]]) for a, b in zip(edges, edges[1:]) if a < b]}
         every = np.concatenate([w[0] for w in self.words])
         some, where, back = np.unique(every, return_index=True, return_inverse=True)
         n = np.bincount(back, weights=np.concatenate([w[1] for w in self.words]), minlength=len(some)).astype(np.int64)
-        texts = pa.chunked_array([w[2] for w in self.words])
-        for i in range(0, len(some), 100_000):
-            yield {"word": texts.take(pa.array(where[i : i + 100_000])).combine_chunks().cast(pa.binary()),
-                   "key": pa.array(some[i : i + 100_000]), "n": pa.array(n[i : i + 100_000])}
+        texts = pa.chunked_array([w[2] for w in self.words]).combine_chunks()
+        bucket = bucket_of(some, buckets)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            own = order[edges[b] : edges[b + 1]]
+            if len(own):
+                # words hold no blank, so they are joined by blanks
+                joined = b" ".join(texts.take(pa.array(where[own])).to_pylist())
+                yield {"bucket": [b], "word": True, "keys": [packed(some[own])], "n": [packed(n[own])], "texts": [pa.compress(joined, "zstd", asbytes=True)], "size": [len(joined)]}
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mixed(keys.view(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """A list of longs, compressed."""
+    return len(numbers).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(numbers, np.int64).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(pa.decompress(raw[8:], n * 8, "zstd", asbytes=True), np.int64)
 
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -146,13 +173,17 @@ def _word_ends(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(data[starts] == END, starts + 1, stops[np.searchsorted(stops, starts)])
 
 
-_GATHERED = {"chunk": pa.int64(), "block": pa.binary(), "gram": pa.int64(), "word": pa.binary(), "key": pa.int64(), "n": pa.int64()}
+_GATHERED = {"chunk": pa.int64(), "block": pa.binary(), "bucket": pa.int32(), "word": pa.bool_(), "keys": pa.binary(), "n": pa.binary(), "texts": pa.binary(), "size": pa.int64()}
+_GATHERED_DDL = "chunk long, block binary, bucket int, word boolean, keys binary, n binary, texts binary, size long"
+
 
+def _batch(types: dict[str, pa.DataType], count: int, columns: dict) -> pa.RecordBatch:
+    """A batch of these columns: lists, single values, or nothing (nulls)."""
+    def one(c: str, t: pa.DataType) -> pa.Array:
+        x = columns.get(c)
+        return pa.nulls(count, t) if x is None else pa.array(x if isinstance(x, list | np.ndarray) else [x] * count, t)
 
-def _row_batch(chunk: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    columns = {"chunk": pa.array(np.full(n, chunk, np.int64)), **columns}
-    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)).cast(t) for c, t in _GATHERED.items()], list(_GATHERED))
+    return pa.RecordBatch.from_arrays([one(c, t) for c, t in types.items()], list(types))
 
 
 def _packed(doc_id: pa.Array, held: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> bytes:
@@ -164,31 +195,77 @@ def _packed(doc_id: pa.Array, held: np.ndarray, data: np.ndarray, offsets: np.nd
     return sink.getvalue().to_pybytes()
 
 
-def gathered(docs: DataFrame, held_out, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The texts in compressed blocks, and the grams and words of each chunk with their counts in training texts."""
+def gathered(docs: DataFrame, held_out, order: int, chunk_bytes: int, total: int, buckets: int) -> DataFrame:
+    """The texts in compressed blocks, and the grams and words of each chunk, by bucket, with their counts in training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         chunk = Chunk(order)
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            for columns in chunk.rows(buckets):
+                yield _batch(_GATHERED, len(columns["bucket"]), columns | {"chunk": number})
+
         for batch in batches:
             for rows, data, offsets in slices(batch, "text", 4 << 20):
                 held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
                 data, offsets = normalised(data, offsets)
                 chunk.add(data, offsets, held)
-                yield _row_batch(number, {"block": pa.array([_packed(rows.column("doc_id"), held, data, offsets)], pa.binary())})
+                yield _batch(_GATHERED, 1, {"chunk": number, "block": [_packed(rows.column("doc_id"), held, data, offsets)]})
                 if chunk.size >= chunk_bytes:
-                    for columns in chunk.rows():
-                        yield _row_batch(number, columns)
+                    yield from lists()
                     number, chunk = number + 1, Chunk(order)
         if chunk.grams:
-            for columns in chunk.rows():
-                yield _row_batch(number, columns)
+            yield from lists()
 
     spark = docs.sparkSession
     small_batches(spark)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-total // chunk_bytes)))
-    return rows.mapInArrow(run, "chunk long, block binary, gram long, word binary, key long, n long")
+    return rows.mapInArrow(run, _GATHERED_DDL)
+
+
+_COUNTED = {"chunk": pa.int64(), "bucket": pa.int32(), "word": pa.bool_(), "c": pa.binary(), "total": pa.binary(), "gram": pa.int64(), "count": pa.int64(), "distinct": pa.int64()}
+_COUNTED_DDL = "chunk long, bucket int, word boolean, c binary, total binary, gram long, count long, distinct long"
+
+
+def count_bucket(rows: pa.Table) -> pa.Table:
+    """Counts of a bucket's grams and words over all chunks.
+
+    For each chunk's list the counts in its order, and for grams their contexts' counts too (``total``). Beside that
+    rows ``gram, count`` of the trie, ``chunk, gram`` of what no training text has, and the number of distinct words.
+    """
+    out = []
+    is_word = rows["word"].to_numpy(zero_copy_only=False).astype(bool)
+    chunks, bucket = rows["chunk"].to_numpy(), rows["bucket"][0].as_py()
+    for word in (False, True):
+        own = np.flatnonzero(is_word == word)
+        if not len(own):
+            continue
+        part = rows.take(pa.array(own))
+        n = [unpacked(x) for x in part["n"].to_pylist()]
+        sizes = np.array([len(x) for x in n])
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        n = np.concatenate(n)
+        if word:
+            texts = [pa.array(pa.decompress(t, m, "zstd", asbytes=True).split(b" "), pa.large_binary()) for t, m in zip(part["texts"].to_pylist(), part["size"].to_pylist())]
+            back = pa.concat_arrays(texts).dictionary_encode().indices.to_numpy().astype(np.int64)
+        else:
+            keys, back = np.unique(np.concatenate([np.cumsum(unpacked(x)) for x in part["keys"].to_pylist()]), return_inverse=True)
+        counts = np.bincount(back, weights=n).astype(np.int64)
+        lists = {"chunk": chunks[own], "bucket": bucket, "word": word, "c": [packed(counts[back[a:b]]) for a, b in zip(edges, edges[1:])]}
+        if word:
+            out.append(_batch(_COUNTED, 1, {"distinct": int((counts > 0).sum())}))
+        else:
+            context = keys >> 8
+            first = np.concatenate([[True], context[1:] != context[:-1]])
+            total = np.add.reduceat(counts, np.flatnonzero(first))[np.cumsum(first) - 1]
+            lists["total"] = [packed(total[back[a:b]]) for a, b in zip(edges, edges[1:])]
+            known = counts > 0
+            out.append(_batch(_COUNTED, int(known.sum()), {"gram": keys[known], "count": counts[known]}))
+            lacking = counts[back] == 0
+            out.append(_batch(_COUNTED, int(lacking.sum()), {"chunk": np.repeat(chunks[own], sizes)[lacking], "gram": keys[back][lacking]}))
+        out.append(_batch(_COUNTED, len(own), lists))
+    return pa.Table.from_batches(out)
 
 
 def _suffix(level: int):
@@ -239,68 +316,71 @@ def language_scores(docs: DataFrame, held_out, order: int = ORDER, chunk_bytes:
     """
     if not 1 <= order <= 6:
         raise ValueError("order must be from 1 to 6: a gram is packed in 56 bits")
-    rows = saved(gathered(docs, held_out, order, chunk_bytes))
-    # one shuffle: grams of one context meet, and each row gets its gram's count, its context's and its distinct bytes
-    context = Window.partitionBy("x")
-    gram = Window.partitionBy("x", "gram")
-    counted = rows.where("gram IS NOT NULL").select("chunk", "gram", "n", _context().alias("x"))
-    counted = counted.withColumn("c", F.sum("n").over(gram)).withColumn("first", (F.row_number().over(gram.orderBy("chunk")) == 1) & (F.col("c") > 0))
-    counted = counted.withColumn("N", F.sum("n").over(context))
-    logp = F.when(F.col("c") > 0, F.log10((F.col("c") - 0.5) / F.col("N")))
-    counted = saved(counted.select("chunk", "gram", logp.alias("logp"), F.when(F.col("first"), F.col("c")).alias("c")))
-    trie = [counted.where("c IS NOT NULL").select("gram", "c")]
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(32, -(-total // BUCKET_BYTES))
+    rows = saved(gathered(docs, held_out, order, chunk_bytes, total, buckets))
+    lists = rows.where("bucket IS NOT NULL")
+    counted = saved(lists.select("chunk", "bucket", "word", F.when(~F.col("word"), F.col("keys")).alias("keys"), "n", "texts", "size").groupBy("bucket").applyInArrow(count_bucket, _COUNTED_DDL))
+    trie = [counted.where("count IS NOT NULL").select("gram", F.col("count").alias("c"))]
     for level in range(order - 1, -1, -1):
         trie.insert(0, saved(trie[0].groupBy(_suffix(level).alias("gram")).agg(F.count("*").alias("c"))))
-    lacking = counted.where("logp IS NULL").select("chunk", "gram")
+    lacking = counted.where("count IS NULL AND gram IS NOT NULL").select("chunk", "gram")
     found = saved(unseen(lacking.select("gram").distinct(), trie))
-    values = counted.where("logp IS NOT NULL").select("chunk", F.lit(False).alias("word"), F.col("gram").alias("key"), F.col("logp").alias("value"), F.lit(0).alias("first"))
-    values = values.unionByName(lacking.join(found, "gram").select("chunk", F.lit(False).alias("word"), F.col("gram").alias("key"), F.col("logp").alias("value"), F.lit(0).alias("first")))
-    word = Window.partitionBy("word")
-    words = rows.where("word IS NOT NULL").select("chunk", "word", "key", "n").withColumn("c", F.sum("n").over(word))
-    first = (F.row_number().over(word.orderBy("chunk")) == 1) & (F.col("c") > 0)
-    values = values.unionByName(words.select("chunk", first.cast("int").alias("first"), "key", F.col("c").cast("double").alias("value")).withColumn("word", F.lit(True)))
+    none = lambda kind: F.lit(None).cast(kind)
+    values = lists.select("chunk", "bucket", "word", "keys", none("binary").alias("c"), none("binary").alias("total"), none("long").alias("gram"), none("double").alias("logp"))
+    values = values.unionByName(counted.where("c IS NOT NULL").select("chunk", "bucket", "word", none("binary").alias("keys"), "c", "total", none("long").alias("gram"), none("double").alias("logp")))
+    values = values.unionByName(lacking.join(found, "gram").select(
+        "chunk", none("int").alias("bucket"), none("boolean").alias("word"), none("binary").alias("keys"), none("binary").alias("c"), none("binary").alias("total"), "gram", "logp"))
 
     def score(blocks: pa.Table, values: pa.Table) -> pa.Table:
-        is_word = values["word"].to_numpy(zero_copy_only=False).astype(bool)
-        key, value = values["key"].to_numpy(), values["value"].to_numpy()
-        first = int(values["first"].to_numpy()[is_word].sum())
-        tables = []
-        for own in (~is_word, is_word):
-            keys, at = np.unique(key[own], return_index=True)
-            tables.append((pd.Index(keys), value[own][at]))
-        del key, value, is_word
+        packs = {}
+        for r in values.filter(values["bucket"].is_valid()).to_pylist():
+            packs.setdefault((r["word"], r["bucket"]), {}).update({c: r[c] for c in ("keys", "c", "total") if r[c] is not None})
+        rest = values.filter(values["gram"].is_valid())
+        keys, logp = [rest["gram"].to_numpy()], [rest["logp"].to_numpy()]
+        words, counts = [], []
+        for (word, _), p in packs.items():
+            c = unpacked(p["c"])
+            if word:
+                words.append(unpacked(p["keys"]))
+                counts.append(c)
+            else:
+                seen = c > 0
+                keys.append(np.cumsum(unpacked(p["keys"]))[seen])
+                logp.append(np.log10((c[seen] - 0.5) / unpacked(p["total"])[seen]))
+        packs.clear()
+        table, logp = pd.Index(np.concatenate(keys)), np.concatenate(logp)
+        word_table, counts = pd.Index(np.concatenate(words)), np.concatenate(counts)
+        del keys, words
         out = []
-        for packed in blocks["block"]:
-            batch = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+        for raw in blocks["block"]:
+            batch = pa.ipc.open_stream(raw.as_buffer()).read_next_batch()
             texts = batch.column("text")
             bounds = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2], np.uint8)
             sums = np.zeros((4, len(texts)))
             for a, b in _pieces(bounds):
                 part, own = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-                logp = tables[0][1][tables[0][0].get_indexer(grams(part, own, order))]
-                sums[0, a:b] = np.add.reduceat(logp, own[:-1])
+                sums[0, a:b] = np.add.reduceat(logp[table.get_indexer(grams(part, own, order))], own[:-1])
                 hashes, starts = tokens(part)
-                c = tables[1][1][tables[1][0].get_indexer(hashes)]
-                at = np.searchsorted(starts, own[:-1])
-                sums[1, a:b] = np.diff(np.append(at, len(starts)))
-                sums[2, a:b] = np.add.reduceat((c > 0).astype(float), at)
-                sums[3, a:b] = np.add.reduceat(np.log10(c + 0.1), at)
+                c = counts[word_table.get_indexer(hashes)]
+                first = np.searchsorted(starts, own[:-1])
+                sums[1, a:b] = np.diff(np.append(first, len(starts)))
+                sums[2, a:b] = np.add.reduceat((c > 0).astype(float), first)
+                sums[3, a:b] = np.add.reduceat(np.log10(c + 0.1), first)
             out.append(pa.table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": sums[1].astype(np.int64),
-                                 "n_known": sums[2].astype(np.int64), "base": sums[3], "score": sums[0], "vocabulary": np.zeros(len(texts), np.int64)}))
-        out.append(pa.table({"doc_id": pa.nulls(1, pa.int64()), "held_out": pa.nulls(1, pa.bool_()), "n_tokens": pa.nulls(1, pa.int64()), "n_known": pa.nulls(1, pa.int64()),
-                             "base": pa.nulls(1, pa.float64()), "score": pa.nulls(1, pa.float64()), "vocabulary": np.array([first])}))
+                                 "n_known": sums[2].astype(np.int64), "base": sums[3], "score": sums[0]}))
         return pa.concat_tables(out)
 
-    blocks = rows.where("block IS NOT NULL").select("chunk", "block")
-    scored = saved(blocks.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, vocabulary long"))
-    distinct = scored.agg(F.sum("vocabulary")).first()[0] or 0
-    total = rows.where("word IS NOT NULL").agg(F.sum("n")).first()[0] or 0
+    blocks = rows.where("block IS NOT NULL").select(F.col("chunk").alias("own"), "block")
+    scored = saved(blocks.groupBy("own").cogroup(values.groupBy("chunk")).applyInArrow(
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"))
+    distinct = counted.agg(F.sum("distinct")).first()[0] or 0
+    train = scored.where("NOT held_out").agg(F.sum("n_tokens")).first()[0] or 0
     discard(rows, counted, found, *trie[:-1])
-    norm = math.log10(total + 0.1 * (distinct + 1))
-    return scored.where("n_tokens IS NOT NULL").select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
+    norm = math.log10(train + 0.1 * (distinct + 1))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"),
+                         (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
 
 
 def held_out_by_crc(doc_id="doc_id", of: int = 10):
