@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,32 +53,12 @@ def pair_log_likelihood(scores: DataFrame, dx: float = 1e-6) -> DataFrame:
     return allele_pairs(scores, dx).groupBy(*of_sample(scores), "locus", "i", "j").agg(F.sum("llhd").alias("z"), F.count("*").alias("reads"))
 
 
-def pair_sums_blocked(scores: DataFrame, block: int = 256, reads_per_lane: int = 4096) -> DataFrame:
-    """``pair_log_likelihood`` for genes with thousands of alleles, where every read has a score on every allele.
+def pair_sums_blocked(scores: DataFrame, dx: float = 1e-6, lane_bytes: int = 64 << 20) -> DataFrame:
+    """``pair_log_likelihood`` for genes with thousands of alleles, by matrices of blocks (see ``vectors.pair_sums``)."""
+    from .vectors import pair_sums, to_vectors
 
-    Rows of reads x pairs are never made: alleles are cut into blocks, each pair of blocks of a lane of reads is one
-    group, and numpy sums the elementwise maxima of two small matrices. Lanes hold about ``reads_per_lane`` reads.
-    """
-    lanes = max(1, -(-scores.agg(F.approx_count_distinct("read_id")).first()[0] // reads_per_lane))
-    laned = scores.select("locus", "read_id", "allele_id", "llhd", F.floor(F.col("allele_id") / block).cast("long").alias("own"),
-                          F.pmod(F.xxhash64("read_id"), F.lit(lanes)).alias("lane"))
-    blocks = laned.select("locus", "own").distinct()
-    pairs = blocks.withColumnRenamed("own", "bi").join(blocks.withColumnRenamed("own", "bj"), "locus").where("bi <= bj")
-    sides = pairs.select("locus", "bi", "bj", F.col("bi").alias("own")).unionByName(pairs.where("bi < bj").select("locus", "bi", "bj", F.col("bj").alias("own")))
-    rows = laned.join(sides, ["locus", "own"])
-
-    def sums(key, part: pd.DataFrame) -> pd.DataFrame:
-        locus, bi, bj, _ = key
-        table = part.pivot(index="read_id", columns="allele_id", values="llhd")
-        left, right = ([c for c in table.columns if c // block == b] for b in (bi, bj))
-        x, y = table[left].to_numpy(), table[right].to_numpy()
-        out = np.array([np.fmax(x[:, [k]], y).sum(axis=0) for k in range(len(left))])
-        i, j = np.meshgrid(left, right, indexing="ij")
-        keep = i <= j
-        return pd.DataFrame({"locus": locus, "i": i[keep], "j": j[keep], "z": out[keep].astype(float)})
-
-    partial = rows.groupBy("locus", "bi", "bj", "lane").applyInPandas(sums, "locus string, i long, j long, z double")
-    return partial.groupBy("locus", "i", "j").agg(F.sum("z").alias("z"))
+    vectors, ids = to_vectors(scores)
+    return pair_sums(vectors, ids, dx, lane_bytes)
 
 
 def rank_alleles(scores: DataFrame, k: int = 5) -> DataFrame:

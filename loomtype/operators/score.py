@@ -1,12 +1,13 @@
 """Distributed scoring of reads on alleles, and typing of samples.
 
-Reads are partitioned by Spark and never shuffled to be scored. The alleles, which don't grow with the reads, are sent
-to the tasks in pieces of ``ALLELE_BYTES`` at most, and each piece is one pass over the reads.
+Reads are dealt out to the tasks. The alleles, which don't grow with the reads, are sent to every task, in pieces of
+whole genes of about ``ALLELE_BYTES``: filters look at all alleles of a gene.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,12 +19,14 @@ from ..sources.shared import saved
 from . import kernel
 from .pairs import (allele_log_likelihood, assign_reads, best_locus, best_orientation, coverage_likelihood, of_sample, pair_emissions,
                     pair_log_likelihood, pair_posterior, rank_pairs, top_pairs)
+from .vectors import pair_sums, scores_of, vector_emissions
 
 ALLELE_BYTES = 64 << 20
 SCORES = "read_id long, locus string, allele_id long, rc boolean, mate int, llhd double, pos long, filter_reason string"
+#: Sequences of a gene that travel in one row, and alleles on a side of a block of pairs.
 BLOCK = 256
-#: Cells (reads x alleles x columns) that are in work at a time.
-CELLS = 1 << 20
+#: Bytes of scores of a batch of reads, and of the score vectors that are summed over pairs at a time.
+BATCH_BYTES, LANE_BYTES = 32 << 20, 64 << 20
 
 
 def oriented(reads: DataFrame, check_rc: bool = True) -> DataFrame:
@@ -48,87 +51,149 @@ def build_emissions(sequences: DataFrame) -> DataFrame:
         F.collect_list(F.struct("seq", "ids")).alias("alleles"))
 
 
+@dataclass
+class Gene:
+    """A gene's alleles as a task holds them: ``ids`` ascending, and which of the distinct sequences each has."""
+
+    locus: str
+    n_columns: int
+    sequences: kernel.Alleles
+    ids: np.ndarray
+    row: np.ndarray
+
+
 def _pieces(emissions: DataFrame) -> Iterator[list[tuple]]:
-    """The blocks of alleles, coded for the kernel, in pieces of ``ALLELE_BYTES`` at most."""
+    """The genes, coded for the kernel, some whole ones a piece."""
     size = F.expr("aggregate(alleles, 0L, (n, a) -> n + length(a.seq) + 8 * size(a.ids))")
-    sizes = emissions.select("locus", "block", size.alias("n")).orderBy("locus", "block").collect()
-    piece, used = [], 0
-    groups = []
+    sizes = emissions.select("locus", size.alias("n")).groupBy("locus").agg(F.sum("n").alias("n")).orderBy("locus").collect()
+    groups: list[list[str]] = []
+    used = ALLELE_BYTES
     for r in sizes:
-        if piece and used + r["n"] > ALLELE_BYTES:
-            groups.append(piece)
-            piece, used = [], 0
-        piece.append((r["locus"], r["block"]))
+        if used + r["n"] > ALLELE_BYTES:
+            groups.append([])
+            used = 0
+        groups[-1].append(r["locus"])
         used += r["n"]
-    for group in [*groups, piece] if piece else []:
-        wanted = emissions.sparkSession.createDataFrame(group, "locus string, block int")
+    for group in groups:
+        of: dict[str, list] = {}
+        columns = {}
+        for r in emissions.where(F.col("locus").isin(group)).collect():
+            of.setdefault(r["locus"], []).extend(r["alleles"])
+            columns[r["locus"]] = r["n_columns"]
         coded = []
-        for r in emissions.join(F.broadcast(wanted), ["locus", "block"]).orderBy("locus", "block").collect():
-            alleles = sorted(r["alleles"], key=lambda a: a["seq"])
-            ids = [i for a in alleles for i in a["ids"]]
+        for locus in group:
+            alleles = sorted(of[locus], key=lambda a: a["seq"])
+            ids = np.array([i for a in alleles for i in a["ids"]], np.int64)
             row = np.repeat(np.arange(len(alleles)), [len(a["ids"]) for a in alleles])
-            coded.append((r["locus"], r["n_columns"], *kernel.encode([a["seq"] for a in alleles]), np.array(ids, np.int64), row))
+            order = np.argsort(ids)
+            coded.append((locus, columns[locus], *kernel.encode([a["seq"] for a in alleles]), ids[order], row[order]))
         yield coded
 
 
-def forward_scores(reads: DataFrame, emissions: DataFrame, prealigned: bool = True, parts: int = 1,
-                   allowed_mismatches: int | None = None, thresholds: str | None = None) -> DataFrame:
+class Genes:
+    """All genes, sent to the tasks once; a worker makes the tries when it first needs them."""
+
+    def __init__(self, emissions: DataFrame):
+        context = emissions.sparkSession.sparkContext
+        self.sent, self.ids = [], {}
+        for piece in _pieces(emissions):
+            self.ids |= {locus: ids for locus, _, _, _, ids, _ in piece}
+            self.sent.append(context.broadcast(piece))
+
+    def __iter__(self) -> Iterator[Gene]:
+        """The genes in the order of their names."""
+        for sent in self.sent:
+            if not isinstance(sent.value[0], Gene):
+                sent.value[:] = [Gene(locus, n, kernel.Alleles(matrix, lengths), ids, row) for locus, n, matrix, lengths, ids, row in sent.value]
+            yield from sent.value
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, where their files are fewer: one file's one row group would be one task's work."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _usable(reads: DataFrame, *columns: str) -> DataFrame:
+    """Reads with letters and one quality a letter."""
+    return reads.where("length(seq) > 0 AND size(q) = length(seq)").select(*columns, "seq", "q")
+
+
+def _long(some: pd.DataFrame, of: list[str], gene: Gene, got: kernel.Scores, rc) -> pd.DataFrame:
+    n = len(gene.ids)
+    own = {c: np.repeat(some[c].to_numpy(), n) for c in [*of, "read_id", "mate"]}
+    return pd.DataFrame(own | {"rc": np.repeat(np.broadcast_to(rc, len(some)), n), "locus": gene.locus, "allele_id": np.tile(gene.ids, len(some)),
+                               "llhd": got.value[:, gene.row].reshape(-1), "pos": got.pos[:, gene.row].reshape(-1), "filter_reason": np.repeat([w or None for w in got.why], n)})
+
+
+def _batches(frame: pd.DataFrame, gene_alleles: int) -> Iterator[pd.DataFrame]:
+    """Reads of one length, as many as have scores of ``BATCH_BYTES`` on so many alleles."""
+    step = max(1, BATCH_BYTES // (64 * max(gene_alleles, 1)))
+    for _, same in frame.groupby(frame["seq"].str.len()):
+        for at in range(0, len(same), step):
+            yield same.iloc[at : at + step]
+
+
+def forward_scores(reads: DataFrame, emissions: DataFrame, prealigned: bool = True, parts: int = 1, allowed_mismatches: int | None = None) -> DataFrame:
     """Score every (oriented) read ``read_id, mate, rc, seq, q`` on every allele of every gene.
 
-    Reads of one length go through the kernel together. The filters look at all alleles of a gene's block.
-    ``thresholds`` names a column of the reads that maps genes to their threshold. A ``sample`` is kept. Reads without
-    letters or with other than one quality a letter are left out.
+    Reads of one length go through the kernel together. ``allowed_mismatches`` filters a read by all alleles of a gene.
+    ``parts`` scores reads in so many parts. A ``sample`` is kept. Reads without letters or with other than one quality
+    a letter are left out.
     """
-    of = ["sample"] if "sample" in reads.columns else []
+    of = of_sample(reads)
     schema = ", ".join([*(f"{c} string" for c in of), SCORES])
     names = [c.split()[0] for c in schema.split(", ")]
-    spark = reads.sparkSession
-    columns = [*of, "read_id", "mate", "rc", "seq", "q", *([thresholds] if thresholds else [])]
-    usable = reads.where("length(seq) > 0 AND size(q) = length(seq)").select(*columns)
-
-    def scored(coded) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for size, same in frame.groupby(frame["seq"].str.len()):
-                    for locus, n_columns, matrix, lengths, ids, row in coded.value:
-                        t = kernel.transitions(int(size), int(n_columns), prealigned)
-                        step = max(1, CELLS // max(matrix.size, 1))
-                        for at in range(0, len(same), step):
-                            yield block(same.iloc[at : at + step], locus, matrix, lengths, ids, row, t)
-
-        def block(some: pd.DataFrame, locus: str, matrix, lengths, ids, row, t) -> pd.DataFrame:
-            codes, errors = kernel.read_codes(some["seq"].tolist(), some["q"].tolist())
-            limits = None
-            if thresholds:
-                limits = np.array([dict(x).get(locus, -np.inf) if x is not None else -np.inf for x in some[thresholds]])
-            value, pos, why = kernel.forward_many(codes, errors, matrix, lengths, t, allowed_mismatches, limits, parts)
-            n = len(ids)
-            own = {c: np.repeat(some[c].to_numpy(), n) for c in [*of, "read_id", "rc", "mate"]}
-            own |= {"locus": locus, "allele_id": np.tile(ids, len(some)), "llhd": value[:, row].reshape(-1), "pos": pos[:, row].reshape(-1),
-                    "filter_reason": np.repeat([w or None for w in why], n)}
-            return pd.DataFrame(own)[names]
-
-        return usable.mapInPandas(run, schema)
-
-    out = None
-    for piece in _pieces(emissions):
-        one = scored(spark.sparkContext.broadcast(piece))
-        out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def past_threshold_scores(reads: DataFrame, emissions: DataFrame, allowed_mismatches: int | None = None, **options) -> DataFrame:
-    """Score reads as they are, then their reverse complements against the gene's best likelihood of the first pass.
-
-    A reverse complement whose best cell falls below that threshold cannot win and is filtered. ``allowed_mismatches``
-    is a filter beside it; a read has to pass both.
+    genes = Genes(emissions)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for gene in genes:
+                for some in _batches(frame, len(gene.ids)):
+                    codes, errors = kernel.read_codes(some["seq"].tolist(), some["q"].tolist())
+                    if parts > 1:
+                        got = kernel.split_scores(codes, errors, gene.sequences, gene.n_columns, parts, prealigned, allowed_mismatches)
+                    else:
+                        t = kernel.transitions(codes.shape[1], gene.n_columns, prealigned)
+                        got = kernel.forward_scores(codes, errors, gene.sequences, t, allowed_mismatches)
+                    yield _long(some, of, gene, got, some["rc"].to_numpy())[names]
+
+    return _usable(dealt(reads), *of, "read_id", "mate", "rc").mapInPandas(run, schema)
+
+
+_COMPLEMENT = str.maketrans("ACGT", "TGCA")
+
+
+def _turned(some: pd.DataFrame) -> tuple[list[str], list]:
+    return [s.translate(_COMPLEMENT)[::-1] for s in some["seq"]], [list(q)[::-1] for q in some["q"]]
+
+
+def past_threshold_scores(reads: DataFrame, emissions: DataFrame, allowed_mismatches: int | None = None, prealigned: bool = True) -> DataFrame:
+    """Scores of reads in both orientations, against the best that each read has reached so far.
+
+    Genes are tried in the order of their names, in each the read as it is before its reverse complement. The threshold
+    is the running maximum of the median match (``kernel.forward_scores``) of the passes that were not filtered; a pass
+    whose best match falls below it in some row but the last is filtered. ``allowed_mismatches`` is a filter beside it.
     """
-    key = [*(["sample"] if "sample" in reads.columns else []), "read_id", "mate"]
-    first = saved(forward_scores(reads.withColumn("rc", F.lit(False)), emissions, allowed_mismatches=allowed_mismatches, **options))
-    best = first.groupBy(*key, "locus").agg(F.max("llhd").alias("_b")).where("_b > double('-infinity')")
-    limits = best.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("locus", "_b"))).alias("limits"))
-    turned = oriented(reads).where("rc").join(limits, key, "left")
-    return first.unionByName(forward_scores(turned, emissions, allowed_mismatches=allowed_mismatches, thresholds="limits", **options))
+    of = of_sample(reads)
+    schema = ", ".join([*(f"{c} string" for c in of), SCORES])
+    names = [c.split()[0] for c in schema.split(", ")]
+    genes = Genes(emissions)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for some in _batches(frame, max([1, *(gene.sequences.matrix.size for gene in genes)])):
+                both = [kernel.read_codes(some["seq"].tolist(), some["q"].tolist()), kernel.read_codes(*_turned(some))]
+                threshold = np.full(len(some), -np.inf)
+                for gene in genes:
+                    t = kernel.transitions(both[0][0].shape[1], gene.n_columns, prealigned)
+                    for rc, (codes, errors) in zip((False, True), both):
+                        got = kernel.forward_scores(codes, errors, gene.sequences, t, allowed_mismatches, threshold, median=True, rows=gene.row)
+                        threshold = np.maximum(threshold, got.median)
+                        yield _long(some, of, gene, got, rc)[names]
+
+    return _usable(dealt(reads), *of, "read_id", "mate").mapInPandas(run, schema)
 
 
 def reads_x_alleles(scores: DataFrame) -> DataFrame:
@@ -137,7 +202,11 @@ def reads_x_alleles(scores: DataFrame) -> DataFrame:
 
 
 def viterbi_align(reads: DataFrame, allele_id: int, allele: str, n_columns: int, prealigned: bool = True) -> DataFrame:
-    """Best path of each oriented read on one allele: aligned texts, first and last column, the better orientation (the regular one where both are alike)."""
+    """Best path of each oriented read on one allele: aligned texts, first and last column.
+
+    Of a single read the better orientation is kept; of two mates those opposite orientations that have the higher
+    likelihood together. The first mate's regular one is kept where both are alike.
+    """
     schema = "read_id long, mate int, rc boolean, allele_id long, llhd double, start long, stop long, allele_text string, read_text string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,9 +217,12 @@ def viterbi_align(reads: DataFrame, allele_id: int, allele: str, n_columns: int,
                 rows.append((r.read_id, r.mate, r.rc, allele_id, *kernel.viterbi(r.seq, list(r.q), allele, t)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    aligned = reads.where("length(seq) > 0 AND size(q) = length(seq)").select("read_id", "mate", "rc", "seq", "q").mapInPandas(run, schema)
-    best = aligned.groupBy("read_id", "mate").agg(F.max_by(F.struct("*"), F.struct(F.round("llhd", 9), ~F.col("rc"))).alias("b"))
-    return best.select("b.*")
+    aligned = _usable(dealt(reads), "read_id", "mate", "rc").mapInPandas(run, schema)
+    # mates lie on opposite strands: what is chosen is the strand of the first one
+    strand = F.col("rc") != (F.col("mate") == 2)
+    both = aligned.withColumn("_s", strand).groupBy("read_id", "_s").agg(F.sum("llhd").alias("_l"), F.collect_list(F.struct(*[c.split()[0] for c in schema.split(", ")])).alias("_m"))
+    best = both.groupBy("read_id").agg(F.max_by("_m", F.struct(F.round("_l", 9), ~F.col("_s"))).alias("_m"))
+    return best.select(F.explode("_m").alias("b")).select("b.*")
 
 
 def viterbi_report(aligned: DataFrame) -> DataFrame:
@@ -191,3 +263,80 @@ def type_samples(scores: DataFrame, n_columns: int, report: int | None = 50, mul
     if least is not None:
         posterior = top_pairs(posterior, least=least)
     return {"alleles": allele_log_likelihood(merged), "pairs": pairs, "posterior": posterior, "assignment": assign_reads(merged, posterior)}
+
+
+def _best_gene(frame: pd.DataFrame, genes: Genes, prealigned: bool, multi_locus: bool, allowed_mismatches: int | None) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+    """For each read (a row with its mates) its gene's scores over the gene's alleles; of every gene if not ``multi_locus``.
+
+    As ``second_mate_scores`` and ``best_locus`` choose: the better orientation of a first mate, the opposite one of a
+    second mate (the better one where the first was filtered), mates' likelihoods multiplied, the gene with the best allele.
+    """
+    flat = pd.DataFrame([(i, m["mate"], bool(rc), s, q) for i, mates in enumerate(frame["mates"]) for m in mates
+                         for rc, s, q in ((0, m["seq"], list(m["q"])), (1, m["seq"].translate(_COMPLEMENT)[::-1], list(m["q"])[::-1]))], columns=["read", "mate", "rc", "seq", "q"])
+    best: dict[int, tuple] = {}
+    for gene in genes:
+        value, pos = np.full((len(flat), gene.sequences.count), -np.inf), np.zeros((len(flat), gene.sequences.count), np.int64)
+        fine = np.zeros(len(flat), bool)
+        for _, same in flat.groupby(flat["seq"].str.len()):
+            codes, errors = kernel.read_codes(same["seq"].tolist(), same["q"].tolist())
+            got = kernel.forward_scores(codes, errors, gene.sequences, kernel.transitions(codes.shape[1], gene.n_columns, prealigned), allowed_mismatches)
+            value[same.index], pos[same.index], fine[same.index] = got.value, got.pos, got.why == ""
+        top = np.where(fine, value.max(axis=1), -np.inf)
+        for read, own in flat.groupby("read"):
+            chosen, turned = [], None
+            for mate in sorted(own["mate"].unique()):
+                rows = own.index[(own["mate"] == mate) & (True if mate != 2 or turned is None else own["rc"] != turned)]
+                one = max(rows, key=lambda k: (fine[k], top[k], not flat.at[k, "rc"]))
+                if fine[one]:
+                    chosen.append(one)
+                    turned = flat.at[one, "rc"] if mate != 2 else turned
+            if chosen:
+                sums, first = value[chosen].sum(axis=0)[gene.row], pos[chosen].min(axis=0)[gene.row]
+                if not multi_locus:
+                    yield read, gene.locus, sums, first
+                elif read not in best or sums.max() > best[read][1].max():
+                    best[read] = (gene.locus, sums, first)
+    for read, (locus, sums, first) in best.items():
+        yield read, locus, sums, first
+
+
+def score_vectors(reads: DataFrame, genes: Genes, prealigned: bool = True, multi_locus: bool = True, allowed_mismatches: int | None = None) -> DataFrame:
+    """``[sample,] read_id, locus, llhd, pos``: a row for each read and its best gene (or every gene), with its scores
+    on the gene's alleles, ascending, as arrays. ``reads`` has a row for each mate: ``read_id, mate, seq, q``.
+    """
+    of = of_sample(reads)
+    rows = _usable(reads, *of, "read_id", "mate").groupBy(*of, "read_id").agg(F.sort_array(F.collect_list(F.struct("mate", "seq", "q"))).alias("mates"))
+    alleles = max([1, *(len(ids) for ids in genes.ids.values())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, BATCH_BYTES // (64 * alleles))
+        for frame in frames:
+            for at in range(0, len(frame), step):
+                some = frame.iloc[at : at + step].reset_index(drop=True)
+                got = list(_best_gene(some, genes, prealigned, multi_locus, allowed_mismatches))
+                who = [g[0] for g in got]
+                out = {c: some[c].to_numpy()[who] for c in [*of, "read_id"]} | {"locus": [g[1] for g in got], "llhd": [g[2] for g in got], "pos": [g[3] for g in got]}
+                yield pd.DataFrame(out)
+
+    return rows.mapInPandas(run, ", ".join([*(f"{c} string" for c in of), "read_id long, locus string, llhd array<double>, pos array<long>"]))
+
+
+def type_reads(reads: DataFrame, emissions: DataFrame, n_columns: int, report: int | None = 50, multi_locus: bool = True, least: float | None = None,
+               prealigned: bool = True, allowed_mismatches: int | None = None) -> dict[str, DataFrame]:
+    """From reads to the posterior, as ``forward_scores`` of both orientations and ``type_samples`` give it.
+
+    A read's scores stay one row: its vector over the alleles of its gene. Sums over pairs are matrices of blocks of
+    alleles, summed in lanes of reads and added up; no row holds a read and a pair.
+    """
+    of = of_sample(reads)
+    genes = Genes(emissions)
+    vectors = saved(score_vectors(reads, genes, prealigned, multi_locus, allowed_mismatches))
+    pairs = saved(pair_sums(vectors, genes.ids))
+    top = pairs if report is None or least is not None else rank_pairs(pairs, report)
+    coverage = saved(coverage_likelihood(vector_emissions(vectors, top, genes.ids), n_columns))
+    posterior = pair_posterior(pairs.select(*of, "locus", "i", "j", "z"), coverage)
+    if least is not None:
+        posterior = top_pairs(posterior, least=least)
+    alleles = pairs.where("i = j").select(*of, "locus", F.col("i").alias("allele_id"), F.col("z").alias("llhd"), "reads")
+    members = posterior.select(*of, "locus", F.explode(F.array("i", "j")).alias("allele_id")).distinct()
+    return {"alleles": alleles, "pairs": pairs, "posterior": posterior, "assignment": assign_reads(scores_of(vectors, members, genes.ids), posterior)}

@@ -71,7 +71,7 @@ round(g, 12) AS me, round(g, 12) AS ie, round(0.999 / columns, 12) AS sm, round(
 def hm2(spark, sf):
     sizes = derive(spark, sf, text(_T, "documents"), "documents")
     return kernel.transition_table(sizes.select(F.col("read_length").cast("long"), F.col("columns").cast("long"))).select(
-        "read_length", "columns", "prealigned", *[F.round(c, 12).alias(c) for c in kernel.Transitions.__dataclass_fields__])
+        "read_length", "columns", "prealigned", *[F.round(c, 12).alias(c) for c in kernel.NAMES])
 
 
 @query("hm3_forward_score", f"{_F} SELECT read_id, locus, allele_id, rc, round(llhd, 6) AS llhd, pos FROM value")
@@ -89,9 +89,39 @@ def hm4(spark, sf):
     return best_orientation(saved(_scores(spark, sf))).select("read_id", "locus", "allele_id", "rc", F.round("llhd", 6).alias("llhd"), "pos")
 
 
-@query("hm5_forward_score_split", f"{cells_sql(2)} SELECT read_id, locus, allele_id, rc, round(sum(llhd) - log10(0.999 / max(g) * max(me)), 6) AS llhd FROM value GROUP BY read_id, locus, allele_id, rc")
+# The second half of a read begins its search in the column in which the gene's best allele has the first half's likeliest end.
+_SPLIT = f"""WITH RECURSIVE a AS ({_ALLELES}), g AS (SELECT locus, CAST(max(length(seq)) AS DOUBLE) AS g FROM a GROUP BY locus),
+al AS (SELECT allele_id, a.locus, unnest(range(1, length(seq) + 1)) AS k, unnest(string_split(seq, '')) AS ch, g FROM a JOIN g ON a.locus = g.locus),
+o AS (SELECT read_id, false AS rc, seq FROM ({_READS}) UNION ALL SELECT read_id, true, reverse(translate(seq, 'ACGT', 'TGCA')) FROM ({_READS})),
+rl AS (SELECT read_id, rc, CAST(x AS INT) AS i, substr(seq, CAST(x AS INT), 1) AS b, pow(10, -((read_id * 31 + (CASE WHEN rc THEN 12 - x ELSE x - 1 END) * 17) % 31 + 10) / 10.0) AS e FROM (SELECT *, unnest(range(1, 13)) AS x FROM o)),
+f0(read_id, rc, allele_id, i, k, m, s, d) AS (
+  SELECT read_id, rc, allele_id, 1, k, CASE WHEN b = ch THEN 1 - e ELSE e / 3 END * 0.999 / g, 0.25 * 0.001 / g, CAST(0 AS DOUBLE) FROM rl, al WHERE i = 1
+  UNION ALL
+  {{step}}),
+v0 AS (SELECT read_id, rc, allele_id, locus, log10(sum(v)) AS llhd, CAST(arg_max(k, v) - 1 AS BIGINT) AS pos, max(g) AS g FROM (
+  SELECT f.*, locus, g, (m + s) / (2 * greatest(g - 6, 1)) AS v FROM f0 f JOIN al ON f.allele_id = al.allele_id AND f.k = al.k WHERE i = 6) GROUP BY read_id, rc, allele_id, locus),
+st AS (SELECT v.read_id, v.rc, v.locus, min(pos) AS start, max(g) - min(pos) AS rest FROM v0 v JOIN (SELECT read_id, rc, locus, max(llhd) AS top FROM v0 GROUP BY read_id, rc, locus) t
+  ON v.read_id = t.read_id AND v.rc = t.rc AND v.locus = t.locus WHERE llhd >= top - 5e-10 GROUP BY v.read_id, v.rc, v.locus),
+f1(read_id, rc, allele_id, i, k, m, s, d) AS (
+  SELECT rl.read_id, rl.rc, allele_id, 7, k, CASE WHEN b = ch THEN 1 - e ELSE e / 3 END * 0.999 / rest, 0.25 * 0.001 / rest, CAST(0 AS DOUBLE) FROM rl JOIN st ON rl.read_id = st.read_id AND rl.rc = st.rc JOIN al ON al.locus = st.locus AND k > start WHERE i = 7 AND rest > 6
+  UNION ALL
+  {{step}}),
+v1 AS (SELECT read_id, rc, allele_id, log10(sum((m + s) / (2 * greatest(rest - 6, 1)))) - log10(0.999 / max(rest) / (2 * greatest(max(rest) - 6, 1))) AS llhd FROM (
+  SELECT f.*, rest FROM f1 f JOIN a ON f.allele_id = a.allele_id JOIN st ON f.read_id = st.read_id AND f.rc = st.rc AND a.locus = st.locus WHERE i = 12) GROUP BY read_id, rc, allele_id)
+SELECT v0.read_id, locus, v0.allele_id, v0.rc, round(v0.llhd + v1.llhd, 6) AS llhd, st.rest <= 6 AS at_end FROM v0 JOIN st USING (read_id, rc, locus) LEFT JOIN v1 ON v0.read_id = v1.read_id AND v0.rc = v1.rc AND v0.allele_id = v1.allele_id
+WHERE st.rest <= 6 OR v1.llhd > -290"""
+_STEP = """SELECT read_id, rc, allele_id, i, k, m, s, coalesce(0.001 * pow(10, 1 - k) * sum(m * pow(10, k)) OVER (PARTITION BY read_id, rc, allele_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) FROM (
+    SELECT f.read_id, f.rc, f.allele_id, rl.i, f.k, CASE WHEN b = ch THEN 1 - e ELSE e / 3 END * coalesce(lag(0.998 * m + 0.9 * s + 0.9 * d) OVER (PARTITION BY f.read_id, f.rc, f.allele_id ORDER BY f.k), 0) AS m, 0.25 * (0.001 * m + 0.1 * s) AS s
+    FROM {f} f JOIN rl ON f.read_id = rl.read_id AND f.rc = rl.rc AND rl.i = f.i + 1 JOIN al ON f.allele_id = al.allele_id AND f.k = al.k{until})"""
+_SPLIT = _SPLIT.replace("{step}", _STEP.format(f="f0", until=" WHERE rl.i <= 6"), 1).replace("{step}", _STEP.format(f="f1", until=""), 1)
+
+
+@query("hm5_forward_score_split", _SPLIT)
 def hm5(spark, sf):
-    return _scores(spark, sf, parts=2).select("read_id", "locus", "allele_id", "rc", F.round("llhd", 6).alias("llhd"))
+    rows = _scores(spark, sf, parts=2)
+    at_end = F.col("filter_reason").isNotNull()
+    # an allele that ends before the second half begins has no likelihood
+    return rows.where(at_end | (F.col("llhd") > -290)).select("read_id", "locus", "allele_id", "rc", F.when(~at_end, F.round("llhd", 6)).alias("llhd"), at_end.alias("at_end"))
 
 
 # The best cell over a gene's alleles after each letter, and the chance of an ungapped path with three mismatches.
@@ -109,21 +139,33 @@ def flt10(spark, sf):
     return _scores(spark, sf, allowed_mismatches=3).groupBy("read_id", "locus", "rc").agg(F.max("filter_reason").alias("filter_reason"))
 
 
-_PAST = """{first} past AS (SELECT DISTINCT t.read_id, t.locus FROM top t JOIN regular r ON t.read_id = r.read_id AND t.locus = r.locus AND t.rc AND best < r.llhd)"""
-
-
-@query("flt11_past_threshold_filter", f"""{_F}, {_LIMITS}, regular AS (SELECT read_id, locus, max(llhd) AS llhd FROM value WHERE NOT rc GROUP BY read_id, locus), {_PAST.format(first='')}
-SELECT v.read_id, v.locus, v.allele_id, v.rc, CASE WHEN rc AND p.read_id IS NOT NULL THEN 'threshold' END AS filter_reason, CASE WHEN NOT rc OR p.read_id IS NULL THEN round(llhd, 6) END AS llhd
-FROM value v LEFT JOIN past p ON v.read_id = p.read_id AND v.locus = p.locus""")
+# Passes in order: genes by name, in each the regular orientation first. A pass is filtered when its best match falls below the
+# threshold in a row before the last; the threshold is the highest median match of the passes before that were not filtered.
+_PAST = """low AS (SELECT read_id, rc, locus, min(best) AS low FROM top WHERE i < 12 GROUP BY read_id, rc, locus),
+best_column AS (SELECT read_id, rc, locus, arg_max(k, (top, -k)) AS k FROM (SELECT f.read_id, f.rc, locus, f.k, max(m) AS top FROM f JOIN al ON f.allele_id = al.allele_id AND f.k = al.k WHERE i = 12 GROUP BY f.read_id, f.rc, locus, f.k) GROUP BY read_id, rc, locus),
+counted AS (SELECT locus, count(*) AS n FROM a GROUP BY locus),
+at_best AS (SELECT b.read_id, b.rc, b.locus, coalesce(log10(m), CAST('-inf' AS DOUBLE)) AS m, row_number() OVER (PARTITION BY b.read_id, b.rc, b.locus ORDER BY coalesce(m, 0)) AS r
+  FROM best_column b JOIN a ON a.locus = b.locus LEFT JOIN f ON f.read_id = b.read_id AND f.rc = b.rc AND f.allele_id = a.allele_id AND f.k = b.k AND f.i = 12),
+pass AS (SELECT l.read_id, l.rc, l.locus, low, m AS median, row_number() OVER (PARTITION BY l.read_id ORDER BY l.locus, l.rc) AS p, {failed} AS failed
+  FROM low l JOIN at_best x ON x.read_id = l.read_id AND x.rc = l.rc AND x.locus = l.locus JOIN counted c ON c.locus = l.locus AND x.r = greatest(c.n // 2, 1)),
+thr(read_id, p, t) AS (SELECT DISTINCT read_id, CAST(1 AS BIGINT), CAST('-inf' AS DOUBLE) FROM pass UNION ALL
+  SELECT t.read_id, t.p + 1, CASE WHEN s.failed OR s.low < t.t THEN t.t ELSE greatest(t.t, s.median) END FROM thr t JOIN pass s ON t.read_id = s.read_id AND t.p = s.p),
+past AS (SELECT s.read_id, s.locus, s.rc FROM pass s JOIN thr t ON s.read_id = t.read_id AND s.p = t.p WHERE s.low < t.t)"""
+_NOT = "false"
+_FAILED = "EXISTS (SELECT 1 FROM failed q WHERE q.read_id = l.read_id AND q.rc = l.rc AND q.locus = l.locus)"
+
+
+@query("flt11_past_threshold_filter", f"""{_F}, {_LIMITS}, {_PAST.format(failed=_NOT)}
+SELECT v.read_id, v.locus, v.allele_id, v.rc, CASE WHEN p.read_id IS NOT NULL THEN 'threshold' END AS filter_reason, CASE WHEN p.read_id IS NULL THEN round(llhd, 6) END AS llhd
+FROM value v LEFT JOIN past p ON v.read_id = p.read_id AND v.locus = p.locus AND v.rc = p.rc""")
 def flt11(spark, sf):
     s = score.past_threshold_scores(reads(spark, sf), score.build_emissions(alleles(spark, sf)))
     return s.select("read_id", "locus", "allele_id", "rc", "filter_reason", F.when(F.col("filter_reason").isNull(), F.round("llhd", 6)).alias("llhd"))
 
 
-@query("flt12_join_filters", f"""{_F}, {_LIMITS}, regular AS (SELECT v.read_id, v.locus, max(llhd) AS llhd FROM value v LEFT JOIN failed f ON v.read_id = f.read_id AND v.locus = f.locus AND v.rc = f.rc
-  WHERE NOT v.rc AND f.read_id IS NULL GROUP BY v.read_id, v.locus), {_PAST.format(first='')}
-SELECT e.read_id, e.locus, e.rc, f.read_id IS NULL AND (NOT e.rc OR p.read_id IS NULL) AS passed FROM every e LEFT JOIN failed f ON e.read_id = f.read_id AND e.rc = f.rc AND e.locus = f.locus
-LEFT JOIN past p ON e.read_id = p.read_id AND e.locus = p.locus""")
+@query("flt12_join_filters", f"""{_F}, {_LIMITS}, {_PAST.format(failed=_FAILED)}
+SELECT e.read_id, e.locus, e.rc, f.read_id IS NULL AND p.read_id IS NULL AS passed FROM every e LEFT JOIN failed f ON e.read_id = f.read_id AND e.rc = f.rc AND e.locus = f.locus
+LEFT JOIN past p ON e.read_id = p.read_id AND e.locus = p.locus AND e.rc = p.rc""")
 def flt12(spark, sf):
     s = score.past_threshold_scores(reads(spark, sf), score.build_emissions(alleles(spark, sf)), allowed_mismatches=3)
     return s.groupBy("read_id", "locus", "rc").agg((F.max("filter_reason").isNull()).alias("passed"))
@@ -155,28 +197,27 @@ post AS (SELECT locus, i, j, z, c, pow(10.0, z + c - top) / (sum(pow(10.0, z + c
 
 @query("hm9_type_multi_locus", f"{_TYPED} SELECT locus, i, j, round(z, 4) AS z, round(c, 4) AS c, round(prob, 6) AS prob FROM post")
 def hm9(spark, sf):
-    t = score.type_samples(_scores(spark, sf), 300)
+    t = score.type_reads(reads(spark, sf), score.build_emissions(alleles(spark, sf)), 300)
     return t["posterior"].select("locus", "i", "j", F.round("z", 4).alias("z"), F.round("c", 4).alias("c"), F.round("prob", 6).alias("prob"))
 
 
 @query("hm8_type_single_locus", f"{_BEST} SELECT locus, allele_id, round(sum(llhd), 4) AS llhd, count(*) AS reads FROM one GROUP BY locus, allele_id")
 def hm8(spark, sf):
-    t = score.type_samples(_scores(spark, sf), 300, multi_locus=False)
+    t = score.type_reads(reads(spark, sf), score.build_emissions(alleles(spark, sf)), 300, multi_locus=False)
     return t["alleles"].select("locus", "allele_id", F.round("llhd", 4).alias("llhd"), "reads")
 
 
 @query("hm9_type_many_samples", f"{_BEST} SELECT concat('s', read_id % 4) AS sample, locus, allele_id, round(sum(llhd), 4) AS llhd, count(*) AS reads FROM one GROUP BY 1, 2, 3")
 def hm9s(spark, sf):
     r = reads(spark, sf).withColumn("sample", F.concat(F.lit("s"), F.col("read_id") % 4))
-    s = score.forward_scores(score.oriented(r), score.build_emissions(alleles(spark, sf)))
-    return score.type_samples(s, 300, multi_locus=False)["alleles"].select("sample", "locus", "allele_id", F.round("llhd", 4).alias("llhd"), "reads")
+    return score.type_reads(r, score.build_emissions(alleles(spark, sf)), 300, multi_locus=False)["alleles"].select("sample", "locus", "allele_id", F.round("llhd", 4).alias("llhd"), "reads")
 
 
 @query("agg2_pair_sums_blocked", f"""{_F}, s AS (SELECT * FROM value WHERE NOT rc)
 SELECT x.locus, x.allele_id AS i, y.allele_id AS j, round(sum(greatest(x.llhd, y.llhd)), 4) AS z FROM s x JOIN s y ON x.read_id = y.read_id AND x.locus = y.locus AND x.allele_id <= y.allele_id GROUP BY x.locus, x.allele_id, y.allele_id""")
 def agg2b(spark, sf):
     s = score.forward_scores(reads(spark, sf).withColumn("rc", F.lit(False)), score.build_emissions(alleles(spark, sf)))
-    return pair_sums_blocked(saved(s), block=8, reads_per_lane=256).select("locus", "i", "j", F.round("z", 4).alias("z"))
+    return pair_sums_blocked(saved(s), lane_bytes=1 << 18).select("locus", "i", "j", F.round("z", 4).alias("z"))
 
 
 # The best path to each cell, as rows: a delete's from the matches before it, the sum of its steps being the same however it is split.
@@ -205,8 +246,9 @@ def hm6(spark, sf):
 
 
 @query("hm7_viterbi_report", f"""{_VITERBI}, v AS (SELECT read_id, rc, max(greatest(m, s)) AS llhd FROM f WHERE i = 12 GROUP BY read_id, rc),
-b AS (SELECT read_id, rc FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY round(llhd, 9) DESC, rc) AS r FROM v) WHERE r = 1)
-SELECT o.read_id // 2 AS read_id, count(*) AS mates, string_agg(seq, ' ' ORDER BY seq) AS reads, count(*) > 1 AS has_distance FROM o JOIN b ON o.read_id = b.read_id AND o.rc = b.rc GROUP BY o.read_id // 2""")
+st AS (SELECT read_id // 2 AS pair, rc <> (read_id % 2 = 1) AS strand, sum(llhd) AS llhd FROM v GROUP BY 1, 2),
+b AS (SELECT pair, strand FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(llhd, 9) DESC, strand) AS r FROM st) WHERE r = 1)
+SELECT b.pair AS read_id, count(*) AS mates, string_agg(seq, ' ' ORDER BY seq) AS reads, count(*) > 1 AS has_distance FROM o JOIN b ON o.read_id // 2 = b.pair AND (o.rc <> (o.read_id % 2 = 1)) = b.strand GROUP BY b.pair""")
 def hm7(spark, sf):
     longest = alleles(spark, sf).orderBy(F.desc(F.length("seq")), "allele_id").first()
     mates = reads(spark, sf).withColumn("mate", (F.col("read_id") % 2 + 1).cast("int")).withColumn("read_id", F.expr("read_id div 2"))
