@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import kernel, score
+from ..operators.score import dealt
 from ..operators.pairs import best_orientation, final_emission, pair_sums_blocked
 from ..sources.shared import saved
+from .q_align import _LETTERS
 from .registry import derive, query, text
 
 _DIGEST = "translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT')"
@@ -27,6 +29,22 @@ def reads(spark, sf):
     return derive(spark, sf, text(_READS, "documents"), "documents").withColumn("mate", F.lit(0)).withColumn("q", quality)
 
 
+STRETCH = 50
+
+
+def stretches(spark, sf):
+    """All letters of every text, in reads of ``STRETCH`` letters and a last one of what is left."""
+    rows = derive(spark, sf, f"SELECT doc_id, {_LETTERS.format(g='')} AS letters FROM {{documents}} WHERE text IS NOT NULL", "documents").where("letters <> ''")
+    parts = dealt(rows).select("doc_id", "letters", F.explode(F.sequence(F.lit(0), F.expr(f"(length(letters) - 1) div {STRETCH}").cast("int"))).alias("k"))
+    reads = parts.select((F.col("doc_id") * 1_000_000 + F.col("k")).alias("read_id"), F.lit(0).alias("mate"), F.expr(f"substr(letters, k * {STRETCH} + 1, {STRETCH})").alias("seq"))
+    return reads.withColumn("q", F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: ((F.col("read_id") * 31 + i * 17) % 31 + 10).cast("int")))
+
+
+def whole_alleles(spark, sf):
+    """All letters of every benchmark text as an allele of one of three genes."""
+    return derive(spark, sf, f"SELECT item_id AS allele_id, concat('L', item_id % 3) AS locus, {_LETTERS.format(g='')} AS seq FROM {{benchmark}} WHERE text IS NOT NULL", "benchmark").where("seq <> ''")
+
+
 def _scores(spark, sf, **options):
     return score.forward_scores(score.oriented(reads(spark, sf)), score.build_emissions(alleles(spark, sf)), **options)
 
@@ -220,6 +238,20 @@ def agg2b(spark, sf):
     return pair_sums_blocked(saved(s), lane_bytes=1 << 18).select("locus", "i", "j", F.round("z", 4).alias("z"))
 
 
+# The same operators over whole texts. Their recurrence is too long for SQL; a test holds them against a plain one.
+@query("hm3_forward_stretches")
+def hm3_stretches(spark, sf):
+    rows = score.forward_scores(score.oriented(stretches(spark, sf)), score.build_emissions(whole_alleles(spark, sf)), allowed_mismatches=4)
+    best = F.max_by(F.struct("allele_id", "llhd", "pos"), F.struct(F.round("llhd", 9), -F.col("allele_id"))).alias("b")
+    return rows.groupBy("read_id", "locus", "rc").agg(best, F.max("filter_reason").alias("filter_reason")).select(
+        "read_id", "locus", "rc", "filter_reason", *[F.when(F.col("filter_reason").isNull(), F.col(f"b.{c}")).alias(c) for c in ("allele_id", "llhd", "pos")])
+
+
+@query("hm9_type_stretches")
+def hm9_stretches(spark, sf):
+    return score.type_reads(stretches(spark, sf), score.build_emissions(whole_alleles(spark, sf)), 400)["posterior"]
+
+
 # The best path to each cell, as rows: a delete's from the matches before it, the sum of its steps being the same however it is split.
 _VITERBI = f"""WITH RECURSIVE target AS (SELECT * FROM ({_ALLELES}) ORDER BY length(seq) DESC, allele_id LIMIT 1), g AS (SELECT CAST(length(seq) AS DOUBLE) AS g FROM target),
 al AS (SELECT unnest(range(1, length(seq) + 1)) AS k, unnest(string_split(seq, '')) AS ch FROM target),
