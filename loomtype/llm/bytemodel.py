@@ -29,10 +29,10 @@ from .textbytes import slices
 from .wordcache import mixed, span_hashes
 
 ORDER = 6
-CHUNK_BYTES, BUCKET_BYTES = 64 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 16 << 20
 END = 0x0A  # white space, so no word holds it
 BYTES = 256
-_BLOCK = 2 << 20
+_PIECE = 8 << 20
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,48 +43,50 @@ _LOWER[65:91] += 32
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts in lower case with their words joined by one blank and ``END`` behind: bytes, and where each text begins."""
     n = len(offsets) - 1
-    word = ~_GAP[data]
-    first = np.zeros(len(data) + 1, bool)
-    first[offsets] = True
-    begins = word.copy()
-    begins[1:] &= ~word[:-1] | first[1:-1]
-    places = np.flatnonzero(word)
-    text = np.searchsorted(offsets, places, "right") - 1
-    number = np.cumsum(begins)[places]  # of the word, from 1
-    words = np.bincount(text[begins[places]], minlength=n)
-    # each word has one byte behind it, each text without words one of its own
-    empty = np.cumsum(words == 0)
-    at = np.arange(len(places)) + (number - 1) + empty[text]
-    sizes = np.bincount(text, minlength=n) + np.maximum(words, 1)
-    ends = np.cumsum(sizes)
-    out = np.full(int(ends[-1]) if n else 0, 0x20, np.uint8)
-    out[at] = _LOWER[data[places]]
+    # every text with one more byte of white space behind it: then a gap follows every word
+    buffer = np.full(len(data) + n, END, np.uint8)
+    buffer[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = data
+    last = offsets[1:] + np.arange(n)
+    gap = _GAP[buffer]
+    keep = ~gap
+    keep[1:] |= gap[1:] & ~gap[:-1]
+    starts = np.concatenate([[0], last[:-1] + 1]) if n else last
+    sizes = np.add.reduceat(keep, starts, dtype=np.int64) if n else last
+    keep[last[sizes == 0]] = True
+    out = np.where(gap, np.uint8(0x20), _LOWER[buffer])[keep]
+    ends = np.cumsum(np.maximum(sizes, 1))
     out[ends - 1] = END
     return out, np.concatenate([[0], ends]).astype(np.int64)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """The gram that ends at each byte; before a text there is nothing but ``END``."""
-    padded = np.concatenate([np.full(order, END, np.uint8), data])
-    out = np.zeros(len(data), np.int64)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    for back in range(order, -1, -1):
-        byte = padded[order - back : order - back + len(data)].astype(np.int64)
-        if back:
-            byte[place < back] = END
-        out = out << 8 | byte
-    return out
+    n = order + 1
+    padded = np.concatenate([np.full(order, END, np.uint8), data, np.zeros(8, np.uint8)])
+    out = np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (8 - n))
+    # a text's first bytes: what the bytes of the text before left is overwritten
+    ends = int.from_bytes(bytes([END] * n), "big")
+    for k in range(order):
+        at = offsets[:-1][np.diff(offsets) > k] + k
+        own = np.uint64((1 << 8 * (k + 1)) - 1)
+        out[at] = (out[at] & own) | (np.uint64(ends) & ~own & np.uint64((1 << 8 * n) - 1))
+    return out.view(np.int64)
+
+
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of normalised texts, and where they begin and end."""
+    stops = np.flatnonzero((data == 0x20) | (data == END))
+    starts = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
+    real = stops > starts
+    starts, stops = starts[real], stops[real]
+    return span_hashes(np.concatenate([data, np.zeros(8, np.uint8)]), starts, stops).view(np.int64), starts, stops
 
 
-def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of normalised texts (words, and the end as a token), and where they begin."""
-    inside = (data != 0x20) & (data != END)
-    begins = data != 0x20
-    begins[1:] &= ~inside[:-1] | (data[1:] == END)
-    ends = data != 0x20
-    ends[:-1] &= ~inside[1:] | ~inside[:-1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return span_hashes(np.concatenate([data, np.zeros(8, np.uint8)]), starts, ends).view(np.int64), starts
+def _first(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where each code is first."""
+    out = np.zeros(n, np.int64)
+    out[codes[::-1]] = np.arange(len(codes))[::-1]
+    return out
 
 
 def _summed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,44 +107,48 @@ class Chunk:
 
     def add(self, data: np.ndarray, offsets: np.ndarray, held: np.ndarray) -> None:
         self.size += len(data)
-        for a, b in _pieces(offsets):
+        for a, b in _pieces(offsets, _PIECE):
             part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            own = held[a:b]
-            code = grams(part, bounds, self.order) << 1 | np.repeat(own, np.diff(bounds))
-            self.grams.append(np.unique(code, return_counts=True))
-            hashes, starts = tokens(part)
-            some, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-            train = ~own[np.searchsorted(bounds, starts, "right") - 1]
-            n = np.bincount(back, weights=train, minlength=len(some)).astype(np.int64)
-            raw = part.tobytes()
-            ends = _word_ends(part, starts)
-            self.words.append((some, n, pa.array([raw[starts[i] : ends[i]] for i in where.tolist()], pa.large_binary())))
-        if len(self.grams) > 16:
-            self.grams = [_summed(self.grams)]
+            sizes, own = np.diff(bounds), held[a:b]
+            self.grams.append(np.unique(grams(part, bounds, self.order) << 1 | np.repeat(own, sizes), return_counts=True))
+            hashes, starts, stops = words(part)
+            codes, some = pd.factorize(hashes)
+            where = _first(codes, len(some))
+            n = np.bincount(codes, weights=~np.repeat(own, sizes)[starts], minlength=len(some)).astype(np.int64)
+            self.words.append((some, n, _spans(part, starts[where], (stops - starts)[where])))
 
     def rows(self, buckets: int) -> Iterator[dict[str, list]]:
         """A row for each bucket: packed grams or words, and their counts."""
         code, counts = _summed(self.grams)
         keys, n = _summed([(code >> 1, np.where(code & 1, 0, counts))])
-        bucket = bucket_of(keys >> 8, buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        yield {"bucket": [b for b in range(buckets) if edges[b] < edges[b + 1]], "word": False,
-               "keys": [packed(np.diff(keys[order[a:b]], prepend=0)) for a, b in zip(edges, edges[1:]) if a < b],
-               "n": [packed(n[order[a:b]]) for a, b in zip(edges, edges[1:]) if a < b]}
-        every = np.concatenate([w[0] for w in self.words])
-        some, where, back = np.unique(every, return_index=True, return_inverse=True)
-        n = np.bincount(back, weights=np.concatenate([w[1] for w in self.words]), minlength=len(some)).astype(np.int64)
-        texts = pa.chunked_array([w[2] for w in self.words]).combine_chunks()
-        bucket = bucket_of(some, buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            own = order[edges[b] : edges[b + 1]]
-            if len(own):
-                # words hold no blank, so they are joined by blanks
-                joined = b" ".join(texts.take(pa.array(where[own])).to_pylist())
-                yield {"bucket": [b], "word": True, "keys": [packed(some[own])], "n": [packed(n[own])], "texts": [pa.compress(joined, "zstd", asbytes=True)], "size": [len(joined)]}
+        order, edges = _by_bucket(bucket_of(keys >> 8, buckets), buckets)
+        full = np.flatnonzero(np.diff(edges))
+        keys, n = keys[order], n[order]
+        yield {"bucket": full, "word": False, "keys": [packed(np.diff(keys[edges[b] : edges[b + 1]], prepend=0)) for b in full],
+               "n": [packed(n[edges[b] : edges[b + 1]]) for b in full]}
+        codes, some = pd.factorize(np.concatenate([w[0] for w in self.words]))
+        n = np.bincount(codes, weights=np.concatenate([w[1] for w in self.words]), minlength=len(some)).astype(np.int64)
+        order, edges = _by_bucket(bucket_of(some, buckets), buckets)
+        full = np.flatnonzero(np.diff(edges))
+        texts = pa.chunked_array([w[2] for w in self.words]).combine_chunks().take(pa.array(_first(codes, len(some))[order]))
+        some, n = some[order], n[order]
+        for b in full:
+            own = slice(edges[b], edges[b + 1])
+            # words hold no blank, so they are joined by blanks
+            joined = b" ".join(texts[own].to_pylist())
+            yield {"bucket": [b], "word": True, "keys": [packed(some[own])], "n": [packed(n[own])], "texts": [pa.compress(joined, "zstd", asbytes=True)], "size": [len(joined)]}
+
+
+def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket, and where each bucket begins in it."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> pa.Array:
+    bounds = np.concatenate([[0], np.cumsum(widths)]).astype(np.int64)
+    raw = data[np.repeat(starts - bounds[:-1], widths) + np.arange(bounds[-1])]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -159,20 +165,15 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], n * 8, "zstd", asbytes=True), np.int64)
 
 
-def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``_BLOCK`` bytes, one text at least."""
+def _pieces(offsets: np.ndarray, size: int, texts: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` bytes, one text at least and ``texts`` at most."""
     at, n = 0, len(offsets) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _BLOCK, "right")) - 1)
+        to = min(at + texts, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
         yield at, to
         at = to
 
 
-def _word_ends(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    stops = np.flatnonzero((data == 0x20) | (data == END))
-    return np.where(data[starts] == END, starts + 1, stops[np.searchsorted(stops, starts)])
-
-
 _GATHERED = {"chunk": pa.int64(), "block": pa.binary(), "bucket": pa.int32(), "word": pa.bool_(), "keys": pa.binary(), "n": pa.binary(), "texts": pa.binary(), "size": pa.int64()}
 _GATHERED_DDL = "chunk long, block binary, bucket int, word boolean, keys binary, n binary, texts binary, size long"
 
@@ -338,20 +339,22 @@ def language_scores(docs: DataFrame, held_out, order: int = ORDER, chunk_bytes:
             packs.setdefault((r["word"], r["bucket"]), {}).update({c: r[c] for c in ("keys", "c", "total") if r[c] is not None})
         rest = values.filter(values["gram"].is_valid())
         keys, logp = [rest["gram"].to_numpy()], [rest["logp"].to_numpy()]
-        words, counts = [], []
+        words_, counts = [], []
         for (word, _), p in packs.items():
             c = unpacked(p["c"])
             if word:
-                words.append(unpacked(p["keys"]))
+                words_.append(unpacked(p["keys"]))
                 counts.append(c)
             else:
                 seen = c > 0
                 keys.append(np.cumsum(unpacked(p["keys"]))[seen])
                 logp.append(np.log10((c[seen] - 0.5) / unpacked(p["total"])[seen]))
         packs.clear()
-        table, logp = pd.Index(np.concatenate(keys)), np.concatenate(logp)
-        word_table, counts = pd.Index(np.concatenate(words)), np.concatenate(counts)
-        del keys, words
+        keys, logp = np.concatenate(keys), np.concatenate(logp)
+        place = np.argsort(keys, kind="stable")
+        keys, logp = keys[place], logp[place]
+        table, counts = pd.Index(np.concatenate(words_)) if words_ else pd.Index([], dtype="int64"), np.concatenate([*counts, np.zeros(0)])
+        del place, words_
         out = []
         for raw in blocks["block"]:
             batch = pa.ipc.open_stream(raw.as_buffer()).read_next_batch()
@@ -359,15 +362,19 @@ def language_scores(docs: DataFrame, held_out, order: int = ORDER, chunk_bytes:
             bounds = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2], np.uint8)
             sums = np.zeros((4, len(texts)))
-            for a, b in _pieces(bounds):
+            for a, b in _pieces(bounds, 1 << 20, 128):
                 part, own = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-                sums[0, a:b] = np.add.reduceat(logp[table.get_indexer(grams(part, own, order))], own[:-1])
-                hashes, starts = tokens(part)
-                c = counts[word_table.get_indexer(hashes)]
-                first = np.searchsorted(starts, own[:-1])
-                sums[1, a:b] = np.diff(np.append(first, len(starts)))
-                sums[2, a:b] = np.add.reduceat((c > 0).astype(float), first)
-                sums[3, a:b] = np.add.reduceat(np.log10(c + 0.1), first)
+                text = np.repeat(np.arange(b - a), np.diff(own))
+                # a gram leaves room for the text's number: both are sorted at once, and distinct ones looked up in order
+                both, times = np.unique(grams(part, own, order) << 7 | text, return_counts=True)
+                sums[0, a:b] = np.bincount(both & 127, weights=times * logp[np.searchsorted(keys, both >> 7)], minlength=b - a)
+                hashes, starts, _ = words(part)
+                codes, some = pd.factorize(hashes)
+                c = counts[table.get_indexer(some)][codes]
+                at = text[starts]
+                sums[1, a:b] = np.bincount(at, minlength=b - a)
+                sums[2, a:b] = np.bincount(at, weights=c > 0, minlength=b - a)
+                sums[3, a:b] = np.bincount(at, weights=np.log10(c + 0.1), minlength=b - a)
             out.append(pa.table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": sums[1].astype(np.int64),
                                  "n_known": sums[2].astype(np.int64), "base": sums[3], "score": sums[0]}))
         return pa.concat_tables(out)
@@ -376,11 +383,13 @@ def language_scores(docs: DataFrame, held_out, order: int = ORDER, chunk_bytes:
     scored = saved(blocks.groupBy("own").cogroup(values.groupBy("chunk")).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"))
     distinct = counted.agg(F.sum("distinct")).first()[0] or 0
-    train = scored.where("NOT held_out").agg(F.sum("n_tokens")).first()[0] or 0
+    train = scored.where("NOT held_out").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("ends")).first()
     discard(rows, counted, found, *trie[:-1])
-    norm = math.log10(train + 0.1 * (distinct + 1))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"),
-                         (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
+    # the end is a token as well, as frequent as there are texts
+    total, ends = (train["n"] or 0) + train["ends"], train["ends"]
+    norm = math.log10(total + 0.1 * (distinct + (ends > 0) + 1))
+    return scored.select("doc_id", "held_out", (F.col("n_tokens") + 1).alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+                         (F.col("base") + math.log10(ends + 0.1) - (F.col("n_tokens") + 1) * norm).alias("base_score"), "score")
 
 
 def held_out_by_crc(doc_id="doc_id", of: int = 10):
