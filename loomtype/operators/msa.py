@@ -27,8 +27,9 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     gene = F.regexp_extract(name, r"^(.*)_[A-Za-z]+$", 1)
     rows = lines.withColumn("source", source).withColumn("locus", F.when((gene == "DRB") & (source == "nuc"), F.lit("DRB1")).otherwise(gene))
     rows = rows.withColumn("words", F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
-    ended = F.min(F.when(F.col("text").rlike(r"^\s*Please"), F.col("line_no"))).over(Window.partitionBy("file"))
-    rows = rows.withColumn("_end", ended).where(F.col("_end").isNull() | (F.col("line_no") < F.col("_end")))
+    # an end line and a first allele a file: counted, so that no window holds a file's lines
+    ended = rows.where(F.col("text").rlike(r"^\s*Please")).groupBy("file").agg(F.min("line_no").alias("_end"))
+    rows = rows.join(ended, "file", "left").where(F.col("_end").isNull() | (F.col("line_no") < F.col("_end")))
     head = F.get("words", F.lit(0))
     position = head.isin("gDNA", "cDNA", "Prot")
     first_position = rows.where(position).groupBy("file").agg(F.min(F.struct("line_no", F.try_element_at("words", F.lit(-1)).cast("int").alias("p"))).alias("f"))
@@ -39,8 +40,8 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "chunk")))
     streams = chunks.groupBy(*GROUP, "file", "allele", "start_pos").agg(
         F.min("line_no").alias("line_no"), F.array_join(F.transform(ordered, lambda c: c["chunk"]), "").alias("stream"))
-    is_ref = F.col("line_no") == F.min("line_no").over(Window.partitionBy("file"))
-    streams = streams.select(*GROUP, "allele", is_ref.alias("is_ref"), "start_pos", "stream")
+    firsts = chunks.groupBy("file").agg(F.min("line_no").alias("_first"))
+    streams = streams.join(firsts, "file").select(*GROUP, "allele", (F.col("line_no") == F.col("_first")).alias("is_ref"), "start_pos", "stream")
     return streams, alignment_header(rows)
 
 
@@ -68,11 +69,13 @@ def parse_streams(streams: DataFrame) -> DataFrame:
     # only genomic streams need to know the gene's last region
     last = parts.where(genomic).groupBy(*GROUP).agg(F.max(F.size("_parts") - 1).alias("_last"))
     both = parts.where(~genomic).withColumn("_last", F.lit(None).cast("int")).unionByName(parts.where(genomic).join(last, GROUP))
-    firsts = F.expr("aggregate(_parts, array(start_pos), (a, p) -> array_append(a, a[size(a) - 1] + length(p)))")
-    regions = both.withColumn("_at", firsts).select(
-        *GROUP, "allele", "is_ref", "start_pos", "_last", "_at", F.posexplode("_parts").alias("region_ix", "_part"))
-    cells = regions.where("_part <> ''").withColumn("_first", F.get("_at", F.col("region_ix"))).select(
-        *GROUP, "allele", "is_ref", "start_pos", "_last", "region_ix", "_first", F.posexplode(letters(F.col("_part"))).alias("k", "c"))
+    # regions with their first positions, as one array; an outer explode, since Spark would ask an inner one's input for its size too
+    parted = F.expr("aggregate(_parts, named_struct('at', start_pos, 'of', array_repeat(named_struct('first', 0, 'part', ''), 0)), (a, p) -> "
+                    "named_struct('at', a.at + length(p), 'of', array_append(a.of, named_struct('first', a.at, 'part', p))), a -> a.of)")
+    regions = both.select(*GROUP, "allele", "is_ref", "start_pos", "_last", F.posexplode_outer(parted).alias("region_ix", "_r")).select(
+        *GROUP, "allele", "is_ref", "start_pos", "_last", "region_ix", F.col("_r.first").alias("_first"), F.col("_r.part").alias("_part"))
+    cells = regions.where("_part <> ''").select(
+        *GROUP, "allele", "is_ref", "start_pos", "_last", "region_ix", "_first", F.posexplode_outer(letters(F.col("_part"))).alias("k", "c"))
     cells = cells.withColumn("pos", F.col("_first") + F.col("k"))
     protein = F.col("source") == "prot"
     letter = F.when(protein, F.col("c").isin(*PROTEIN)).otherwise(F.col("c").isin(*LETTERS))
@@ -88,9 +91,19 @@ def parse_streams(streams: DataFrame) -> DataFrame:
                         F.col("c").alias("ch"), state.alias("state"))
 
 
+#: Reference columns that may be sent to all tasks.
+SENT_COLUMNS = 500_000
+
+
+def _reference(positions: DataFrame, *columns: Column) -> DataFrame:
+    """The references' columns, for a join on gene and position; sent to the tasks where they are few indeed, as genes' are."""
+    ref = positions.where("is_ref").select(*GROUP, "pos", *columns)
+    return F.broadcast(ref) if ref.limit(SENT_COLUMNS + 1).count() <= SENT_COLUMNS else ref
+
+
 def resolve_to_reference(positions: DataFrame) -> DataFrame:
     """Give ``same`` positions the reference's letter (or gap); an equi-join on gene and position."""
-    ref = positions.where("is_ref").select(*GROUP, "pos", F.col("ch").alias("_rc"), F.col("state").alias("_rs"))
+    ref = _reference(positions, F.col("ch").alias("_rc"), F.col("state").alias("_rs"))
     same = F.col("state") == "same"
     joined = positions.join(ref, [*GROUP, "pos"], "left")
     return joined.withColumn("ch", F.when(same, F.col("_rc")).otherwise(F.col("ch"))).withColumn(
@@ -124,7 +137,7 @@ def differs(own: Column, other: Column) -> Column:
 def segment_distance_to_reference(resolved: DataFrame, projection: Callable[[Column, Column], Column] = differs) -> DataFrame:
     """Per allele and region: columns that ``projection`` (letter, reference's letter; gaps are points) marks, among
     known positions, and Missing, Partial or Full."""
-    ref = resolved.where("is_ref").select(*GROUP, "pos", F.col("ch").alias("_r"))
+    ref = _reference(resolved, F.col("ch").alias("_r"))
     rows = resolved.where("NOT is_ref").join(ref, [*GROUP, "pos"], "left")
     known = F.col("state") != "unknown"
     marked = known & projection(F.col("ch"), F.coalesce("_r", F.lit(".")))
@@ -281,47 +294,64 @@ def exon_disagreements(gen: DataFrame, nuc: DataFrame) -> DataFrame:
     return both.where("_g <> _n").select("locus", "region_n")
 
 
-def merge_gen_nuc(gen: DataFrame, nuc: DataFrame) -> DataFrame:
-    """Exons from the coding alignment, the rest from the genomic one, on a common axis.
+_REGION = ["locus", "region_kind", "region_n"]
+
 
-    Regions keep the genomic order; each is as long as its source's columns, and positions are shifted by the sum of
-    the lengths before it. Positions of both are resolved; only alleles in both are merged. The references' exons must
-    agree in both sources (``exon_disagreements``), otherwise the merged letters raise an error.
+def merge_segments(gen: DataFrame, nuc: DataFrame) -> DataFrame:
+    """``locus, region_kind, region_n, region_ix, start, length, shift``: where each region lies in its source and on the
+    merged axis.
+
+    Exons come from the coding alignment, other regions from the genomic one, in the genomic order. A region begins at
+    its first column and is as long as all alleles' columns reach, known or not; ``shift`` is added to its positions.
     """
+    order = gen.select(*_REGION, "region_ix").distinct()
+    rows = nuc.where("region_kind = 'Exon'").select(*_REGION, "pos").unionByName(gen.where("region_kind <> 'Exon'").select(*_REGION, "pos"))
+    spans = rows.groupBy(*_REGION).agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + 1).alias("length")).join(order, _REGION)
+    before = Window.partitionBy("locus").orderBy("region_ix").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("shift", F.coalesce(F.sum("length").over(before), F.lit(0)) - F.col("start"))
+
+
+def _shifted(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """Rows of both sources with their place on the merged axis; regions without a segment have none."""
+    place = segments.select(*_REGION, "region_ix", "shift")
+    return rows.drop("region_ix").join(place, _REGION).withColumn("pos", (F.col("pos") + F.col("shift")).cast("int")).drop("shift")
+
+
+def merge_gen_nuc(gen: DataFrame, nuc: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """Exons from the coding alignment, the rest from the genomic one, on a common axis (``merge_segments``).
+
+    Positions of both are resolved; only alleles in both are merged. The references' exons must agree in both sources
+    (``exon_disagreements``), otherwise the merged letters raise an error.
+    """
+    segments = merge_segments(gen, nuc) if segments is None else segments
     say = F.concat(F.lit("references differ in exon "), F.col("_bad").cast("string"), F.lit(" of "), F.col("locus"))
     wrong = exon_disagreements(gen, nuc).groupBy("locus").agg(F.min("region_n").alias("_bad"))
     # raised by the letters: a key that raises would be dropped as null by a join
     gen, nuc = (rows.join(wrong, "locus", "left").withColumn(
         "ch", F.when(F.col("_bad").isNull(), F.col("ch")).otherwise(F.raise_error(say))).drop("_bad") for rows in (gen, nuc))
     both = match_gen_nuc(gen, nuc).where("found = 'both'").select("locus", "allele")
-    exons = nuc.where("region_kind = 'Exon'")
-    others = gen.where("region_kind <> 'Exon'")
-    order = gen.select("locus", "region_kind", "region_n", "region_ix").distinct()
-    rows = exons.unionByName(others).drop("region_ix", "source").join(both, ["locus", "allele"], "left_semi").join(order, ["locus", "region_kind", "region_n"])
-    sizes = rows.groupBy("locus", "region_ix").agg(F.min("pos").alias("_lo"), (F.max("pos") - F.min("pos") + 1).alias("_n"))
-    before = Window.partitionBy("locus").orderBy("region_ix").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return rows.join(sizes, ["locus", "region_ix"]).withColumn("pos", (F.col("pos") - F.col("_lo") + F.col("_base")).cast("int")).drop("_lo", "_n", "_base").withColumn(
-        "source", F.lit("merged"))
+    rows = nuc.where("region_kind = 'Exon'").unionByName(gen.where("region_kind <> 'Exon'"))
+    return _shifted(rows.join(both, ["locus", "allele"], "left_semi"), segments).withColumn("source", F.lit("merged"))
 
 
-def merge_nearest_donor(merged: DataFrame, nuc: DataFrame, nearest: DataFrame) -> DataFrame:
-    """Alleles with coding data only take what lies outside their exons from the nearest merged allele.
+def merge_nearest_donor(merged: DataFrame, nuc: DataFrame, nearest: DataFrame, segments: DataFrame) -> DataFrame:
+    """Alleles with coding data only take what lies outside their exons, and what they don't know of these, from the
+    nearest merged allele.
 
-    ``nearest``: ``locus, target, candidate, rank`` on the coding data; exon positions come from the allele itself.
+    ``nearest``: ``locus, target, candidate, rank`` on the coding data. Both sides' letters meet on the merged axis, so
+    exons that begin unknown stay in place; letters of the allele beyond the donor's regions are kept.
     """
     done = merged.select("locus", F.col("allele").alias("candidate")).distinct()
     first = Window.partitionBy("locus", "target").orderBy("rank")
     donor = nearest.join(done, ["locus", "candidate"], "left_semi").join(done.withColumnRenamed("candidate", "target"), ["locus", "target"], "left_anti").withColumn(
         "_k", F.row_number().over(first)).where("_k = 1").select("locus", F.col("target").alias("allele"), F.col("candidate").alias("donor"))
-    frame = merged.select("locus", F.col("allele").alias("donor"), "source", "is_ref", "pos", "region_ix", "region_kind", "region_n", "ch", "state")
-    rows = donor.join(frame, ["locus", "donor"])
-    own = nuc.where("region_kind = 'Exon' AND state <> 'unknown'")
-    place = Window.partitionBy("locus", "allele", "region_kind", "region_n").orderBy("pos")
-    own = own.withColumn("_o", F.col("pos") - F.min("pos").over(place)).select("locus", "allele", "region_kind", "region_n", "_o", F.col("ch").alias("_c"), F.col("state").alias("_s"))
-    rows = rows.withColumn("_o", F.col("pos") - F.min("pos").over(place)).join(own, ["locus", "allele", "region_kind", "region_n", "_o"], "left")
-    return merged.unionByName(rows.select("locus", "allele", F.lit(False).alias("is_ref"), "pos", "region_ix", "region_kind", "region_n",
-                                          F.coalesce("_c", "ch").alias("ch"), F.coalesce("_s", "state").alias("state"), "source"))
+    columns = ["locus", "allele", "pos", "region_ix", "region_kind", "region_n", "ch", "state"]
+    given = donor.join(merged.withColumnRenamed("allele", "donor"), ["locus", "donor"]).select(*columns, F.lit(1).alias("_from"))
+    own = _shifted(nuc.where("region_kind = 'Exon'").join(donor.select("locus", "allele"), ["locus", "allele"], "left_semi"), segments).select(*columns, F.lit(0).alias("_from"))
+    # one cell a place: the allele's own where it is known, else the donor's, else the unknown one
+    best = F.min_by(F.struct("region_ix", "region_kind", "region_n", "ch", "state"), F.struct((F.col("state") == "unknown").cast("int"), "_from")).alias("c")
+    cells = own.unionByName(given).groupBy("locus", "allele", "pos").agg(best).select("locus", "allele", "pos", "c.*")
+    return merged.unionByName(cells.select("locus", "allele", F.lit(False).alias("is_ref"), "pos", "region_ix", "region_kind", "region_n", "ch", "state", F.lit("merged").alias("source")))
 
 
 def region_variability(resolved: DataFrame, skip_incomplete: bool = True, skip_gaps: bool = True) -> DataFrame:

@@ -19,6 +19,7 @@ from ..sources.shared import saved
 from . import kernel
 from .pairs import (allele_log_likelihood, assign_reads, best_locus, best_orientation, coverage_likelihood, of_sample, pair_emissions,
                     pair_log_likelihood, pair_posterior, rank_pairs, top_pairs)
+from .spread import dealt
 from .vectors import pair_sums, scores_of, vector_emissions
 
 ALLELE_BYTES = 64 << 20
@@ -108,13 +109,6 @@ class Genes:
             yield from sent.value
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Rows over all cores, where their files are fewer: one file's one row group would be one task's work."""
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def _usable(reads: DataFrame, *columns: str) -> DataFrame:
     """Reads with letters and one quality a letter."""
     return reads.where("length(seq) > 0 AND size(q) = length(seq)").select(*columns, "seq", "q")

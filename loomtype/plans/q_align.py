@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.values import letters
 from ..operators import graph as G
 from ..operators import msa as M
 from ..operators import select as S
 from ..operators import windows as W
+from ..operators.spread import dealt
 from .registry import derive, query
 
 _LETTERS = "translate(regexp_replace(lower(text), '[^a-z]', ''{g}), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -17,19 +18,31 @@ _ROWS = {"documents": "lang AS locus, doc_id AS id", "benchmark": "concat('L', i
 
 def streams(spark, sf, table="documents"):
     """Alignment streams: gaps, unknown beginnings and the reference's letters as a file would have them."""
-    x = derive(spark, sf, f"SELECT {_ROWS[table]}, {_LETTERS.format(g='')} AS seq FROM {{{table}}} WHERE text IS NOT NULL", table).where("seq <> ''")
+    x = dealt(derive(spark, sf, f"SELECT {_ROWS[table]}, text FROM {{{table}}} WHERE text IS NOT NULL", table)).selectExpr("locus", "id", f"{_LETTERS.format(g='')} AS seq").where("seq <> ''")
     first = x.groupBy("locus").agg(F.min("id").alias("ref"), F.min_by("seq", "id").alias("ref_seq"))
-    both = x.join(first, "locus").withColumn("_n", F.length("seq"))
 
-    def cell(x, i0):
-        i = i0 + 1
-        own = F.when(F.col("id") == F.col("ref"), x["c"]).when((i <= F.col("id") % 7) | ((F.col("id") % 7 > 0) & (i >= 60) & (i < 60 + F.col("id") % 5)), "*").when((F.col("id") + i) % 29 == 0, ".").when(
-            x["c"] == x["r"], "-").otherwise(x["c"])
-        return F.when(x["c"].isNull(), "").otherwise(F.concat(own, F.when((i % 50 == 0) & (i < F.col("_n")), "|").otherwise("")))
-
-    cells = F.arrays_zip(letters(F.col("seq")).alias("c"), letters(F.col("ref_seq")).alias("r"))
-    return both.select("locus", F.lit("nuc").alias("source"), F.concat(F.lit("D"), F.col("id").cast("string")).alias("allele"),
-                       (F.col("id") == F.col("ref")).alias("is_ref"), F.lit(1).alias("start_pos"), F.array_join(F.transform(cells, cell), "").alias("stream"))
+    def build(frames):
+        for frame in frames:
+            frame["stream"] = [_cells(r.seq, r.ref_seq, r.id, r.id == r.ref) for r in frame.itertuples()]
+            yield frame[["locus", "id", "ref", "stream"]]
+
+    rows = x.join(F.broadcast(first), "locus").mapInPandas(build, "locus string, id long, ref long, stream string")  # a row a locus
+    return rows.select("locus", F.lit("nuc").alias("source"), F.concat(F.lit("D"), F.col("id").cast("string")).alias("allele"),
+                       (F.col("id") == F.col("ref")).alias("is_ref"), F.lit(1).alias("start_pos"), "stream")
+
+
+def _cells(seq: str, ref: str, number: int, is_ref: bool) -> str:
+    """A stream's letters, with ``|`` after every fifty."""
+    own = np.frombuffer(seq.encode(), np.uint8)
+    i = np.arange(1, len(own) + 1)
+    out = own.copy()
+    if not is_ref:
+        other = np.zeros(len(own), np.uint8)
+        other[: len(ref)] = np.frombuffer(ref.encode(), np.uint8)[: len(own)]
+        out[own == other] = ord("-")
+        out[(number + i) % 29 == 0] = ord(".")
+        out[(i <= number % 7) | ((number % 7 > 0) & (i >= 60) & (i < 60 + number % 5))] = ord("*")
+    return np.insert(out, i[(i % 50 == 0) & (i < len(own))], ord("|")).tobytes().decode()
 
 
 def cells_sql(table="documents"):

@@ -25,14 +25,14 @@ merged AS (SELECT n.locus, n.allele, n.is_ref, n.x, n.region, n.ch FROM nuc n JO
   UNION ALL SELECT g.locus, g.allele, g.is_ref, g.x, g.region, g.ch FROM gen g JOIN twice USING (locus, allele) WHERE g.region % 2 = 0)"""
 
 
-def _stream(rows, source, gap, start):
+def _stream(rows, source, gap, start, begins_unknown=False):
     """One stream an allele: the reference's letters as dashes, gaps where (id + place) is a multiple of ``gap``."""
     head = rows.groupBy("locus").agg(F.min("id").alias("ref"), F.min_by("seq", "id").alias("ref_seq"))
     both = rows.join(head, "locus")
 
     def cell(x, i0):
         i = i0 + 1
-        unknown = (i <= F.col("id") % 7) if source == "gen" else F.lit(False)
+        unknown = (i <= F.col("id") % 7) if source == "gen" else _begins_unknown(i) if begins_unknown else F.lit(False)
         return F.when(x["c"].isNull(), "").when(F.col("id") == F.col("ref"), x["c"]).when(unknown, "*").when((F.col("id") + i) % gap == 0, ".").when(x["c"] == x["r"], "-").otherwise(x["c"])
 
     cells = F.transform(F.arrays_zip(letters(F.col("seq")).alias("c"), letters(F.col("ref_seq")).alias("r")), cell)
@@ -44,6 +44,11 @@ def _stream(rows, source, gap, start):
                        F.lit(start).alias("start_pos"), F.array_join(regions, "|").alias("stream")).where("stream <> ''")
 
 
+def _begins_unknown(i):
+    """The first letters of exon 1 of alleles with coding data only."""
+    return (F.expr("(id div 3) % 4 = 3")) & (i > 50) & (i <= 50 + F.col("id") % 5)
+
+
 def _texts(spark, sf):
     return derive(spark, sf, f"SELECT concat('L', item_id % 3) AS locus, item_id AS id, {_LETTERS.format(g='')} AS seq FROM {{benchmark}} WHERE text IS NOT NULL", "benchmark").where("seq <> ''")
 
@@ -53,8 +58,8 @@ def _gen(spark, sf):
     return saved(M.resolve_to_reference(M.parse_streams(_stream(rows, "gen", 29, -49))))
 
 
-def _nuc(spark, sf):
-    return saved(M.resolve_to_reference(M.parse_streams(_stream(_texts(spark, sf), "nuc", 31, 1))))
+def _nuc(spark, sf, begins_unknown=False):
+    return saved(M.resolve_to_reference(M.parse_streams(_stream(_texts(spark, sf), "nuc", 31, 1, begins_unknown))))
 
 
 @query("jn15_merge_gen_nuc", f"{_X} SELECT locus, allele, md5(string_agg(ch, '' ORDER BY x) FILTER (ch NOT IN ('.', '*'))) AS digest, count(*) AS cells, max(x) - 1 AS last FROM merged GROUP BY locus, allele")
@@ -72,12 +77,43 @@ def _digests(rows):
 len AS (SELECT locus, region, count(*) AS len FROM nuc WHERE is_ref GROUP BY locus, region), d AS (SELECT s.locus, target, candidate, sum(m * len) / sum(len) AS distance FROM seg s JOIN len l ON s.locus = l.locus AND s.region = l.region GROUP BY s.locus, target, candidate),
 donor AS (SELECT d.locus, target, candidate FROM (SELECT d.*, row_number() OVER (PARTITION BY d.locus, target ORDER BY distance, candidate) AS k FROM d JOIN twice b ON d.locus = b.locus AND d.candidate = b.allele
   WHERE NOT EXISTS (SELECT 1 FROM twice t WHERE t.locus = d.locus AND t.allele = d.target)) d WHERE k = 1),
-taken AS (SELECT o.locus, target AS allele, m.x, coalesce(n.ch, m.ch) AS ch FROM donor o JOIN merged m ON o.locus = m.locus AND o.candidate = m.allele LEFT JOIN nuc n ON n.locus = o.locus AND n.allele = o.target AND n.x = m.x),
+given AS (SELECT o.locus, target AS allele, m.x, m.ch FROM donor o JOIN merged m ON o.locus = m.locus AND o.candidate = m.allele),
+own AS (SELECT n.locus, n.allele, n.x, n.ch FROM nuc n JOIN donor o ON n.locus = o.locus AND n.allele = o.target JOIN ends e ON n.locus = e.locus AND n.region <= e.last),
+taken AS (SELECT coalesce(n.locus, m.locus) AS locus, coalesce(n.allele, m.allele) AS allele, coalesce(n.x, m.x) AS x, coalesce(CASE WHEN n.ch <> '*' THEN n.ch END, m.ch, n.ch) AS ch
+  FROM own n FULL OUTER JOIN given m ON n.locus = m.locus AND n.allele = m.allele AND n.x = m.x),
 full_ AS (SELECT locus, allele, x, ch FROM merged UNION ALL SELECT locus, allele, x, ch FROM taken)
 SELECT locus, allele, md5(string_agg(ch, '' ORDER BY x) FILTER (ch NOT IN ('.', '*'))) AS digest, count(*) AS cells, max(x) - 1 AS last FROM full_ GROUP BY locus, allele""")
 def jn16(spark, sf):
-    nuc = _nuc(spark, sf)
-    return _digests(M.merge_nearest_donor(M.merge_gen_nuc(_gen(spark, sf), nuc), nuc, M.weighted_distances(nuc)))
+    return _completed(spark, sf, _nuc(spark, sf))
+
+
+def _completed(spark, sf, nuc):
+    gen = _gen(spark, sf)
+    segments = saved(M.merge_segments(gen, nuc))
+    return _digests(M.merge_nearest_donor(M.merge_gen_nuc(gen, nuc, segments), nuc, M.weighted_distances(nuc), segments))
+
+
+# As before, with exons that begin unknown: regions that are not whole take no part in distances, and only the reference
+# is compared with an allele whose whole regions are others than its own.
+_Y = _X.replace("CASE WHEN is_ref THEN c WHEN (id + x) % 31 = 0 THEN '.' ELSE c END AS ch FROM c WHERE (x - 1) // 50 % 2 = 1",
+                f"CASE WHEN is_ref THEN c WHEN {_ONLY_CODING} AND x > 50 AND x <= 50 + id % 5 THEN '*' WHEN (id + x) % 31 = 0 THEN '.' ELSE c END AS ch FROM c WHERE (x - 1) // 50 % 2 = 1")
+
+
+@query("jn16_merge_partial_exons", f"""{_Y}, seg AS (SELECT a.locus, a.allele AS target, b.allele AS candidate, a.region, count(*) FILTER (a.ch <> b.ch AND a.ch <> '*' AND b.ch <> '*') AS m,
+  count(*) FILTER (a.ch = '*') = 0 AS ta, count(*) FILTER (b.ch = '*') = 0 AS tb, bool_or(b.is_ref) AS ref FROM nuc a JOIN nuc b ON a.locus = b.locus AND a.x = b.x AND a.allele <> b.allele GROUP BY a.locus, a.allele, b.allele, a.region),
+len AS (SELECT locus, region, count(*) AS len FROM nuc WHERE is_ref GROUP BY locus, region),
+d AS (SELECT s.locus, target, candidate, sum(CASE WHEN ta THEN m * len END) / sum(CASE WHEN ta THEN len END) AS distance FROM seg s JOIN len l ON s.locus = l.locus AND s.region = l.region GROUP BY s.locus, target, candidate
+  HAVING (bool_and(ta = tb) OR bool_or(ref)) AND sum(CASE WHEN ta THEN len END) > 0),
+donor AS (SELECT d.locus, target, candidate FROM (SELECT d.*, row_number() OVER (PARTITION BY d.locus, target ORDER BY distance, candidate) AS k FROM d JOIN twice b ON d.locus = b.locus AND d.candidate = b.allele
+  WHERE NOT EXISTS (SELECT 1 FROM twice t WHERE t.locus = d.locus AND t.allele = d.target)) d WHERE k = 1),
+given AS (SELECT o.locus, target AS allele, m.x, m.ch FROM donor o JOIN merged m ON o.locus = m.locus AND o.candidate = m.allele),
+own AS (SELECT n.locus, n.allele, n.x, n.ch FROM nuc n JOIN donor o ON n.locus = o.locus AND n.allele = o.target JOIN ends e ON n.locus = e.locus AND n.region <= e.last),
+taken AS (SELECT coalesce(n.locus, m.locus) AS locus, coalesce(n.allele, m.allele) AS allele, coalesce(n.x, m.x) AS x, coalesce(CASE WHEN n.ch <> '*' THEN n.ch END, m.ch, n.ch) AS ch
+  FROM own n FULL OUTER JOIN given m ON n.locus = m.locus AND n.allele = m.allele AND n.x = m.x),
+full_ AS (SELECT locus, allele, x, ch FROM merged UNION ALL SELECT locus, allele, x, ch FROM taken)
+SELECT locus, allele, md5(string_agg(ch, '' ORDER BY x) FILTER (ch NOT IN ('.', '*'))) AS digest, count(*) AS cells, max(x) - 1 AS last FROM full_ GROUP BY locus, allele""")
+def jn16_partial(spark, sf):
+    return _completed(spark, sf, _nuc(spark, sf, begins_unknown=True))
 
 
 @query("prj2_genomic_to_exons", f"{_X} SELECT locus, allele, count(*) AS cells, CAST(max(region) AS INT) AS last_region FROM gen WHERE region % 2 = 1 GROUP BY locus, allele")

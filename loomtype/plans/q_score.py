@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import kernel, score
-from ..operators.score import dealt
 from ..operators.pairs import best_orientation, final_emission, pair_sums_blocked
+from ..operators.spread import dealt
 from ..sources.shared import saved
 from .q_align import _LETTERS
 from .registry import derive, query, text

@@ -83,10 +83,25 @@ def test_merge_keeps_exons_and_introns(spark):
     seqs = {r["allele"]: r["seq"] for r in msa.allele_sequences(merged).collect()}
     assert seqs == {"A*01": "ACGTAACCGG", "A*02": "ACGATATCCGG"}
     near = spark.createDataFrame([("A", "A*03", "A*01", 1)], "locus string, target string, candidate string, rank int")
-    seqs = {r["allele"]: r["seq"] for r in msa.allele_sequences(msa.merge_nearest_donor(merged, nuc, near)).collect()}
+    seqs = {r["allele"]: r["seq"] for r in msa.allele_sequences(msa.merge_nearest_donor(merged, nuc, near, msa.merge_segments(gen, nuc))).collect()}
     assert seqs["A*03"] == "ACGAAACTGG"
 
 
+def test_exons_that_begin_unknown_stay_in_place_and_own_ends_are_kept(spark):
+    ddl = "locus string, source string, allele string, is_ref boolean, start_pos int, stream string"
+    parsed = lambda rows: msa.resolve_to_reference(msa.parse_streams(spark.createDataFrame(rows, ddl)))
+    gen = parsed([("A", "gen", "A*01", True, -1, "TT|ACGTAC|GG|CCTT|AA")])
+    nuc = parsed([("A", "nuc", "A*01", True, 1, "ACGTAC|CCTT.."), ("A", "nuc", "A*02", False, 1, "**GTAC|CCTTGA"), ("A", "nuc", "A*03", False, 1, "AC*TA*|*-..**")])
+    segments = msa.merge_segments(gen, nuc)
+    merged = msa.merge_gen_nuc(gen, nuc, segments)
+    near = spark.createDataFrame([("A", "A*02", "A*01", 1), ("A", "A*03", "A*01", 1)], "locus string, target string, candidate string, rank int")
+    rows = msa.merge_nearest_donor(merged, nuc, near, segments)
+    seqs = {r["allele"]: r["seq"] for r in msa.allele_sequences(rows, boundary="|").collect()}
+    assert seqs == {"A*01": "TT|ACGTAC|GG|CCTT|AA", "A*02": "TT|ACGTAC|GG|CCTTGA|AA", "A*03": "TT|ACTTAC|GG|CC|AA".replace("ACTTAC", "ACGTAC")}
+    assert rows.groupBy("allele", "pos").count().where("count > 1").count() == 0
+    assert {(r["region_ix"], r["length"], r["shift"] + r["start"]) for r in segments.collect()} == {(0, 2, 0), (1, 6, 2), (2, 2, 8), (3, 6, 10), (4, 2, 16)}
+
+
 def test_nearest_name_ties_go_up(spark):
     def nearest(numbers):
         c = spark.createDataFrame([("A", f"A*{n:02d}", n, 1, 0, 0) for n in numbers], "locus string, allele string, f1 int, f2 int, f3 int, f4 int")
