@@ -7,9 +7,10 @@ counts and distinct bytes, a byte that it counts c times has the chance (c - 1/2
 an escape of D / (2 N); bytes that longer contexts know are excluded from N and D of shorter ones. Bytes that no context
 knows share what is left evenly.
 
-Texts are cut into chunks. A chunk sends its distinct grams and words in packed lists, one for each bucket (grams of one
-context share a bucket, as do equal words), and gets lists of their counts back. Nothing is sent a row a gram but the
-trie itself and the grams that no training text has.
+Texts are cut into chunks. A chunk sends its distinct grams and words in packed lists, one for each bucket, and gets lists
+of their counts back. Equal words share a bucket, and so do grams whose contexts end alike (but for the ``APART`` first
+bytes): a bucket does the two longest contexts' work by itself. Sent row by row are only the rest of the trie and the
+grams that no training text has.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from .common import discard, saved, small_batches
 from .textbytes import slices
 from .wordcache import mixed, span_hashes
 
-ORDER = 6
+ORDER, APART = 6, 2
 CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 16 << 20
 END = 0x0A  # white space, so no word holds it
 BYTES = 256
-_PIECE = 8 << 20
+_PIECE, _ENTRIES = 2 << 20, 3_000_000
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -103,6 +104,7 @@ class Chunk:
     def __init__(self, order: int):
         self.order, self.size = order, 0
         self.grams: list[tuple] = []
+        self.entries = 0
         self.words: list[tuple] = []
 
     def add(self, data: np.ndarray, offsets: np.ndarray, held: np.ndarray) -> None:
@@ -110,7 +112,12 @@ class Chunk:
         for a, b in _pieces(offsets, _PIECE):
             part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             sizes, own = np.diff(bounds), held[a:b]
-            self.grams.append(np.unique(grams(part, bounds, self.order) << 1 | np.repeat(own, sizes), return_counts=True))
+            code, times = np.unique(grams(part, bounds, self.order) << 1 | np.repeat(own, sizes), return_counts=True)
+            self.grams.append((code, times.astype(np.int32)))
+            self.entries += len(code)
+            if self.entries > _ENTRIES:
+                self.grams = [_summed(self.grams)]
+                self.entries = len(self.grams[0][0]) // 2  # what is merged already counts half
             hashes, starts, stops = words(part)
             codes, some = pd.factorize(hashes)
             where = _first(codes, len(some))
@@ -121,7 +128,7 @@ class Chunk:
         """A row for each bucket: packed grams or words, and their counts."""
         code, counts = _summed(self.grams)
         keys, n = _summed([(code >> 1, np.where(code & 1, 0, counts))])
-        order, edges = _by_bucket(bucket_of(keys >> 8, buckets), buckets)
+        order, edges = _by_bucket(bucket_of(keys >> 8 & ((1 << 8 * (self.order - APART)) - 1), buckets), buckets)
         full = np.flatnonzero(np.diff(edges))
         keys, n = keys[order], n[order]
         yield {"bucket": full, "word": False, "keys": [packed(np.diff(keys[edges[b] : edges[b + 1]], prepend=0)) for b in full],
@@ -182,7 +189,7 @@ def _batch(types: dict[str, pa.DataType], count: int, columns: dict) -> pa.Recor
     """A batch of these columns: lists, single values, or nothing (nulls)."""
     def one(c: str, t: pa.DataType) -> pa.Array:
         x = columns.get(c)
-        return pa.nulls(count, t) if x is None else pa.array(x if isinstance(x, list | np.ndarray) else [x] * count, t)
+        return pa.nulls(count, t) if x is None else x if isinstance(x, pa.Array) else pa.array(x if isinstance(x, list | np.ndarray) else [x] * count, t)
 
     return pa.RecordBatch.from_arrays([one(c, t) for c, t in types.items()], list(types))
 
@@ -225,15 +232,68 @@ def gathered(docs: DataFrame, held_out, order: int, chunk_bytes: int, total: int
     return rows.mapInArrow(run, _GATHERED_DDL)
 
 
-_COUNTED = {"chunk": pa.int64(), "bucket": pa.int32(), "word": pa.bool_(), "c": pa.binary(), "total": pa.binary(), "gram": pa.int64(), "count": pa.int64(), "distinct": pa.int64()}
-_COUNTED_DDL = "chunk long, bucket int, word boolean, c binary, total binary, gram long, count long, distinct long"
+_COUNTED = {"kind": pa.string(), "chunk": pa.int64(), "bucket": pa.int32(), "word": pa.bool_(), "c": pa.binary(), "total": pa.binary(), "gram": pa.int64(), "count": pa.int64(),
+            "logp": pa.float64(), "cost": pa.float64(), "n": pa.int64(), "d": pa.int64()}
+_COUNTED_DDL = "kind string, chunk long, bucket int, word boolean, c binary, total binary, gram long, count long, logp double, cost double, n long, d long"
 
 
-def count_bucket(rows: pa.Table) -> pa.Table:
+class Level:
+    """Grams of one length, ascending, with their counts, and their contexts' counts and distinct bytes."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.grams, self.counts = grams, counts
+        context = grams >> 8
+        first = np.ones(len(grams), bool)
+        first[1:] = context[1:] != context[:-1]
+        self.first = np.flatnonzero(first)
+        self.contexts = context[self.first]
+        self.total = np.add.reduceat(counts, self.first) if len(grams) else counts
+        self.distinct = np.diff(np.append(self.first, len(grams)))
+
+    def shorter(self, order: int) -> tuple["Level", np.ndarray]:
+        """The grams without their first byte, which count once for each; and each context's count of what it knows there."""
+        short, back, counts = np.unique(self.grams & ((1 << 8 * order) - 1), return_inverse=True, return_counts=True)
+        known = np.add.reduceat(counts[back], self.first) if len(self.first) else counts
+        return Level(short, counts), known
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def escapes(wanted: np.ndarray, level: Level, order: int) -> tuple[dict[str, np.ndarray], Level]:
+    """``logp`` of grams that ``level`` (the longest contexts) lacks, by its escapes and the next level's counts; where that
+    lacks them too, not a number, and ``cost``, ``n``, ``d``: the escapes' log10, and what the next context has to exclude.
+    """
+    out = {"logp": np.full(len(wanted), np.nan), "cost": np.zeros(len(wanted)), "n": np.zeros(len(wanted), np.int64), "d": np.zeros(len(wanted), np.int64)}
+    for step in range(APART):
+        width = order + 1 - step
+        own = wanted & ((1 << 8 * width) - 1)
+        below, known = level.shorter(width - 1)
+        at, seen = _at(level.contexts, own >> 8)
+        place, hit = _at(level.grams, own)
+        open_ = np.isnan(out["logp"])
+        if len(level.contexts):
+            n, d = level.total[at] - out["n"], level.distinct[at] - out["d"]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out["logp"] = np.where(open_ & hit, out["cost"] + np.log10((level.counts[place] - 0.5) / n), out["logp"])
+                out["cost"] = np.where(open_ & ~hit & seen & (d > 0), out["cost"] + np.log10(d / (2 * n)), out["cost"])
+            out["n"], out["d"] = np.where(seen, known[at], 0), np.where(seen, level.distinct[at], 0)
+        level = below
+    return out, level
+
+
+def count_bucket(rows: pa.Table, order: int) -> pa.Table:
     """Counts of a bucket's grams and words over all chunks.
 
-    For each chunk's list the counts in its order, and for grams their contexts' counts too (``total``). Beside that
-    rows ``gram, count`` of the trie, ``chunk, gram`` of what no training text has, and the number of distinct words.
+    ``list``: for each chunk's list the counts in its order, and for grams their contexts' counts too (``total``).
+    ``trie``: the grams of contexts of ``order`` - ``APART`` bytes. ``new``: a chunk's gram that no training text has, with
+    its ``logp`` where the bucket knows it; ``open``: those where it doesn't, once each, with what they cost so far.
+    ``words``: the number of distinct words in training texts.
     """
     out = []
     is_word = rows["word"].to_numpy(zero_copy_only=False).astype(bool)
@@ -253,18 +313,23 @@ def count_bucket(rows: pa.Table) -> pa.Table:
         else:
             keys, back = np.unique(np.concatenate([np.cumsum(unpacked(x)) for x in part["keys"].to_pylist()]), return_inverse=True)
         counts = np.bincount(back, weights=n).astype(np.int64)
-        lists = {"chunk": chunks[own], "bucket": bucket, "word": word, "c": [packed(counts[back[a:b]]) for a, b in zip(edges, edges[1:])]}
+        lists = {"kind": "list", "chunk": chunks[own], "bucket": bucket, "word": word, "c": [packed(counts[back[a:b]]) for a, b in zip(edges, edges[1:])]}
         if word:
-            out.append(_batch(_COUNTED, 1, {"distinct": int((counts > 0).sum())}))
+            out.append(_batch(_COUNTED, 1, {"kind": "words", "count": int((counts > 0).sum())}))
         else:
-            context = keys >> 8
-            first = np.concatenate([[True], context[1:] != context[:-1]])
-            total = np.add.reduceat(counts, np.flatnonzero(first))[np.cumsum(first) - 1]
-            lists["total"] = [packed(total[back[a:b]]) for a, b in zip(edges, edges[1:])]
             known = counts > 0
-            out.append(_batch(_COUNTED, int(known.sum()), {"gram": keys[known], "count": counts[known]}))
-            lacking = counts[back] == 0
-            out.append(_batch(_COUNTED, int(lacking.sum()), {"chunk": np.repeat(chunks[own], sizes)[lacking], "gram": keys[back][lacking]}))
+            level = Level(keys[known], counts[known])
+            at, seen = _at(level.contexts, keys >> 8)
+            total = np.where(seen, level.total[at], 0) if len(level.total) else np.zeros(len(keys), np.int64)
+            lists["total"] = [packed(total[back[a:b]]) for a, b in zip(edges, edges[1:])]
+            found, rest = escapes(keys[~known], level, order)
+            out.append(_batch(_COUNTED, len(rest.grams), {"kind": "trie", "gram": rest.grams, "count": rest.counts}))
+            still = np.isnan(found["logp"])
+            out.append(_batch(_COUNTED, int(still.sum()), {"kind": "open", "gram": keys[~known][still], **{c: found[c][still] for c in ("cost", "n", "d")}}))
+            lacking = ~known[back]
+            number = (np.cumsum(~known) - 1)[back][lacking]
+            out.append(_batch(_COUNTED, int(lacking.sum()), {"kind": "new", "chunk": np.repeat(chunks[own], sizes)[lacking], "gram": keys[back][lacking],
+                                                            "logp": pa.array(found["logp"][number], from_pandas=True)}))
         out.append(_batch(_COUNTED, len(own), lists))
     return pa.Table.from_batches(out)
 
@@ -280,9 +345,9 @@ def _context(gram="gram"):
 def unseen(wanted: DataFrame, trie: list[DataFrame]) -> DataFrame:
     """``gram, logp`` of grams (distinct) that no training text has, by escapes to shorter contexts.
 
-    ``trie[k]`` has ``gram, c`` of contexts of k bytes.
+    ``wanted`` has ``gram, cost, n, d`` as ``escapes`` leaves them, ``trie[k]`` has ``gram, c`` of contexts of k bytes.
     """
-    rows = wanted.select("gram", F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("logp"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_d"))
+    rows = wanted.select("gram", "cost", F.lit(None).cast("double").alias("logp"), F.col("n").alias("_n"), F.col("d").alias("_d"))
     for level in range(len(trie) - 1, -1, -1):
         known = trie[level].select(F.col("gram").alias("_g"), "c")
         below = known.withColumn("_low", F.lit(0).cast("long"))
@@ -315,22 +380,24 @@ def language_scores(docs: DataFrame, held_out, order: int = ORDER, chunk_bytes:
     empty table gives no rows; without training texts every byte has one of 256 chances. Other columns are not read.
     Words meet by their bytes; within a chunk they are told apart by 64-bit hashes.
     """
-    if not 1 <= order <= 6:
-        raise ValueError("order must be from 1 to 6: a gram is packed in 56 bits")
+    if not APART < order <= 6:
+        raise ValueError("order must be from 3 to 6: a gram is packed in 56 bits, and buckets do the two longest contexts")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, -(-total // BUCKET_BYTES))
     rows = saved(gathered(docs, held_out, order, chunk_bytes, total, buckets))
     lists = rows.where("bucket IS NOT NULL")
-    counted = saved(lists.select("chunk", "bucket", "word", F.when(~F.col("word"), F.col("keys")).alias("keys"), "n", "texts", "size").groupBy("bucket").applyInArrow(count_bucket, _COUNTED_DDL))
-    trie = [counted.where("count IS NOT NULL").select("gram", F.col("count").alias("c"))]
-    for level in range(order - 1, -1, -1):
+    bucketed = lists.select("chunk", "bucket", "word", F.when(~F.col("word"), F.col("keys")).alias("keys"), "n", "texts", "size").groupBy("bucket")
+    counted = saved(bucketed.applyInArrow(lambda t: count_bucket(t, order), _COUNTED_DDL))
+    trie = [counted.where("kind = 'trie'").select("gram", F.col("count").alias("c"))]
+    for level in range(order - APART - 1, -1, -1):
         trie.insert(0, saved(trie[0].groupBy(_suffix(level).alias("gram")).agg(F.count("*").alias("c"))))
-    lacking = counted.where("count IS NULL AND gram IS NOT NULL").select("chunk", "gram")
-    found = saved(unseen(lacking.select("gram").distinct(), trie))
+    found = saved(unseen(counted.where("kind = 'open'").select("gram", "cost", "n", "d"), trie))
+    new = counted.where("kind = 'new'").select("chunk", "gram", "logp")
+    new = new.where("logp IS NOT NULL").unionByName(new.where("logp IS NULL").drop("logp").join(found, "gram").select("chunk", "gram", "logp"))
     none = lambda kind: F.lit(None).cast(kind)
     values = lists.select("chunk", "bucket", "word", "keys", none("binary").alias("c"), none("binary").alias("total"), none("long").alias("gram"), none("double").alias("logp"))
-    values = values.unionByName(counted.where("c IS NOT NULL").select("chunk", "bucket", "word", none("binary").alias("keys"), "c", "total", none("long").alias("gram"), none("double").alias("logp")))
-    values = values.unionByName(lacking.join(found, "gram").select(
+    values = values.unionByName(counted.where("kind = 'list'").select("chunk", "bucket", "word", none("binary").alias("keys"), "c", "total", none("long").alias("gram"), none("double").alias("logp")))
+    values = values.unionByName(new.select(
         "chunk", none("int").alias("bucket"), none("boolean").alias("word"), none("binary").alias("keys"), none("binary").alias("c"), none("binary").alias("total"), "gram", "logp"))
 
     def score(blocks: pa.Table, values: pa.Table) -> pa.Table:
@@ -382,7 +449,7 @@ def language_scores(docs: DataFrame, held_out, order: int = ORDER, chunk_bytes:
     blocks = rows.where("block IS NOT NULL").select(F.col("chunk").alias("own"), "block")
     scored = saved(blocks.groupBy("own").cogroup(values.groupBy("chunk")).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"))
-    distinct = counted.agg(F.sum("distinct")).first()[0] or 0
+    distinct = counted.where("kind = 'words'").agg(F.sum("count")).first()[0] or 0
     train = scored.where("NOT held_out").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("ends")).first()
     discard(rows, counted, found, *trie[:-1])
     # the end is a token as well, as frequent as there are texts
