@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import msa as M
+from ..operators.spread import dealt
 from ..sources import reads as R
 from ..sources import sinks as K
 from ..sources.shared import new_path
@@ -17,10 +19,19 @@ FROM (SELECT doc_id, {letters} AS seq FROM documents WHERE text IS NOT NULL) x W
 
 
 def _records(spark, sf):
-    rows = derive(spark, sf, f"SELECT doc_id, {_LETTERS.format(g='')} AS seq FROM {{documents}} WHERE text IS NOT NULL", "documents").where("seq <> ''")
-    n = F.length("seq") - F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
-    cells = F.transform(F.sequence(F.lit(1), n), lambda i: F.chr(33 + (F.col("doc_id") * 31 + (i - 1) * 17) % 41))
-    return rows.withColumn("qual", F.when(n > 0, F.array_join(cells, "")).otherwise(""))
+    rows = dealt(derive(spark, sf, "SELECT doc_id, text FROM {documents} WHERE text IS NOT NULL", "documents"))
+    rows = rows.selectExpr("doc_id", f"{_LETTERS.format(g='')} AS seq").where("seq <> ''")
+
+    def build(frames):
+        for frame in frames:
+            frame["qual"] = [_qualities(n, len(seq) - (n % 7 == 0)) for n, seq in zip(frame["doc_id"], frame["seq"])]
+            yield frame
+
+    return rows.mapInPandas(build, "doc_id long, seq string, qual string")
+
+
+def _qualities(number: int, n: int) -> str:
+    return (33 + (number * 31 + np.arange(n) * 17) % 41).astype(np.uint8).tobytes().decode()
 
 
 def _fastq(spark, sf):

@@ -5,12 +5,17 @@ All files are read by Spark's own readers, so any file system that Spark knows w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import LOCUS_GROUPS
 from ..functions.values import phred
 from ..operators.msa import parse_lines
+from .shared import saved
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -33,14 +38,98 @@ def _sample(file: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(file, r"([^/]+)$", 1), r"(_R?[12])?\.(fastq|fq)(\.gz)?$", "")
 
 
+#: Parts of files whose first line numbers may be sent to all tasks (some tens of MB).
+SENT_PARTS = 500_000
+
+
+def records(spark: SparkSession, path: str | list[str], size: int = 4) -> DataFrame:
+    """``file, record, lines``: every ``size`` lines of a file, as an array (the last may be shorter).
+
+    Files are split among tasks by Spark's reader. A first pass counts each part's lines and keeps the few at its ends; so
+    the second knows the number of a part's first line, and cuts the records in the task that reads them. Records that
+    two parts share are made of the ends. No line is shuffled but these.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, head, tail = None, 0, [], []
+        for batch in batches:
+            for key, texts in _runs(batch):
+                if key != part:
+                    if part:
+                        yield _ends_batch(part, n, head, tail)
+                    part, n, head, tail = key, 0, [], []
+                n += len(texts)
+                head += texts[: size - 1 - len(head)].to_pylist()
+                tail = (tail + texts[max(0, len(texts) - size + 1) :].to_pylist())[1 - size :]
+        if part:
+            yield _ends_batch(part, n, head, tail)
+
+    parts = saved(lines.mapInArrow(ends, "file string, block long, n long, head array<string>, tail array<string>"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    lead = F.least(F.pmod(-F.col("base"), F.lit(size)), F.col("n")).cast("int")  # lines that belong to the record before
+    over = F.pmod(F.col("n") - lead, F.lit(size)).cast("int")  # lines of a record that goes on
+    leads = parts.where(lead > 0).select("file", F.floor(F.col("base") / size).alias("record"), (F.col("base") % size).alias("first"), F.slice("head", F.lit(1), lead).alias("lines"))
+    overs = parts.where(over > 0).select("file", F.floor((F.col("base") + F.col("n")) / size).alias("record"), F.lit(0).alias("first"), F.slice("tail", -over, over).alias("lines"))
+    ordered = F.array_sort(F.collect_list(F.struct("first", "lines")))
+    shared = leads.unionByName(overs).groupBy("file", "record").agg(F.flatten(F.transform(ordered, lambda x: x["lines"])).alias("lines"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, left = None, 0, []
+        for batch in batches:
+            for key, texts, base in _runs(batch, "base"):
+                if key != part:
+                    part, at, left = key, base, []
+                # the rest of a record that began in this part's batch before, or in the part before this one
+                head = min((-at) % size, len(texts))
+                left += texts[:head].to_pylist()
+                at += head
+                if head and at % size == 0:
+                    if len(left) == size:
+                        yield _record_batch(key[0], at // size - 1, pa.array(left, pa.string()), size)
+                    left = []
+                count = (len(texts) - head) // size
+                if count:
+                    yield _record_batch(key[0], at // size, texts[head : head + count * size], size)
+                left += texts[head + count * size :].to_pylist()
+                at += len(texts) - head
+
+    if parts.limit(SENT_PARTS + 1).count() <= SENT_PARTS:
+        parts = F.broadcast(parts.select("file", "block", "base"))
+        return lines.join(parts, ["file", "block"]).select("file", "block", "base", "text").mapInArrow(whole, "file string, record long, lines array<string>").unionByName(shared)
+    numbered = numbered_lines(spark, path)
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    return numbered.groupBy("file", F.floor(F.col("line_no") / size).alias("record")).agg(F.transform(ordered, lambda x: x["text"]).alias("lines"))
+
+
+def _runs(batch: pa.RecordBatch, *more: str) -> Iterator[tuple]:
+    """The lines of each part of a file in a batch: (file, block), lines, and the first of ``more``."""
+    files, blocks = batch.column("file").to_numpy(zero_copy_only=False), batch.column("block").to_numpy()
+    edges = [0, *(np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), len(files)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        if a < b:
+            yield (files[a], int(blocks[a])), batch.column("text")[a:b], *(batch.column(c)[a].as_py() for c in more)
+
+
+def _ends_batch(part: tuple, n: int, head: list, tail: list) -> pa.RecordBatch:
+    strings = pa.list_(pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([part[0]]), pa.array([part[1]]), pa.array([n]), pa.array([head], strings), pa.array([tail], strings)], ["file", "block", "n", "head", "tail"])
+
+
+def _record_batch(file: str, first: int, lines: pa.Array, size: int) -> pa.RecordBatch:
+    n = len(lines) // size
+    return pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array(first + np.arange(n)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), lines)], ["file", "record", "lines"])
+
+
 def read_fastq(spark: SparkSession, path: str | list[str], mate: int = 0, keep_file: bool = False) -> tuple[DataFrame, DataFrame]:
     """(reads, malformed) of four-line FASTQ files.
 
     reads: ``sample, read_id, name, mate, seq, qual, q``. Records are lines 4k..4k+3 of a file (quality lines may
     begin with @, so lines are counted, never searched for). A record with a wrong shape goes to ``malformed``.
     """
-    lines = numbered_lines(spark, path).withColumn("record", F.floor(F.col("line_no") / 4)).withColumn("_k", F.col("line_no") % 4)
-    rows = lines.groupBy("file", "record").agg(*[F.max(F.when(F.col("_k") == k, F.col("text"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
+    rows = records(spark, path).select("file", "record", *[F.get("lines", F.lit(k)).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
     good = F.coalesce(F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual")) & (F.length("seq") > 0), F.lit(False))
     reads = rows.where(good).select(
         *(["file"] if keep_file else []), _sample(F.col("file")).alias("sample"), F.col("record").cast("long").alias("read_id"),

@@ -182,3 +182,39 @@ def test_boundaries_group_reads(spark):
     reads = spark.createDataFrame([("A", 5), ("A", 10), ("A", 1), ("A", 99), ("B", 7)], "locus string, pos int")
     marks = spark.createDataFrame([("A", 2, "x"), ("A", 10, "y"), ("A", 10, "z")], "locus string, pos int, region string")
     assert sorted(tuple(r) for r in group_by_boundary(reads, marks).collect()) == [("A", 5, "x"), ("A", 10, "z"), ("A", 99, "z")]
+
+
+@pytest.mark.parametrize("suffix", ["", ".gz"])
+def test_records_are_cut_where_files_are_split(spark, tmp_path, suffix):
+    import gzip
+
+    expected = set()
+    for f, n in enumerate((400, 1, 37)):
+        text = ""
+        for i in range(n):
+            seq = "ACGTN" * (1 + (i * 7 + f) % 9)
+            qual = ("@" + "+I5@" * 40)[: len(seq)]
+            text += f"@f{f}r{i}/1 x\n{seq}\n+\n{qual}\n"
+            expected.add((f"s{f}", i, f"f{f}r{i}", seq, qual))
+        raw = text.encode() if f else text.encode()[:-1]  # no line end behind the last line
+        (tmp_path / f"s{f}_1.fastq{suffix}").write_bytes(gzip.compress(raw) if suffix else raw)
+    (tmp_path / f"t_1.fastq{suffix}").write_bytes(gzip.compress(b"@cut\nACGT\n") if suffix else b"@cut\nACGT\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "701b")
+    try:
+        reads, bad = R.read_fastq(spark, str(tmp_path))
+        got = {(r["sample"], r["read_id"], r["name"], r["seq"], r["qual"]) for r in reads.collect()}
+        assert got == expected and [(r["record"], r["head"], r["seq"], r["qual"]) for r in bad.collect()] == [(0, "@cut", "ACGT", None)]
+        placed = R.read_fastq_all(spark, str(tmp_path)).orderBy("place").collect()
+        assert [(r["sample"], r["read_id"], r["place"]) for r in placed] == [(s, i, p) for p, (s, i, *_) in enumerate(sorted(expected))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_reads_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.fastq").write_text("@r\nAC\n+\nII\n")
+    reads, _ = R.read_fastq(spark, str(tmp_path / "a.fastq"))
+    plan = reads._jdf.queryExecution().executedPlan().toString()
+    # the one scan of the lines lies below no exchange; others read the table of parts
+    scan = plan.index("FileScan text")
+    assert plan.count("FileScan text") == 1 and "Exchange" not in plan[:scan].replace("BroadcastExchange", "").split("Union")[1]
