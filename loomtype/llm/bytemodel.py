@@ -30,10 +30,10 @@ from .textbytes import slices
 from .wordcache import mixed, span_hashes
 
 ORDER, APART = 6, 2
-CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 24 << 20, 16 << 20
 END = 0x0A  # white space, so no word holds it
 BYTES = 256
-_PIECE, _ENTRIES = 2 << 20, 3_000_000
+_PIECE, _ENTRIES = 2 << 20, 2_000_000
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -91,11 +91,20 @@ def _first(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _summed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of sorted lists, and their counts added."""
+    if len(pairs) == 1:
+        return pairs[0]
     keys = np.concatenate([k for k, _ in pairs])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable").astype(np.int32)  # merges the lists; they have less than 2^31 keys together
     keys, counts = keys[order], np.concatenate([c for _, c in pairs])[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    del order
+    return _grouped(keys, counts)
+
+
+def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return keys[first], np.add.reduceat(counts, np.flatnonzero(first))
 
 
 class Chunk:
@@ -127,12 +136,17 @@ class Chunk:
     def rows(self, buckets: int) -> Iterator[dict[str, list]]:
         """A row for each bucket: packed grams or words, and their counts."""
         code, counts = _summed(self.grams)
-        keys, n = _summed([(code >> 1, np.where(code & 1, 0, counts))])
+        self.grams = []
+        counts[code & 1 == 1] = 0
+        keys, n = _grouped(code >> 1, counts)
+        del code, counts
         order, edges = _by_bucket(bucket_of(keys >> 8 & ((1 << 8 * (self.order - APART)) - 1), buckets), buckets)
         full = np.flatnonzero(np.diff(edges))
         keys, n = keys[order], n[order]
+        del order
         yield {"bucket": full, "word": False, "keys": [packed(np.diff(keys[edges[b] : edges[b + 1]], prepend=0)) for b in full],
                "n": [packed(n[edges[b] : edges[b + 1]]) for b in full]}
+        del keys, n
         codes, some = pd.factorize(np.concatenate([w[0] for w in self.words]))
         n = np.bincount(codes, weights=np.concatenate([w[1] for w in self.words]), minlength=len(some)).astype(np.int64)
         order, edges = _by_bucket(bucket_of(some, buckets), buckets)
@@ -214,7 +228,7 @@ def gathered(docs: DataFrame, held_out, order: int, chunk_bytes: int, total: int
                 yield _batch(_GATHERED, len(columns["bucket"]), columns | {"chunk": number})
 
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text", 4 << 20):
+            for rows, data, offsets in slices(batch, "text", 2 << 20):
                 held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
                 data, offsets = normalised(data, offsets)
                 chunk.add(data, offsets, held)
