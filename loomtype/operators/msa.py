@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import SUPPORTED_LOCI
-from ..functions.values import letters
+from ..functions.values import alteration_text, letters
 
 GROUP = ["locus", "source"]
 
@@ -266,6 +266,13 @@ def impute_missing(resolved: DataFrame, distances: DataFrame) -> tuple[DataFrame
     return rows.drop("donor", "distance", "_dc", "_ds"), alterations
 
 
+def alteration_texts(alterations: DataFrame, why: str = "imputed") -> DataFrame:
+    """``locus, allele, text``: what ``impute_missing`` took from each donor, in one text."""
+    segments = F.array_sort(F.collect_list(F.struct("start", "end", "full", F.col("region_ix").cast("string").alias("region"))))
+    rows = alterations.groupBy("locus", "allele", "donor", "distance").agg(segments.alias("s"))
+    return rows.select("locus", "allele", alteration_text(F.col("donor"), F.lit(why), F.col("distance"), F.col("s")).alias("text"))
+
+
 def match_gen_nuc(gen: DataFrame, nuc: DataFrame) -> DataFrame:
     """``locus, allele, found``: both, gen or nuc."""
     a = gen.select("locus", "allele", F.lit(True).alias("_g")).distinct()

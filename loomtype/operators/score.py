@@ -327,10 +327,12 @@ def type_reads(reads: DataFrame, emissions: DataFrame, n_columns: int, report: i
     vectors = saved(score_vectors(reads, genes, prealigned, multi_locus, allowed_mismatches))
     pairs = saved(pair_sums(vectors, genes.ids))
     top = pairs if report is None or least is not None else rank_pairs(pairs, report)
-    coverage = saved(coverage_likelihood(vector_emissions(vectors, top, genes.ids), n_columns))
+    emissions = saved(vector_emissions(vectors, top, genes.ids))
+    coverage = saved(coverage_likelihood(emissions, n_columns))
     posterior = pair_posterior(pairs.select(*of, "locus", "i", "j", "z"), coverage)
     if least is not None:
         posterior = top_pairs(posterior, least=least)
     alleles = pairs.where("i = j").select(*of, "locus", F.col("i").alias("allele_id"), F.col("z").alias("llhd"), "reads")
     members = posterior.select(*of, "locus", F.explode(F.array("i", "j")).alias("allele_id")).distinct()
-    return {"alleles": alleles, "pairs": pairs, "posterior": posterior, "assignment": assign_reads(scores_of(vectors, members, genes.ids), posterior)}
+    kept = emissions.join(posterior.select(*of, "locus", "i", "j"), [*of, "locus", "i", "j"], "left_semi")
+    return {"alleles": alleles, "pairs": pairs, "posterior": posterior, "emissions": kept, "assignment": assign_reads(scores_of(vectors, members, genes.ids), posterior)}

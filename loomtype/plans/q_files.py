@@ -139,8 +139,15 @@ _ALLELES = "SELECT concat('s', l_orderkey % 20) AS sample, CASE WHEN l_suppkey %
 _ASSIGNED = "SELECT concat('s', l_orderkey % 20) AS sample, concat('r', l_orderkey) AS name, min(CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE 'B' END) AS locus, min(concat('x', l_suppkey)) AS allele FROM lineitem GROUP BY 1, 2"
 
 
+# Where the reads of each side of a pair lie, and what was imputed in every third allele.
+_EMIT = "SELECT concat('s', l_orderkey % 20) AS sample, CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS locus, concat('x', l_suppkey) AS allele1, concat('y', l_linenumber) AS allele2, CAST(1 + l_partkey % 2 AS INT) AS side, l_orderkey % 7 AS pos, count(*) AS weight FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6"
+_ALTERED = "SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS locus, concat('x', l_suppkey) AS allele, concat('x', l_suppkey % 5) AS donor, l_suppkey % 7 / 8.0 AS distance, CAST(l_suppkey % 4 AS INT) AS region_ix, CAST(l_suppkey AS INT) AS start, CAST(l_suppkey + 9 AS INT) AS stop FROM lineitem WHERE l_suppkey % 3 = 0"
+
+
 def _results(spark, sf):
-    return [derive(spark, sf, text(q, "lineitem"), "lineitem") for q in (_POST, _ALLELES, _ASSIGNED)]
+    post, alleles, assigned, emissions, altered = (derive(spark, sf, text(q, "lineitem"), "lineitem") for q in (_POST, _ALLELES, _ASSIGNED, _EMIT, _ALTERED))
+    texts = M.alteration_texts(altered.withColumnRenamed("stop", "end").withColumn("distance", F.col("distance").cast("double")).withColumn("full", F.col("region_ix") == 2))
+    return K.with_emissions(post, emissions), K.with_alterations(alleles, texts), assigned
 
 
 def _reloaded(spark, sf):
@@ -155,25 +162,32 @@ def src9(spark, sf):
     return rows.groupBy("sample", "header", "r.locus", "r.allele").agg(F.count("*").alias("reads"))
 
 
-@query("snk2_write_typing_json", f"SELECT sample, locus, allele1, allele2, z, c, round(prob, 6) AS prob, place FROM (SELECT *, row_number() OVER (PARTITION BY sample, locus ORDER BY prob DESC, allele1, allele2) - 1 AS place FROM ({_POST}))")
+@query("snk2_write_typing_json", f"WITH e AS ({_EMIT}) SELECT sample, locus, allele1, allele2, z, c, round(prob, 6) AS prob, place, (SELECT CAST(coalesce(sum(pos * weight), 0) AS BIGINT) FROM e WHERE e.sample = p.sample AND e.locus = p.locus AND e.allele1 = p.allele1 AND e.allele2 = p.allele2 AND side = 2) AS second FROM (SELECT *, row_number() OVER (PARTITION BY sample, locus ORDER BY prob DESC, allele1, allele2) - 1 AS place FROM ({_POST})) p")
 def snk2(spark, sf):
     loci = _reloaded(spark, sf).select("sample", F.explode("per_loci").alias("l"))
     rows = loci.select("sample", F.col("l.locus").alias("locus"), F.posexplode("l.zygosity").alias("place", "p"))
-    return rows.select("sample", "locus", "p.allele1", "p.allele2", "p.z", "p.c", F.round("p.prob", 6).alias("prob"), F.col("place").cast("long").alias("place"))
+    return rows.select("sample", "locus", "p.allele1", "p.allele2", "p.z", "p.c", F.round("p.prob", 6).alias("prob"), F.col("place").cast("long").alias("place"),
+                       F.expr("aggregate(p.read2_emissions, 0L, (n, e) -> n + e.pos * e.weight)").alias("second"))
 
 
 _TSV = "printf('%.6f', {0})"
 
 
-@query("snk1_write_typing_tsv", f"""SELECT sample, locus, CAST(row_number() OVER (PARTITION BY sample, locus ORDER BY prob DESC, allele1, allele2) AS VARCHAR) AS rank, allele1, allele2,
-{_TSV.format('z')} AS z, {_TSV.format('c')} AS c, {_TSV.format('prob')} AS prob FROM ({_POST})""")
+_SIDE = "(SELECT {0} FROM e WHERE e.sample = p.sample AND e.locus = p.locus AND e.allele1 = p.allele1 AND e.allele2 = p.allele2 AND side = {1})"
+_READS_OF, _PLACES = "printf('%.1f', coalesce(sum(weight), 0) / 2)", "concat('[', coalesce(string_agg(printf('%d,%.6f', pos, weight / 2), ';' ORDER BY pos), ''), ']')"
+
+
+@query("snk1_write_typing_tsv", f"""WITH e AS ({_EMIT}), p AS ({_POST}) SELECT sample, locus, CAST(row_number() OVER (PARTITION BY sample, locus ORDER BY prob DESC, allele1, allele2) AS VARCHAR) AS rank, allele1, allele2,
+{_TSV.format('z')} AS z, {_TSV.format('c')} AS c, {_TSV.format('prob')} AS prob, {_SIDE.format(_READS_OF, 1)} AS reads1, {_SIDE.format(_READS_OF, 2)} AS reads2, {_SIDE.format(_PLACES, 1)} AS e1, {_SIDE.format(_PLACES, 2)} AS e2 FROM p""")
 def snk1(spark, sf):
     path = new_path(spark, "tsv")
     K.write_typing_tsv(*_results(spark, sf), path)
     return K.read_typing_tsv(spark, path, "zygosity")
 
 
-@query("snk3_json_to_tsv", f"SELECT sample, locus, allele, {_TSV.format('llhd')} AS llhd FROM ({_ALLELES})")
+@query("snk3_json_to_tsv", f"""WITH t AS ({_ALTERED}) SELECT a.sample, a.locus, a.allele, {_TSV.format('llhd')} AS llhd,
+CASE WHEN t.allele IS NOT NULL THEN printf('%s imputed (d: %.6f) positions: [[%s:%s:%d,%d)]', donor, CAST(distance AS DOUBLE), CAST(region_ix AS VARCHAR), CASE WHEN region_ix = 2 THEN 'full' ELSE 'partial' END, start, stop) END AS imputation
+FROM ({_ALLELES}) a LEFT JOIN t ON a.locus = t.locus AND a.allele = t.allele""")
 def snk3(spark, sf):
     path = new_path(spark, "tsv")
     K.json_to_tsv(_reloaded(spark, sf), path)

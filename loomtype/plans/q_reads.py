@@ -80,6 +80,19 @@ def st3(spark, sf):
     return ST.run_available(ST.stream_accumulate(_stream(spark, sf)))
 
 
+# Pairs of alleles next to each other, with likelihoods in whole hundred-thousandths.
+_PAIRED = "SELECT event_type AS locus, user_id % 20 AS i, user_id % 20 + event_id % 3 AS j, CAST(round(value * 100) AS BIGINT) AS llhd FROM events"
+
+
+@query("st3_stream_posterior", f"""WITH z AS (SELECT locus, i, j, sum(llhd) / 100000.0 AS z FROM ({_PAIRED}) GROUP BY locus, i, j), m AS (SELECT *, pow(10.0, z - max(z) OVER (PARTITION BY locus)) AS p FROM z)
+SELECT locus, i, j, round(z, 5) AS z, round(p / sum(p) OVER (PARTITION BY locus), 6) AS prob FROM m""")
+def st3b(spark, sf):
+    rows = _stream(spark, sf)
+    # as the table above, of a stream's columns; user_id is there whole
+    pairs = rows.select("locus", (F.col("user_id") % 20).alias("i"), (F.col("user_id") % 20 + F.col("event_id") % 3).alias("j"), (F.col("llhd") / 100000).alias("llhd"))
+    return ST.stream_posterior(pairs).select("locus", "i", "j", F.round("z", 5).alias("z"), F.round("prob", 6).alias("prob"))
+
+
 # Singles leave when the watermark, ten minutes behind the slower side, has passed them by ten minutes more.
 @query("st2_stream_pair_mates", """WITH e AS (SELECT event_id // 2 AS key, ts, CAST(round(value * 100) AS BIGINT) AS v, event_id % 2 AS side FROM events),
 w AS (SELECT least(max(ts) FILTER (side = 0), max(ts) FILTER (side = 1)) - INTERVAL 20 MINUTE AS past FROM e),

@@ -203,9 +203,10 @@ def read_from_pair(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.where(F.col("key") == name).withColumn("q1", phred(F.col("r1.qual"))).withColumn("q2", phred(F.col("r2.qual")))
 
 
+_EMISSIONS = "array<struct<pos: long, weight: long>>"
 RESULT = (
-    "header string, per_loci array<struct<locus: string, zygosity: array<struct<allele1: string, allele2: string, z: double, c: double, prob: double>>, "
-    "per_allele: array<struct<allele: string, llhd: double>>>>, per_reads array<struct<name: string, locus: string, allele: string>>")
+    f"header string, per_loci array<struct<locus: string, zygosity: array<struct<allele1: string, allele2: string, z: double, c: double, prob: double, read1_emissions: {_EMISSIONS}, "
+    f"read2_emissions: {_EMISSIONS}>>, per_allele: array<struct<allele: string, llhd: double, alters: array<string>>>>>, per_reads array<struct<name: string, locus: string, allele: string>>")
 
 
 def read_typing_json(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -27,49 +27,122 @@ def write_fastq_subset(reads: DataFrame, wanted: DataFrame, path: str) -> None:
     ordered.select("mate", record.alias("value")).write.partitionBy("mate").text(path)
 
 
-def typing_document(posterior: DataFrame, alleles: DataFrame, reads: DataFrame, header: str) -> DataFrame:
-    """One nested row a sample: header, per gene its pairs and alleles from best to worst, and the reads' alleles.
+_PAIR = ["locus", "allele1", "allele2"]
+_EMISSIONS = "array<struct<pos: bigint, weight: bigint>>"
 
-    The tables have a column ``sample``; a document holds one sample, so its size is a sample's. Where reads are many,
-    ``write_typing_tsv`` keeps them as a table.
+
+def _of(rows: DataFrame) -> list[str]:
+    return ["sample"] if "sample" in rows.columns else []
+
+
+def with_emissions(posterior: DataFrame, emissions: DataFrame) -> DataFrame:
+    """The posterior's pairs with what each side's reads gave them: ``emissions1`` and ``emissions2``, by position.
+
+    ``emissions`` has ``[sample,] locus, allele1, allele2, side, pos, weight``; weights count half reads.
     """
-    pair = F.struct((-F.col("prob")).alias("_o"), "allele1", "allele2", "z", "c", "prob")
-    one = F.struct((-F.col("llhd")).alias("_o"), "allele", "llhd")
+    key = [*_of(posterior), *_PAIR]
+    side = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct(F.col("pos").cast("long").alias("pos"), F.col("weight").cast("long").alias("weight")))))
+    both = emissions.groupBy(*key).agg(side(1).alias("emissions1"), side(2).alias("emissions2"))
+    none = F.array().cast(_EMISSIONS)
+    return posterior.join(both, key, "left").withColumns({c: F.coalesce(c, none) for c in ("emissions1", "emissions2")})
+
+
+def with_alterations(alleles: DataFrame, alterations: DataFrame) -> DataFrame:
+    """Alleles with the texts of what was done to their sequences (``locus, allele, text``): ``alters``."""
+    texts = alterations.groupBy("locus", "allele").agg(F.array_sort(F.collect_list("text")).alias("alters"))
+    return alleles.join(texts, ["locus", "allele"], "left").withColumn("alters", F.coalesce("alters", F.array().cast("array<string>")))
+
+
+def full_report(typed: dict[str, DataFrame], names: DataFrame, read_names: DataFrame | None = None, alterations: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(posterior, alleles, reads) for the writers below, of what ``type_reads`` gives.
+
+    ``names``: ``locus, allele_id, allele``; ``read_names``: ``[sample,] read_id, name``, else reads are called by number.
+    """
+    of = _of(typed["posterior"])
+    name = lambda old, new: names.select("locus", F.col("allele_id").alias(old), F.col("allele").alias(new))
+    named = lambda rows: rows.join(name("i", "allele1"), ["locus", "i"]).join(name("j", "allele2"), ["locus", "j"]).drop("i", "j")
+    posterior = with_emissions(named(typed["posterior"]), named(typed["emissions"]))
+    alleles = typed["alleles"].join(name("allele_id", "allele"), ["locus", "allele_id"]).select(*of, "locus", "allele", "llhd")
+    if alterations is not None:
+        alleles = with_alterations(alleles, alterations)
+    reads = typed["assignment"].join(name("allele_id", "allele"), ["locus", "allele_id"])
+    if read_names is None:
+        reads = reads.withColumn("name", F.col("read_id").cast("string"))
+    else:
+        reads = reads.join(read_names.select(*of, "read_id", "name"), [*of, "read_id"])
+    return posterior, alleles, reads.select(*of, "name", "locus", "allele")
+
+
+def _complete(posterior: DataFrame, alleles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """With empty lists where a table has no emissions or alterations."""
+    for c in ("emissions1", "emissions2"):
+        if c not in posterior.columns:
+            posterior = posterior.withColumn(c, F.array().cast(_EMISSIONS))
+    return posterior, alleles if "alters" in alleles.columns else alleles.withColumn("alters", F.array().cast("array<string>"))
+
+
+def typing_document(posterior: DataFrame, alleles: DataFrame, reads: DataFrame, header: str, reads_per_row: int = 100_000) -> DataFrame:
+    """Nested results of each sample: ``sample, part, header, per_loci, per_reads``.
+
+    Part 0 has the genes' pairs with both sides' emissions, and their alleles with alterations, from best to worst. The
+    reads' alleles are dealt to as many parts as keep about ``reads_per_row`` in one, so no row holds all of a sample.
+    """
+    posterior, alleles = _complete(posterior, alleles)
+    pair = F.struct((-F.col("prob")).alias("_o"), "allele1", "allele2", "z", "c", "prob", F.col("emissions1").alias("read1_emissions"), F.col("emissions2").alias("read2_emissions"))
+    one = F.struct((-F.col("llhd")).alias("_o"), "allele", "llhd", "alters")
     drop = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x.dropFields("_o"))
     key = ["sample", "locus"]
     loci = posterior.groupBy(*key).agg(drop(pair).alias("zygosity")).join(alleles.groupBy(*key).agg(drop(one).alias("per_allele")), key, "full_outer")
-    per_loci = loci.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("locus", "zygosity", "per_allele"))).alias("per_loci"))
-    per_reads = reads.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("name", "locus", "allele"))).alias("per_reads"))
-    return per_loci.join(per_reads, "sample", "full_outer").select("sample", F.lit(header).alias("header"), "per_loci", "per_reads")
+    per_loci = loci.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("locus", "zygosity", "per_allele"))).alias("per_loci")).withColumn("part", F.lit(0))
+    counts = reads.groupBy("sample").agg(F.ceil(F.count("*") / reads_per_row).alias("_parts"))
+    dealt = reads.join(counts, "sample").withColumn("part", F.pmod(F.xxhash64("name"), "_parts").cast("int"))
+    per_reads = dealt.groupBy("sample", "part").agg(F.array_sort(F.collect_list(F.struct("name", "locus", "allele"))).alias("per_reads"))
+    return per_loci.join(per_reads, ["sample", "part"], "full_outer").select("sample", "part", F.lit(header).alias("header"), "per_loci", "per_reads")
 
 
 def write_typing_json(documents: DataFrame, path: str) -> None:
-    """A folder ``sample=...`` with one file for each sample's document."""
-    documents.repartition("sample").write.partitionBy("sample").json(path)
+    """A folder ``sample=...`` with a file for each part of a sample's document."""
+    documents.repartition("sample", "part").write.partitionBy("sample", "part").json(path)
+
 
+def _emission_text(emissions: str):
+    """``[position,reads;...]``, as reads count half for each side."""
+    return F.concat(F.lit("["), F.array_join(F.transform(emissions, lambda e: F.format_string("%d,%.6f", e["pos"], e["weight"] / 2)), ";"), F.lit("]"))
 
-def write_typing_tsv(posterior: DataFrame, alleles: DataFrame, reads: DataFrame, path: str) -> None:
-    """Three tables, tab separated: zygosity, likelihood and per_read; a column ``sample`` comes first where there is one."""
-    of = ["sample"] if "sample" in posterior.columns else []
+
+def write_typing_tsv(posterior: DataFrame, alleles: DataFrame, reads: DataFrame, path: str, header: str | None = None) -> None:
+    """Three tables, tab separated: zygosity, likelihood and per_read; a column ``sample`` comes first where there is one.
+
+    A pair has both likelihoods, its probability, the number of reads of each side and where they lie (``e1``, ``e2``); an
+    allele has what was imputed. ``header``: lines about the run, written beside them.
+    """
+    posterior, alleles = _complete(posterior, alleles)
+    of = _of(posterior)
     order = Window.partitionBy(*of, "locus").orderBy(F.desc("prob"), "allele1", "allele2")
+    reads_of = lambda c: F.format_string("%.1f", F.aggregate(c, F.lit(0).cast("long"), lambda n, e: n + e["weight"]) / 2)
     zygosity = posterior.withColumn("rank", F.row_number().over(order)).select(
-        *of, "locus", "rank", "allele1", "allele2", F.format_string("%.6f", "z").alias("z"), F.format_string("%.6f", "c").alias("c"), F.format_string("%.6f", "prob").alias("prob"))
-    likelihood = alleles.orderBy(*of, "locus", F.desc("llhd"), "allele").select(*of, "locus", "allele", F.format_string("%.6f", "llhd").alias("llhd"))
+        *of, "locus", "rank", "allele1", "allele2", F.format_string("%.6f", "z").alias("z"), F.format_string("%.6f", "c").alias("c"), F.format_string("%.6f", "prob").alias("prob"),
+        reads_of("emissions1").alias("reads1"), reads_of("emissions2").alias("reads2"), _emission_text("emissions1").alias("e1"), _emission_text("emissions2").alias("e2"))
+    likelihood = alleles.orderBy(*of, "locus", F.desc("llhd"), "allele").select(*of, "locus", "allele", F.format_string("%.6f", "llhd").alias("llhd"), F.array_join("alters", ";").alias("imputation"))
     for name, table in (("zygosity", zygosity), ("likelihood", likelihood), ("per_read", reads.select(*of, "name", "locus", "allele"))):
-        table.write.option("sep", "\t").option("header", True).csv(f"{path}/{name}")
+        table.write.option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(f"{path}/{name}")
+    if header is not None:
+        posterior.sparkSession.createDataFrame([(line,) for line in header.split("\n")], "value string").coalesce(1).write.text(f"{path}/header")
 
 
 def read_typing_tsv(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One of the three tables that ``write_typing_tsv`` wrote, as texts."""
-    return spark.read.option("sep", "\t").option("header", True).csv(f"{path}/{name}")
+    return spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(f"{path}/{name}")
 
 
 def json_to_tsv(documents: DataFrame, path: str) -> None:
-    """Flatten reloaded results (``read_typing_json``) into the three tables."""
+    """Flatten reloaded results (``read_typing_json``) into the three tables, and their header."""
     loci = documents.select("sample", F.explode("per_loci").alias("l"))
     zygosity = loci.select("sample", F.col("l.locus").alias("locus"), F.explode("l.zygosity").alias("z")).select("sample", "locus", "z.*")
+    zygosity = zygosity.withColumnsRenamed({"read1_emissions": "emissions1", "read2_emissions": "emissions2"})
     alleles = loci.select("sample", F.col("l.locus").alias("locus"), F.explode("l.per_allele").alias("a")).select("sample", "locus", "a.*")
-    write_typing_tsv(zygosity, alleles, documents.select("sample", F.explode("per_reads").alias("r")).select("sample", "r.*"), path)
+    first = documents.select("header").first()
+    write_typing_tsv(zygosity, alleles, documents.select("sample", F.explode("per_reads").alias("r")).select("sample", "r.*"), path, first["header"] if first else None)
 
 
 def materialize_reference(spark: SparkSession, path: str, align_date: str | None, build: Callable[[], DataFrame]) -> DataFrame:

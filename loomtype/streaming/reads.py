@@ -5,11 +5,13 @@ A stream has no end, so a watermark stands for it: a mate that did not come with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.pairs import coverage_likelihood, pair_posterior
+from ..operators.pairs import pair_posterior
 from ..sources.shared import discard, new_path, saved
 
 
@@ -36,14 +38,16 @@ def stream_pairs(pair_scores: DataFrame) -> DataFrame:
     return pair_scores.groupBy("locus", "i", "j").agg(F.sum("llhd").alias("z"), F.count("*").alias("reads"))
 
 
-def posterior_sink(results: dict[str, DataFrame], emissions: DataFrame | None = None, columns: int = 1):
-    """A ``foreachBatch`` function that turns the running pair sums into the posterior."""
+def stream_posterior(pair_scores: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """The posterior of the running pair sums of a stream, after all that is there, as a table in the shared folder.
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        coverage = None if emissions is None else coverage_likelihood(emissions, columns)
-        results["posterior"] = pair_posterior(batch.select("locus", "i", "j", "z"), coverage)
+    ``pair_scores`` has ``locus, i, j, llhd`` a read; each batch writes the posterior of the sums so far as an epoch of
+    its own, so what is read is whole whenever the query stops. ``coverage`` (locus, i, j, c) is added where it is given.
+    """
+    def posterior(sums: DataFrame) -> DataFrame:
+        return pair_posterior(sums.select("locus", "i", "j", "z"), coverage)
 
-    return write
+    return run_available(stream_pairs(pair_scores), "complete", posterior)
 
 
 class StopAfter:
@@ -86,22 +90,28 @@ def read_lengths(reads: DataFrame) -> DataFrame:
     return reads.groupBy(F.length("seq").alias("read_length")).count()
 
 
-def run_available(source: DataFrame, mode: str = "complete") -> DataFrame:
-    """Process all that is there into a table in the shared folder: of complete results the last, of others all."""
+def run_available(source: DataFrame, mode: str = "complete", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Process all that is there into a table in the shared folder: of complete results the last, of others all.
+
+    ``then`` is applied to each batch before it is written.
+    """
     spark = source.sparkSession
-    path, epochs = new_path(spark, "stream"), []
+    path, epochs, schema = new_path(spark, "stream"), [], source.schema
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        nonlocal schema
+        made = batch if then is None else then(batch)
+        made.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        schema = made.schema
         epochs.append(epoch)
 
     query = source.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     if not epochs:
-        return spark.createDataFrame([], source.schema)
+        return spark.createDataFrame([], schema)
     if mode == "complete":
-        return spark.read.schema(source.schema).parquet(f"{path}/epoch={max(epochs)}")
-    return spark.read.schema(source.schema).parquet(*[f"{path}/epoch={e}" for e in sorted(set(epochs))])
+        return spark.read.schema(schema).parquet(f"{path}/epoch={max(epochs)}")
+    return spark.read.schema(schema).parquet(*[f"{path}/epoch={e}" for e in sorted(set(epochs))])
 
 
 def run_until(source: DataFrame, n: int | None = None, names: set[str] | None = None) -> DataFrame:

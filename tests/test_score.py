@@ -163,3 +163,31 @@ def test_mates_take_opposite_strands_together(spark):
     reads = spark.createDataFrame(rows, "read_id long, mate int, seq string, q array<int>")
     got = {(r["read_id"], r["mate"]): r["rc"] for r in S.viterbi_align(S.oriented(reads), 1, allele, 80).collect()}
     assert got == {(1, 1): True, (1, 2): False, (2, 1): False, (2, 2): True}
+
+
+def test_a_typed_sample_goes_through_both_reports(spark, tmp_path):
+    from loomtype.sources import reads as R
+    from loomtype.sources import sinks as W
+
+    alleles = [(i, "A", a) for i, a in enumerate(related(5, 60, 2))]
+    seqs = [alleles[k % 3][2][k : k + 25] for k in range(20)]
+    typed = S.type_reads(reads_of(spark, seqs, sample="s1"), emissions_of(spark, alleles), 60, 4)
+    names = spark.createDataFrame([("A", i, f"A*0{i}") for i in range(5)], "locus string, allele_id long, allele string")
+    altered = spark.createDataFrame([("A", "A*01", "A*00 imputed (d: 0.5) positions: [[2:full:1,9)]")], "locus string, allele string, text string")
+    report = W.full_report(typed, names, alterations=altered)
+    documents = W.typing_document(*report, "loomtype\nrun 1", reads_per_row=6)
+    assert documents.count() > 1 and documents.where("size(per_reads) > 15").count() == 0
+    W.write_typing_json(documents, str(tmp_path / "j"))
+    reloaded = R.read_typing_json(spark, str(tmp_path / "j"))
+    W.write_typing_tsv(*report, str(tmp_path / "a"), "loomtype\nrun 1")
+    W.json_to_tsv(reloaded, str(tmp_path / "b"))
+    for table in ("zygosity", "likelihood", "per_read"):
+        one, two = (sorted(tuple(r) for r in W.read_typing_tsv(spark, str(tmp_path / x), table).collect()) if table != "likelihood" else
+                    sorted((r["allele"], r["llhd"], r["imputation"] or "") for r in W.read_typing_tsv(spark, str(tmp_path / x), table).collect()) for x in "ab")
+        assert one == two and one
+    pair = W.read_typing_tsv(spark, str(tmp_path / "b"), "zygosity").orderBy("rank").first()
+    assert float(pair["reads1"]) + float(pair["reads2"]) == 20 and pair["e1"].startswith("[") and "," in pair["e1"]
+    weights = [float(x.split(",")[1]) for side in ("e1", "e2") for x in pair[side].strip("[]").split(";") if x]
+    assert sum(weights) == 20
+    assert {r["imputation"] for r in W.read_typing_tsv(spark, str(tmp_path / "b"), "likelihood").where("allele = 'A*01'").collect()} == {"A*00 imputed (d: 0.5) positions: [[2:full:1,9)]"}
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "b/header")).collect()] == ["loomtype", "run 1"]
