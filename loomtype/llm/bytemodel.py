@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, small_batches
+from .common import discard, give_back, saved, small_batches
 from .textbytes import slices
 from .wordcache import mixed, span_hashes
 
@@ -232,12 +232,16 @@ def gathered(docs: DataFrame, held_out, order: int, chunk_bytes: int, total: int
                 held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
                 data, offsets = normalised(data, offsets)
                 chunk.add(data, offsets, held)
+                give_back()
                 yield _batch(_GATHERED, 1, {"chunk": number, "block": [_packed(rows.column("doc_id"), held, data, offsets)]})
                 if chunk.size >= chunk_bytes:
                     yield from lists()
                     number, chunk = number + 1, Chunk(order)
+                    give_back()
         if chunk.grams:
             yield from lists()
+        del chunk
+        give_back()
 
     spark = docs.sparkSession
     small_batches(spark)
@@ -458,6 +462,8 @@ def language_scores(docs: DataFrame, held_out, order: int = ORDER, chunk_bytes:
                 sums[3, a:b] = np.bincount(at, weights=np.log10(c + 0.1), minlength=b - a)
             out.append(pa.table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": sums[1].astype(np.int64),
                                  "n_known": sums[2].astype(np.int64), "base": sums[3], "score": sums[0]}))
+        del keys, logp, table, counts
+        give_back()
         return pa.concat_tables(out)
 
     blocks = rows.where("block IS NOT NULL").select(F.col("chunk").alias("own"), "block")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,11 @@ def lanes(n_rows: int, per_lane: int = 20_000) -> int:
 def spread(*cols: Column | str, lanes: int) -> Column:
     """A lane from 0 to ``lanes`` - 1 that depends on the values alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(lanes)).cast("int")
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system, where the C library can; Python workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
