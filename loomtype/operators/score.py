@@ -268,28 +268,38 @@ def _best_gene(frame: pd.DataFrame, genes: Genes, prealigned: bool, multi_locus:
     flat = pd.DataFrame([(i, m["mate"], bool(rc), s, q) for i, mates in enumerate(frame["mates"]) for m in mates
                          for rc, s, q in ((0, m["seq"], list(m["q"])), (1, m["seq"].translate(_COMPLEMENT)[::-1], list(m["q"])[::-1]))], columns=["read", "mate", "rc", "seq", "q"])
     best: dict[int, tuple] = {}
+    mates: dict[int, list[tuple[int, int]]] = {}
+    for at, (read, mate, rc) in enumerate(zip(flat["read"], flat["mate"], flat["rc"])):
+        if not rc:
+            mates.setdefault(read, []).append((mate, at))
+    lengths = [(codes, same.index.to_numpy()) for _, same in flat.groupby(flat["seq"].str.len())
+               for codes in (kernel.read_codes(same["seq"].tolist(), same["q"].tolist()),)]
     for gene in genes:
         value, pos = np.full((len(flat), gene.sequences.count), -np.inf), np.zeros((len(flat), gene.sequences.count), np.int64)
         fine = np.zeros(len(flat), bool)
-        for _, same in flat.groupby(flat["seq"].str.len()):
-            codes, errors = kernel.read_codes(same["seq"].tolist(), same["q"].tolist())
+        for (codes, errors), at in lengths:
             got = kernel.forward_scores(codes, errors, gene.sequences, kernel.transitions(codes.shape[1], gene.n_columns, prealigned), allowed_mismatches)
-            value[same.index], pos[same.index], fine[same.index] = got.value, got.pos, got.why == ""
+            value[at], pos[at], fine[at] = got.value, got.pos, got.why == ""
         top = np.where(fine, value.max(axis=1), -np.inf)
-        for read, own in flat.groupby("read"):
+        for read, own in mates.items():
             chosen, turned = [], None
-            for mate in sorted(own["mate"].unique()):
-                rows = own.index[(own["mate"] == mate) & (True if mate != 2 or turned is None else own["rc"] != turned)]
-                one = max(rows, key=lambda k: (fine[k], top[k], not flat.at[k, "rc"]))
+            for mate, at in own:  # both orientations, the regular one first
+                if mate == 2 and turned is not None:
+                    one = at if turned else at + 1
+                else:
+                    one = at + 1 if (fine[at + 1], top[at + 1]) > (fine[at], top[at]) else at
                 if fine[one]:
                     chosen.append(one)
-                    turned = flat.at[one, "rc"] if mate != 2 else turned
+                    turned = bool(one - at) if mate != 2 else turned
             if chosen:
-                sums, first = value[chosen].sum(axis=0)[gene.row], pos[chosen].min(axis=0)[gene.row]
-                if not multi_locus:
-                    yield read, gene.locus, sums, first
-                elif read not in best or sums.max() > best[read][1].max():
-                    best[read] = (gene.locus, sums, first)
+                highest = value[chosen].sum(axis=0)
+                if multi_locus and read in best and highest.max() <= best[read][1].max():
+                    continue
+                found = (gene.locus, highest[gene.row], pos[chosen].min(axis=0)[gene.row])
+                if multi_locus:
+                    best[read] = found
+                else:
+                    yield read, *found
     for read, (locus, sums, first) in best.items():
         yield read, locus, sums, first
 
