@@ -19,7 +19,7 @@ from ..sources.shared import saved
 from . import kernel
 from .pairs import (allele_log_likelihood, assign_reads, best_locus, best_orientation, coverage_likelihood, of_sample, pair_emissions,
                     pair_log_likelihood, pair_posterior, rank_pairs, top_pairs)
-from .spread import dealt
+from .spread import dealt, tasks
 from .vectors import pair_sums, scores_of, vector_emissions
 
 ALLELE_BYTES = 64 << 20
@@ -309,7 +309,7 @@ def score_vectors(reads: DataFrame, genes: Genes, prealigned: bool = True, multi
     on the gene's alleles, ascending, as arrays. ``reads`` has a row for each mate: ``read_id, mate, seq, q``.
     """
     of = of_sample(reads)
-    rows = _usable(reads, *of, "read_id", "mate").groupBy(*of, "read_id").agg(F.sort_array(F.collect_list(F.struct("mate", "seq", "q"))).alias("mates"))
+    rows = _usable(reads, *of, "read_id", "mate").repartition(tasks(reads), *of, "read_id").groupBy(*of, "read_id").agg(F.sort_array(F.collect_list(F.struct("mate", "seq", "q"))).alias("mates"))
     alleles = max([1, *(len(ids) for ids in genes.ids.values())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

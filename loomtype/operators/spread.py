@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def tasks(rows: DataFrame) -> int:
+    """Tasks for work that is long for its bytes: Spark would put few bytes into few tasks."""
+    spark = rows.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """Rows over all cores, where their files are fewer: one file's one row group would be one task's work."""
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows if len(rows.inputFiles()) >= rows.sparkSession.sparkContext.defaultParallelism else rows.repartition(tasks(rows))
