@@ -59,6 +59,7 @@ class Page:
         self.tags, self.marks, self.parents = ["#root"], [("", set(), "", "")], [-1]
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where it begins or ends
         self.stack = [0]
+        self.open: dict[str, int] = {}  # open elements of each name: the stack is walked only where one can be found
         at = 0
         while at < len(html):
             m = _MARKUP.search(html, at)
@@ -86,10 +87,12 @@ class Page:
 
     def pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
-            self.events.append((self.stack.pop(), None))
+            element = self.stack.pop()
+            self.open[self.tags[element]] -= 1
+            self.events.append((element, None))
 
     def begin(self, name: str, attributes: str) -> None:
-        if name in BLOCK:
+        if name in BLOCK and self.open.get("p"):
             for depth in range(len(self.stack) - 1, 0, -1):
                 tag = self.tags[self.stack[depth]]
                 if tag == "p":
@@ -97,7 +100,7 @@ class Page:
                     break
                 if tag in BLOCK:
                     break
-        if name in CLOSED_BY:
+        if name in CLOSED_BY and any(self.open.get(tag) for tag in CLOSED_BY[name]):
             for depth in range(len(self.stack) - 1, 0, -1):
                 tag = self.tags[self.stack[depth]]
                 if tag in SCOPES[name]:
@@ -110,8 +113,11 @@ class Page:
         self.events.append((len(self.tags) - 1, None))
         if name not in VOID:
             self.stack.append(len(self.tags) - 1)
+            self.open[name] = self.open.get(name, 0) + 1
 
     def end(self, name: str) -> None:
+        if not self.open.get(name):
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.tags[self.stack[depth]] == name:
                 self.pop_to(depth)

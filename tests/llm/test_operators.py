@@ -394,6 +394,22 @@ def test_long_and_deep_pages(spark):
     assert sorted(t.count("\n") for t in got) == [1] * 3 + [20_001] * 3
 
 
+def test_tags_that_match_nothing_cost_little():
+    import time
+
+    from loomtype.llm.wrappers import Page, main_text
+
+    for mark, end in (("<b>", "</i>"), ("<b>", "<hr>"), ("<b>", "</i><dt></dt>")):
+        n = 1_000_000 // len(mark + end)
+        began = time.monotonic()
+        page = Page("<article><p>Begin.</p>" + mark * n + end * n + "The end.</article>")
+        assert time.monotonic() - began < 20 and page.tags.count("b") == n and page.tags[page.stack[-1]] == "#root"
+        assert main_text(page, set(), set()).split() == ["Begin.", "The", "end."]
+    # open elements are counted through implied ends: of the list items, cells and paragraphs all are closed but the first list's
+    page = Page("<ul><li>a<li>b<ul><li>c</ul></i><li>d</ul><p>e<p>f<div>g</p>h</div><table><tr><td>i<td>j<tr><td>k</table></b>l")
+    assert {k: v for k, v in page.open.items() if v} == {} and page.tags.count("li") == 4 and page.parents.count(0) >= 4
+
+
 def test_tree_match_against_brute_force():
     from functools import cache
 
