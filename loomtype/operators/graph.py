@@ -67,6 +67,52 @@ def sequence_slice(resolved: DataFrame, start: int, stop: int, pad: bool = False
     return rows.groupBy(*GROUP, "allele").agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("seq"))
 
 
+def allele_slices(resolved: DataFrame, start: int | None = None, begin: str = "at", stop: int | None = None, length: int | None = None,
+                  pad: bool = False, marks: bool = False) -> DataFrame:
+    """``allele, seq``: the letters of each allele along its path, cut at both sides.
+
+    Without ``start`` all known spans follow each other. With it the path begins in one span and ends where that span
+    ends: ``at`` needs a letter at that position (``seq`` is null without one), ``next`` takes the first letter there or
+    behind, ``pad`` does too and writes a point for each position before it. The path ends before position ``stop``, or
+    after ``length`` characters, points and marks included; with ``pad`` points fill what lacks of these. With
+    ``marks`` a bar stands for each boundary that the path crosses. Alleles without a letter on the path have no row.
+    """
+    if begin not in ("at", "next", "pad"):
+        raise ValueError(f"a slice begins at, next or pad, not {begin}")
+    if stop is not None and length is not None or pad and length is None:
+        raise ValueError("a slice has a stop or a length, and points fill a length only")
+    known = resolved.where("state <> 'unknown'")
+    if start is not None:
+        known = known.where(F.col("pos") >= start)
+    if stop is not None:
+        known = known.where(F.col("pos") < stop)
+    allele = Window.partitionBy(*GROUP, "allele")
+    base = F.col("state") == "base"
+    cells = known.withColumn("_span", F.col("pos") - F.row_number().over(allele.orderBy("pos")))
+    span = Window.partitionBy(*GROUP, "allele", "_span").orderBy("pos")
+    cells = cells.withColumn("_cross", F.col("region_ix") - F.lag("region_ix").over(span)).withColumn("_first", F.min(F.when(base, F.col("pos"))).over(allele))
+    if start is None:
+        cells = cells.where("_first IS NOT NULL")
+        bars = F.coalesce(F.col("_cross"), F.lit(0))
+    else:
+        cells = cells.withColumn("_own", F.min(F.when(base, F.col("_span"))).over(allele)).where("_span = _own AND pos >= _first")
+        bars = F.when(F.col("pos") > F.col("_first"), F.coalesce(F.col("_cross"), F.lit(0))).otherwise(0)
+    if length is not None:  # no more letters are gathered than can be kept
+        cells = cells.withColumn("_n", F.count(F.when(base, 1)).over(allele.orderBy("pos"))).where(F.col("_n") <= length)
+    letter = F.when(base, F.col("ch")).otherwise("")
+    piece = F.concat(F.repeat(F.lit("|"), bars.cast("int")), letter) if marks else letter
+    ordered = F.array_sort(F.collect_list(F.struct("pos", piece.alias("c"))))
+    rows = cells.groupBy(*GROUP, "allele").agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("seq"), F.first("_first").alias("_first"))
+    seq = F.col("seq")
+    if start is not None and begin == "at":
+        seq = F.when(F.col("_first") == start, seq)
+    elif start is not None and begin == "pad":
+        seq = F.concat(F.repeat(F.lit("."), (F.col("_first") - start).cast("int")), seq)
+    if length is not None:
+        seq = F.rpad(seq, length, ".") if pad else F.substring(seq, 1, length)
+    return rows.select(*GROUP, "allele", seq.alias("seq"))
+
+
 def nodes_at(resolved: DataFrame, pos: int, on_gap: str = "null") -> DataFrame:
     """Each allele's letter at a position; in a gap null, or an error."""
     letter = F.when(F.col("state") == "base", F.col("ch"))

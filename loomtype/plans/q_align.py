@@ -248,6 +248,38 @@ def gr3(spark, sf):
     return G.sequence_slice(resolved(spark, sf), 20, 60, pad=True).select("locus", "allele", "seq")
 
 
+def _slice_sql(cells, seq, start=None, where="TRUE"):
+    """Slices along alleles' paths: from ``start`` in one span, or of all spans."""
+    own = "TRUE" if start is None else "span = own AND pos >= first"
+    bars = "coalesce(crossed, 0)" if start is None else "CASE WHEN pos > first THEN coalesce(crossed, 0) ELSE 0 END"
+    return f"""{cells}, k AS (SELECT *, pos - row_number() OVER (PARTITION BY locus, allele ORDER BY pos) AS span FROM cell WHERE state <> 'unknown' AND pos >= {start or 0} AND {where}),
+b AS (SELECT *, min(CASE WHEN state = 'base' THEN pos END) OVER (PARTITION BY locus, allele) AS first, min(CASE WHEN state = 'base' THEN span END) OVER (PARTITION BY locus, allele) AS own,
+  region_ix - lag(region_ix) OVER (PARTITION BY locus, allele, span ORDER BY pos) AS crossed FROM k),
+g AS (SELECT locus, allele, min(first) AS first, string_agg(CASE WHEN state = 'base' THEN ch ELSE '' END, '' ORDER BY pos) AS bare,
+  string_agg(concat(repeat('|', {bars}), CASE WHEN state = 'base' THEN ch ELSE '' END), '' ORDER BY pos) AS marked FROM b WHERE first IS NOT NULL AND {own} GROUP BY locus, allele)
+SELECT locus, allele, {seq} AS seq FROM g"""
+
+
+@query("gr3_slice_whole", _slice_sql(_B, "marked"))
+def gr3_whole(spark, sf):
+    return G.allele_slices(resolved(spark, sf, "benchmark"), marks=True).select("locus", "allele", "seq")
+
+
+@query("gr3_slice_between", _slice_sql(_D, "CASE WHEN first = 30 THEN bare END", 30, "pos < 120"))
+def gr3_between(spark, sf):
+    return G.allele_slices(resolved(spark, sf), 30, stop=120).select("locus", "allele", "seq")
+
+
+@query("gr3_slice_next_length", _slice_sql(_B, "substr(marked, 1, 40)", 30))
+def gr3_next(spark, sf):
+    return G.allele_slices(resolved(spark, sf, "benchmark"), 30, "next", length=40, marks=True).select("locus", "allele", "seq")
+
+
+@query("gr3_slice_padded", _slice_sql(_B, "rpad(concat(repeat('.', first - 3), bare), 400, '.')", 3))
+def gr3_padded(spark, sf):
+    return G.allele_slices(resolved(spark, sf, "benchmark"), 3, "pad", length=400, pad=True).select("locus", "allele", "seq")
+
+
 @query("gr4_nodes_at", f"{_D} SELECT locus, allele, CASE WHEN state = 'base' THEN ch END AS ch FROM cell WHERE pos = 30")
 def gr4(spark, sf):
     return G.nodes_at(resolved(spark, sf), 30).select("locus", "allele", "ch")
