@@ -10,6 +10,7 @@ from ..operators.spread import dealt
 from ..sources import reads as R
 from ..sources import sinks as K
 from ..sources.shared import new_path
+from ..streaming import reads as ST
 from .q_align import _LETTERS
 from .registry import NAMES, derive, names, query, text
 
@@ -47,6 +48,15 @@ def src1(spark, sf):
     return reads.select("name", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"), F.expr("aggregate(q, 0L, (n, x) -> n + x)").alias("q"))
 
 
+@query("st1_stream_fastq", f"SELECT concat('d', doc_id) AS name, md5(seq) AS seq, md5(qual) AS qual FROM ({_READS}) WHERE doc_id % 7 <> 0")
+def st1(spark, sf):
+    path = new_path(spark, "fastq")
+    record = F.concat(F.lit("@d"), F.col("doc_id").cast("string"), F.lit("/1 x\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual"))
+    _records(spark, sf).select(record.alias("value")).repartition(8, "value").write.text(path)
+    reads = ST.run_available(ST.stream_fastq(spark, path, 4), "append", ST.fastq_reads)
+    return reads.select("name", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
+
+
 @query("src2_read_fastq_all", f"SELECT row_number() OVER (ORDER BY doc_id, seq) - 1 AS place, concat('d', doc_id) AS name FROM ({_READS}) WHERE doc_id % 7 <> 0")
 def src2(spark, sf):
     return R.read_fastq_all(spark, _fastq(spark, sf)).select(F.col("place").cast("long").alias("place"), "name")

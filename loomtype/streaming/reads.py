@@ -12,14 +12,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.pairs import pair_posterior
+from ..sources.reads import read_fastq
 from ..sources.shared import discard, new_path, saved
 
+FASTQ_READS = T.StructType([T.StructField("sample", T.StringType()), T.StructField("read_id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("mate", T.IntegerType()),
+                            T.StructField("seq", T.StringType()), T.StructField("qual", T.StringType()), T.StructField("q", T.ArrayType(T.IntegerType()))])
+
 
 def stream_reads(spark: SparkSession, path: str, schema: T.StructType, per_batch: int = 1) -> DataFrame:
     """A folder of parquet files as a stream, some files a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
+def stream_fastq(spark: SparkSession, folder: str, per_batch: int = 8) -> DataFrame:
+    """The FASTQ files of a folder as a stream of their paths, at most ``per_batch`` a batch, by the times they came.
+
+    The checkpoint keeps which files were taken; their content is not read here. ``fastq_reads`` makes reads of a batch.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", per_batch).load(folder).select("path")
+
+
+def fastq_reads(batch: DataFrame, mate: int = 0) -> DataFrame:
+    """The good reads of a batch of ``stream_fastq``; big files are split among tasks, records whole (``read_fastq``)."""
+    paths = sorted(r["path"] for r in batch.select("path").collect())  # some files a batch
+    if not paths:
+        return batch.sparkSession.createDataFrame([], FASTQ_READS)
+    return read_fastq(batch.sparkSession, paths, mate)[0].select(*FASTQ_READS.names)
+
+
 def stream_pair_mates(one: DataFrame, two: DataFrame, time: str = "ts", wait: str = "10 minutes") -> DataFrame:
     """Stream-stream outer join of mates by ``key``; unmatched mates leave as singles when the watermark passes them."""
     a = one.select(F.col("key").alias("key1"), F.col(time).alias("t1"), F.col("value").alias("value1")).withWatermark("t1", wait)
@@ -114,20 +135,30 @@ def run_available(source: DataFrame, mode: str = "complete", then: Callable[[Dat
     return spark.read.schema(schema).parquet(*[f"{path}/epoch={e}" for e in sorted(set(epochs))])
 
 
-def run_until(source: DataFrame, n: int | None = None, names: set[str] | None = None) -> DataFrame:
-    """The reads of a stream until ``n`` were taken or all ``names`` were seen, as a table in the shared folder."""
+def run_until(source: DataFrame, n: int | None = None, names: set[str] | None = None, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The reads of a stream until ``n`` were taken or all ``names`` were seen, as a table in the shared folder.
+
+    ``then`` makes the reads of a batch (``fastq_reads`` of files); batches after the end are not made.
+    """
     spark = source.sparkSession
-    path, epochs = new_path(spark, "stream"), set()
+    path, epochs, schema = new_path(spark, "stream"), set(), source.schema
 
     def write(batch: DataFrame, epoch: int) -> None:
+        nonlocal schema
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        schema = batch.schema
         epochs.add(epoch)
 
     stop = StopAfter(write, n, names)
-    query = source.writeStream.foreachBatch(stop).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start()
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        if not stop.done:
+            stop(batch if then is None else then(batch), epoch)
+
+    query = source.writeStream.foreachBatch(take).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start()
     while not query.awaitTermination(1):
         if stop.done:  # all that counts is written; later batches write nothing
             query.stop()
     if not epochs:
-        return spark.createDataFrame([], source.schema)
-    return spark.read.schema(source.schema).parquet(*[f"{path}/epoch={e}" for e in sorted(epochs)])
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/epoch={e}" for e in sorted(epochs)])

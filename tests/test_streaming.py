@@ -74,3 +74,31 @@ def test_a_writer_that_fails_counts_nothing(spark):
     with pytest.raises(OSError):
         stop(spark.range(4).select(F.col("id").alias("read_id"), F.lit("a").alias("name")), 0)
     assert not stop.done
+
+
+def _fastq(folder, name, numbers):
+    """A FASTQ file whose quality lines begin with @; a record of seven has a quality too few."""
+    folder.mkdir(exist_ok=True)
+    text = "".join(f"@r{k}/1 x\nACGTAC\n+\n@IIIII\n" if k % 7 else f"@r{k}/1 x\nACGTAC\n+\n@IIII\n" for k in numbers)
+    (folder / name).write_text(text)
+
+
+def test_fastq_files_are_streamed_record_by_record(spark, tmp_path):
+    for k in range(4):
+        _fastq(tmp_path / "in", f"s{k}_1.fastq", range(1 + 50 * k, 51 + 50 * k))
+    (tmp_path / "in" / "empty_1.fastq").write_text("")
+    good = {f"r{k}" for k in range(1, 201) if k % 7}
+    got = ST.run_available(ST.stream_fastq(spark, str(tmp_path / "in"), 2), "append", ST.fastq_reads)
+    assert got.count() == len(good) and {r["name"] for r in got.collect()} == good
+    assert {r["sample"] for r in got.select("sample").distinct().collect()} == {"s0", "s1", "s2", "s3"}
+    assert got.columns == ST.FASTQ_READS.names
+    some = ST.run_until(ST.stream_fastq(spark, str(tmp_path / "in"), 1), n=60, then=ST.fastq_reads)
+    assert some.count() == 60 and {r["name"] for r in some.collect()} <= good
+    named = ST.run_until(ST.stream_fastq(spark, str(tmp_path / "in"), 1), names={"r3", "r150"}, then=ST.fastq_reads)
+    assert sorted(r["name"] for r in named.collect()) == ["r150", "r3"]
+
+
+def test_a_folder_without_records_streams_none(spark, tmp_path):
+    _fastq(tmp_path / "in", "only.fastq", [])
+    got = ST.run_available(ST.stream_fastq(spark, str(tmp_path / "in")), "append", ST.fastq_reads)
+    assert got.count() == 0
