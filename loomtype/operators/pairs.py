@@ -105,24 +105,44 @@ def coverage_likelihood(emissions: DataFrame, columns: int) -> DataFrame:
     return sides.groupBy(*of, "locus", "i", "j").agg(F.sum(log10_factorial(F.col("n")) - F.col("n") * math.log10(columns) - F.col("fws")).alias("c"))
 
 
+def evaluated_pairs(scores: DataFrame, columns: int, dx: float = 1e-6) -> DataFrame:
+    """``pair_log_likelihood`` and ``coverage_likelihood`` of every pair: ``locus, i, j, z, reads, c``.
+
+    Rows of a read and a pair are dealt out once, by the pair; sums by position and by pair need no other shuffle.
+    Where all pairs are wanted, a join of the scores with them would make a row for each score and pair of its allele.
+    """
+    key = [*of_sample(scores), "locus", "i", "j"]
+    by_pos = allele_pairs(scores, dx).repartition(*key).groupBy(*key, "pos").agg(
+        F.sum("llhd").alias("z"), F.count("*").alias("reads"), F.sum("w1").alias("w1"), F.sum("w2").alias("w2"))
+    # a side without reads gives nothing: 0! is 1
+    side = lambda w: log10_factorial(F.sum(w)) - F.sum(w) * math.log10(columns) - F.sum(log10_factorial(F.col(w)))
+    return by_pos.groupBy(*key).agg(F.sum("z").alias("z"), F.sum("reads").alias("reads"), (side("w1") + side("w2")).alias("c"))
+
+
 def pair_posterior(pairs: DataFrame, coverage: DataFrame | None = None, cut: bool = True) -> DataFrame:
     """Normalised posterior of each gene's pairs from their log10 likelihoods ``z`` (and coverage ``c``).
 
     ``pairs`` is the whole pair table: those without coverage were not ranked, and with ``cut`` each of them adds the
-    lowest reported probability to the norm. No pairs give an empty result.
+    lowest reported probability to the norm. No pairs give an empty result. Without ``coverage`` all pairs count, with
+    the ``c`` that they have (``evaluated_pairs``) or none. A gene's sums are rows joined to its pairs: no window holds
+    all pairs of a gene.
     """
     of = of_sample(pairs)
-    all_ = Window.partitionBy(*of, "locus")
+    gene = [*of, "locus"]
     if coverage is None:
-        kept = pairs.withColumn("c", F.lit(0.0)).withColumn("_missing", F.lit(0))
+        kept = pairs if "c" in pairs.columns else pairs.withColumn("c", F.lit(0.0))
+    else:
+        kept = pairs.join(coverage.where("c IS NOT NULL").select(*gene, "i", "j", "c"), [*gene, "i", "j"])
+    scored = kept.withColumn("_s", F.col("z") + F.col("c"))
+    p = F.pow(F.lit(10.0), F.col("_s") - F.col("_m"))
+    tops = scored.groupBy(*gene).agg(F.max("_s").alias("_m"))
+    sums = scored.join(tops, gene).groupBy(*gene, "_m").agg(F.sum(p).alias("_sum"), F.min(p).alias("_least"), F.count("*").alias("_n"))
+    if coverage is None or not cut:
+        sums = sums.withColumn("_missing", F.lit(0))
     else:
-        known = coverage.where("c IS NOT NULL").select(*of, "locus", "i", "j", "c")
-        kept = pairs.join(known, [*of, "locus", "i", "j"])
-        kept = kept.join(pairs.groupBy(*of, "locus").agg(F.count("*").alias("_all")), [*of, "locus"]).withColumn("_missing", F.col("_all") - F.count("*").over(all_))
-    scored = kept.withColumn("_s", F.col("z") + F.col("c")).withColumn("_m", F.max("_s").over(all_))
-    scored = scored.withColumn("_p", F.pow(F.lit(10.0), F.col("_s") - F.col("_m")))
-    norm = F.sum("_p").over(all_) + (F.min("_p").over(all_) * F.col("_missing") if cut else F.lit(0.0))
-    return scored.withColumn("prob", F.col("_p") / norm).select(*of, "locus", "i", "j", "z", "c", "prob")
+        sums = sums.join(pairs.groupBy(*gene).agg(F.count("*").alias("_all")), gene).withColumn("_missing", F.col("_all") - F.col("_n"))
+    norm = F.col("_sum") + F.col("_least") * F.col("_missing")
+    return scored.join(sums, gene).withColumn("prob", p / norm).select(*gene, "i", "j", "z", "c", "prob")
 
 
 def top_pairs(posterior: DataFrame, size: int | None = None, least: float | None = None) -> DataFrame:

@@ -78,9 +78,9 @@ post AS (SELECT locus, i, j, z, c, pow(10.0, z + c - m) / (sum(pow(10.0, z + c -
 _POST, _ALL = _post(_C), _post(_C.replace("WHERE r <= 20", ""))
 
 
-def _posterior(spark, sf, every=False):
+def _posterior(spark, sf):
     z, top = _ranked(spark, sf)
-    c = P.coverage_likelihood(P.pair_emissions(scores(spark, sf), z if every else top), 3000).select("locus", "i", "j", (F.col("c") / 100).alias("c"))
+    c = P.coverage_likelihood(P.pair_emissions(scores(spark, sf), top), 3000).select("locus", "i", "j", (F.col("c") / 100).alias("c"))
     return P.pair_posterior(z.select("locus", "i", "j", (F.col("z") / 1000.0 / F.col("reads")).alias("z")), c)
 
 
@@ -92,7 +92,8 @@ def agg6(spark, sf):
 # every pair is evaluated
 @query("flt14_non_zero_posterior", f"{_ALL} SELECT locus, i, j FROM post WHERE prob > 0.001")
 def flt14(spark, sf):
-    return S.non_zero_posterior(_posterior(spark, sf, every=True), 1e-3).select("locus", "i", "j")
+    every = saved(P.evaluated_pairs(scores(spark, sf), 3000).select("locus", "i", "j", (F.col("z") / 1000.0 / F.col("reads")).alias("z"), (F.col("c") / 100).alias("c")))
+    return S.non_zero_posterior(P.pair_posterior(every), 1e-3).select("locus", "i", "j")
 
 
 @query("srt4_top_pairs", f"{_POST} SELECT locus, i, j FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY prob DESC, i, j) AS r FROM post) WHERE r <= 3")

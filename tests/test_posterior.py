@@ -49,3 +49,24 @@ def test_posterior_counts_the_pairs_that_were_cut(spark):
                               ({"least": 1e-3}, {k: v for k, v in every.items() if v > 1e-3})):
         got = {(r["i"], r["j"]): r["prob"] for r in type_samples(scores, 300, **options)["posterior"].collect()}
         assert got == pytest.approx(expected, rel=1e-6)
+
+
+def test_every_pair_is_evaluated_without_a_row_for_each_score_and_pair(spark):
+    from loomtype.operators import pairs as P
+
+    dice = random.Random(4)
+    data = [(r, "AB"[r % 2], a, -dice.randrange(1, 5) / 4, dice.randrange(3)) for r in range(30) for a in dice.sample(range(9), 4)]
+    scores = spark.createDataFrame(data, "read_id long, locus string, allele_id long, llhd double, pos long")
+    got = {(r["locus"], r["i"], r["j"]): (r["z"], r["reads"], r["c"]) for r in P.evaluated_pairs(scores, 300).collect()}
+    z = P.pair_log_likelihood(scores)
+    c = P.coverage_likelihood(P.pair_emissions(scores, z), 300)
+    expected = {(r["locus"], r["i"], r["j"]): (r["z"], r["reads"], r["c"]) for r in z.join(c, ["locus", "i", "j"]).collect()}
+    assert set(got) == set(expected)
+    assert all(got[k] == pytest.approx(expected[k], abs=1e-9) for k in got)
+    # the posterior of a table that has its coverage, and no window over a gene's pairs
+    every = P.evaluated_pairs(scores, 300)
+    probs = P.pair_posterior(every)
+    assert "Window" not in probs._jdf.queryExecution().executedPlan().toString()
+    assert {r["locus"]: round(r["p"], 9) for r in probs.groupBy("locus").agg({"prob": "sum"}).withColumnRenamed("sum(prob)", "p").collect()} == {"A": 1.0, "B": 1.0}
+    old = P.pair_posterior(z, c)
+    assert {(r["locus"], r["i"], r["j"]): round(r["prob"], 9) for r in old.collect()} == {(r["locus"], r["i"], r["j"]): round(r["prob"], 9) for r in probs.collect()}
