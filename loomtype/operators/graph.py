@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .msa import GROUP
+from .msa import GROUP, by_allele, stream_cells
 
 
 def nodes(resolved: DataFrame) -> DataFrame:
@@ -121,8 +122,17 @@ def nodes_at(resolved: DataFrame, pos: int, on_gap: str = "null") -> DataFrame:
     return resolved.where(F.col("pos") == pos).select(*GROUP, "allele", letter.alias("ch"))
 
 
+def _spans(r) -> tuple:
+    """Where an allele's known letters begin and end."""
+    known = np.concatenate([[False], stream_cells(r.stream, r.source == "prot")[2], [False]])
+    edges = np.flatnonzero(known[1:] != known[:-1]) + r.start_pos
+    return edges[::2], edges[1::2]
+
+
 def bounds(resolved: DataFrame) -> DataFrame:
-    """All known spans of each allele: ``start, stop`` (stop excluded)."""
+    """All known spans of each allele: ``start, stop`` (stop excluded); of positions or of resolved streams."""
+    if "stream" in resolved.columns:
+        return by_allele(resolved, _spans, {"start": "int", "stop": "int"})
     known = resolved.where("state <> 'unknown'")
     span = F.col("pos") - F.row_number().over(Window.partitionBy(*GROUP, "allele").orderBy("pos"))
     return known.withColumn("_g", span).groupBy(*GROUP, "allele", "_g").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop")).drop("_g")

@@ -17,24 +17,35 @@ _LETTERS = "translate(regexp_replace(lower(text), '[^a-z]', ''{g}), 'abcdefghijk
 _ROWS = {"documents": "lang AS locus, doc_id AS id", "benchmark": "concat('L', item_id % 3) AS locus, item_id AS id"}
 
 
-def streams(spark, sf, table="documents"):
-    """Alignment streams: gaps, unknown beginnings and the reference's letters as a file would have them."""
-    x = dealt(derive(spark, sf, f"SELECT {_ROWS[table]}, text FROM {{{table}}} WHERE text IS NOT NULL", table)).selectExpr("locus", "id", f"{_LETTERS.format(g='')} AS seq").where("seq <> ''")
-    first = x.groupBy("locus").agg(F.min("id").alias("ref"), F.min_by("seq", "id").alias("ref_seq"))
+_CODES = np.zeros(256, np.uint8)
+_CODES[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)] = np.frombuffer(b"ACGTACGTACGTACGTACGTACGTAC", np.uint8)
+
+
+def streams(spark, sf, table="documents", refs=False):
+    """Alignment streams: gaps, unknown beginnings and the reference's letters as a file would have them; of references only with ``refs``."""
+    x = derive(spark, sf, f"SELECT {_ROWS[table]}, lower(text) AS text FROM {{{table}}} WHERE text IS NOT NULL", table).where("text RLIKE '[a-z]'")
+    ids = x.groupBy("locus").agg(F.min("id").alias("ref"))
+    seq = F.expr(_LETTERS.format(g=""))
+    # the references' letters; two rows of one id are one reference
+    first = x.join(F.broadcast(ids), "locus").where("id = ref").select("locus", "ref", seq.alias("ref_seq")).groupBy("locus").agg(F.first("ref").alias("ref"), F.min("ref_seq").alias("ref_seq"))
 
     def build(frames):
         for frame in frames:
-            frame["stream"] = [_cells(r.seq, r.ref_seq, r.id, r.id == r.ref) for r in frame.itertuples()]
+            frame["stream"] = [_cells(r.text, r.ref_seq, r.id, r.id == r.ref) for r in frame.itertuples()]
             yield frame[["locus", "id", "ref", "stream"]]
 
-    rows = x.join(F.broadcast(first), "locus").mapInPandas(build, "locus string, id long, ref long, stream string")  # a row a locus
+    rows = (x if refs else dealt(x)).join(F.broadcast(first), "locus")  # a row a locus
+    if refs:
+        rows = rows.where("id = ref")
+    rows = rows.withColumn("ref_seq", F.expr("substr(ref_seq, 1, length(text))")).mapInPandas(build, "locus string, id long, ref long, stream string")
     return rows.select("locus", F.lit("nuc").alias("source"), F.concat(F.lit("D"), F.col("id").cast("string")).alias("allele"),
                        (F.col("id") == F.col("ref")).alias("is_ref"), F.lit(1).alias("start_pos"), "stream")
 
 
-def _cells(seq: str, ref: str, number: int, is_ref: bool) -> str:
+def _cells(text: str, ref: str, number: int, is_ref: bool) -> str:
     """A stream's letters, with ``|`` after every fifty."""
-    own = np.frombuffer(seq.encode(), np.uint8)
+    own = _CODES[np.frombuffer(text.encode(), np.uint8)]
+    own = own[own > 0]
     i = np.arange(1, len(own) + 1)
     out = own.copy()
     if not is_ref:
@@ -58,8 +69,14 @@ cell AS (SELECT locus, concat('D', id) AS allele, is_ref, CAST(pos AS INT) AS po
 _D, _B = cells_sql(), cells_sql("benchmark")
 
 
+def whole(spark, sf, table="documents"):
+    """Resolved streams, a row an allele."""
+    return M.resolve_streams(streams(spark, sf, table), streams(spark, sf, table, refs=True))
+
+
 def resolved(spark, sf, table="documents"):
-    return M.resolve_to_reference(M.parse_streams(streams(spark, sf, table)))
+    """Their letters, a row each."""
+    return M.parse_streams(whole(spark, sf, table))
 
 
 @query("src6_parse_alignments", f"""{_D} SELECT locus, allele, region_ix, CAST(min(pos) AS INT) AS first_pos, CAST(max(pos) AS INT) AS last_pos, count(*) FILTER (state = 'gap') AS gaps,
@@ -72,7 +89,7 @@ def src6(spark, sf):
 
 @query("jn4_resolve_to_reference", f"{_D} SELECT locus, allele, md5(string_agg(ch, '' ORDER BY pos)) AS digest, count(*) AS letters FROM cell WHERE state = 'base' GROUP BY locus, allele")
 def jn4(spark, sf):
-    return M.allele_sequences(resolved(spark, sf)).select("locus", "allele", F.md5("seq").alias("digest"), F.length("seq").cast("long").alias("letters"))
+    return M.allele_sequences(whole(spark, sf)).select("locus", "allele", F.md5("seq").alias("digest"), F.length("seq").cast("long").alias("letters"))
 
 
 @query("jn5_reference_sequence", f"{_D} SELECT locus, string_agg(ch, '' ORDER BY pos) AS seq FROM cell WHERE is_ref GROUP BY locus")
@@ -89,7 +106,7 @@ _STATUS = "CASE WHEN count(*) FILTER (state <> 'unknown') = 0 THEN 'Missing' WHE
 SELECT c.locus, allele, region_ix, count(*) FILTER (state <> 'unknown' AND ch <> coalesce(r, '.')) AS mismatches, {_STATUS} AS status
 FROM cell c LEFT JOIN ref ON c.locus = ref.locus AND c.pos = ref.pos WHERE NOT is_ref GROUP BY c.locus, allele, region_ix""")
 def jn6(spark, sf):
-    return M.segment_distance_to_reference(resolved(spark, sf)).select("locus", "allele", "region_ix", "mismatches", "status")
+    return M.segment_distance_to_reference(whole(spark, sf), references=streams(spark, sf, refs=True)).select("locus", "allele", "region_ix", "mismatches", "status")
 
 
 _SEG = f"""{_B}, seg AS (SELECT a.locus, a.allele AS target, b.allele AS candidate, a.region_ix, count(*) FILTER (a.state <> 'unknown' AND b.state <> 'unknown' AND a.ch <> b.ch) AS mismatches,
@@ -164,13 +181,13 @@ v AS (SELECT DISTINCT c.locus, c.region_ix, c.pos, c.ch FROM cell c JOIN whole w
 n AS (SELECT locus, region_ix, count(*) AS variants FROM v GROUP BY locus, region_ix), l AS (SELECT locus, region_ix, count(*) AS length FROM cell WHERE is_ref GROUP BY locus, region_ix)
 SELECT l.locus, l.region_ix, coalesce(variants, 0) AS variants, length FROM l LEFT JOIN n ON l.locus = n.locus AND l.region_ix = n.region_ix""")
 def agg19(spark, sf):
-    return M.region_variability(resolved(spark, sf)).select("locus", "region_ix", "variants", "length")
+    return M.region_variability(whole(spark, sf), references=streams(spark, sf, refs=True)).select("locus", "region_ix", "variants", "length")
 
 
 @query("agg22_region_sizes", f"{_D} SELECT region_ix, count(DISTINCT n) AS sizes FROM (SELECT allele, region_ix, count(*) FILTER (state = 'base') AS n FROM cell GROUP BY locus, allele, region_ix) GROUP BY region_ix")
 def agg22(spark, sf):
-    n = resolved(spark, sf).groupBy("locus", "allele", "region_ix").agg(F.count_if(F.col("state") == "base").alias("n"))
-    return n.groupBy("region_ix").agg(F.size(F.collect_set("n")).cast("long").alias("sizes"))
+    n = M.region_lengths(whole(spark, sf))
+    return n.groupBy("region_ix").agg(F.size(F.collect_set("length")).cast("long").alias("sizes"))
 
 
 @query("agg26_sequence_length", f"{_D} SELECT locus, allele, count(*) FILTER (state <> 'unknown') AS length FROM cell GROUP BY locus, allele")
@@ -290,27 +307,27 @@ _SPAN = f"{_D}, span AS (SELECT locus, allele, CAST(min(pos) AS INT) AS start, C
 
 @query("gr5_alleles_with_data", f"{_SPAN} SELECT DISTINCT locus, allele FROM span WHERE start <= 3 AND stop >= 3")
 def gr5(spark, sf):
-    return G.alleles_with_data(G.bounds(resolved(spark, sf)), 3).select("locus", "allele")
+    return G.alleles_with_data(G.bounds(whole(spark, sf)), 3).select("locus", "allele")
 
 
 @query("gr6_bounds", f"{_SPAN} SELECT locus, allele, start, stop FROM span")
 def gr6(spark, sf):
-    return G.bounds(resolved(spark, sf)).select("locus", "allele", "start", "stop")
+    return G.bounds(whole(spark, sf)).select("locus", "allele", "start", "stop")
 
 
 @query("gr7_compressed_starts", f"{_SPAN} SELECT locus, start, string_agg(allele, ';' ORDER BY allele) AS alleles FROM span GROUP BY locus, start")
 def gr7(spark, sf):
-    return G.starts_by_position(G.bounds(resolved(spark, sf))).select("locus", "start", F.array_join("alleles", ";").alias("alleles"))
+    return G.starts_by_position(G.bounds(whole(spark, sf))).select("locus", "start", F.array_join("alleles", ";").alias("alleles"))
 
 
 @query("agg24_starts_by_position", f"{_SPAN} SELECT locus, start, count(*) AS alleles FROM span GROUP BY locus, start")
 def agg24(spark, sf):
-    return G.starts_by_position(G.bounds(resolved(spark, sf))).select("locus", "start", F.size("alleles").cast("long").alias("alleles"))
+    return G.starts_by_position(G.bounds(whole(spark, sf))).select("locus", "start", F.size("alleles").cast("long").alias("alleles"))
 
 
 @query("agg25_alignment_range", f"{_SPAN} SELECT locus, min(start) AS start, max(stop) AS stop FROM span GROUP BY locus")
 def agg25(spark, sf):
-    return G.alignment_range(G.bounds(resolved(spark, sf))).select("locus", "start", "stop")
+    return G.alignment_range(G.bounds(whole(spark, sf))).select("locus", "start", "stop")
 
 
 @query("gr8_subgraph_between", f"{_EDGE} SELECT locus, src, dst, sum(alleles) AS uses FROM edge WHERE src >= 10 AND dst <= 50 GROUP BY locus, src, dst")

@@ -10,7 +10,7 @@ from ..operators import graph as G
 from ..operators import msa as M
 from ..operators import select as S
 from ..sources.shared import saved
-from .q_align import _B, _D, _LETTERS, _REF, resolved
+from .q_align import _B, _D, _LETTERS, _REF, resolved, streams, whole
 from .registry import NAMES, derive, names, query
 
 # Every text is an allele of regions of 50 letters: UTR5, exon 1, intron 1, exon 2, ... Every fourth has coding data only.
@@ -131,7 +131,7 @@ def prj1b(spark, sf):
 FROM cell c LEFT JOIN ref ON c.locus = ref.locus AND c.pos = ref.pos WHERE NOT is_ref GROUP BY c.locus, allele, region_ix""")
 def ud3(spark, sf):
     swap = lambda own, other: F.concat(own, other).isin("AG", "GA", "CT", "TC")
-    return M.segment_distance_to_reference(resolved(spark, sf), swap).select("locus", "allele", "region_ix", F.col("mismatches").alias("transitions"))
+    return M.segment_distance_to_reference(whole(spark, sf), swap, streams(spark, sf, refs=True)).select("locus", "allele", "region_ix", F.col("mismatches").alias("transitions"))
 
 
 _P = "(l_quantity + 1) / 100"

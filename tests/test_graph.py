@@ -71,3 +71,25 @@ def test_slices_that_make_no_sense_are_refused(alleles):
     for options in ({"begin": "near"}, {"stop": 3, "length": 4}, {"pad": True}):
         with pytest.raises(ValueError):
             G.allele_slices(alleles[0], **options)
+
+
+def test_streams_give_what_their_letters_give(spark):
+    """Spans, sequences, distances and variability of resolved streams, without a row for each letter."""
+    from loomtype.operators import msa as M
+
+    draw, rows = random.Random(8), []
+    for locus, start in (("A", 1), ("B", -3)):
+        for a in range(12):
+            stream = "".join("|" if draw.random() < 0.1 else draw.choice("ACGT.**" if a == 0 else "ACGT--.*" if a % 3 else "ACGT--.") for _ in range(40 - a))
+            rows.append((locus, "nuc", f"D{a}", a == 0, start + (a == 5) * 2, stream))
+    rows.append(("A", "nuc", "D99", False, 1, "***|**"))
+    streams = spark.createDataFrame(rows, "locus string, source string, allele string, is_ref boolean, start_pos int, stream string").repartition(3)
+    letters, whole = M.resolve_to_reference(M.parse_streams(streams)), M.resolve_streams(streams)
+    assert all("Exchange hash" not in f(whole)._jdf.queryExecution().executedPlan().toString() for f in (G.bounds, M.allele_sequences))
+    swap = lambda own, other: own.isin("A", "G") & other.isin("A", "G")
+    for f in (G.bounds, M.allele_sequences, lambda x: M.allele_sequences(x, by_region=True), lambda x: M.allele_sequences(x, boundary="|"), M.segment_distance_to_reference,
+              lambda x: M.segment_distance_to_reference(x, swap), M.region_variability, lambda x: M.region_variability(x, False, False)):
+        one, two = f(letters), f(whole)
+        assert one.count() and sorted(map(str, one.select(*two.columns).collect())) == sorted(map(str, two.collect()))
+    with pytest.raises(Exception, match="wrong letter"):
+        M.resolve_streams(spark.createDataFrame([("A", "nuc", "D1", True, 1, "AC-T")], streams.schema)).collect()
