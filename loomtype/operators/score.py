@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,11 +115,22 @@ def _usable(reads: DataFrame, *columns: str) -> DataFrame:
     return reads.where("length(seq) > 0 AND size(q) = length(seq)").select(*columns, "seq", "q")
 
 
-def _long(some: pd.DataFrame, of: list[str], gene: Gene, got: kernel.Scores, rc) -> pd.DataFrame:
+def _texts(codes: np.ndarray, texts: list) -> pa.Array:
+    """Few texts (or None) that many rows have, without an object a row."""
+    return pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int32)), pa.array(texts, pa.string())).dictionary_decode()
+
+
+def _long(some: pd.DataFrame, of: list[str], gene: Gene, got: kernel.Scores, rc) -> pa.RecordBatch:
+    """A row for each read and allele, as the columns of ``SCORES``."""
     n = len(gene.ids)
-    own = {c: np.repeat(some[c].to_numpy(), n) for c in [*of, "read_id", "mate"]}
-    return pd.DataFrame(own | {"rc": np.repeat(np.broadcast_to(rc, len(some)), n), "locus": gene.locus, "allele_id": np.tile(gene.ids, len(some)),
-                               "llhd": got.value[:, gene.row].reshape(-1), "pos": got.pos[:, gene.row].reshape(-1), "filter_reason": np.repeat([w or None for w in got.why], n)})
+    who = np.repeat(np.arange(len(some)), n)
+    reasons = sorted({w for w in got.why if w})
+    why = np.array([reasons.index(w) if w else len(reasons) for w in got.why], np.int32)
+    columns = {c: pa.array(some[c]).take(pa.array(who)) for c in of} | {
+        "read_id": pa.array(some["read_id"].to_numpy(np.int64)[who]), "locus": _texts(np.zeros(len(who)), [gene.locus]), "allele_id": pa.array(np.tile(gene.ids, len(some))),
+        "rc": pa.array(np.broadcast_to(np.asarray(rc, bool), len(some))[who]), "mate": pa.array(some["mate"].to_numpy(np.int32)[who]),
+        "llhd": pa.array(got.value[:, gene.row].reshape(-1)), "pos": pa.array(got.pos[:, gene.row].reshape(-1)), "filter_reason": _texts(why[who], [*reasons, None])}
+    return pa.RecordBatch.from_arrays([c.cast(pa.string()) if k in of else c for k, c in columns.items()], list(columns))
 
 
 def _batches(frame: pd.DataFrame, gene_alleles: int) -> Iterator[pd.DataFrame]:
@@ -138,11 +150,10 @@ def forward_scores(reads: DataFrame, emissions: DataFrame, prealigned: bool = Tr
     """
     of = of_sample(reads)
     schema = ", ".join([*(f"{c} string" for c in of), SCORES])
-    names = [c.split()[0] for c in schema.split(", ")]
     genes = Genes(emissions)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in (batch.to_pandas() for batch in batches):
             for gene in genes:
                 for some in _batches(frame, len(gene.ids)):
                     codes, errors = kernel.read_codes(some["seq"].tolist(), some["q"].tolist())
@@ -151,9 +162,9 @@ def forward_scores(reads: DataFrame, emissions: DataFrame, prealigned: bool = Tr
                     else:
                         t = kernel.transitions(codes.shape[1], gene.n_columns, prealigned)
                         got = kernel.forward_scores(codes, errors, gene.sequences, t, allowed_mismatches)
-                    yield _long(some, of, gene, got, some["rc"].to_numpy())[names]
+                    yield _long(some, of, gene, got, some["rc"])
 
-    return _usable(dealt(reads), *of, "read_id", "mate", "rc").mapInPandas(run, schema)
+    return _usable(dealt(reads), *of, "read_id", "mate", "rc").mapInArrow(run, schema)
 
 
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
@@ -172,11 +183,10 @@ def past_threshold_scores(reads: DataFrame, emissions: DataFrame, allowed_mismat
     """
     of = of_sample(reads)
     schema = ", ".join([*(f"{c} string" for c in of), SCORES])
-    names = [c.split()[0] for c in schema.split(", ")]
     genes = Genes(emissions)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in (batch.to_pandas() for batch in batches):
             for some in _batches(frame, max([1, *(gene.sequences.matrix.size for gene in genes)])):
                 both = [kernel.read_codes(some["seq"].tolist(), some["q"].tolist()), kernel.read_codes(*_turned(some))]
                 threshold = np.full(len(some), -np.inf)
@@ -185,9 +195,33 @@ def past_threshold_scores(reads: DataFrame, emissions: DataFrame, allowed_mismat
                     for rc, (codes, errors) in zip((False, True), both):
                         got = kernel.forward_scores(codes, errors, gene.sequences, t, allowed_mismatches, threshold, median=True, rows=gene.row)
                         threshold = np.maximum(threshold, got.median)
-                        yield _long(some, of, gene, got, rc)[names]
+                        yield _long(some, of, gene, got, rc)
+
+    return _usable(dealt(reads), *of, "read_id", "mate").mapInArrow(run, schema)
+
+
+def best_orientation_scores(reads: DataFrame, emissions: DataFrame, prealigned: bool = True, allowed_mismatches: int | None = None) -> DataFrame:
+    """``best_orientation`` of the ``forward_scores`` of both orientations, each read chosen where it is scored.
+
+    Of a read and gene the orientation with the best allele; the regular one wins ties, filtered ones lose. Rows of the
+    other one are never made, and nothing is shuffled.
+    """
+    of = of_sample(reads)
+    genes = Genes(emissions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in (batch.to_pandas() for batch in batches):
+            for gene in genes:
+                for some in _batches(frame, len(gene.ids)):
+                    both = kernel.read_codes(some["seq"].tolist(), some["q"].tolist()), kernel.read_codes(*_turned(some))
+                    t = kernel.transitions(both[0][0].shape[1], gene.n_columns, prealigned)
+                    one, two = (kernel.forward_scores(*x, gene.sequences, t, allowed_mismatches) for x in both)
+                    fine = one.why == "", two.why == ""
+                    rc = np.where(fine[0] == fine[1], two.value.max(axis=1) > one.value.max(axis=1), fine[1])
+                    pick = rc[:, None]
+                    yield _long(some, of, gene, kernel.Scores(np.where(pick, two.value, one.value), np.where(pick, two.pos, one.pos), np.where(rc, two.why, one.why)), rc)
 
-    return _usable(dealt(reads), *of, "read_id", "mate").mapInPandas(run, schema)
+    return _usable(dealt(reads), *of, "read_id", "mate").mapInArrow(run, ", ".join([*(f"{c} string" for c in of), SCORES]))
 
 
 def reads_x_alleles(scores: DataFrame) -> DataFrame:

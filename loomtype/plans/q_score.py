@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import kernel, score
-from ..operators.pairs import best_orientation, final_emission, pair_sums_blocked
+from ..operators.pairs import final_emission, pair_sums_blocked
 from ..operators.spread import dealt
 from ..sources.shared import saved
 from .q_align import _LETTERS
@@ -104,7 +104,7 @@ def jn17(spark, sf):
 
 @query("hm4_best_orientation_scores", f"{_BEST} SELECT read_id, locus, allele_id, rc, round(llhd, 6) AS llhd, pos FROM one")
 def hm4(spark, sf):
-    return best_orientation(saved(_scores(spark, sf))).select("read_id", "locus", "allele_id", "rc", F.round("llhd", 6).alias("llhd"), "pos")
+    return score.best_orientation_scores(reads(spark, sf), score.build_emissions(alleles(spark, sf))).select("read_id", "locus", "allele_id", "rc", F.round("llhd", 6).alias("llhd"), "pos")
 
 
 # The second half of a read begins its search in the column in which the gene's best allele has the first half's likeliest end.
