@@ -191,3 +191,35 @@ def test_a_typed_sample_goes_through_both_reports(spark, tmp_path):
     assert sum(weights) == 20
     assert {r["imputation"] for r in W.read_typing_tsv(spark, str(tmp_path / "b"), "likelihood").where("allele = 'A*01'").collect()} == {"A*00 imputed (d: 0.5) positions: [[2:full:1,9)]"}
     assert [r["value"] for r in spark.read.text(str(tmp_path / "b/header")).collect()] == ["loomtype", "run 1"]
+
+
+def test_orientation_is_chosen_where_a_read_is_scored(spark):
+    from loomtype.operators.pairs import best_orientation
+
+    dice = random.Random(12)
+    draw = lambda n: "".join(dice.choice("ACGT") for _ in range(n))
+    genes = [(a, "AB"[a % 2], draw(30)) for a in range(6)]
+    seqs = [genes[k % 6][2][3:15] if k % 3 else draw(12) for k in range(20)] + ["ACGTACGTACGT"]  # the last is its own reverse complement
+    emissions = S.build_emissions(spark.createDataFrame(genes, "allele_id long, locus string, seq string"))
+    reads = spark.createDataFrame([(k, 0, s, [30] * len(s)) for k, s in enumerate(seqs)], "read_id long, mate int, seq string, q array<int>")
+    one = S.best_orientation_scores(reads, emissions, allowed_mismatches=2)
+    two = best_orientation(S.forward_scores(S.oriented(reads), emissions, allowed_mismatches=2))
+    key = lambda rows: sorted((r["read_id"], r["locus"], r["allele_id"], r["rc"], r["pos"], r["llhd"], r["filter_reason"]) for r in rows.collect())
+    assert key(one) == key(two) and {r[-1] for r in key(one)} == {None, "mismatches"}
+    assert "Exchange hash" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_gene_become_objects_once_a_batch(spark, monkeypatch):
+    from loomtype.operators import vectors as V
+
+    dice = random.Random(3)
+    data = [(r, "AB"[r % 2], a, -dice.randrange(1, 9) / 4, dice.randrange(4)) for r in range(60) for a in dice.sample(range(5), 4)]
+    scores = spark.createDataFrame(data, "read_id long, locus string, allele_id long, llhd double, pos long")
+    vectors, ids = V.to_vectors(scores)
+    top = pair_log_likelihood(scores).select("locus", "i", "j")
+    monkeypatch.setattr(V, "READS", 7)
+    from loomtype.operators.pairs import pair_emissions
+
+    got = {tuple(r) for r in V.vector_emissions(vectors, top, ids).select("locus", "i", "j", "side", "pos", "weight").collect()}
+    assert got == {tuple(r) for r in pair_emissions(scores, top).select("locus", "i", "j", "side", "pos", "weight").collect()}
+    assert "MapInArrow" in V.vector_emissions(vectors, top, ids)._jdf.queryExecution().executedPlan().toString()
