@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
+from .spread import tasks
+
 
 def compare_two(scores: DataFrame, one: str, two: str) -> DataFrame:
     """``read_id``, the likelihoods on two named alleles, and E, L or G."""
@@ -42,14 +45,34 @@ def group_by_boundary(reads: DataFrame, boundaries: DataFrame) -> DataFrame:
     return met.withColumn("region", F.try_element_at("_m", F.lit(-1))["region"]).select(*[F.col(c) for c in reads.columns], "region")
 
 
-def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Rank correlation of two columns per group, ties at their mean rank."""
+def mean_ranks(rows: DataFrame, by: list[str], c: str, lanes: int) -> DataFrame:
+    """``by, c, rank``: the mean rank of each value (null first, as a window has it) among its group's rows.
 
-    def mean_rank(c: str):
-        ties = F.count("*").over(Window.partitionBy(*by, c))
-        return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (ties - 1) / 2
+    Values are counted and dealt to ranges; a value's rank is its range's start plus the counts before it in the range. No
+    window holds a group.
+    """
+    counts = rows.groupBy(*by, c).agg(F.count("*").alias("_n"))
+    # stored, so that ranges stay what they were when they are read again
+    ranged = saved(counts.repartitionByRange(lanes, *by, c).withColumn("_lane", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranged.groupBy(*by, "_lane").agg(F.sum("_n").alias("_s")).select(*by, "_lane", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*by, "_lane").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*by, "_lane"]]
+    return placed.alias("r").join(starts.alias("s"), same).select(*[f"r.{k}" for k in [*by, c]], (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias("rank"))
 
-    return rows.withColumn("_a", mean_rank(a)).withColumn("_b", mean_rank(b)).groupBy(*by).agg(F.corr("_a", "_b").alias("rho"))
+
+def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """Rank correlation of two columns per group, ties at their mean rank."""
+    pairs = saved(rows.groupBy(*by, a, b).agg(F.count("*").alias("_n")))
+    lanes = tasks(rows)
+    out = pairs
+    for c, name in ((a, "_a"), (b, "_b")):
+        ranks = mean_ranks(pairs.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))), by, c, lanes).withColumnsRenamed({k: f"_r{k}" for k in [*by, c]} | {"rank": name})
+        on = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in [*by, c]]
+        out = out.join(ranks, on).drop(*[f"_r{k}" for k in [*by, c]])
+    each = out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return each.groupBy(*by).agg(F.corr("_a", "_b").alias("rho"))
 
 
 def mismatch_histogram(mismatches: DataFrame, width: int) -> DataFrame:
