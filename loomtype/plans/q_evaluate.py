@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..sources.shared import saved
 from .registry import derive, query, text
 
 _TRUTH = "SELECT CAST(o_custkey AS STRING) AS sample, o_orderpriority AS locus, CAST(1 + o_orderkey % 4 AS INT) AS f1, CAST(1 + o_orderkey % 3 AS INT) AS f2 FROM orders"
@@ -80,7 +81,7 @@ def agg16(spark, sf):
 @query("jn23_compare_two_runs", f"""{_CAT}, two AS (SELECT * REPLACE (CASE WHEN length(sample) % 2 = 0 AND category = 'OneRight' THEN 'Different' ELSE category END AS category) FROM cat WHERE locus <> '1-URGENT')
 SELECT coalesce(cat.sample, two.sample) AS sample, coalesce(cat.locus, two.locus) AS locus, cat.category AS first, two.category AS second FROM cat FULL OUTER JOIN two ON cat.sample = two.sample AND cat.locus = two.locus WHERE cat.category IS DISTINCT FROM two.category""")
 def jn23(spark, sf):
-    one = E.categorize(_joined(spark, sf))
+    one = saved(E.categorize(_joined(spark, sf)))  # both runs are made of it
     other = F.when((F.length("sample") % 2 == 0) & (F.col("category") == "OneRight"), "Different").otherwise(F.col("category"))
     c = E.compare_two_runs(one, one.where("locus <> '1-URGENT'").withColumn("category", other), strict=False)
     return c.select("sample", "locus", F.col("first.category").alias("first"), F.col("second.category").alias("second"))

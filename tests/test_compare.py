@@ -19,3 +19,10 @@ def test_ranks_of_ranges_are_the_ranks_of_a_window(spark):
     expected = {r["g"]: r["rho"] for r in rows.withColumn("x", mean("a")).withColumn("y", mean("b")).groupBy("g").agg(F.corr("x", "y").alias("rho")).collect()}
     got = spearman(rows, ["g"], "a", "b")
     assert {r["g"]: r["rho"] for r in got.collect()} == pytest.approx(expected)
+
+
+def test_two_runs_of_one_table_join_their_calls_once(spark):
+    from loomtype.plans.queries import queries
+
+    plan = queries()["jn23_compare_two_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "o_custkey" not in plan
