@@ -34,6 +34,21 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "file", (F.col("_base") + F.col("_p")).alias("line_no"), "text")
 
 
+#: The line before a file among others in one text, as ``head`` writes it.
+MEMBER = "==> {} <=="
+
+
+def member_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, line_no, text`` of texts that hold many files, each behind a line ``==> its name <==`` (``MEMBER``).
+
+    For files too many and too small to lie in a folder each. A file is cut out by Spark's reader, as a row, whatever
+    the parts in which tasks read the text; so numbers need no shuffle and no other scan. Empty lines at its end are left out.
+    """
+    members = spark.read.option("lineSep", "\n==> ").text(path).where("value <> ''").select(F.concat(F.regexp_replace("value", "^==> ", ""), F.lit("\n")).alias("v"))
+    lines = F.posexplode_outer(F.split(F.regexp_replace(F.expr("substr(v, instr(v, ' <==\n') + 5)"), r"\n+\z", ""), "\n"))
+    return members.select(F.substring_index("v", " <==\n", 1).alias("file"), lines.alias("line_no", "text"))
+
+
 def _sample(file: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(file, r"([^/]+)$", 1), r"(_R?[12])?\.(fastq|fq)(\.gz)?$", "")
 

@@ -218,3 +218,41 @@ def test_reads_are_not_shuffled(spark, tmp_path):
     # the one scan of the lines lies below no exchange; others read the table of parts
     scan = plan.index("FileScan text")
     assert plan.count("FileScan text") == 1 and "Exchange" not in plan[:scan].replace("BroadcastExchange", "").split("Union")[1]
+
+
+def test_alignments_among_others_in_one_text(spark, tmp_path):
+    bodies = {f"A{i}_nuc.txt": ALIGNMENT.replace("A*", f"A{i}*") * (1 + i % 2) for i in range(30)}
+    for k in range(2):
+        (tmp_path / f"t{k}.txt").write_text("".join(f"{R.MEMBER.format(n)}\n{b}" for n, b in list(bodies.items())[k::2]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "301b")
+    try:
+        lines = R.member_lines(spark, str(tmp_path))
+        got = {(r["file"], r["line_no"], r["text"]) for r in lines.collect()}
+        assert got == {(n, i, t) for n, b in bodies.items() for i, t in enumerate(b.removesuffix("\n").split("\n"))}
+        streams, files = msa.parse_lines(lines)
+        # the lines are read once more for the streams, and only an allele's chunks are shuffled
+        plan = streams._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan text") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+        rows = {(r["locus"], r["allele"][-5:-3]): (r["is_ref"], r["start_pos"], r["stream"]) for r in streams.collect()}
+        assert len(rows) == 90 and {k[1]: v for k, v in rows.items()} == {"01": (True, -2, "ACGT.A|CGGTTGG"), "02": (False, -2, "---A.-|***---*"), "03": (False, -2, "----G-|--.-C-T")}
+        assert {tuple(r)[1:] for r in files.collect()} == {("nuc", "3.33.0", "2018-01-01")} and files.count() == 30
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_notes_behind_the_end_are_not_read(spark):
+    lines = [" cDNA  1", " A*01  AC", "Please see", " cDNA and other notes", " A*02 GG"]
+    rows = spark.createDataFrame([("A_nuc.txt", i, t) for i, t in enumerate(lines)] + [("B_nuc.txt", 0, "# date: 2019")], "file string, line_no long, text string")
+    streams, files = msa.parse_lines(rows)
+    assert [tuple(r) for r in streams.collect()] == [("A", "nuc", "A*01", True, 1, "AC")]
+    assert sorted((r["locus"], r["align_date"]) for r in files.collect()) == [("A", None), ("B", "2019")]
+
+
+def test_texts_of_alignments_do_not_grow_with_genes(spark, tmp_path):
+    from loomtype.plans import q_files
+
+    docs = [(i, "some letters " * 40, f"l{i % 2}") for i in range(0, 30000, 50)]  # 600 genes
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    lines = q_files._alignments(spark, str(tmp_path))
+    assert len(lines.inputFiles()) <= 4 and lines.select("file").distinct().count() == 300
