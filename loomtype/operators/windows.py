@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
+from .spread import sent
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[Column | str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``name``, their place from 0 in the order of their group, and the stored table that they are read from.
+
+    Rows fall into ranges of groups and order, whose rows are counted: a row's place is its range's start in the group plus
+    its place in the range. No window holds a group.
+    """
+    cut = saved(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_id", F.monotonically_increasing_id()))
+    before = Window.partitionBy(*by).orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
+    lanes = cut.groupBy(*by, F.shiftright("_id", 33).alias("_lane")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    starts = lanes.select(*by, "_lane", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    placed = cut.withColumn("_lane", F.shiftright("_id", 33)).join(sent(starts), [*by, "_lane"])
+    return placed.withColumn(name, F.col("_start") + F.col("_id")).drop("_id", "_lane", "_start"), cut
+
 
 def low_median(rows: DataFrame, by: list[str], value: str, *ties: str) -> DataFrame:
     """The row of rank floor(n / 2), at least 1, by value in each group."""

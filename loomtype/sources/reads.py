@@ -220,7 +220,7 @@ def read_from_pair(pairs: DataFrame, name: str) -> DataFrame:
 
 _EMISSIONS = "array<struct<pos: long, weight: long>>"
 RESULT = (
-    f"header string, per_loci array<struct<locus: string, zygosity: array<struct<allele1: string, allele2: string, z: double, c: double, prob: double, read1_emissions: {_EMISSIONS}, "
+    f"header string, per_loci array<struct<locus: string, first_pair: bigint, zygosity: array<struct<allele1: string, allele2: string, z: double, c: double, prob: double, read1_emissions: {_EMISSIONS}, "
     f"read2_emissions: {_EMISSIONS}>>, per_allele: array<struct<allele: string, llhd: double, alters: array<string>>>>>, per_reads array<struct<name: string, locus: string, allele: string>>")
 
 

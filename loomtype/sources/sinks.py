@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.spread import sent
+from ..operators.windows import ranked
+from .shared import discard
 
 
 def write_fasta(sequences: DataFrame, path: str, width: int = 60) -> None:
@@ -41,10 +49,55 @@ def with_emissions(posterior: DataFrame, emissions: DataFrame) -> DataFrame:
     ``emissions`` has ``[sample,] locus, allele1, allele2, side, pos, weight``; weights count half reads.
     """
     key = [*_of(posterior), *_PAIR]
-    side = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct(F.col("pos").cast("long").alias("pos"), F.col("weight").cast("long").alias("weight")))))
-    both = emissions.groupBy(*key).agg(side(1).alias("emissions1"), side(2).alias("emissions2"))
+    rows = emissions.select(*key, "side", F.col("pos").cast("long").alias("pos"), F.col("weight").cast("long").alias("weight"))
+    of_side = T.ArrayType(T.StructType().add("pos", "long").add("weight", "long"))
+    fields = T.StructType([emissions.schema[c] for c in key]).add("emissions1", of_side).add("emissions2", of_side)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[pa.RecordBatch] = []  # of the pair that may go on
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if last and len(_pair_starts(pa.Table.from_batches([last[-1][-1:], batch[:1]]), key)) == 2:
+                yield _pair_lists(last, key)
+                last = []
+            end = int(_pair_starts(pa.Table.from_batches([batch]), key)[-1])
+            if end:
+                yield _pair_lists([*last, batch[:end]], key)
+                last = []
+            last.append(batch[end:])
+        if last:
+            yield _pair_lists(last, key)
+
+    # a hash comes first where rows are sorted: texts that begin alike are long to compare
+    hashed = F.xxhash64(*key)
+    both = rows.repartition(*key).sortWithinPartitions(hashed, *key, "side", "pos", "weight").mapInArrow(lists, fields)
     none = F.array().cast(_EMISSIONS)
-    return posterior.join(both, key, "left").withColumns({c: F.coalesce(c, none) for c in ("emissions1", "emissions2")})
+    joined = posterior.withColumn("_h", hashed).join(both.withColumn("_h", hashed), ["_h", *key], "left").drop("_h")
+    return joined.withColumns({c: F.coalesce(c, none) for c in ("emissions1", "emissions2")})
+
+
+def _pair_starts(rows: pa.Table, key: list[str]) -> np.ndarray:
+    """Where a pair begins among sorted rows."""
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = False
+    for c in key:
+        column = rows.column(c).combine_chunks()
+        new[1:] |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _pair_lists(batches: list[pa.RecordBatch], key: list[str]) -> pa.RecordBatch:
+    """A row for each pair, with both sides' emissions as arrays."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    starts, side = _pair_starts(rows, key), rows.column("side").to_numpy()
+    columns = [rows.column(c).take(pa.array(starts)).combine_chunks() for c in key]
+    for k in (1, 2):
+        ends = np.append(0, np.cumsum(np.add.reduceat(side == k, starts, dtype=np.int32), dtype=np.int32))
+        of = rows.select(["pos", "weight"]).filter(pa.array(side == k)).combine_chunks()
+        values = pa.StructArray.from_arrays([pa.concat_arrays(of.column(c).chunks) if of.column(c).num_chunks else pa.array([], pa.int64()) for c in ("pos", "weight")], ["pos", "weight"])
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), values))
+    return pa.RecordBatch.from_arrays(columns, [*key, "emissions1", "emissions2"])
 
 
 def with_alterations(alleles: DataFrame, alterations: DataFrame) -> DataFrame:
@@ -81,23 +134,39 @@ def _complete(posterior: DataFrame, alleles: DataFrame) -> tuple[DataFrame, Data
     return posterior, alleles if "alters" in alleles.columns else alleles.withColumn("alters", F.array().cast("array<string>"))
 
 
-def typing_document(posterior: DataFrame, alleles: DataFrame, reads: DataFrame, header: str, reads_per_row: int = 100_000) -> DataFrame:
+def _in_parts(rows: DataFrame, order: list, rows_per_part: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_place`` in their sample's gene and ``part``, of which each has so many rows of a sample; and what they are read from."""
+    placed, stored = ranked(rows, ["sample", "locus"], order, "_place")
+    before = Window.partitionBy("sample").orderBy("locus").rowsBetween(Window.unboundedPreceding, -1)
+    genes = stored.groupBy("sample", "locus").agg(F.count("*").alias("_n"))
+    starts = genes.select("sample", "locus", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(sent(starts), ["sample", "locus"]).withColumn("part", F.floor((F.col("_start") + F.col("_place")) / rows_per_part).cast("int")).drop("_start"), stored
+
+
+def typing_document(posterior: DataFrame, alleles: DataFrame, reads: DataFrame, header: str, reads_per_row: int = 100_000, pairs_per_row: int = 20_000) -> DataFrame:
     """Nested results of each sample: ``sample, part, header, per_loci, per_reads``.
 
-    Part 0 has the genes' pairs with both sides' emissions, and their alleles with alterations, from best to worst. The
-    reads' alleles are dealt to as many parts as keep about ``reads_per_row`` in one, so no row holds all of a sample.
+    The genes' pairs with both sides' emissions, and their alleles with alterations, come from best to worst; those that
+    do not fit into a row of ``pairs_per_row`` go on in the next part, where ``first_pair`` is the number of the gene's
+    pairs before. The reads' alleles are dealt to as many parts as keep about ``reads_per_row`` in one. So no row and no
+    window holds all of a sample or gene. Pairs and alleles are stored in their order: ``stored`` of the result, for ``discard``.
     """
     posterior, alleles = _complete(posterior, alleles)
-    pair = F.struct((-F.col("prob")).alias("_o"), "allele1", "allele2", "z", "c", "prob", F.col("emissions1").alias("read1_emissions"), F.col("emissions2").alias("read2_emissions"))
-    one = F.struct((-F.col("llhd")).alias("_o"), "allele", "llhd", "alters")
-    drop = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x.dropFields("_o"))
-    key = ["sample", "locus"]
-    loci = posterior.groupBy(*key).agg(drop(pair).alias("zygosity")).join(alleles.groupBy(*key).agg(drop(one).alias("per_allele")), key, "full_outer")
-    per_loci = loci.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("locus", "zygosity", "per_allele"))).alias("per_loci")).withColumn("part", F.lit(0))
+    pair = F.struct("_place", "allele1", "allele2", "z", "c", "prob", F.col("emissions1").alias("read1_emissions"), F.col("emissions2").alias("read2_emissions"))
+    one = F.struct("_place", "allele", "llhd", "alters")
+    drop = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x.dropFields("_place"))
+    key = ["sample", "part", "locus"]
+    pairs, stored = _in_parts(posterior, [F.desc("prob"), "allele1", "allele2"], pairs_per_row)
+    ones, also = _in_parts(alleles, [F.desc("llhd"), "allele"], pairs_per_row)
+    zygosity = pairs.groupBy(*key).agg(F.nullif(F.min("_place"), F.lit(0)).alias("first_pair"), drop(pair).alias("zygosity"))
+    loci = zygosity.join(ones.groupBy(*key).agg(drop(one).alias("per_allele")), key, "full_outer")
+    per_loci = loci.groupBy("sample", "part").agg(F.array_sort(F.collect_list(F.struct("locus", "first_pair", "zygosity", "per_allele"))).alias("per_loci"))
     counts = reads.groupBy("sample").agg(F.ceil(F.count("*") / reads_per_row).alias("_parts"))
     dealt = reads.join(counts, "sample").withColumn("part", F.pmod(F.xxhash64("name"), "_parts").cast("int"))
     per_reads = dealt.groupBy("sample", "part").agg(F.array_sort(F.collect_list(F.struct("name", "locus", "allele"))).alias("per_reads"))
-    return per_loci.join(per_reads, ["sample", "part"], "full_outer").select("sample", "part", F.lit(header).alias("header"), "per_loci", "per_reads")
+    documents = per_loci.join(per_reads, ["sample", "part"], "full_outer").select("sample", "part", F.lit(header).alias("header"), "per_loci", "per_reads")
+    documents.stored = [stored, also]
+    return documents
 
 
 def write_typing_json(documents: DataFrame, path: str) -> None:
@@ -114,18 +183,24 @@ def write_typing_tsv(posterior: DataFrame, alleles: DataFrame, reads: DataFrame,
     """Three tables, tab separated: zygosity, likelihood and per_read; a column ``sample`` comes first where there is one.
 
     A pair has both likelihoods, its probability, the number of reads of each side and where they lie (``e1``, ``e2``); an
-    allele has what was imputed. ``header``: lines about the run, written beside them.
+    allele has what was imputed. ``header``: lines about the run, written beside them. ``rank``, a pair's from 1 in its gene,
+    is used where the posterior has it.
     """
     posterior, alleles = _complete(posterior, alleles)
     of = _of(posterior)
-    order = Window.partitionBy(*of, "locus").orderBy(F.desc("prob"), "allele1", "allele2")
+    stored = None
+    if "rank" not in posterior.columns:
+        posterior, stored = ranked(posterior, [*of, "locus"], [F.desc("prob"), "allele1", "allele2"], "rank")
+        posterior = posterior.withColumn("rank", F.col("rank") + 1)
     reads_of = lambda c: F.format_string("%.1f", F.aggregate(c, F.lit(0).cast("long"), lambda n, e: n + e["weight"]) / 2)
-    zygosity = posterior.withColumn("rank", F.row_number().over(order)).select(
+    zygosity = posterior.select(
         *of, "locus", "rank", "allele1", "allele2", F.format_string("%.6f", "z").alias("z"), F.format_string("%.6f", "c").alias("c"), F.format_string("%.6f", "prob").alias("prob"),
         reads_of("emissions1").alias("reads1"), reads_of("emissions2").alias("reads2"), _emission_text("emissions1").alias("e1"), _emission_text("emissions2").alias("e2"))
     likelihood = alleles.orderBy(*of, "locus", F.desc("llhd"), "allele").select(*of, "locus", "allele", F.format_string("%.6f", "llhd").alias("llhd"), F.array_join("alters", ";").alias("imputation"))
     for name, table in (("zygosity", zygosity), ("likelihood", likelihood), ("per_read", reads.select(*of, "name", "locus", "allele"))):
         table.write.option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(f"{path}/{name}")
+    if stored is not None:
+        discard(stored)
     if header is not None:
         posterior.sparkSession.createDataFrame([(line,) for line in header.split("\n")], "value string").coalesce(1).write.text(f"{path}/header")
 
@@ -138,7 +213,8 @@ def read_typing_tsv(spark: SparkSession, path: str, name: str) -> DataFrame:
 def json_to_tsv(documents: DataFrame, path: str) -> None:
     """Flatten reloaded results (``read_typing_json``) into the three tables, and their header."""
     loci = documents.select("sample", F.explode("per_loci").alias("l"))
-    zygosity = loci.select("sample", F.col("l.locus").alias("locus"), F.explode("l.zygosity").alias("z")).select("sample", "locus", "z.*")
+    zygosity = loci.select("sample", "l.locus", F.coalesce("l.first_pair", F.lit(0)).alias("_before"), F.posexplode("l.zygosity").alias("_p", "z"))
+    zygosity = zygosity.select("sample", "locus", (F.col("_before") + F.col("_p") + 1).alias("rank"), "z.*")
     zygosity = zygosity.withColumnsRenamed({"read1_emissions": "emissions1", "read2_emissions": "emissions2"})
     alleles = loci.select("sample", F.col("l.locus").alias("locus"), F.explode("l.per_allele").alias("a")).select("sample", "locus", "a.*")
     first = documents.select("header").first()

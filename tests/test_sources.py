@@ -256,3 +256,39 @@ def test_texts_of_alignments_do_not_grow_with_genes(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     lines = q_files._alignments(spark, str(tmp_path))
     assert len(lines.inputFiles()) <= 4 and lines.select("file").distinct().count() == 300
+
+
+def test_a_gene_goes_on_in_the_next_part(spark, tmp_path):
+    post = spark.createDataFrame([("s", "AB"[k % 2], f"x{k}", "y", -1.0 * k, -2.0, (k * 7 % 10) / 10) for k in range(23)], "sample string, locus string, allele1 string, allele2 string, z double, c double, prob double")
+    alleles = spark.createDataFrame([("s", "AB"[k % 2], f"x{k}", -1.0 * k) for k in range(23)], "sample string, locus string, allele string, llhd double")
+    reads = spark.createDataFrame([("s", "r", "A", "x0")], "sample string, name string, locus string, allele string")
+    documents = K.typing_document(post, alleles, reads, "h", pairs_per_row=5)
+    rows = documents.collect()
+    assert sorted(r["part"] for r in rows) == list(range(5)) and max(sum(len(g[c] or []) for g in r["per_loci"]) for r in rows for c in ("zygosity", "per_allele")) == 5
+    K.write_typing_json(documents, str(tmp_path / "j"))
+    K.json_to_tsv(R.read_typing_json(spark, str(tmp_path / "j")), str(tmp_path / "b"))
+    K.write_typing_tsv(post, alleles, reads, str(tmp_path / "a"))
+    for table in ("zygosity", "likelihood"):
+        one, two = (sorted(map(tuple, K.read_typing_tsv(spark, str(tmp_path / x), table).na.fill("").collect())) for x in "ab")
+        assert one == two and len(one) == 23
+    best = sorted(((r["locus"], -r["prob"], r["allele1"]) for r in post.collect()))
+    ranks = {(r["locus"], int(r["rank"])): r["allele1"] for r in K.read_typing_tsv(spark, str(tmp_path / "b"), "zygosity").collect()}
+    assert [ranks[g, k] for g, n in (("A", 12), ("B", 11)) for k in range(1, n + 1)] == [b[2] for b in best]
+
+
+def test_emissions_of_a_pair_may_span_batches(spark):
+    import random
+
+    dice, found = random.Random(5), {}
+    pairs = [(f"s{k % 2}", "A", f"x{k // 2 % 3}", f"y{k // 6}") for k in range(24)]
+    for _ in range(150):
+        found[(*dice.choice(pairs[:20]), dice.randrange(1, 3), dice.randrange(9))] = dice.randrange(1, 5)
+    key = "sample string, locus string, allele1 string, allele2 string"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        joined = K.with_emissions(spark.createDataFrame(pairs, key), spark.createDataFrame([(*k, w) for k, w in found.items()], f"{key}, side int, pos int, weight int"))
+        got = {tuple(r)[:4]: tuple([tuple(e) for e in r[c]] for c in ("emissions1", "emissions2")) for r in joined.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {p: tuple(sorted((k[5], w) for k, w in found.items() if k[:4] == p and k[4] == side) for side in (1, 2)) for p in pairs}
+    assert "ObjectHashAggregate" not in joined._jdf.queryExecution().executedPlan().toString()
