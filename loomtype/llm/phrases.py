@@ -4,16 +4,22 @@ First pass: each shard of the texts is mined completely, length by length, at th
 of all bytes. A phrase that is frequent over all texts is so in one shard at least, and so are all its parts. Second
 pass: the union of what the shards found is counted in every shard, and the counts are added.
 
+Beyond ``MOST_SHARDS`` shards the lowered support says little. Then the first pass is made twice, with a support of one:
+words and pairs are mined first, and longer phrases only where all pairs in them are in the union so far.
+
 The union reaches the tasks as a bit field of a fixed size (``BITS``): a phrase without its bit, or with a part without
 one, is not in the union. One that has its bit by chance has it in every shard, so it is counted exactly as well, and
-the support decides. Phrases are keyed by 64-bit hashes of their language and words.
+the support decides. Phrases are keyed by 64-bit hashes of their language and words. Keys and counts of a shard travel
+packed, by buckets of the keys' first bits; a phrase's text travels from the shards that have it most often only.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -24,6 +30,10 @@ from .textbytes import slices
 from .wordcache import mixed, span_hashes
 
 BITS = 27
+#: Bits of a key by which a phrase's highest count in a shard is known.
+MOST_BITS = 24
+#: Shards up to which the lowered support is used.
+MOST_SHARDS = 32
 #: Shards are as large as this, but there are ``LEAST_SHARDS`` at least, so that a cluster has work.
 SHARD_BYTES, LEAST_SHARDS = 64 << 20, 16
 _SLOTS, _BLOCK = 1 << 22, 1 << 20
@@ -99,10 +109,10 @@ class Shard:
             some = at[i : i + _BLOCK]
             yield some, mixed((mixed(keys[i : i + _BLOCK]) ^ self.keys[self.ids[some + (size - 1)]]) * _STEP + np.uint64(size))
 
-    def lengths(self, longest: int, one, more) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length the phrases that are kept: places, keys and counts of distinct ones.
+    def lengths(self, longest: int, one, more, shortest: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length from ``shortest`` on the phrases that are kept: places, keys and counts of distinct ones.
 
-        ``one`` marks distinct words by their keys and counts; ``more(blocks)`` gives those of the phrases that are
+        ``one`` marks distinct words by their keys and counts; ``more(size, blocks)`` gives those of the phrases that are
         kept, with a place for each of their occurrences. Only phrases are asked for of which all parts were kept.
         """
         counts = np.bincount(self.ids, minlength=len(self.keys))
@@ -110,18 +120,21 @@ class Shard:
         mark = np.append(kept[self.ids], False)
         where = np.zeros(len(self.keys), np.int64)
         where[self.ids[::-1]] = np.arange(len(self.ids))[::-1]
-        yield 1, where[kept], self.keys[kept], counts[kept]
+        if shortest == 1:
+            yield 1, where[kept], self.keys[kept], counts[kept]
         at = np.flatnonzero(mark).astype(np.int32)
         keys = None
         for size in range(2, longest + 1):
             further = (self.left[at] >= size) & mark[at + 1]
             at = at[further]
             keys = self.keys[self.ids[at]] if keys is None else keys[further]
-            at, keys = more(lambda at=at, keys=keys, size=size: self.blocks(at, keys, size))
+            at, keys = more(size, lambda at=at, keys=keys, size=size: self.blocks(at, keys, size))
             if not len(at):
                 return
             mark = np.zeros(len(self.ids) + 1, bool)
             mark[at] = True
+            if size < shortest:
+                continue
             some, where, counts = np.unique(keys, return_index=True, return_counts=True)
             yield size, at[where].astype(np.int64), some, counts
 
@@ -146,7 +159,9 @@ def _joined(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def _frequent(least: int):
     """Keeps what occurs ``least`` times: counters that keys share leave most rare ones out before they are counted one by one."""
-    def more(blocks) -> tuple[np.ndarray, np.ndarray]:
+    def more(size: int, blocks) -> tuple[np.ndarray, np.ndarray]:
+        if least == 1:
+            return _joined(list(blocks()))
         slot = lambda keys: ((keys >> np.uint64(20)) & np.uint64(_SLOTS - 1)).astype(np.int64)
         counters = np.zeros(_SLOTS, np.int32)
         for _, keys in blocks():
@@ -160,6 +175,16 @@ def _frequent(least: int):
     return more
 
 
+def _in(union: Union, shortest: int, then=None) -> tuple:
+    """Keeps the words, and the phrases of fewer than ``shortest`` words, that are in a union; ``then`` says it of longer ones."""
+    def more(size: int, blocks) -> tuple[np.ndarray, np.ndarray]:
+        if size >= shortest:
+            return then(size, blocks)
+        return _joined([(a[m], k[m]) for a, k in blocks() for m in (union.known(k),)])
+
+    return lambda keys, counts: union.known(keys), more
+
+
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[Shard]:
     """The texts of a task in shards of about ``shard_bytes``; a longer text is cut where a piece ends."""
     shard = Shard()
@@ -201,6 +226,70 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+#: Bits that a bucket of keys stands for, at least, and the bytes of a key that travel in it: together they are the whole key.
+_BUCKET_BITS, _KEY_BYTES = 8, 7
+_PACKED = "bucket int, keys binary, counts binary"
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray, bucket_bits: int, kind: type) -> Iterator[dict[str, pa.Array]]:
+    """A shard's keys in order and their counts, a row a bucket. A count's bytes lie apart, since most of its high ones are zero."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order].astype(kind)
+    edges = np.searchsorted((keys >> np.uint64(64 - bucket_bits)).astype(np.int64), np.arange((1 << bucket_bits) + 1))
+    low = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES])
+    parts = counts.view(np.uint8).reshape(len(counts), -1)
+    own = np.flatnonzero(np.diff(edges))
+    for some in (own[i : i + 64] for i in range(0, len(own), 64)):
+        yield {"bucket": pa.array(some.astype(np.int32)), "keys": pa.array([low[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()),
+               "counts": pa.array([parts[edges[k] : edges[k + 1]].T.tobytes() for k in some], pa.binary())}
+
+
+def _unpacked(bucket: int, frame: pd.DataFrame, bucket_bits: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's keys in order with their counts, the first place of each distinct key, and each key's row of ``frame``."""
+    sizes = np.array([len(x) for x in frame["keys"]]) // _KEY_BYTES
+    whole = np.zeros((sizes.sum(), 8), np.uint8)
+    whole[:, :_KEY_BYTES] = np.frombuffer(b"".join(frame["keys"]), np.uint8).reshape(-1, _KEY_BYTES)
+    keys = whole.view(np.uint64).reshape(-1) | (np.uint64(bucket) << np.uint64(64 - bucket_bits))
+    counts = np.concatenate([np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1) for x in frame["counts"]])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    return keys, counts[order], np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), np.repeat(np.arange(len(sizes)), sizes)[order]
+
+
+class Union:
+    """What the shards found, as fields of a fixed size: a bit for each phrase, and the highest count (up to 255) that a shard has of it."""
+
+    def __init__(self) -> None:
+        self.bits, self.most = np.zeros(1 << (BITS - 3), np.uint8), np.full(1 << MOST_BITS, 255, np.uint8)
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        high = (keys >> np.uint64(64 - BITS)).astype(np.int64)
+        return (self.bits[high >> 3] >> (high & 7).astype(np.uint8)) & 1 == 1
+
+    def has_most(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Whether no shard has more of a phrase; of phrases that share a number, the lowest counts."""
+        return counts >= self.most[(keys >> np.uint64(64 - MOST_BITS)).astype(np.int64)]
+
+    def add(self, found: DataFrame) -> None:
+        """Take ``_FIELDS``, which have one size altogether, whatever the number of phrases."""
+        for r in found.collect():
+            bits, most = (np.frombuffer(zlib.decompress(r[x]), np.uint8) for x in ("bits", "most"))
+            self.bits[r["bucket"] * len(bits) :][: len(bits)] |= bits
+            own = self.most[r["bucket"] * len(most) :][: len(most)]
+            np.minimum(own, most, out=own)
+
+
+_FIELDS = "bucket int, bits binary, most binary"
+
+
+def _fields(bucket: int, keys: np.ndarray, most: np.ndarray, bucket_bits: int) -> pd.DataFrame:
+    """A bucket's part of the fields of a ``Union``."""
+    bits, high = np.zeros(1 << (BITS - bucket_bits), bool), np.full(1 << (MOST_BITS - bucket_bits), 255, np.uint8)
+    bits[(keys >> np.uint64(64 - BITS)).astype(np.int64) & (len(bits) - 1)] = True
+    np.minimum.at(high, (keys >> np.uint64(64 - MOST_BITS)).astype(np.int64) & (len(high) - 1), np.minimum(most, 255).astype(np.uint8))
+    return pd.DataFrame({"bucket": [bucket], "bits": [zlib.compress(np.packbits(bits, bitorder="little"), 1)], "most": [zlib.compress(high, 1)]})
+
+
 def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``lang, size, phrase, f``: all phrases of up to ``longest`` words with ``f >= support`` in their language, exactly.
 
@@ -213,63 +302,101 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # shards as large as they may be: the fewer they are, the higher is their support
     shard_bytes = max(1, min(shard_bytes, -(-total // LEAST_SHARDS)))
+    lowered = total <= MOST_SHARDS * shard_bytes
+    if not lowered:  # their size changes no support, and all their phrases are in work at a time
+        shard_bytes = max(1, shard_bytes // 2)
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes)))
+    bucket_bits = min(MOST_BITS - 3, max(_BUCKET_BITS, int(total >> 25).bit_length()))
+    # counts that are cut to a byte are over the support in one shard
+    kind = np.uint8 if support <= 255 else np.int64
 
     def least(shard: Shard) -> int:
-        return max(1, -(-support * shard.size // max(total, 1)))
-
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A shard's frequent keys, by how much each count is over what a shard that does not name it may have; and that, with no key."""
-        for shard in _shards(batches, shard_bytes):
-            t = least(shard)
-            for _, _, keys, counts in shard.lengths(longest, lambda keys, counts, t=t: counts >= t, _frequent(t)):
-                yield _batch({"key": pa.array(keys.view(np.int64)), "over": pa.array(counts - (t - 1), pa.int64())})
-            yield _batch({"key": pa.array([None], pa.int64()), "over": pa.array([t - 1], pa.int64())})
-
-    mined = saved(rows.mapInArrow(mine, "key long, over long"))
-    slack = mined.where("key IS NULL").agg(F.sum("over")).first()[0] or 0
-    union = mined.where("key IS NOT NULL").groupBy("key").agg(F.sum("over").alias("over")).where(F.col("over") + slack >= support)
-    bit = F.col("key").bitwiseAND((1 << BITS) - 1) + 1  # Spark's bit fields begin at 1
-    fields = union.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    field = np.zeros((1 << BITS) // 8, np.uint8)  # a fixed size, whatever the number of phrases
-    for r in fields.collect():
-        bits = np.frombuffer(r["bits"], np.uint8)
-        field[(r["bucket"] - 1) * len(bits) : r["bucket"] * len(bits)] = bits
-    sent = spark.sparkContext.broadcast(field)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-
-        def known(keys: np.ndarray) -> np.ndarray:
-            low = keys & np.uint64((1 << BITS) - 1)
-            return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-        def more(blocks) -> tuple[np.ndarray, np.ndarray]:
-            return _joined([(a[m], k[m]) for a, k in blocks() for m in (known(k),)])
-
-        for shard in _shards(batches, shard_bytes):
-            t, names = least(shard), list(shard.langs)
-            n = np.bincount(shard.lang[shard.ids], minlength=len(names))
-            yield _batch({"key": pa.array(shard.seeds().view(np.int64)), "n": pa.array(n, pa.int64()), "size": pa.array([0] * len(names), pa.int32()),
-                          "lang": pa.array(names), "phrase": pa.array([""] * len(names))})
-            for size, at, keys, counts in shard.lengths(longest, lambda keys, counts: known(keys), more):
-                # a frequent phrase has its share in one shard at least, which gives its text
-                for own in (True, False):
-                    picked = np.flatnonzero((counts >= t) == own)
-                    for i in range(0, len(picked), 100_000):
-                        part = picked[i : i + 100_000]
-                        text, lang = pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.string())
-                        if own:
-                            text = shard.phrases(at[part], size)
-                            lang = pa.array(names).take(pa.array(shard.lang[shard.ids[at[part]]]))
-                        yield _batch({"key": pa.array(keys[part].view(np.int64)), "n": pa.array(counts[part], pa.int64()),
-                                      "size": pa.array(np.full(len(part), size, np.int32)), "lang": lang, "phrase": text})
-
-    counted = saved(rows.mapInArrow(count, "key long, n long, size int, lang string, phrase string"))
-    sums = counted.groupBy("key", "size").agg(F.sum("n").alias("f")).where((F.col("f") >= support) | (F.col("size") == 0))
-    texts = counted.where("phrase IS NOT NULL").select("key", "size", "lang", "phrase").join(sums, ["key", "size"])
-    out = saved(texts.dropDuplicates(["key", "size"]).select("lang", "size", "phrase", "f"))
-    discard(mined, counted)
+        return max(1, -(-support * shard.size // max(total, 1))) if lowered else 1
+
+    def mine(shortest: int, to: int, sent=None) -> DataFrame:
+        """The fields of a shard's frequent phrases that may be so in all; parts of fewer than ``shortest`` words are those in ``sent``."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard in _shards(batches, shard_bytes):
+                t = least(shard)
+                one, more = (lambda keys, counts: counts >= t), _frequent(t)  # noqa: B023, E731
+                if sent is not None:
+                    one, more = _in(sent.value, shortest, more)
+                found = [(keys, counts) for _, _, keys, counts in shard.lengths(to, one, more, shortest)]
+                if found:
+                    keys, counts = (np.concatenate(x) for x in zip(*found))
+                    del found
+                    for part in _packed(keys, np.minimum(counts, np.iinfo(kind).max), bucket_bits, kind):
+                        yield _batch({**part, "under": pa.array([t - 1] * len(part["bucket"]), pa.int64())})
+                yield _batch({"bucket": pa.nulls(1, pa.int32()), "keys": pa.nulls(1, pa.binary()), "counts": pa.nulls(1, pa.binary()), "under": pa.array([t - 1], pa.int64())})
+
+        def union(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            """By how much each count is over what a shard that does not name it may have, and what all shards may have."""
+            keys, counts, at, row = _unpacked(group[0], frame, bucket_bits, kind)
+            over = np.add.reduceat(counts.astype(np.int64) - frame["under"].to_numpy()[row], at)
+            enough = over + slack >= support
+            return _fields(group[0], keys[at][enough], np.maximum.reduceat(counts, at)[enough], bucket_bits)
+
+        mined, slack = rows.mapInArrow(run, f"{_PACKED}, under long"), 0
+        if lowered:
+            mined = saved(mined)
+            kept.append(mined)
+            slack = mined.where("bucket IS NULL").agg(F.sum("under")).first()[0] or 0
+        return mined.where("bucket IS NOT NULL").groupBy("bucket").applyInPandas(union, _FIELDS)
+
+    kept: list[DataFrame] = []
+    found = Union()
+    if lowered:
+        found.add(mine(1, longest))
+    else:
+        found.add(mine(1, min(2, longest)))
+        if longest > 2:
+            found.add(mine(3, longest, spark.sparkContext.broadcast(found)))
+
+    def count(sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            none = {"bucket": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "key": pa.int64(), "n": pa.int64(), "size": pa.int32(), "lang": pa.string(), "phrase": pa.string()}
+
+            def some(**columns) -> pa.RecordBatch:
+                n = len(next(iter(columns.values())))
+                return _batch({c: columns[c] if c in columns else pa.nulls(n, kind) for c, kind in none.items()})
+
+            for shard in _shards(batches, shard_bytes):
+                names, every = list(shard.langs), []
+                n = np.bincount(shard.lang[shard.ids], minlength=len(names))
+                yield some(n=pa.array(n, pa.int64()), size=pa.array([0] * len(names), pa.int32()), lang=pa.array(names), phrase=pa.array([""] * len(names)))
+                for size, at, keys, counts in shard.lengths(longest, *_in(sent.value, longest + 1)):
+                    every.append((keys, counts))
+                    # a frequent phrase has its highest count in one shard at least, which gives its text
+                    own = np.flatnonzero(sent.value.has_most(keys, counts))
+                    for part in (own[i : i + 100_000] for i in range(0, len(own), 100_000)):
+                        yield some(key=pa.array(keys[part].view(np.int64)), size=pa.array(np.full(len(part), size, np.int32)),
+                                   lang=pa.array(names).take(pa.array(shard.lang[shard.ids[at[part]]])), phrase=shard.phrases(at[part], size))
+                if every:
+                    keys, counts = (np.concatenate(x) for x in zip(*every))
+                    for part in _packed(keys, counts, bucket_bits, np.uint32):
+                        yield some(**part)
+
+        return rows.mapInArrow(run, f"{_PACKED}, key long, n long, size int, lang string, phrase string")
+
+    def total_of(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        keys, counts, at, _ = _unpacked(group[0], frame, bucket_bits, np.uint32)
+        f = np.add.reduceat(counts, at, dtype=np.int64)
+        return pd.DataFrame({"key": keys[at][f >= support].view(np.int64), "f": f[f >= support]})
+
+    counted = saved(count(spark.sparkContext.broadcast(found)))
+    sums = saved(counted.where("bucket IS NOT NULL").select("bucket", "keys", "counts").groupBy("bucket").applyInPandas(total_of, "key long, f long"))
+    kept += [counted, sums]
+    phrases = lambda some: some.where("size > 0").select("key", "size", "lang", "phrase").dropDuplicates(["key"]).join(sums, "key")
+    texts = saved(phrases(counted))
+    kept.append(texts)
+    if texts.count() < sums.count():
+        # rows came in another order than when they were mined, so shards are others: all of them give the texts
+        found.most[:] = 0
+        texts = saved(phrases(count(spark.sparkContext.broadcast(found))))
+        kept.append(texts)
+    of_lang = counted.where("size = 0").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
+    out = saved(texts.select("lang", "size", "phrase", "f").unionByName(of_lang))
+    discard(*kept)
     return out
 
 

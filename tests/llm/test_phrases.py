@@ -7,6 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from loomtype.llm import phrases
+from loomtype.llm.common import saved
 from loomtype.llm.phrases import SCORE, collocations, frequent_phrases
 
 SCHEMA = "doc_id long, text string, lang string, key long, n long"
@@ -77,3 +79,22 @@ def test_products_beyond_64_bits_are_exact(spark):
 def test_empty_tables_and_texts_give_no_rows(spark):
     assert collocations(spark.createDataFrame([], SCHEMA)).collect() == []
     assert collocations(spark.createDataFrame([(1, None, None, 0, 0), (2, " . ", "en", 0, 0)], SCHEMA), 1).collect() == []
+
+
+def test_shards_of_a_low_support_write_few_rows(spark, monkeypatch):
+    """Phrases that are rare in all texts are not written for each shard that has them; a text comes from few shards."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(100)) + ".", "en", 0, 0) for i in range(400)]
+    written = []
+
+    def counted(frame):
+        out = saved(frame)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(phrases, "saved", counted)
+    got = {(x["size"], x["phrase"]): x["f"] for x in frequent_phrases(spark.createDataFrame(rows, SCHEMA), 100, shard_bytes=1000).collect()}
+    expected = {k: c for k, c in plain_counts(rows)["en"].items() if c >= 100}
+    assert {k: v for k, v in got.items() if k[0]} == expected and len(expected) == 60
+    assert sum(written) < 40_000 < sum(len(c) for c in plain_counts(rows).values())
