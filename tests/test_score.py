@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +224,28 @@ def test_pairs_of_a_gene_become_objects_once_a_batch(spark, monkeypatch):
     got = {tuple(r) for r in V.vector_emissions(vectors, top, ids).select("locus", "i", "j", "side", "pos", "weight").collect()}
     assert got == {tuple(r) for r in pair_emissions(scores, top).select("locus", "i", "j", "side", "pos", "weight").collect()}
     assert "MapInArrow" in V.vector_emissions(vectors, top, ids)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("allowed_mismatches", [None, 2])
+def test_reads_are_scored_exactly_on_their_best_gene_only(monkeypatch, allowed_mismatches):
+    """Reads of a gene, reads of none, reads that are filtered and equally good genes: the same choice as by all scores."""
+    dice = random.Random(12)
+    shared = "".join(dice.choice("ACGT") for _ in range(70))
+    groups = [[*related(7, 70, 3), shared], [*related(6, 70, 8), shared], related(5, 70, 9)]
+    genes = [S.Gene(name, 75, K.Alleles(*K.encode(sorted(set(own)))), np.arange(len(set(own))), np.arange(len(set(own)))) for name, own in zip("ABC", groups)]
+    seqs = [dice.choice(dice.choice(groups))[at : at + 25] for at in [dice.randrange(40) for _ in range(60)]] + [shared[5:30]] + ["".join(dice.choice("ACGT") for _ in range(25)) for _ in range(10)]
+    seqs = [s if dice.random() < 0.5 else s.translate(str.maketrans("ACGT", "TGCA"))[::-1] for s in seqs]
+    mates = [[{"mate": 0, "seq": s, "q": [dice.randrange(15, 40) for _ in s]}] for s in seqs]
+    mates += [[{**a[0], "mate": 1}, {**b[0], "mate": 2}] for a, b in zip(mates[:5], mates[5:10])]
+    frame = pd.DataFrame({"mates": mates})
+    cells = []
+    scored = K.forward_scores
+    monkeypatch.setattr(K, "forward_scores", lambda codes, *a, **k: (cells.append(len(codes)), scored(codes, *a, **k))[1])
+    plain = {r: x for r, *x in S._best_gene(frame, genes, True, True, allowed_mismatches)}
+    most, again = sum(cells), []
+    cells.clear()
+    got = {r: x for r, *x in S._best_gene(frame, genes, True, True, allowed_mismatches, again)}
+    assert got.keys() == plain.keys() and (allowed_mismatches or len(got) == len(frame))
+    for r, (locus, sums, pos) in plain.items():
+        assert got[r][0] == locus and np.abs(got[r][1] - sums).max() < 1e-9 and (got[r][2] == pos).all()
+    assert allowed_mismatches or sum(cells) < most / 2
