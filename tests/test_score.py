@@ -249,3 +249,10 @@ def test_reads_are_scored_exactly_on_their_best_gene_only(monkeypatch, allowed_m
     for r, (locus, sums, pos) in plain.items():
         assert got[r][0] == locus and np.abs(got[r][1] - sums).max() < 1e-9 and (got[r][2] == pos).all()
     assert allowed_mismatches or sum(cells) < most / 2
+
+
+def test_reads_of_one_length_come_to_few_tasks(spark):
+    rows = [(i, [(0, "A" * (i % 20 + 1))]) for i in range(2000)]
+    dealt = S._by_length(spark.createDataFrame(rows, "read_id long, mates array<struct<mate:int,seq:string>>"), 8)
+    got = dealt.select(F.spark_partition_id().alias("p"), F.length(F.get("mates", F.lit(0))["seq"]).alias("n")).groupBy("p", "n").count().collect()
+    assert sum(r["count"] for r in got) == 2000 and len({r["p"] for r in got}) == 8 and len(got) <= 8 + 20
